@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallymark.plans.registry import ORACLES, QUERIES, Query
 
-_FAMILIES = ("compare",)
+_FAMILIES = ("compare", "quality", "etl")
 
 
 def _load() -> None:

@@ -81,6 +81,81 @@ FIXTURES = {
                CAST(o_totalprice AS DECIMAL(20,5)) AS a2,
                CAST(NULL AS DATE) AS d3, CAST(NULL AS DECIMAL(20,5)) AS a3
         FROM orders""",
+    "loan_accounts": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NBR, CAST(o_totalprice AS DECIMAL(18,2)) AS NEW_CAPN_AMT,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) - 1.25 AS DECIMAL(18,2)) AS OLD_CAPN_AMT, o_orderpriority AS ACTIVITY_CODE,
+               'S1' AS SBSD_SCHEME_CD, 'I1' AS IND_CODE, 'I2' AS SUB_IND_CODE, 'I3' AS SUB_SUB_IND_CODE,
+               concat('SP', CAST(o_custkey % 10 AS VARCHAR(20))) AS SPONSOR_ID,
+               CAST(o_custkey % 30 AS VARCHAR(20)) AS OLD_BRANCH,
+               CASE o_orderstatus WHEN 'F' THEN '10' WHEN 'P' THEN '40' ELSE '20' END AS STAT,
+               CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS LST_FIN_DATE
+        FROM orders""",
+    "loan_psl": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NBR, CAST(o_custkey AS VARCHAR(20)) AS CUST_NBR,
+               o_orderpriority AS PSL_CODE
+        FROM orders WHERE o_orderkey % 4 <> 0""",
+    "loan_advances": """
+        SELECT CAST(l_orderkey AS VARCHAR(20)) AS ACCT_NO, CAST(l_shipdate AS DATE) AS POST_DATE,
+               CAST(l_extendedprice AS DECIMAL(18,2)) AS FIRST_AMT_ADV
+        FROM lineitem""",
+    "loan_balances": """
+        SELECT CAST(c_custkey AS VARCHAR(20)) AS CUST_NBR, CAST(c_acctbal AS DECIMAL(18,2)) AS CUST_TOT_BAL
+        FROM customer""",
+    "loan_balance_tables": """
+        SELECT CAST(c_custkey AS VARCHAR(20)) AS CUST_NBR, CAST(c_custkey % 3 AS INT) AS TBL_ID FROM customer""",
+    "loan_branches": """
+        SELECT CAST(n_nationkey AS VARCHAR(20)) AS BRNCH_NBR, n_regionkey AS CRCL_CD,
+               CAST(1000 + n_nationkey AS BIGINT) AS BRNCH_NBR_SKEY,
+               CASE WHEN n_nationkey = 7 THEN 'N' ELSE 'Y' END AS LATEST_FLG
+        FROM nation""",
+    "loan_dates": """
+        SELECT DATE '1998-06-15' AS DT, DATE '1998-06-01' AS MTH_STRT_DT, DATE '1998-04-01' AS FIN_YR_STRT_DT
+        FROM region WHERE r_regionkey = 0""",
+    "sanction_loans": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NO, CAST(o_orderkey % 10 AS VARCHAR(20)) AS ACCT_NO_CHKDGT,
+               CAST(o_custkey % 25 AS VARCHAR(20)) AS BR_NO, CAST(o_orderdate AS DATE) AS APPRV_DATE,
+               CAST(o_totalprice AS DECIMAL(18,2)) AS APP_AMT, o_orderstatus AS ACT_TYPE,
+               substr(o_orderpriority, 1, 1) AS CAT, CAST(o_orderdate AS DATE) AS APPLIC_ISSUE_DATE,
+               CASE WHEN o_orderkey % 9 = 0 THEN '001' ELSE '003' END AS INST_NO,
+               CASE WHEN o_orderkey % 7 = 0 THEN '40' ELSE '01' END AS STAT,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN -1 ELSE 1 END AS LOAN_BAL,
+               concat('SG', CAST(o_custkey % 12 AS VARCHAR(20))) AS MARKET_SEG_CODE
+        FROM orders""",
+    "sanction_overdrafts": """
+        SELECT CAST(o_orderkey + o_orderkey % 2 AS VARCHAR(20)) AS MEMB_CUST_AC,
+               CAST(o_orderkey % 10 AS VARCHAR(20)) AS MEMB_CUST_AC_CHKDGT,
+               CAST(o_custkey % 25 AS VARCHAR(20)) AS BRANCH_NO, CAST(o_orderdate AS DATE) AS ACCT_OPEN_DT,
+               CAST(o_totalprice AS DECIMAL(18,2)) AS OD_LIM_AMOUNT_1, CAST(10 AS DECIMAL(18,2)) AS OD_LIM_AMOUNT_2,
+               CAST(20 AS DECIMAL(18,2)) AS OD_LIM_AMOUNT_3, CAST(o_custkey AS DECIMAL(18,2)) AS OD_LIM_AMOUNT_4,
+               o_orderstatus AS ACCT_TYPE, substr(o_orderpriority, 1, 1) AS INT_CAT, '003' AS SOC_NO,
+               CASE WHEN o_orderkey % 7 = 0 THEN '08' ELSE '01' END AS CURR_STATUS,
+               CASE WHEN o_orderkey % 2 = 0 THEN -5 ELSE 5 END AS CURR_BAL,
+               concat('GGGGGGGGGGGGSG', CAST(o_custkey % 10 AS VARCHAR(20))) AS GL_CLASS_CODE
+        FROM orders""",
+    "sanction_segments": """
+        SELECT concat('SG', CAST(n_nationkey AS VARCHAR(20))) AS SEG_CODE,
+               CASE n_nationkey % 9 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '51' WHEN 4 THEN '52'
+                    WHEN 5 THEN '53' WHEN 6 THEN '3' WHEN 7 THEN '9' ELSE NULL END AS SEGMENT
+        FROM nation""",
+    "sanction_products": """
+        SELECT DISTINCT concat(o_orderstatus, substr(o_orderpriority, 1, 1)) AS PRODCODE,
+               concat('category ', o_orderstatus) AS CRMPRODUCTCATEGORY
+        FROM orders WHERE o_orderpriority NOT LIKE '4%'""",
+    "sanction_map": """
+        SELECT DISTINCT o_orderstatus AS PART1, substr(o_orderpriority, 1, 1) AS PART2,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '121' WHEN '2' THEN '99' ELSE NULL END AS MAP
+        FROM orders WHERE o_orderpriority NOT LIKE '5%'""",
+    "pay_accounts": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NO, CAST(o_orderdate AS DATE) AS POST_DATE, """ + ", ".join(
+        f"CASE WHEN {i} <= 1 + o_orderkey % 15 THEN CAST(o_orderdate AS DATE) END AS START_DATE_{i:02d},"
+        f" CASE WHEN {i} <= 1 + o_orderkey % 15 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) + {i} AS DECIMAL(18,4)) END AS PRINC_DUE_{i:02d},"
+        f" CAST({i}.50 AS DECIMAL(18,4)) AS PROJ_INT_{i:02d}"
+        for i in range(1, 16)
+    ) + """ FROM orders""",
+    "pay_relations": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NBR, o_custkey AS CUST_NBR,
+               CASE WHEN o_orderkey % 6 = 0 THEN 'JNT' ELSE 'OWN' END AS ACCT_TYPE_IND
+        FROM orders""",
 }
 
 
@@ -95,6 +170,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a text that names the given tables; every mention becomes a parameter of the call."""
     names = _mentioned(sql, TABLES)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for name in names:
         sql = re.sub(rf"(\b(?:FROM|JOIN)\s+){name}\b", rf"\1{{{name}}}", sql)
     return spark.sql(sql, **{n: read(spark, sf_dir, n) for n in names})
