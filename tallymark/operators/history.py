@@ -392,7 +392,10 @@ def domain_summary(jobs: DataFrame) -> DataFrame:
     level = F.col("complexity")
     confidence = F.col("confidence").cast("decimal(18,6)")
     per_job = jobs.groupBy("domain", "job_id").agg(
-        *[F.max(F.when(level == s, 1).otherwise(0)).alias(s) for s in ("low", "medium", "high")],
+        *[
+            F.max(F.when((level == s) & F.col("job_id").isNotNull(), 1).otherwise(0)).alias(s)
+            for s in ("low", "medium", "high")
+        ],
         F.sum(confidence).alias("conf"),
         F.count(confidence).alias("n"),
     )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallymark.plans.registry import ORACLES, QUERIES, Query
 
-_FAMILIES = ("compare", "quality", "etl")
+_FAMILIES = ("compare", "quality", "etl", "history")
 
 
 def _load() -> None:

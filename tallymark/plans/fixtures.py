@@ -156,6 +156,103 @@ FIXTURES = {
         SELECT CAST(o_orderkey AS VARCHAR(20)) AS ACCT_NBR, o_custkey AS CUST_NBR,
                CASE WHEN o_orderkey % 6 = 0 THEN 'JNT' ELSE 'OWN' END AS ACCT_TYPE_IND
         FROM orders""",
+    "logs": """
+        SELECT event_id AS log_id, user_id AS job_id, ts,
+               CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level,
+               CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('stage', CAST(event_id % 3 AS VARCHAR(10))) END AS stage,
+               CASE event_id % 4 WHEN 1 THEN 'passed' WHEN 2 THEN 'failed' WHEN 3 THEN 'running' END AS stage_status,
+               CASE WHEN event_id % 2 = 0 THEN value END AS duration_seconds,
+               event_type AS category, props AS message
+        FROM events""",
+    "classified": """
+        SELECT p_partkey AS job_id, CAST(p_partkey % 6 AS BIGINT) AS domain_id,
+               CAST(100 + p_partkey % 27 AS BIGINT) AS module_id, CAST(1000 + p_partkey % 37 AS BIGINT) AS group_id,
+               CASE WHEN p_size < 15 THEN 'low' WHEN p_size < 35 THEN 'medium' ELSE 'high' END AS complexity,
+               CAST(p_size / 50.0 AS DECIMAL(9,6)) AS confidence
+        FROM part""",
+    "components": """
+        SELECT event_id, concat('component', CAST(user_id AS VARCHAR(20))) AS component, user_id % 10 AS grp,
+               CASE WHEN event_type = 'error' AND user_id % 10 = 3 THEN 'unhealthy'
+                    WHEN event_type = 'signup' AND user_id % 10 > 4 THEN 'degraded' ELSE 'healthy' END AS health,
+               ts AS checked_at
+        FROM events""",
+    "waiting": """
+        SELECT event_id AS request_id, CAST(event_id % 4 AS INT) AS priority,
+               CASE WHEN event_type IN ('view', 'click') THEN 'pending' ELSE 'completed' END AS status, ts AS created_at
+        FROM events""",
+    "tagged": """
+        SELECT o_orderkey AS job_id, o_orderpriority AS tag1, concat('cust', CAST(o_custkey % 5 AS VARCHAR(10))) AS tag2,
+               CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status
+        FROM orders""",
+    "proposals": """
+        SELECT CASE WHEN p_partkey % 2 = 0 THEN 'module' ELSE 'domain' END AS type,
+               CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS name,
+               concat('/jobs/', CAST(p_partkey % 50 AS VARCHAR(10)), '.py') AS job_path, p_size AS suggested_at
+        FROM part""",
+    "names": """
+        SELECT 'module' AS type, CASE s_suppkey % 5 WHEN 0 THEN concat('the ', lower(n_name), ' team')
+                   WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN n_name WHEN 3 THEN concat('none', n_name)
+                   ELSE 'Unknown' END AS name
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    "slots": """
+        SELECT event_id AS slot_id, 'acquire' AS action, ts, user_id FROM events
+        UNION ALL
+        SELECT event_id, 'release', ts, user_id FROM events WHERE event_type <> 'error'""",
+    "arrivals": """
+        SELECT event_id, ts, CAST(user_id % 3 AS BIGINT) AS queue, CAST(event_id % 4 AS INT) AS priority,
+               CAST(CASE WHEN event_type IN ('error', 'signup') THEN -1 ELSE 1 END AS BIGINT) AS change
+        FROM events""",
+    "code": '''
+        SELECT concat('/jobs/domain-', CAST(p_partkey AS VARCHAR(20)),
+                      CASE WHEN p_partkey % 10 = 0 THEN '_debug.py' ELSE '.py' END) AS path,
+               concat('# job ', p_name, chr(10),
+                      'from pyspark.sql.functions import *', chr(10),
+                      CASE WHEN p_partkey % 4 = 0 THEN concat('import pyspark.mllib', chr(10), 'import os', chr(10), 'import os', chr(10)) ELSE '' END,
+                      chr(10),
+                      'a_df = spark.sql("SELECT * FROM db.', p_brand, '")', chr(10),
+                      'b_df = spark.read.parquet("s3', CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE '' END, '://bucket/', p_type, '")', chr(10),
+                      'c_df = a_df.join(b_df, "id").select("id")', chr(10),
+                      CASE WHEN p_partkey % 5 = 0 THEN concat('password="', p_name, '"', chr(10)) ELSE '' END,
+                      CASE WHEN p_partkey % 5 = 1 THEN concat('token=os.environ["T"]', chr(10)) ELSE '' END,
+                      CASE WHEN p_partkey % 6 = 0 THEN concat('rows = c_df.collect()', chr(10)) ELSE concat('rows = c_df.limit(5).collect()', chr(10)) END,
+                      CASE WHEN p_partkey % 7 = 0 THEN concat('try:', chr(10), '    pass', chr(10), 'except:', chr(10), '    pass', chr(10)) ELSE '' END,
+                      'print(rows)', chr(10),
+                      CASE WHEN p_size % 2 = 0 THEN concat('a_df.count()', chr(10)) ELSE concat('a_df.cache()', chr(10)) END,
+                      'spark.sql(', chr(39), 'DELETE FROM t_', CAST(p_size AS VARCHAR(10)), chr(39), ')', chr(10),
+                      'spark.sql("""', chr(10), 'SELECT a, b, sum(c) AS s FROM x', CAST(p_size AS VARCHAR(10)), ' JOIN y', chr(10),
+                      'ON x.i = y.i GROUP BY a', CASE WHEN p_size % 3 = 0 THEN ', b' ELSE '' END, '""")', chr(10),
+                      'z = spark.sql(f"""SELECT 1 FROM {t}""")', chr(10),
+                      'v = PCS_ParameterSet["JpBusinessDate"] + GDM_ParamSet["K', CAST(p_size % 3 AS VARCHAR(10)), '"]', chr(10),
+                      'c_df.writeTo("db.out', CAST(p_size AS VARCHAR(10)), '").createOrReplace()', chr(10),
+                      CASE WHEN p_partkey % 9 = 0 THEN concat('spark.sql("INSERT INTO db.out', CAST(p_size AS VARCHAR(10)), ' SELECT 1")', chr(10)) ELSE '' END,
+                      CASE WHEN p_partkey % 8 = 0 THEN 'CASE WHEN STAT IN (''10'', ''40'') THEN 1 END' ELSE '# end' END) AS text
+        FROM part''',
+    "scripts": """
+        SELECT concat('ddl_', CAST(s_suppkey AS VARCHAR(20)), '.sql') AS path,
+               concat('-- table of ', s_name, '; not a statement', chr(10),
+                      'CREATE TABLE t', CAST(s_suppkey AS VARCHAR(20)), ' (a INT', CASE WHEN s_suppkey % 2 = 0 THEN ', b FLOAT' ELSE '' END, ');', chr(10),
+                      '/* drop', chr(10), 'later; */', chr(10),
+                      CASE WHEN s_suppkey % 3 = 0 THEN 'drop table old; ;' ELSE '' END,
+                      'GRANT SELECT ON t', CAST(s_suppkey AS VARCHAR(20)), ' TO PUBLIC') AS text
+        FROM supplier""",
+    "exports": """
+        SELECT concat('export_', CAST(s_suppkey AS VARCHAR(20)), '.xml') AS path,
+               concat('This file has no style information', chr(10), '<?xml version="1.0"?><DSExport><Job Identifier="', s_name, '">',
+                      '<?xml version="1.0"?>',
+                      '<Collection Name="Parameters"><SubRecord><Property Name="Name">JpDate', CAST(s_nationkey AS VARCHAR(10)), '</Property>',
+                      '<Property Name="Default">a & b</Property><Property Name="Prompt">x <> y</Property></SubRecord></Collection>',
+                      '<SubRecord Name="OutputColumn"><Property Name="Name">KEY_', CAST(s_suppkey AS VARCHAR(20)), '</Property><Property Name="SqlType">12</Property>',
+                      '<Property Name="Nullable">0</Property></SubRecord>',
+                      '<SubRecord Name="OutputColumn"><Property Name="Name">AMOUNT</Property><Property Name="SqlType">3</Property>',
+                      '<Property Name="Precision">', CAST(10 + s_suppkey % 5 AS VARCHAR(10)), '</Property><Property Name="Scale">2</Property></SubRecord>',
+                      CASE WHEN s_suppkey % 2 = 0 THEN '<SubRecord Name="OutputColumn"><Property Name="Name">DAY</Property><Property Name="SqlType">9</Property></SubRecord>' ELSE '' END,
+                      '<Record Identifier="V1S', CAST(s_suppkey AS VARCHAR(20)), '" Type="CustomStage"><Property Name="Name">file_out</Property>',
+                      '<Property Name="StageType">PxSequentialFile</Property><Property Name="InputPins">P', CAST(s_suppkey AS VARCHAR(20)), '</Property></Record>',
+                      '<Record Identifier="P', CAST(s_suppkey AS VARCHAR(20)), '" Type="CustomInput"><SubRecord><Property Name="Name">file</Property>',
+                      '<Property Name="Value">(2)/out/', s_name, '(10).txt</Property></SubRecord><SubRecord><Property Name="Owner">APT</Property>',
+                      '<Property Name="Name">Schema</Property><Property Name="Value">record (a:int)</Property></SubRecord></Record>',
+                      '</Job></DSExport> trailing') AS text
+        FROM supplier""",
 }
 
 
