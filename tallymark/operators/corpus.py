@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.scalars import complexity_level
 from tallymark.specs import TextRule
@@ -26,6 +27,11 @@ def lines(corpus: DataFrame) -> DataFrame:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at both ends."""
+    return F.trim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def _finding(rule: str, severity: str, message: Column | str, suggestion: str) -> Column:
     return F.struct(
         F.lit(rule).alias("rule"),
@@ -48,7 +54,7 @@ CREDENTIAL_MARKS = ("password=", "secret=", "api_key=", "token=", "apikey=")
 
 def line_findings(corpus: DataFrame) -> DataFrame:
     """Bare except, collect without limit, credentials, forbidden protocol and print; comment lines are skipped."""
-    line, text = F.col("content"), F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
+    line, text = F.col("content"), stripped(F.col("content"))
     low = F.lower(line)
     rows = lines(corpus).where(~text.startswith("#"))
     quoted = line.contains('"') | line.contains("'")
@@ -192,7 +198,7 @@ def uncached_reuse(corpus: DataFrame, least: int = 3) -> DataFrame:
     The names assigned in a file travel with the file's lines, and only lines
     that mention one of them are counted.
     """
-    assigned = r"(?m)^\s*(\w+)\s*=.*(?:spark\.sql|spark\.read|\.join|\.select)"
+    assigned = r"(?m)^[ \t]*(\w+)[ \t]*=.*(?:spark\.sql|spark\.read|\.join|\.select)"
     names = corpus.select(
         "path", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(assigned), F.lit(1))).alias("names")
     ).where(F.size("names") > 0)
@@ -245,26 +251,31 @@ def _newlines(text: Column) -> Column:
 
 def sql_statements(corpus: DataFrame) -> DataFrame:
     """SQL texts passed to ``spark.sql`` with the line of the call; ``templated`` marks texts with braces."""
-    shapes = []
+    text = F.col("text")
+
+    def place(found: Column, call: Column) -> Column:
+        # A call is searched from the end of the call before it, so repeated texts keep their own lines.
+        start = F.call_function("locate", call["whole"], text, found["next"])
+        entry = F.struct((_newlines(F.substr(text, F.lit(1), start)) + 1).alias("line"), call["body"].alias("body"))
+        return F.struct(
+            (start + F.length(call["whole"])).alias("next"), F.array_append(found["calls"], entry).alias("calls")
+        )
+
+    placed = []
     for call in SQL_CALLS:
-        # The lazy first group is everything since the previous call, which gives the line.
-        pattern = F.lit(r"(?s)(.*?)" + call)
-        whole = F.regexp_extract_all("text", pattern, F.lit(0))
-        before = F.regexp_extract_all("text", pattern, F.lit(1))
-        body = F.regexp_extract_all("text", pattern, F.lit(2))
-        shapes.append(F.arrays_zip(whole.alias("whole"), before.alias("before"), body.alias("body")))
-    per_shape = corpus.select("path", F.explode(F.array(*shapes)).alias("calls")).where(F.size("calls") > 0)
-    numbered = per_shape.select("path", "calls", F.posexplode("calls").alias("i", "call"))
-    earlier = F.aggregate(
-        F.slice("calls", F.lit(1), F.col("i")), F.lit(0), lambda a, c: a + _newlines(c["whole"])
-    )
-    statement = F.trim(F.regexp_replace("call.body", r"^\s+|\s+$", ""))
-    return (
-        numbered.select(
-            "path",
-            (earlier + _newlines(F.col("call.before")) + 1).alias("line"),
-            statement.alias("statement"),
+        pattern = F.lit("(?s)" + call)
+        calls = F.arrays_zip(
+            F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
+            F.regexp_extract_all(text, pattern, F.lit(1)).alias("body"),
+        )
+        none = F.struct(
+            F.lit(1).alias("next"), F.array().cast("array<struct<line:int,body:string>>").alias("calls")
         )
+        placed.append(F.aggregate(calls, none, place)["calls"])
+    return (
+        corpus.where(text.contains("spark.sql"))
+        .select("path", F.explode(F.flatten(F.array(*placed))).alias("call"))
+        .select("path", "call.line", stripped(F.col("call.body")).alias("statement"))
         .where(F.col("statement") != "")
         .withColumn("templated", F.col("statement").contains("{") & F.col("statement").contains("}"))
     )
@@ -317,7 +328,7 @@ def _split_top_level(text: str) -> list[str]:
     return [item for item in items if item]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _list_items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(_split_top_level)
@@ -389,7 +400,7 @@ def parameter_keys(corpus: DataFrame) -> DataFrame:
 def code_metrics(corpus: DataFrame) -> DataFrame:
     """Line counts and counts of calls, frames and source tables per file, without exploding the text."""
     text = F.col("text")
-    stripped = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(text, "\n", -1), stripped)
 
     def count(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
@@ -397,7 +408,7 @@ def code_metrics(corpus: DataFrame) -> DataFrame:
     def distinct(pattern: str) -> Column:
         return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
 
-    per_file = corpus.select("path", "text", stripped.alias("lines"))
+    per_file = corpus.select("path", "text", trimmed.alias("lines"))
     return per_file.select(
         "path",
         F.size("lines").alias("total_lines"),
@@ -443,8 +454,8 @@ def complexity(metrics: DataFrame) -> DataFrame:
 
 def ddl_statements(corpus: DataFrame) -> DataFrame:
     """Statements of DDL scripts: comments removed, split at semicolons, numbered from 1."""
-    bare = F.regexp_replace(F.regexp_replace("text", r"(?m)--.*?$", ""), r"(?s)/\*.*?\*/", "")
-    trimmed = F.transform(F.split(bare, ";"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    bare = F.regexp_replace(F.regexp_replace("text", r"--[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    trimmed = F.transform(F.split(bare, ";"), stripped)
     return corpus.select(
         "path", F.posexplode(F.filter(trimmed, lambda s: s != "")).alias("n", "statement")
     ).select("path", (F.col("n") + 1).alias("statement_number"), "statement")
