@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from datetime import datetime
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ _FUNCTION = "starts array<long>, values array<long>, slopes array<long>"
 
 
 def _summarise(interval: int, burst: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, n = pdf["t"].to_numpy(), pdf["n"].to_numpy()
         bottom = int(t[0])
@@ -138,7 +139,7 @@ def _stored(pdf: pd.DataFrame) -> list[tuple]:
 
 
 def _compose(interval: int, burst: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         functions = _stored(pdf.sort_values("slice"))
         bottom = functions[0][0]
         found = _pieces(lambda a, b: _trace_chain(functions, a, b), bottom, bottom + burst * interval)
