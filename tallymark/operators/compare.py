@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.scalars import same_value
-from tallymark.operators.shape import rows_from, tagged_union
+from tallymark.operators.shape import explode_present, rows_from, tagged_union
 from tallymark.specs import CompareSpec
 
 MATCH = "MATCH"
@@ -72,7 +72,7 @@ def conform(df: DataFrame, schema: T.StructType, columns: Sequence[str]) -> tupl
 
 
 def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
-    """One row per key: ``status``, both packed rows, the counts per side and the differing columns.
+    """One row per key: ``status``, both packed rows, the counts per side and a flag per differing column.
 
     With duplicate keys the smallest row under the ordering of all value
     columns represents its side; the counts keep the duplicates visible.
@@ -99,30 +99,33 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
         F.min(F.when(~F.col("__left"), F.col("__row"))).alias("output"),
     ).withColumns({"golden": F.col("__l.__row"), "__bad": F.col("__l.__bad")})
 
-    differing = F.filter(
-        F.array(
-            *[
-                F.when(
-                    ~same_value(F.col("golden")[c], F.col("output")[c], types[c], spec.tolerance),
-                    F.lit(c),
-                )
-                for c in values
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    ) if values else none
     both_there = (F.col("golden_rows") > 0) & (F.col("output_rows") > 0)
+    changed = [
+        both_there & ~same_value(F.col("golden")[c], F.col("output")[c], types[c], spec.tolerance) for c in values
+    ]
+    any_changed = F.lit(False)
+    for flag in changed:
+        any_changed = any_changed | flag
+    differs = (
+        F.struct(*[flag.alias(c) for c, flag in zip(values, changed)])
+        if values
+        else F.struct(F.lit(False).alias("__none"))
+    )
     status = (
         F.when(F.col("output_rows") == 0, MISSING)
         .when(F.col("golden_rows") == 0, EXTRA)
         .when(F.size("__bad") > 0, TYPE_ERROR)
-        .when(F.size("differing") > 0, CHANGED)
+        .when(any_changed, CHANGED)
         .otherwise(MATCH)
     )
-    return (
-        paired.withColumn("differing", F.when(both_there, differing).otherwise(none))
-        .withColumn("status", status)
-        .select(*named, "status", "golden_rows", "output_rows", "differing", "golden", "output")
+    return paired.select(
+        *named,
+        status.alias("status"),
+        "golden_rows",
+        "output_rows",
+        differs.alias("differs"),
+        "golden",
+        "output",
     )
 
 
@@ -131,23 +134,24 @@ def diff_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     paired = pair_by_key(left, right, spec)
     common, _, _ = align_columns(left, right, spec.ignore)
     values = [c for c in common if c not in spec.keys]
-    findings = F.filter(
-        F.array(
-            F.when(F.col("status") != MATCH, F.col("status")),
-            F.when(F.col("golden_rows") > 1, F.lit(DUPLICATE_GOLDEN)),
-            F.when(F.col("output_rows") > 1, F.lit(DUPLICATE_OUTPUT)),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    shown = F.col("mismatch_type").isin(CHANGED, TYPE_ERROR)
-    return (
-        paired.select("*", F.explode(findings).alias("mismatch_type"))
-        .select(
-            *[F.col(f"`{k}`") for k in spec.keys],
-            "mismatch_type",
-            *[F.when(shown, F.col("golden")[c].cast("string")).alias(f"golden__{c}") for c in values],
-            *[F.when(shown, F.col("output")[c].cast("string")).alias(f"output__{c}") for c in values],
-        )
+    shown = F.col("status").isin(CHANGED, TYPE_ERROR)
+
+    def finding(condition: Column, kind: Column, with_values: Column) -> Column:
+        sides = [
+            F.when(with_values, F.col(side)[c].cast("string")).alias(f"{side}__{c}")
+            for side in ("golden", "output")
+            for c in values
+        ]
+        return F.when(condition, F.struct(kind.alias("mismatch_type"), *sides))
+
+    return explode_present(
+        paired,
+        spec.keys,
+        [
+            finding(F.col("status") != MATCH, F.col("status"), shown),
+            finding(F.col("golden_rows") > 1, F.lit(DUPLICATE_GOLDEN), F.lit(False)),
+            finding(F.col("output_rows") > 1, F.lit(DUPLICATE_OUTPUT), F.lit(False)),
+        ],
     )
 
 
@@ -158,7 +162,7 @@ def status_counts(paired: DataFrame) -> DataFrame:
 def column_mismatches(paired: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Number of differing keys per compared column, in one pass without exploding the rows."""
     counted = paired.agg(
-        *[F.count_if(F.array_contains("differing", c)).alias(f"__{i}") for i, c in enumerate(columns)]
+        *[F.count_if(F.col("differs")[c]).alias(f"__{i}") for i, c in enumerate(columns)]
     )
     return rows_from(
         counted,
@@ -385,7 +389,7 @@ def quality_report(name: str, left: DataFrame, right: DataFrame, spec: CompareSp
             F.count_if((weight > 0) & F.col("output")[c].isNull()).alias(f"__n{i}")
             for i, c in enumerate(values)
         ],
-        *[F.count_if(F.array_contains("differing", c)).alias(f"__d{i}") for i, c in enumerate(values)],
+        *[F.count_if(F.col("differs")[c]).alias(f"__d{i}") for i, c in enumerate(values)],
         F.count_if(weight > 0).alias("__keys"),
     )
     rates = F.array(
@@ -423,6 +427,3 @@ def quality_report(name: str, left: DataFrame, right: DataFrame, spec: CompareSp
 def _texts(items: Sequence[str]) -> Column:
     return F.array(*[F.lit(i) for i in items]).cast("array<string>")
 
-
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "dataset string, finding string, detail string")

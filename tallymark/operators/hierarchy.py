@@ -105,21 +105,28 @@ def with_category_names(jobs: DataFrame, categories: DataFrame, columns: Sequenc
 
 def execution_layers(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological layer of each job, from 0. Jobs that never become free (cycles, unknown dependencies) share the last layer."""
-    waiting = cut_lineage(jobs.select("job_id").distinct())
-    open_edges = cut_lineage(edges.select("job_id", "depends_on").distinct().join(waiting, "job_id", "left_semi"))
+    # Every job keeps one row without a dependency, so it stays known while its edges disappear.
+    names = jobs.select("job_id").distinct()
+    open_rows = (
+        edges.select("job_id", "depends_on").distinct().join(names, "job_id", "left_semi")
+        .unionByName(names.withColumn("depends_on", F.lit(None).cast(edges.schema["depends_on"].dataType)))
+    )
     layers: list[DataFrame] = []
-    while not waiting.isEmpty():
-        blocked = open_edges.select("job_id").distinct()
-        ready = cut_lineage(waiting.join(blocked, "job_id", "left_anti"))
-        if ready.isEmpty():
-            layers.append(waiting.withColumn("layer", F.lit(len(layers))))
+    while True:
+        free = open_rows.groupBy("job_id").agg((F.count("depends_on") == 0).alias("free"))
+        state = cut_lineage(open_rows.join(free, "job_id"))
+        ready = state.where("free").select("job_id")
+        waiting = state.where("NOT free")
+        left, done = state.agg(F.count_if(~F.col("free")), F.count_if("free")).first()
+        if done == 0:
+            if left:
+                layers.append(waiting.select("job_id").distinct().withColumn("layer", F.lit(len(layers))))
             break
         layers.append(ready.withColumn("layer", F.lit(len(layers))))
-        done = ready.select(F.col("job_id").alias("depends_on"))
-        open_edges = cut_lineage(open_edges.join(done, "depends_on", "left_anti"))
-        waiting = cut_lineage(waiting.join(ready, "job_id", "left_anti"))
+        gone = ready.select(F.col("job_id").alias("depends_on"))
+        open_rows = waiting.select("job_id", "depends_on").join(gone, "depends_on", "left_anti").select("job_id", "depends_on")
     if not layers:
-        return jobs.select("job_id", F.lit(0).alias("layer")).limit(0)
+        return names.withColumn("layer", F.lit(0))
     return reduce(DataFrame.union, layers)
 
 

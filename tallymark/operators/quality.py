@@ -8,6 +8,7 @@ order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.operators.shape import rows_from, tagged_union
+from tallymark.operators.shape import explode_present, rows_from, tagged_union
 from tallymark.specs import PENALTIES, Rule
 
 # --- profiles --------------------------------------------------------------
@@ -67,69 +68,61 @@ def key_skew(df: DataFrame, key: str, n: int = 5, ratio: float = 0.5) -> DataFra
     return top_frequencies(df, key, n).withColumn("skewed", F.col("share") > F.lit(float(ratio)))
 
 
-def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
-    """Exact interpolated percentiles without gathering the column in one task.
+def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float], bins: int = 16_384) -> DataFrame:
+    """Exact interpolated percentiles of a numeric column (NULL and NaN left out), however large it is.
 
-    A sketch first brackets each percentile. Rows outside the brackets only
-    matter by their number, so one grouped count collapses them; what is left
-    to order is at most about a hundred-thousandth of a large column (a
-    million values of a small one).
+    Each pass counts the values of the ranges that hold the wanted ranks in
+    equal bins and narrows every range to the smallest and largest value of its
+    bin, until a range is a single value. A pass is one grouped count with few
+    groups, so no task orders or holds the column; the driver sees one row per
+    wanted rank. Two or three passes are usual.
     """
-    accuracy, small, margin = 1_000_000, 1_000_000, 4e-6
-    values = df.select(F.col(f"`{column}`").cast("double").alias("v")).where("v IS NOT NULL")
-    around = [p for f in fractions for p in (max(0.0, f - margin), min(1.0, f + margin))]
-    sketch = values.agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-        F.percentile_approx("v", [float(p) for p in around], accuracy).alias("q"),
-    )
-    tiny = F.col("n") <= small
-    bounds = sketch.select(
-        F.struct(
-            F.col("n"),
-            *[F.when(tiny, F.col("lo")).otherwise(F.col("q")[2 * i]).alias(f"lo{i}") for i in range(len(fractions))],
-            *[F.when(tiny, F.col("hi")).otherwise(F.col("q")[2 * i + 1]).alias(f"hi{i}") for i in range(len(fractions))],
-        ).alias("b")
-    )
-    labelled = values.select("v", bounds.scalar().alias("b"))
-    inside = F.lit(False)
-    for i in range(len(fractions)):
-        inside = inside | F.col("v").between(F.col("b")[f"lo{i}"], F.col("b")[f"hi{i}"])
-    next_bracket = F.array_min(
-        F.filter(
-            F.array(*[F.col("b")[f"lo{i}"] for i in range(len(fractions))], F.lit(float("inf"))),
-            lambda lo: lo > F.col("v"),
+    values = df.select(F.col(f"`{column}`").cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    positions = [f * (n - 1) for f in fractions] if n else []
+    ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
+    ranges = {r: (low, high, 0) for r in ranks}
+    while True:
+        opened = sorted({b for b in ranges.values() if b[0] < b[1]})
+        if not opened:
+            break
+        v, place, cell = F.col("v"), F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (lo, hi, _) in enumerate(opened):
+            inside = v.between(lo, hi)
+            # Halves keep the width of a very wide range finite.
+            share = (v * 0.5 - lo * 0.5) / F.lit(hi * 0.5 - lo * 0.5)
+            place = F.when(inside, i).otherwise(place)
+            cell = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")).otherwise(cell)
+        counted = (
+            values.select("v", place.alias("place"), cell.alias("cell"))
+            .where(F.col("place").isNotNull())
+            .groupBy("place", "cell")
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         )
-    )
-    counted = (
-        labelled.select(F.when(inside, F.col("v")).otherwise(next_bracket).alias("anchor"), inside.alias("inside"), "b")
-        .groupBy("anchor", "inside")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = Window.orderBy("anchor", "inside").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy("anchor", "inside").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counted.select(
-        "*", F.sum("n").over(running).alias("upto"), F.sum("n").over(whole).alias("total")
-    )
-    picks = []
-    for i, f in enumerate(fractions):
-        position = F.lit(float(f)) * (F.col("total") - 1)
-        for side, rank in (("l", F.floor(position)), ("u", F.ceil(position))):
-            hit = F.col("inside") & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-            picks.append(F.max(F.when(hit, F.col("anchor"))).alias(f"{side}{i}"))
-    found = ranked.agg(F.max("total").alias("total"), *picks)
-    listed = []
-    for i, f in enumerate(fractions):
-        position = F.lit(float(f)) * (F.col("total") - 1)
-        part = position - F.floor(position)
-        listed.append(
-            {
-                "fraction": F.lit(float(f)),
-                "value": F.col(f"l{i}") + part * (F.col(f"u{i}") - F.col(f"l{i}")),
-            }
-        )
-    return rows_from(found, listed)
+        # At most ``bins`` rows per range are ordered here.
+        before = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        ordered = counted.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        wanted = F.lit(False)
+        for r, b in ranges.items():
+            if b in opened:
+                rank = r - b[2]
+                wanted = wanted | (
+                    (F.col("place") == opened.index(b)) & (F.col("below") <= rank) & (F.col("below") + F.col("n") > rank)
+                )
+        found = ordered.where(wanted).collect()
+        for r, b in list(ranges.items()):
+            if b in opened:
+                hit = next(
+                    x for x in found
+                    if x.place == opened.index(b) and x.below <= r - b[2] < x.below + x.n
+                )
+                ranges[r] = (hit.lo, hit.hi, b[2] + hit.below)
+    rows = []
+    for f, p in zip(fractions, positions):
+        lower, upper = ranges[math.floor(p)][0], ranges[math.ceil(p)][0]
+        rows.append((float(f), lower + (p - math.floor(p)) * (upper - lower)))
+    rows += [(float(f), None) for f in fractions] if not n else []
+    return df.sparkSession.createDataFrame(rows, "fraction double, value double")
 
 
 def approximate_percentiles(df: DataFrame, column: str, fractions: Sequence[float], accuracy: int = 10_000) -> DataFrame:
@@ -316,29 +309,24 @@ def rule_flags(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> Dat
 def rule_errors(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFrame:
     """One row per broken rule: row key, field, error type, values, rule and severity. A narrow projection."""
     row_key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("<null>")) for k in key])
-    found = F.filter(
-        F.array(
-            *[
-                F.when(
-                    broken(r),
-                    F.struct(
-                        F.lit(r.column).alias("field_name"),
-                        F.lit(_ERROR_OF[r.kind]).alias("error_type"),
-                        F.col(f"`{r.column}`").cast("string").alias("source_value"),
-                        (F.col(f"`{r.target}`").cast("string") if r.target else F.lit(None).cast("string")).alias(
-                            "target_value"
-                        ),
-                        F.lit(r.name).alias("rule"),
-                        F.lit(r.severity).alias("severity"),
-                    ),
-                )
-                for r in rules
-                if r.enabled
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return df.select(row_key.alias("row_key"), F.explode(found).alias("e")).select("row_key", "e.*")
+    found = [
+        F.when(
+            broken(r),
+            F.struct(
+                F.lit(r.column).alias("field_name"),
+                F.lit(_ERROR_OF[r.kind]).alias("error_type"),
+                F.col(f"`{r.column}`").cast("string").alias("source_value"),
+                (F.col(f"`{r.target}`").cast("string") if r.target else F.lit(None).cast("string")).alias(
+                    "target_value"
+                ),
+                F.lit(r.name).alias("rule"),
+                F.lit(r.severity).alias("severity"),
+            ),
+        )
+        for r in rules
+        if r.enabled
+    ]
+    return explode_present(df.withColumn("row_key", row_key), ["row_key"], found)
 
 
 def rule_counters(df: DataFrame, rules: Sequence[Rule], missing_rows: int = 0, extra_rows: int = 0) -> DataFrame:
@@ -443,7 +431,7 @@ def profile_findings(
     sizes = df.groupBy(grouping.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("top"))
     rows, top = F.col("rows"), F.col("top")
-    found = F.array(
+    found = [
         F.when(rows == 0, _finding("empty_dataset", F.lit("no rows"))),
         F.when(
             F.lit(expected_count is not None) & (rows != F.lit(expected_count or 0)),
@@ -453,10 +441,8 @@ def profile_findings(
             F.lit(key is not None) & (F.try_divide(top.cast("double"), rows) > F.lit(float(skew_ratio))),
             _finding("key_skew", F.concat(F.lit("top value holds "), top.cast("string"), F.lit(" rows"))),
         ),
-    )
-    return total.select(
-        F.lit(name).alias("dataset"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")
-    ).select("dataset", "f.*")
+    ]
+    return explode_present(total.withColumn("dataset", F.lit(name)), ["dataset"], found)
 
 
 def _finding(kind: str, detail: Column) -> Column:
@@ -535,11 +521,5 @@ def config_findings(configs: DataFrame, name: str = "path", document: str = "tex
             finding("rest_catalog_without_uri", "spark.catalog.uri", "critical"),
         ),
     ]
-    return configs.select(
-        F.col(f"`{name}`").alias("config"),
-        F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"),
-    ).select("config", "f.*")
-
+    return explode_present(configs.withColumn("config", F.col(f"`{name}`")), ["config"], found)
 
-def numeric_fields(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

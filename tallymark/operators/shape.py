@@ -20,3 +20,16 @@ def tagged_union(left: DataFrame, right: DataFrame, columns: Sequence[str], flag
     return left.select(*named, F.lit(True).alias(flag)).union(
         right.select(*named, F.lit(False).alias(flag))
     )
+
+
+def explode_present(df: DataFrame, keep: Sequence[str], items: Sequence[Column]) -> DataFrame:
+    """One row per non-null struct among ``items``.
+
+    Rows without any are dropped before the array is built, and nothing here
+    leaves generated code, unlike a filter over an array.
+    """
+    some = F.lit(False)
+    for item in items:
+        some = some | item.isNotNull()
+    listed = df.where(some).select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(*items)).alias("__item"))
+    return listed.where(F.col("__item").isNotNull()).select(*[F.col(f"`{c}`") for c in keep], "__item.*")

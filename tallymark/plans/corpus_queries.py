@@ -8,14 +8,15 @@ from tallymark.operators import corpus as c
 from tallymark.plans.fixtures import fixture, read, run_sql, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.sources import corpora
+from tallymark.sources.readers import spread
 from tallymark.specs import TextRule
 
 _LINES = """lines AS (SELECT path, unnest(string_split(text, chr(10))) AS content,
                          unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM code)"""
 
 
-def _sum_lines(condition: str) -> str:
-    return f"count(*) FILTER (WHERE {condition})"
+def _code(spark, sf_dir):
+    return spread(fixture(spark, sf_dir, "code"))
 
 
 @query(
@@ -36,7 +37,7 @@ def _sum_lines(condition: str) -> str:
     ),
 )
 def corpus_line_rules(spark, sf_dir):
-    return c.line_findings(fixture(spark, sf_dir, "code")).select("path", "line", "rule", "severity")
+    return c.line_findings(_code(spark, sf_dir)).select("path", "line", "rule", "severity")
 
 
 @query(
@@ -48,7 +49,7 @@ def corpus_line_rules(spark, sf_dir):
     ),
 )
 def corpus_credentials(spark, sf_dir):
-    return c.credential_findings(fixture(spark, sf_dir, "code")).select("path", "line", "message")
+    return c.credential_findings(_code(spark, sf_dir)).select("path", "line", "message")
 
 
 @query(
@@ -67,7 +68,7 @@ def corpus_credentials(spark, sf_dir):
     ),
 )
 def corpus_imports(spark, sf_dir):
-    return c.import_findings(fixture(spark, sf_dir, "code")).select("path", "line", "rule")
+    return c.import_findings(_code(spark, sf_dir)).select("path", "line", "rule")
 
 
 @query(
@@ -81,7 +82,7 @@ def corpus_imports(spark, sf_dir):
     ),
 )
 def corpus_usage(spark, sf_dir):
-    return c.usage_findings(fixture(spark, sf_dir, "code")).select("path", "line", "rule")
+    return c.usage_findings(_code(spark, sf_dir)).select("path", "line", "rule")
 
 
 @query(
@@ -100,7 +101,7 @@ def corpus_usage(spark, sf_dir):
     ),
 )
 def corpus_uncached_reuse(spark, sf_dir):
-    return c.uncached_reuse(fixture(spark, sf_dir, "code"))
+    return c.uncached_reuse(_code(spark, sf_dir))
 
 
 _EXPECTED_SQL = """
@@ -124,7 +125,7 @@ _EXPECTED_SQL = """
     ),
 )
 def corpus_sql_statements(spark, sf_dir):
-    return c.sql_statements(fixture(spark, sf_dir, "code"))
+    return c.sql_statements(_code(spark, sf_dir))
 
 
 @query(
@@ -134,7 +135,7 @@ def corpus_sql_statements(spark, sf_dir):
     FROM ({_EXPECTED_SQL}) e WHERE starts_with(statement, 'DELETE') OR starts_with(statement, 'SELECT *')""",
 )
 def corpus_sql_rules(spark, sf_dir):
-    statements = c.sql_statements(fixture(spark, sf_dir, "code"))
+    statements = c.sql_statements(_code(spark, sf_dir))
     return c.sql_findings(statements).select("path", "rule")
 
 
@@ -145,7 +146,7 @@ def corpus_sql_rules(spark, sf_dir):
     FROM ({_EXPECTED_SQL}) e""",
 )
 def corpus_lineage(spark, sf_dir):
-    return c.table_lineage(c.sql_statements(fixture(spark, sf_dir, "code")))
+    return c.table_lineage(c.sql_statements(_code(spark, sf_dir)))
 
 
 @query(
@@ -154,7 +155,7 @@ def corpus_lineage(spark, sf_dir):
     " WHERE starts_with(statement, 'SELECT a, b') AND ends_with(statement, 'GROUP BY a')",
 )
 def corpus_group_by(spark, sf_dir):
-    return c.group_by_findings(c.sql_statements(fixture(spark, sf_dir, "code"))).select("path", "message")
+    return c.group_by_findings(c.sql_statements(_code(spark, sf_dir))).select("path", "message")
 
 
 @query(
@@ -165,7 +166,7 @@ def corpus_group_by(spark, sf_dir):
     ),
 )
 def corpus_duplicate_writes(spark, sf_dir):
-    return c.duplicate_writes(fixture(spark, sf_dir, "code")).select("path", "table_name", "writes")
+    return c.duplicate_writes(_code(spark, sf_dir)).select("path", "table_name", "writes")
 
 
 @query(
@@ -176,7 +177,7 @@ def corpus_duplicate_writes(spark, sf_dir):
     ),
 )
 def corpus_parameter_keys(spark, sf_dir):
-    return c.parameter_keys(fixture(spark, sf_dir, "code"))
+    return c.parameter_keys(_code(spark, sf_dir))
 
 
 _METRICS = """
@@ -198,7 +199,7 @@ _FILES = f"files AS (SELECT path, text FROM code UNION ALL {_DOCUMENTS})"
 
 
 def _files(spark, sf_dir):
-    return fixture(spark, sf_dir, "code").union(run_sql(spark, sf_dir, _DOCUMENTS))
+    return _code(spark, sf_dir).union(run_sql(spark, sf_dir, _DOCUMENTS))
 
 
 @query("corpus_metrics", with_fixtures(_METRICS, _FILES))

@@ -10,11 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymark.sources.readers import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
+_TEXT_TABLES = ("documents", "pages")
+
 FIXTURES = {
     "golden": """
         SELECT o_orderkey AS id, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
@@ -261,7 +265,8 @@ def _mentioned(sql: str, names) -> list[str]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(scan) if table in _TEXT_TABLES else scan
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

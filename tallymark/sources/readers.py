@@ -104,3 +104,12 @@ def stage_query(stage: str) -> str:
     if stage not in STAGE_QUERIES:
         raise ValueError(f"unknown stage {stage!r}; known: {sorted(STAGE_QUERIES)}")
     return STAGE_QUERIES[stage]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all cores; a scan with enough splits as it is.
+
+    Meant for text that is expensive per row; the argument has to be a plain scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
