@@ -59,7 +59,7 @@ def read_corpus(spark: SparkSession, folders: Sequence[str], include: Sequence[s
 
     Only names decide, so files that are filtered out are not read for their text.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(folders))
+    files = spark.read.option("recursiveFileLookup", True).text(list(folders), wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(
         wanted_file(F.col("path"), include, exclude)
     )

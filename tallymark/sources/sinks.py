@@ -8,18 +8,27 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark.operators.compare import sample_mismatches
 
 # Formats whose catalogs replace and append tables atomically.
 _CATALOG_FORMATS = ("iceberg", "delta")
 
-RUN_SCHEMA = T.StructType.fromDDL(
-    "run_timestamp string, job_id string, job_path string, branch string, worker_id string, status string,"
-    " passed boolean, execution_exit_code int, execution_duration_s double, output_path string,"
-    " golden_path string, notes string"
-)
+# Columns of the run log.
+RUN_COLUMNS = {
+    "run_timestamp": "string",
+    "job_id": "string",
+    "job_path": "string",
+    "branch": "string",
+    "worker_id": "string",
+    "status": "string",
+    "passed": "boolean",
+    "execution_exit_code": "int",
+    "execution_duration_s": "double",
+    "output_path": "string",
+    "golden_path": "string",
+    "notes": "string",
+}
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
@@ -66,8 +75,8 @@ def append_runs(runs: DataFrame, table: str, findings_column: str | None = None,
         ok = F.coalesce(F.col(f"`{findings_column}`"), F.lit(0)) == 0
         runs = runs.withColumns({"passed": ok, "status": F.when(ok, "PASSED").otherwise("FAILED")})
     columns = [
-        (F.col(f"`{f.name}`") if f.name in runs.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in RUN_SCHEMA.fields
+        (F.col(f"`{name}`") if name in runs.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in RUN_COLUMNS.items()
     ]
     append_table(runs.select(*columns), table, fmt)
 
