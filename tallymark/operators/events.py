@@ -12,7 +12,7 @@ has to be walked in time order. A key with very many events would be walked
 by one task; its timeline is therefore cut into slices. Each slice is first
 summarised as a function from the free time at its start to the free time at
 its end (piecewise, few pieces because different starts soon meet the same
-events), the summaries are composed per day and per key, and then all slices
+events), the summaries are composed per block and per key, and then all slices
 run independently from their now known start.
 """
 
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import age_seconds, pressure_level
 from tallymark.operators.windows import gap_seconds, running_sum
+from tallymark.session import cut_lineage
 from tallymark.specs import DEFAULT_LIMITS
 
 _NEVER = -(1 << 62)
-_DAY_US = 86_400_000_000
+# Slices that are composed together.
+_BLOCK = 64
 
 
 def micros(moment: Column) -> Column:
@@ -143,7 +145,7 @@ def _compose(interval: int, burst: int):
         functions = _stored(pdf.sort_values("slice"))
         bottom = functions[0][0]
         found = _pieces(lambda a, b: _trace_chain(functions, a, b), bottom, bottom + burst * interval)
-        return pd.DataFrame({"k": [key[0]], "day": [key[1]], "starts": [found[0]], "values": [found[1]], "slopes": [found[2]]})
+        return pd.DataFrame({"k": [key[0]], "block": [key[1]], "starts": [found[0]], "values": [found[1]], "slopes": [found[2]]})
 
     return run
 
@@ -189,50 +191,36 @@ def decide_ticks(
     event_id: str,
     interval_us: int,
     burst: int,
-    heavy_ticks: int = 1_000_000,
-    slice_us: int | None = None,
+    heavy_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per key and distinct time: number of events ``n``, how many ``passed``, wait of the others, smallest id.
 
-    Events at the same time are one row before any shuffle. Keys with more than
-    ``heavy_ticks`` distinct times are cut into slices; all others are one slice.
+    Events at the same time are one row before any shuffle. A first count per
+    key finds those with more than ``heavy_rows`` events. Without such keys
+    there is one walk over the others; the ticks of heavy keys and the
+    summaries of their slices are written once because several steps read them.
     """
-    slice_us = slice_us or max(3_600_000_000, 16 * interval_us * burst)
-    day_slices = max(1, _DAY_US // slice_us)
-    ticks = (
-        events.select(key.cast("string").alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id"))
-        .where(F.col("t").isNotNull() & F.col("k").isNotNull())
-        .groupBy("k", "t")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
-    )
-    heavy = ticks.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy_ticks).select(
-        "k", F.lit(True).alias("heavy")
-    )
-    marked = ticks.join(heavy, "k", "left").select(
-        "k",
-        "t",
-        "n",
-        "first_id",
-        F.when(F.col("heavy"), F.floor(F.col("t") / F.lit(slice_us))).otherwise(F.lit(0)).cast("long").alias("slice"),
-        F.coalesce("heavy", F.lit(False)).alias("heavy"),
-    )
-    functions = (
-        marked.where("heavy").select("k", "slice", "t", "n").groupBy("k", "slice")
-        .applyInPandas(_summarise(interval_us, burst), f"k string, slice long, {_FUNCTION}")
-        .withColumn("day", F.floor(F.col("slice") / F.lit(day_slices)).cast("long"))
-    )
-    days = functions.groupBy("k", "day").applyInPandas(
-        _compose(interval_us, burst), f"k string, day long, {_FUNCTION}"
-    )
-    day_entries = days.withColumn("entry", F.lit(_NEVER)).groupBy("k").applyInPandas(
-        _entries("day"), "k string, day long, entry long"
-    )
-    slice_entries = functions.join(day_entries, ["k", "day"]).groupBy("k", "day").applyInPandas(
-        _entries("slice"), "k string, slice long, entry long"
-    )
-    started = marked.join(slice_entries, ["k", "slice"], "left").select(
-        "k", "slice", "t", "n", "first_id", F.coalesce("entry", F.lit(_NEVER)).alias("entry")
+    slim = events.select(
+        key.cast("string").alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id")
+    ).where(F.col("t").isNotNull() & F.col("k").isNotNull())
+    ticks = slim.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
+    # At most one row per ``heavy_rows`` events, so this stays small at any size.
+    heavy = cut_lineage(
+        slim.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy_rows).select("k")
     )
+    none = F.lit(_NEVER).alias("entry")
+    if heavy.isEmpty():
+        started = ticks.select("k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none)
+    else:
+        sliced = _sliced(cut_lineage(ticks.join(heavy, "k", "left_semi")), heavy_rows)
+        light = ticks.join(heavy, "k", "left_anti").select(
+            "k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none
+        )
+        started = light.unionByName(
+            sliced.join(_slice_entries(sliced, interval_us, burst), ["k", "slice"]).select(
+                "k", "slice", "t", "n", "first_id", "entry"
+            )
+        )
     id_type = events.schema[event_id].dataType.simpleString()
     return (
         started.repartition("k", "slice")
@@ -244,6 +232,42 @@ def decide_ticks(
     )
 
 
+def _sliced(ticks: DataFrame, rows: int) -> DataFrame:
+    """Add ``slice``: consecutive seconds of a key that hold about ``rows`` ticks together.
+
+    However dense a key is at some time, a slice has at most ``rows`` ticks
+    more than its first second, and a second has at most a million.
+    """
+    second = F.floor(F.col("t") / F.lit(1_000_000)).cast("long")
+    seconds = ticks.groupBy("k", second.alias("second")).agg(F.count(F.lit(1)).alias("c"))
+    counted = running_sum(
+        seconds.withColumn("at", F.timestamp_seconds("second")), ["k"], "at", "second", "c", "upto", 86_400
+    )
+    numbered = counted.select(
+        F.col("k"), "second", F.floor((F.col("upto") - F.col("c")) / F.lit(rows)).cast("long").alias("slice")
+    )
+    return ticks.withColumn("second", second).join(numbered, ["k", "second"]).drop("second")
+
+
+def _slice_entries(sliced: DataFrame, interval: int, burst: int) -> DataFrame:
+    """Free time at the start of every slice: summarise slices, compose blocks of them, then resolve both."""
+    functions = cut_lineage(
+        sliced.select("k", "slice", "t", "n")
+        .groupBy("k", "slice")
+        .applyInPandas(_summarise(interval, burst), f"k string, slice long, {_FUNCTION}")
+        .withColumn("block", F.floor(F.col("slice") / F.lit(_BLOCK)).cast("long"))
+    )
+    blocks = functions.groupBy("k", "block").applyInPandas(
+        _compose(interval, burst), f"k string, block long, {_FUNCTION}"
+    )
+    block_entries = blocks.withColumn("entry", F.lit(_NEVER)).groupBy("k").applyInPandas(
+        _entries("block"), "k string, block long, entry long"
+    )
+    return functions.join(block_entries, ["k", "block"]).groupBy("k", "block").applyInPandas(
+        _entries("slice"), "k string, slice long, entry long"
+    )
+
+
 def passing_events(events: DataFrame, key: Column, moment: str, event_id: str, interval_us: int, burst: int, **tuning) -> DataFrame:
     """The events that pass. Of several at one time the smaller ids go first."""
     ticks = decide_ticks(events, key, moment, event_id, interval_us, burst, **tuning).where("passed > 0")

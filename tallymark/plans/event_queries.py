@@ -39,7 +39,7 @@ def ev_dedup_window(spark, sf_dir):
 def ev_throttle(spark, sf_dir):
     # Five keys hold all events, so the sliced walk is used even for this little data.
     kept = e.throttle(
-        _events(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600, heavy_ticks=100, slice_us=48 * _HOUR_US
+        _events(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600, heavy_rows=500
     )
     return kept.select("event_id", "event_type", "ts")
 

@@ -94,7 +94,7 @@ def model(rows, interval, burst):
 
 
 @pytest.mark.parametrize("interval,burst", [(60, 1), (90, 3), (7, 5)])
-@pytest.mark.parametrize("tuning", [{}, {"heavy_ticks": 10, "slice_us": 3_600_000_000}])
+@pytest.mark.parametrize("tuning", [{}, {"heavy_rows": 10}, {"heavy_rows": 700}])
 def test_walk_of_a_hot_key(hot, interval, burst, tuning):
     rows, df = hot
     out = e.token_bucket(df, F.col("k"), "ts", "event_id", interval * 1_000_000, burst, **tuning)
