@@ -48,27 +48,19 @@ def require_keys(keys: Sequence[str], left: DataFrame, right: DataFrame) -> None
             raise ValueError(f"key columns missing in {side}: {missing}")
 
 
-def conform(df: DataFrame, schema: T.StructType, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+def conform(df: DataFrame, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
     """Cast ``columns`` to the types of ``schema``.
 
-    Returns the cast frame and an array column expression, valid on the input
-    frame, that names the columns whose text did not fit the type.
+    If any type differs, ``__failed`` tells the rows with a value that did not fit.
     """
     types = {f.name: f.dataType for f in schema.fields}
     drift = [c for c in columns if df.schema[c].dataType != types[c]]
-    failed = [
-        F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(types[c]).isNull(), F.lit(c))
-        for c in drift
-    ]
-    errors = (
-        F.filter(F.array(*failed), lambda x: x.isNotNull())
-        if failed
-        else F.array().cast("array<string>")
-    )
-    cast = df.withColumns({"__errors": errors}).withColumns(
-        {c: F.col(f"`{c}`").try_cast(types[c]) for c in drift}
-    )
-    return cast, F.col("__errors")
+    if not drift:
+        return df
+    failed = F.lit(False)
+    for c in drift:
+        failed = failed | (F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(types[c]).isNull())
+    return df.withColumn("__failed", failed).withColumns({c: F.col(f"`{c}`").try_cast(types[c]) for c in drift})
 
 
 def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -83,21 +75,23 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     values = [c for c in common if c not in keys]
     types = {f.name: f.dataType for f in right.schema.fields}
 
-    golden, errors = conform(left, right.schema, keys + values)
-    packed = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(0).alias("__none"))
-    none = F.array().cast("array<string>")
+    golden = conform(left, right.schema, keys + values)
+    drift = "__failed" in golden.columns
+    output = right.withColumn("__failed", F.lit(False)) if drift else right
+    carried = [*values, "__failed"] if drift else values
+    packed = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("__none"))
     named = [F.col(f"`{k}`") for k in keys]
-    both = golden.select(*named, packed.alias("__row"), errors.alias("__bad"), F.lit(True).alias("__left")).union(
-        right.select(*named, packed.alias("__row"), none, F.lit(False))
+    side = F.col("__left")
+    both = golden.select(*named, packed.alias("__row"), F.lit(True).alias("__left")).union(
+        output.select(*named, packed.alias("__row"), F.lit(False))
     )
-
-    ranked = F.struct(F.col("__row"), F.col("__bad"))
     paired = both.groupBy(*named).agg(
-        F.count_if(F.col("__left")).alias("golden_rows"),
-        F.count_if(~F.col("__left")).alias("output_rows"),
-        F.min(F.when(F.col("__left"), ranked)).alias("__l"),
-        F.min(F.when(~F.col("__left"), F.col("__row"))).alias("output"),
-    ).withColumns({"golden": F.col("__l.__row"), "__bad": F.col("__l.__bad")})
+        F.count_if(side).alias("golden_rows"),
+        F.count_if(~side).alias("output_rows"),
+        F.min(F.when(side, F.col("__row"))).alias("golden"),
+        F.min(F.when(~side, F.col("__row"))).alias("output"),
+    )
+    misfit = F.coalesce(F.col("golden")["__failed"], F.lit(False)) if drift else F.lit(False)
 
     both_there = (F.col("golden_rows") > 0) & (F.col("output_rows") > 0)
     changed = [
@@ -114,7 +108,7 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     status = (
         F.when(F.col("output_rows") == 0, MISSING)
         .when(F.col("golden_rows") == 0, EXTRA)
-        .when(F.size("__bad") > 0, TYPE_ERROR)
+        .when(misfit, TYPE_ERROR)
         .when(any_changed, CHANGED)
         .otherwise(MATCH)
     )
@@ -136,13 +130,13 @@ def diff_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     values = [c for c in common if c not in spec.keys]
     shown = F.col("status").isin(CHANGED, TYPE_ERROR)
 
-    def finding(condition: Column, kind: Column, with_values: Column) -> Column:
+    def finding(condition: Column, kind: Column, with_values: Column) -> tuple[Column, Column]:
         sides = [
             F.when(with_values, F.col(side)[c].cast("string")).alias(f"{side}__{c}")
             for side in ("golden", "output")
             for c in values
         ]
-        return F.when(condition, F.struct(kind.alias("mismatch_type"), *sides))
+        return condition, F.struct(kind.alias("mismatch_type"), *sides)
 
     return explode_present(
         paired,

@@ -159,17 +159,19 @@ def blocked_jobs(jobs: DataFrame, edges: DataFrame) -> DataFrame:
 NO_NAMES = ("", "unknown", "n/a", "none")
 
 
-def _substrings(text: Column, shortest: int) -> Column:
-    """All distinct substrings of a short text with at least ``shortest`` characters."""
+def _lengths(names: DataFrame, column: str, shortest: int) -> Column:
+    """The distinct lengths of short texts as one array."""
+    found = names.where(F.length(column) >= shortest).agg(F.collect_set(F.length(column)).alias("l"))
+    return found.scalar()
+
+
+def _substrings(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of a short text that have one of the lengths."""
     n = F.length(text)
-    starts = F.when(n >= shortest, F.sequence(F.lit(1), n - (shortest - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
+    fitting = F.filter(lengths, lambda length: length <= n)
     cut = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(shortest), n - i + 1), lambda length: F.substr(text, i, length)
-        ),
+        fitting,
+        lambda length: F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.substr(text, i, length)),
     )
     return F.array_distinct(F.flatten(cut))
 
@@ -178,8 +180,9 @@ def match_categories(names: DataFrame, categories: DataFrame) -> DataFrame:
     """Best category per (type, name): equal first, then the longest that contains the name or is contained
     in it, then the smaller name; names shorter than three letters only match when equal.
 
-    Containment becomes an equi join on substrings, so only true matches meet.
-    Names are reduced to distinct ones first; they are short texts.
+    Containment becomes an equi join on substrings of the lengths that occur on
+    the other side, so only true matches meet. Names are reduced to distinct
+    ones first; they are short texts.
     """
     wanted = (
         names.select("type", F.lower(F.trim("name")).alias("wanted"))
@@ -190,12 +193,16 @@ def match_categories(names: DataFrame, categories: DataFrame) -> DataFrame:
         "type", F.lower("name").alias("known"), F.col("id").alias("category_id"), F.col("name").alias("category")
     )
     in_name = (
-        wanted.select("type", "wanted", F.explode(_substrings(F.col("wanted"), 1)).alias("known"))
+        wanted.withColumn("lengths", _lengths(known, "known", 1))
+        .select("type", "wanted", F.explode(_substrings(F.col("wanted"), F.col("lengths"))).alias("known"))
         .where((F.length("wanted") >= 3) | (F.col("known") == F.col("wanted")))
         .join(known, ["type", "known"])
     )
     in_category = (
-        known.select("type", "known", "category_id", "category", F.explode(_substrings(F.col("known"), 3)).alias("wanted"))
+        known.withColumn("lengths", _lengths(wanted, "wanted", 3))
+        .select(
+            "type", "known", "category_id", "category", F.explode(_substrings(F.col("known"), F.col("lengths"))).alias("wanted")
+        )
         .join(wanted, ["type", "wanted"])
     )
     pairs = in_name.select("type", "wanted", "known", "category_id", "category").union(

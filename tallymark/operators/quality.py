@@ -58,7 +58,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 def top_frequencies(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The ``n`` most frequent values with their share of all rows; ties go to the smaller value."""
     counted = df.groupBy(F.col(f"`{key}`").alias("key_value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
     top = counted.orderBy(F.desc("n"), F.asc_nulls_first("key_value")).limit(n)
     return top.select("key_value", "n", F.try_divide(F.col("n").cast("double"), total.scalar()).alias("share"))
 
@@ -310,7 +310,7 @@ def rule_errors(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> Dat
     """One row per broken rule: row key, field, error type, values, rule and severity. A narrow projection."""
     row_key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("<null>")) for k in key])
     found = [
-        F.when(
+        (
             broken(r),
             F.struct(
                 F.lit(r.column).alias("field_name"),
@@ -432,12 +432,12 @@ def profile_findings(
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("top"))
     rows, top = F.col("rows"), F.col("top")
     found = [
-        F.when(rows == 0, _finding("empty_dataset", F.lit("no rows"))),
-        F.when(
+        (rows == 0, _finding("empty_dataset", F.lit("no rows"))),
+        (
             F.lit(expected_count is not None) & (rows != F.lit(expected_count or 0)),
             _finding("count_mismatch", F.concat(F.lit(f"expected={expected_count}, actual="), rows.cast("string"))),
         ),
-        F.when(
+        (
             F.lit(key is not None) & (F.try_divide(top.cast("double"), rows) > F.lit(float(skew_ratio))),
             _finding("key_skew", F.concat(F.lit("top value holds "), top.cast("string"), F.lit(" rows"))),
         ),
@@ -485,12 +485,18 @@ def config_findings(configs: DataFrame, name: str = "path", document: str = "tex
     """Missing entries and doubtful paths of JSON configuration documents, one row per finding.
 
     An entry is only asked for when its parent exists, so a missing section is
-    reported once.
+    reported once. Each document is parsed once.
     """
-    doc = F.col(f"`{document}`")
+    parsed = configs.select(
+        F.col(f"`{name}`").alias("config"), F.try_parse_json(F.col(f"`{document}`")).alias("doc")
+    )
+    doc = F.col("doc")
 
     def present(entry: str) -> Column:
-        return F.get_json_object(doc, f"$.{entry}").isNotNull()
+        return F.try_variant_get(doc, f"$.{entry}", "variant").isNotNull()
+
+    def text_at(entry: str) -> Column:
+        return F.coalesce(F.try_variant_get(doc, f"$.{entry}", "string"), F.lit(""))
 
     def finding(kind: str, entry: Column | str, severity: str) -> Column:
         return F.struct(
@@ -499,27 +505,27 @@ def config_findings(configs: DataFrame, name: str = "path", document: str = "tex
             F.lit(severity).alias("severity"),
         )
 
-    valid = F.get_json_object(doc, "$").isNotNull()
-    found = [F.when(~valid, finding("invalid_json", "", "critical"))]
+    valid = doc.isNotNull()
+    found = [(~valid, finding("invalid_json", "", "critical"))]
     for entry, severity in REQUIRED_ENTRIES:
         parent = entry.rpartition(".")[0]
         asked = valid & (present(parent) if parent else F.lit(True))
-        found.append(F.when(asked & ~present(entry), finding("missing_entry", entry, severity)))
+        found.append((asked & ~present(entry), finding("missing_entry", entry, severity)))
 
-    path = F.coalesce(F.get_json_object(doc, "$.data.input.path"), F.lit(""))
+    path = text_at("data.input.path")
     on_s3 = path.startswith("s3://") | path.startswith("s3a://")
     local = path.startswith("file://") | path.startswith("/")
     for entry, severity in (("access_key", "critical"), ("secret_key", "critical"), ("endpoint", "warning")):
         full = f"spark.s3.{entry}"
-        found.append(F.when(on_s3 & ~present(full), finding("missing_s3_setting", full, severity)))
+        found.append((on_s3 & ~present(full), finding("missing_s3_setting", full, severity)))
     found += [
-        F.when(path.startswith("s3://"), finding("s3_scheme", path, "warning")),
-        F.when(local & path.contains(" "), finding("path_with_space", path, "warning")),
-        F.when((path != "") & ~on_s3 & ~local, finding("unknown_scheme", path, "info")),
-        F.when(
-            (F.get_json_object(doc, "$.spark.catalog.type") == "rest") & ~present("spark.catalog.uri"),
+        (path.startswith("s3://"), finding("s3_scheme", path, "warning")),
+        (local & path.contains(" "), finding("path_with_space", path, "warning")),
+        ((path != "") & ~on_s3 & ~local, finding("unknown_scheme", path, "info")),
+        (
+            (text_at("spark.catalog.type") == "rest") & ~present("spark.catalog.uri"),
             finding("rest_catalog_without_uri", "spark.catalog.uri", "critical"),
         ),
     ]
-    return explode_present(configs.withColumn("config", F.col(f"`{name}`")), ["config"], found)
+    return explode_present(parsed, ["config"], found)
 

@@ -22,14 +22,16 @@ def tagged_union(left: DataFrame, right: DataFrame, columns: Sequence[str], flag
     )
 
 
-def explode_present(df: DataFrame, keep: Sequence[str], items: Sequence[Column]) -> DataFrame:
-    """One row per non-null struct among ``items``.
+def explode_present(df: DataFrame, keep: Sequence[str], items: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """One row per (condition, struct) pair whose condition holds.
 
-    Rows without any are dropped before the array is built, and nothing here
+    Rows without any are dropped before a struct is built, and nothing here
     leaves generated code, unlike a filter over an array.
     """
     some = F.lit(False)
-    for item in items:
-        some = some | item.isNotNull()
-    listed = df.where(some).select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(*items)).alias("__item"))
-    return listed.where(F.col("__item").isNotNull()).select(*[F.col(f"`{c}`") for c in keep], "__item.*")
+    for condition, _ in items:
+        some = some | F.coalesce(condition, F.lit(False))
+    kept = [F.col(f"`{c}`") for c in keep]
+    built = F.array(*[F.when(condition, item) for condition, item in items])
+    listed = df.where(some).select(*kept, F.explode(built).alias("__item"))
+    return listed.where(F.col("__item").isNotNull()).select(*kept, "__item.*")

@@ -73,17 +73,24 @@ def missing_assets(expected: DataFrame, listing: DataFrame, path: str = "path")
 # --- exported job descriptions ---------------------------------------------
 
 
+# What makes an export ill-formed.
+_DECLARATION = r"(?i)<\?xml[^>]*\?>"
+_BARE_AMPERSAND = r"&(?!amp;|lt;|gt;|apos;|quot;)"
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+_STRAY_BRACKET = r"<(?=[^A-Za-z!/\\?])"
+
+
 def clean_markup(text: Column) -> Column:
     """Make an exported description well-formed: payload only, one document, escaped stray characters."""
     body = F.regexp_replace(text, r"^\x{FEFF}", "")
     payload = F.regexp_extract(body, r"(?is)(<DSExport.*</DSExport>)", 1)
     open_end = F.regexp_extract(body, r"(?is)(<DSExport.*)$", 1)
     body = F.when(payload != "", payload).when(open_end != "", open_end).otherwise(body)
-    body = F.regexp_replace(body, r"(?i)<\?xml[^>]*\?>", "")
+    body = F.regexp_replace(body, _DECLARATION, "")
     body = F.replace(body, F.lit("<none>"), F.lit("&lt;none&gt;"))
-    body = F.regexp_replace(body, r"&(?!amp;|lt;|gt;|apos;|quot;)", "&amp;")
-    body = F.regexp_replace(body, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.regexp_replace(body, r"<(?=[^A-Za-z!/\\?])", "&lt;")
+    body = F.regexp_replace(body, _BARE_AMPERSAND, "&amp;")
+    body = F.regexp_replace(body, _CONTROL, "")
+    return F.regexp_replace(body, _STRAY_BRACKET, "&lt;")
 
 
 def unescape_markup(text: Column) -> Column:

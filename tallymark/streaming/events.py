@@ -223,8 +223,10 @@ def findings_sink(stream: DataFrame, rules: Sequence[Rule], good_path: str, reje
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         for rows, path in zip(split_by_rules(batch, rules), (good_path, reject_path)):
             rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(store)
