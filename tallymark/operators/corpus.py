@@ -102,14 +102,21 @@ CREDENTIAL_PATTERNS = (
 )
 
 
+# Fixed value: assignment of a credential whose text does not start like a placeholder.
+CREDENTIAL_ASSIGNMENT = r"""(?i)(password|api[_-]?key|secret)\s*=\s*["'](?!<|\{|\$)"""
+
+
 def credential_findings(corpus: DataFrame) -> DataFrame:
-    """Literal credentials by pattern, one finding per line and pattern."""
+    """Literal credentials by pattern, and assignments of anything but a placeholder; one finding per line and rule."""
+    content = F.col("content")
+    assigned = _finding("credential_assignment", "CRITICAL", "Credential assigned in code", "Use a secret store")
     return _findings(
         lines(corpus),
         [
-            (F.col("content").rlike(p), _finding("literal_credential", "CRITICAL", m, "Use a secret store"))
+            (content.rlike(p), _finding("literal_credential", "CRITICAL", m, "Use a secret store"))
             for p, m in CREDENTIAL_PATTERNS
-        ],
+        ]
+        + [(content.rlike(CREDENTIAL_ASSIGNMENT), assigned)],
     )
 
 

@@ -412,6 +412,42 @@ def schema_drift(datasets: Mapping[str, DataFrame | None], expected: Mapping[str
     return spark.createDataFrame(rows, "dataset string, finding string, detail string")
 
 
+def schema_fit(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
+    """Expected and actual columns as rows: ``ok``, ``missing``, ``extra`` or ``type_mismatch``,
+    with the number of values that do not fit the expected type. One pass over the compared columns."""
+    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    drifted = [c for c, t in expected.items() if c in actual and actual[c] != t]
+    counted = df.agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[
+            F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(expected[c]).isNull()).alias(f"__{i}")
+            for i, c in enumerate(drifted)
+        ],
+    )
+    zero = F.lit(0).cast("long")
+
+    def row(name: str, status: str, misfits: Column) -> dict[str, Column]:
+        return {
+            "column_name": F.lit(name),
+            "status": F.lit(status),
+            "expected_type": F.lit(expected.get(name)).cast("string"),
+            "actual_type": F.lit(actual.get(name)).cast("string"),
+            "row_count": F.col("__rows"),
+            "misfits": misfits,
+        }
+
+    listed = []
+    for name in expected:
+        if name not in actual:
+            listed.append(row(name, "missing", zero))
+        elif name in drifted:
+            listed.append(row(name, "type_mismatch", F.col(f"__{drifted.index(name)}")))
+        else:
+            listed.append(row(name, "ok", zero))
+    listed += [row(name, "extra", zero) for name in actual if name not in expected]
+    return rows_from(counted, listed)
+
+
 def column_count_check(df: DataFrame, expected: int) -> DataFrame:
     actual = len(df.columns)
     return df.sparkSession.createDataFrame(

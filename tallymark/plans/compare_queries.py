@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.operators import compare
-from tallymark.plans.fixtures import fixture, with_fixtures
+from tallymark.plans.fixtures import fixture, read, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.specs import CompareSpec
 
@@ -253,3 +253,38 @@ def compare_expected_counts(spark, sf_dir):
     golden, output = _sides(spark, sf_dir)
     none = golden.where(F.col("id") < 0)
     return compare.check_counts({"golden": golden, "output": output, "none": none}, {"golden": 100})
+
+
+@query(
+    "compare_audit_columns",
+    """
+    SELECT mismatch_type, count(*) AS n FROM (
+        SELECT CASE WHEN date_trunc('day', ts) IS DISTINCT FROM date_trunc('day', ts + INTERVAL 1 HOUR) THEN 'VALUE_MISMATCH' END AS mismatch_type
+        FROM events) x
+    WHERE mismatch_type IS NOT NULL GROUP BY mismatch_type""",
+)
+def compare_audit_columns(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "value", "props")
+    reloaded = events.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 HOUR"), "props": F.lit("other")})
+    sides = [compare.audit_normalised(df, blank=["props"], to_day=["ts"]) for df in (events, reloaded)]
+    diff = compare.diff_by_key(*sides, CompareSpec(keys=("event_id",)))
+    return diff.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "compare_text_golden",
+    with_fixtures(
+        """
+        SELECT mismatch_type, count(*) AS n FROM (
+            SELECT CASE WHEN o.id IS NULL THEN 'MISSING_IN_OUTPUT' WHEN g.id IS NULL THEN 'EXTRA_IN_OUTPUT'
+                        WHEN g.id % 71 = 0 THEN 'TYPE_ERROR' WHEN g.amount <> o.amount THEN 'VALUE_MISMATCH' END AS mismatch_type
+            FROM golden g FULL JOIN output o ON g.id = o.id) x
+        WHERE mismatch_type IS NOT NULL GROUP BY mismatch_type"""
+    ),
+)
+def compare_text_golden(spark, sf_dir):
+    golden, output = _sides(spark, sf_dir)
+    amount = F.when(F.col("id") % 71 == 0, "n/a").otherwise(F.col("amount").cast("string"))
+    as_text = golden.select(F.col("id").cast("string").alias("id"), amount.alias("amount"))
+    diff = compare.diff_by_key(as_text, output.select("id", "amount"), CompareSpec(keys=("id",)))
+    return diff.groupBy("mismatch_type").agg(F.count(F.lit(1)).alias("n"))

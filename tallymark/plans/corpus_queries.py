@@ -44,7 +44,9 @@ def corpus_line_rules(spark, sf_dir):
     "corpus_credentials",
     with_fixtures(
         "SELECT path, CAST(line AS INT) AS line, 'Hardcoded password' AS message FROM lines"
-        """ WHERE regexp_matches(content, 'password\\s*=\\s*["''][^"'']{3,}["'']', 'i')""",
+        """ WHERE regexp_matches(content, 'password\\s*=\\s*["''][^"'']{3,}["'']', 'i')"""
+        " UNION ALL SELECT path, CAST(line AS INT), 'Credential assigned in code' FROM lines"
+        """ WHERE regexp_matches(content, 'password\\s*=\\s*["''][^<{$]', 'i')""",
         _LINES,
     ),
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -479,3 +479,81 @@ def etl_sql_source(spark, sf_dir):
     )
 
 
+
+
+@query(
+    "etl_union_position",
+    "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier"
+    " UNION ALL SELECT s_suppkey, s_name FROM supplier",
+)
+def etl_union_position(spark, sf_dir):
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return project.union_all([customer, supplier, supplier])
+
+
+@query("etl_distinct_values", "SELECT DISTINCT l_partkey FROM lineitem")
+def etl_distinct_values(spark, sf_dir):
+    return project.distinct_values(read(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query(
+    "etl_copy_outputs",
+    "SELECT 'keys' AS output, count(DISTINCT o_custkey) AS n FROM orders UNION ALL"
+    " SELECT 'dates', count(DISTINCT o_orderdate) FROM orders",
+)
+def etl_copy_outputs(spark, sf_dir):
+    outputs = project.copy_stage(read(spark, sf_dir, "orders"), {"keys": ["o_custkey"], "dates": ["o_orderdate"]})
+    counted = [
+        df.agg(F.count_distinct(df.columns[0]).alias("n")).select(F.lit(name).alias("output"), "n")
+        for name, df in outputs.items()
+    ]
+    return project.union_all(counted)
+
+
+@query(
+    "etl_fingerprint",
+    "SELECT c_custkey, sha256(CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': CASE WHEN c_custkey % 7 <> 0"
+    " THEN c_mktsegment END}) AS VARCHAR)) AS fingerprint FROM customer",
+)
+def etl_fingerprint(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer").withColumn(
+        "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))
+    )
+    return customer.select("c_custkey", s.row_fingerprint(["c_custkey", "c_name", "c_mktsegment"]).alias("fingerprint"))
+
+
+@query(
+    "etl_event_functions",
+    """
+    SELECT event_id, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) / 1000000.0::DOUBLE AS age,
+           (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(ts)) / 1000000.0::DOUBLE > 1000000 AS stale,
+           CASE WHEN event_id % 11 >= 8 THEN '🟢 Excellent' WHEN event_id % 11 >= 6 THEN '🟡 Good'
+                WHEN event_id % 11 >= 4 THEN '🟠 Fair' ELSE '🔴 Poor' END AS rating,
+           event_type IN ('click', 'view') AS wanted,
+           CASE event_type WHEN 'view' THEN '1970-01-01' WHEN 'click' THEN 'N' ELSE '' END AS default_value,
+           concat('/out/', event_type, '.txt') AS cleaned,
+           CAST(json_extract_string(props, '$.k') AS INT) AS k,
+           CASE WHEN event_type = 'error' THEN 2 ELSE 3 END AS tags,
+           CAST(value AS DECIMAL(20,5)) AS amount,
+           event_type AS original
+    FROM events""",
+)
+def etl_event_functions(spark, sf_dir):
+    kind, as_of = F.col("event_type"), F.lit(datetime(2024, 2, 1)).cast("timestamp")
+    flag = F.when(kind == "click", " Yes").when(kind == "view", "TRUE").otherwise("off")
+    name = F.when(kind == "view", "JpBusinessDate").when(kind == "click", "run_FLAG").otherwise("other")
+    tags = s.append_if_absent(F.array(F.lit("error"), F.lit("x")), kind)
+    return read(spark, sf_dir, "events").select(
+        "event_id",
+        s.age_seconds(F.col("ts"), as_of).alias("age"),
+        s.is_stale(F.col("ts"), as_of, 1_000_000).alias("stale"),
+        s.star_rating(F.col("event_id") % 11).alias("rating"),
+        s.lenient_bool(flag).alias("wanted"),
+        s.default_for_key(name).alias("default_value"),
+        s.strip_export_escapes(F.concat(F.lit("(2)(2)/out/"), kind, F.lit("(10).txt "))).alias("cleaned"),
+        F.from_json("props", "k int")["k"].alias("k"),
+        F.size(tags).alias("tags"),
+        udfs.to_decimal(udfs.decimal_text(F.col("value").cast("decimal(20,5)")), 20, 5).alias("amount"),
+        F.from_json(F.to_json(F.struct(kind)), "event_type string")["event_type"].alias("original"),
+    )

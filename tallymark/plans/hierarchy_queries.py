@@ -240,3 +240,18 @@ def snapshot_history(spark, sf_dir):
     return g.change_history(
         fixture(spark, sf_dir, "golden"), fixture(spark, sf_dir, "output"), ["id"], ["o_orderstatus", "amount", "o_orderpriority"]
     )
+
+
+@query(
+    "suggestions_pending",
+    with_fixtures(
+        """
+        SELECT type, name, occurrence_count FROM (
+            SELECT type, lower(name) AS name, count(DISTINCT job_path) AS occurrence_count, max(suggested_at) AS m
+            FROM proposals GROUP BY 1, 2) x
+        ORDER BY occurrence_count DESC, m DESC, type, name LIMIT 10"""
+    ),
+)
+def suggestions_pending(spark, sf_dir):
+    table = g.suggestions(fixture(spark, sf_dir, "proposals")).withColumn("status", F.lit("pending"))
+    return g.pending_suggestions(table, 10).select("type", "name", "occurrence_count")

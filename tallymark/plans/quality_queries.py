@@ -10,6 +10,7 @@ from tallymark.operators import quality as q
 from tallymark.plans.fixtures import fixture, read, run_sql, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.specs import Rule
+from tallymark.streaming.events import split_by_rules
 
 
 @query(
@@ -314,3 +315,43 @@ _CONFIG_FINDINGS = """
 def dq_config_documents(spark, sf_dir):
     return q.config_findings(run_sql(spark, sf_dir, _CONFIGS))
 
+
+
+@query(
+    "dq_schema_match",
+    """
+    SELECT 'p_partkey' AS column_name, 'ok' AS status, 'bigint' AS expected_type, 'bigint' AS actual_type,
+           count(*) AS row_count, CAST(0 AS BIGINT) AS misfits FROM part
+    UNION ALL SELECT 'p_name', 'type_mismatch', 'int', 'string', count(*), count(*) FILTER (WHERE try_cast(trim(p_name) AS INT) IS NULL) FROM part
+    UNION ALL SELECT 'p_size', 'type_mismatch', 'string', 'int', count(*), 0 FROM part
+    UNION ALL SELECT 'p_comment', 'missing', 'string', NULL, count(*), 0 FROM part
+    UNION ALL SELECT unnest(['p_brand', 'p_type', 'p_retailprice']), 'extra', NULL, unnest(['string', 'string', 'double']), n, 0
+    FROM (SELECT count(*) AS n FROM part) c""",
+)
+def dq_schema_match(spark, sf_dir):
+    expected = {"p_partkey": "bigint", "p_name": "int", "p_size": "string", "p_comment": "string"}
+    return q.schema_fit(read(spark, sf_dir, "part"), expected)
+
+
+@query(
+    "dq_key_fields",
+    "SELECT l_orderkey, l_linenumber FROM lineitem",
+)
+def dq_key_fields(spark, sf_dir):
+    return q.select_rows(read(spark, sf_dir, "lineitem"), "key-fields", ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "dq_rule_split",
+    with_fixtures(
+        f"""
+        SELECT broken, count(*) AS n FROM (
+            SELECT list_sort(list_filter([{', '.join(f"CASE WHEN {r[3]} THEN '{r[0]}' END" for r in _RULE_SQL)}], lambda x: x IS NOT NULL)) AS l,
+                   CASE WHEN len(l) = 0 THEN 'none' ELSE array_to_string(l, ',') END AS broken FROM customers) x
+        GROUP BY broken"""
+    ),
+)
+def dq_rule_split(spark, sf_dir):
+    good, bad = split_by_rules(fixture(spark, sf_dir, "customers"), RULES)
+    named = bad.select(F.array_join(F.array_sort("broken_rules"), ",").alias("broken"))
+    return named.union(good.select(F.lit("none"))).groupBy("broken").agg(F.count(F.lit(1)).alias("n"))

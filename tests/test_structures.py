@@ -143,7 +143,10 @@ def test_credentials(spark):
     lines = ["PASSWORD='x'", "password=value", "token=os.getenv('A')", "# secret='x'", "api_key = 'abcd'"]
     df = spark.createDataFrame([("p", "\n".join(lines))], "path string, text string")
     assert [(r.line, r.rule) for r in x.line_findings(df).collect()] == [(1, "hardcoded_credentials")]
-    assert [(r.line, r.message) for r in x.credential_findings(df).collect()] == [(4, "Hardcoded secret")][:0] + [(5, "Hardcoded API key")]
+    got = sorted((r.line, r.rule) for r in x.credential_findings(df).collect())
+    assert got == [(1, "credential_assignment"), (4, "credential_assignment"), (5, "credential_assignment"), (5, "literal_credential")]
+    placeholder = spark.createDataFrame([("p", "password='${PW}'\nsecret = '<set>'")], "path string, text string")
+    assert {r.rule for r in x.credential_findings(placeholder).collect()} == {"literal_credential"}
 
 
 def test_select_expr_and_duplicate_writes(spark):
