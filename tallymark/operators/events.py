@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import age_seconds, pressure_level
-from tallymark.operators.windows import gap_seconds, running_sum
-from tallymark.session import cut_lineage
+from tallymark.operators.windows import join_slices, running_sum, with_slices
+from tallymark.session import cut_lineage, stored
 from tallymark.specs import DEFAULT_LIMITS
 
 _NEVER = -(1 << 62)
@@ -212,7 +212,7 @@ def decide_ticks(
     if heavy.isEmpty():
         started = ticks.select("k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none)
     else:
-        sliced = _sliced(cut_lineage(ticks.join(heavy, "k", "left_semi")), heavy_rows)
+        sliced = _sliced(stored(ticks.join(heavy, "k", "left_semi")), heavy_rows)
         light = ticks.join(heavy, "k", "left_anti").select(
             "k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none
         )
@@ -241,7 +241,7 @@ def _sliced(ticks: DataFrame, rows: int) -> DataFrame:
     second = F.floor(F.col("t") / F.lit(1_000_000)).cast("long")
     seconds = ticks.groupBy("k", second.alias("second")).agg(F.count(F.lit(1)).alias("c"))
     counted = running_sum(
-        seconds.withColumn("at", F.timestamp_seconds("second")), ["k"], "at", "second", "c", "upto", 86_400
+        seconds.withColumn("at", F.timestamp_seconds("second")), ["k"], "at", "second", "c", "upto", 86_400, heavy_rows=None
     )
     numbered = counted.select(
         F.col("k"), "second", F.floor((F.col("upto") - F.col("c")) / F.lit(rows)).cast("long").alias("slice")
@@ -251,7 +251,7 @@ def _sliced(ticks: DataFrame, rows: int) -> DataFrame:
 
 def _slice_entries(sliced: DataFrame, interval: int, burst: int) -> DataFrame:
     """Free time at the start of every slice: summarise slices, compose blocks of them, then resolve both."""
-    functions = cut_lineage(
+    functions = stored(
         sliced.select("k", "slice", "t", "n")
         .groupBy("k", "slice")
         .applyInPandas(_summarise(interval, burst), f"k string, slice long, {_FUNCTION}")
@@ -326,11 +326,42 @@ def token_bucket(events: DataFrame, key: Column, moment: str, event_id: str, int
 # --- sessions --------------------------------------------------------------
 
 
-def with_session(events: DataFrame, key: str, moment: str, event_id: str, gap: float = 5, slice_seconds: int = 3600) -> DataFrame:
-    """Number the runs of events of a key that are at most ``gap`` seconds apart."""
-    gaps = gap_seconds(events, [key], moment, event_id, slice_seconds)
-    starts = gaps.withColumn("__start", F.when(F.col("gap_seconds") <= F.lit(float(gap)), 0).otherwise(1))
-    return running_sum(starts, [key], moment, event_id, "__start", "session", slice_seconds).drop("__start", "gap_seconds")
+def with_session(
+    events: DataFrame,
+    key: str,
+    moment: str,
+    event_id: str,
+    gap: float = 5,
+    slice_seconds: int = 3600,
+    heavy_rows: int | None = 1_000_000,
+) -> DataFrame:
+    """Number the runs of events of a key that are at most ``gap`` seconds apart.
+
+    Each slice counts the runs that start inside it; whether its first event
+    starts one too, and how many runs came before, follows from the slices'
+    first and last times.
+    """
+    limit = F.lit(int(gap * 1_000_000))
+    t = micros(F.col(f"`{moment}`"))
+    parts = [F.col(f"`{key}`"), F.col("__slice")]
+    inside = Window.partitionBy(*parts).orderBy(F.col(f"`{moment}`"), F.col(f"`{event_id}`"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (
+        with_slices(events, [key], moment, slice_seconds, heavy_rows)
+        .withColumn("__starts", F.when(t - F.lag(t).over(inside) > limit, 1).otherwise(0))
+        .withColumn("__run", F.sum("__starts").over(upto))
+    )
+    slices = local.groupBy(*parts).agg(
+        F.min(t).alias("__first"), F.max(t).alias("__last"), F.sum("__starts").alias("__inner")
+    )
+    over = Window.partitionBy(F.col(f"`{key}`")).orderBy("__slice")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    opened = slices.withColumn(
+        "__opens", F.when(F.col("__first") - F.lag("__last").over(over) <= limit, 0).otherwise(1)
+    ).withColumn("__base", F.sum(F.col("__inner") + F.col("__opens")).over(earlier))
+    joined = join_slices(local, opened, [key], ["__opens", "__base"])
+    number = F.coalesce(F.col("__base"), F.lit(0)) + F.col("__opens") + F.col("__run")
+    return joined.select(*[F.col(f"`{c}`") for c in events.columns], number.cast("long").alias("session"))
 
 
 def debounce(events: DataFrame, key: str, moment: str, event_id: str, path: str, gap: float = 5, slice_seconds: int = 3600) -> DataFrame:

@@ -3,8 +3,8 @@
 A key may hold a large part of all rows. First and latest rows are therefore
 aggregates (partial results before the shuffle) instead of sorted windows,
 and previous and running values work in two levels: inside time slices of a
-key, and over one summary row per slice. No task ever holds the whole history
-of a key.
+key, and over one summary row per slice. Slices with very many rows are cut
+into seconds, so no task ever holds the whole history of a key.
 """
 
 from __future__ import annotations
@@ -56,9 +56,41 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def slice_of(moment: Column, width_seconds: int) -> Column:
-    """Number of the time slice that holds ``moment``."""
-    return F.floor(F.unix_micros(moment.cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long")
+def with_slices(
+    df: DataFrame, keys: Sequence[str], moment: str, slice_seconds: int, heavy_rows: int | None = 1_000_000
+) -> DataFrame:
+    """Add ``__slice``, the start second of the time slice of the row.
+
+    A slice of a key with more than ``heavy_rows`` rows is cut into seconds.
+    There is at most one such slice per ``heavy_rows`` rows, so their list is
+    small at any size and Spark broadcasts it when it has measured that.
+    """
+    second = F.floor(F.unix_micros(F.col(f"`{moment}`").cast("timestamp")) / F.lit(1_000_000)).cast("long")
+    start = (F.floor(second / F.lit(slice_seconds)) * F.lit(slice_seconds)).cast("long")
+    if heavy_rows is None:
+        return df.withColumn("__slice", start)
+    heavy = (
+        df.groupBy(*[F.col(f"`{k}`").alias(f"__h{i}") for i, k in enumerate(keys)], start.alias("__start"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > heavy_rows)
+    )
+    same = start == F.col("__start")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__h{i}"))
+    return df.join(heavy, same, "left").select(
+        *_names(df.columns), F.when(F.col("__rows").isNotNull(), second).otherwise(start).alias("__slice")
+    )
+
+
+def join_slices(rows: DataFrame, summaries: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Bring ``columns`` of the per-slice summaries to the rows of the slice."""
+    renamed = summaries.select(
+        *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slice").alias("__s"), *columns
+    )
+    same = F.col("__slice") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(renamed, same, "left")
 
 
 def with_previous(
@@ -68,6 +100,7 @@ def with_previous(
     tie: str,
     columns: Sequence[str],
     slice_seconds: int = 3600,
+    heavy_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Add ``previous_<c>`` of the row before in (moment, tie) order within the key.
 
@@ -75,25 +108,17 @@ def with_previous(
     row of the nearest earlier slice of its key, found among the per-slice
     summaries.
     """
-    sliced = df.withColumn("__slice", slice_of(F.col(f"`{moment}`"), slice_seconds))
+    sliced = with_slices(df, keys, moment, slice_seconds, heavy_rows)
     parts = [*_names(keys), F.col("__slice")]
     inside = Window.partitionBy(*parts).orderBy(F.col(f"`{moment}`"), F.col(f"`{tie}`"))
     values = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
     local = sliced.withColumn("__before", F.lag(values).over(inside))
-
     last = sliced.groupBy(*parts).agg(
         F.max(F.struct(F.col(f"`{moment}`").alias("m"), F.col(f"`{tie}`").alias("t"), values.alias("v"))).alias("__last")
     )
     over = Window.partitionBy(*_names(keys)).orderBy("__slice")
-    carried = last.select(
-        *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__slice").alias("__s"),
-        F.lag("__last.v").over(over).alias("__carry"),
-    )
-    same = F.col("__slice") == F.col("__s")
-    for i, k in enumerate(keys):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    joined = local.join(carried, same, "left")
+    carried = last.withColumn("__carry", F.lag("__last.v").over(over))
+    joined = join_slices(local, carried, keys, ["__carry"])
     before = F.coalesce(F.col("__before"), F.col("__carry"))
     return joined.select(*_names(df.columns), *[before[f"v{i}"].alias(f"previous_{c}") for i, c in enumerate(columns)])
 
@@ -106,9 +131,10 @@ def running_sum(
     amount: str,
     result: str,
     slice_seconds: int = 3600,
+    heavy_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Add the sum of ``amount`` up to and including the row in (moment, tie) order within the key."""
-    sliced = df.withColumn("__slice", slice_of(F.col(f"`{moment}`"), slice_seconds))
+    sliced = with_slices(df, keys, moment, slice_seconds, heavy_rows)
     parts = [*_names(keys), F.col("__slice")]
     inside = (
         Window.partitionBy(*parts)
@@ -118,23 +144,18 @@ def running_sum(
     local = sliced.withColumn("__local", F.sum(F.col(f"`{amount}`")).over(inside))
     totals = sliced.groupBy(*parts).agg(F.sum(F.col(f"`{amount}`")).alias("__total"))
     earlier = Window.partitionBy(*_names(keys)).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__slice").alias("__s"),
-        F.sum("__total").over(earlier).alias("__carry"),
-    )
-    same = F.col("__slice") == F.col("__s")
-    for i, k in enumerate(keys):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    joined = local.join(carried, same, "left")
+    carried = totals.withColumn("__carry", F.sum("__total").over(earlier))
+    joined = join_slices(local, carried, keys, ["__carry"])
     return joined.select(
         *_names(df.columns), (F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0))).alias(result)
     )
 
 
-def gap_seconds(df: DataFrame, keys: Sequence[str], moment: str, tie: str, slice_seconds: int = 3600) -> DataFrame:
+def gap_seconds(
+    df: DataFrame, keys: Sequence[str], moment: str, tie: str, slice_seconds: int = 3600, heavy_rows: int | None = 1_000_000
+) -> DataFrame:
     """Add ``gap_seconds`` since the previous event of the key; NULL for the first."""
-    before = with_previous(df, keys, moment, tie, [moment], slice_seconds)
+    before = with_previous(df, keys, moment, tie, [moment], slice_seconds, heavy_rows)
     gap = F.unix_micros(F.col(f"`{moment}`").cast("timestamp")) - F.unix_micros(
         F.col(f"previous_{moment}").cast("timestamp")
     )

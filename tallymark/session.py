@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,22 +15,29 @@ def checkpoint_folder(spark: SparkSession) -> str:
     without that setting (tests) gets a folder of its own.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
         return configured
-    current = context.getCheckpointDir()
-    if current:
-        return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tallymark-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that an iteration's plan stays flat."""
-    checkpoint_folder(df.sparkSession)
+    """Materialise a round of an iteration reliably, so that its plan stays flat and a lost executor costs a read."""
+    folder = checkpoint_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a large intermediate result once, as a table that several later steps read in part.
+
+    Unlike a checkpoint it is compressed, read by column, and of known size for the joins that follow.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tallymark-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators.compare import sample_mismatches
-from tallymark.session import cut_lineage
+from tallymark.session import stored
 
 # Formats whose catalogs replace and append tables atomically.
 _CATALOG_FORMATS = ("iceberg", "delta")
@@ -85,9 +85,9 @@ def append_runs(runs: DataFrame, table: str, findings_column: str | None = None,
 def write_diff_report(diff: DataFrame, keys: Sequence[str], folder: str, limit: int = 50) -> str:
     """The first findings in key order and a metric summary as CSV; only the limited report is one file.
 
-    The findings are computed once and kept in the checkpoint folder for both.
+    The findings are computed once and stored in the checkpoint folder for both.
     """
-    diff = cut_lineage(diff)
+    diff = stored(diff)
     sample_mismatches(diff, keys, limit).coalesce(1).write.mode("overwrite").option("header", True).csv(
         f"{folder}/mismatches"
     )

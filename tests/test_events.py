@@ -126,5 +126,8 @@ def test_unlimited_priority_passes(spark):
 def test_sessions_across_slices(spark):
     at = [0, 5, 10, 16, 3599, 3603, 7300]
     df = spark.createDataFrame([(i, ORIGIN + dt.timedelta(seconds=s), "a", f"p{i % 2}") for i, s in enumerate(at)], "event_id long, ts timestamp, k string, path string")
+    for heavy in (None, 2):
+        numbered = e.with_session(df, "k", "ts", "event_id", 5, 60, heavy)
+        assert [r.session for r in numbered.orderBy("event_id").collect()] == [1, 1, 1, 2, 3, 3, 4]
     out = e.debounce(df, "k", "ts", "event_id", "path", 5, 60).orderBy("first_event").collect()
     assert [(r.events, r.paths) for r in out] == [(3, 2), (1, 1), (2, 2), (1, 1)]
