@@ -7,7 +7,6 @@ whole-stage code generation.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -301,7 +300,3 @@ def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
 
 def estimate_error_pct(actual: Column, estimate: Column) -> Column:
     return F.try_divide(actual - estimate, estimate) * 100
-
-
-def to_day(value: str | date) -> Column:
-    return F.lit(date.fromisoformat(value) if isinstance(value, str) else value)

@@ -32,7 +32,7 @@ from tallymark.operators.windows import join_slices, running_sum, with_slices
 from tallymark.session import cut_lineage, stored
 from tallymark.specs import DEFAULT_LIMITS
 
-_NEVER = -(1 << 62)
+NEVER = -(1 << 62)
 # Slices that are composed together.
 _BLOCK = 64
 
@@ -168,7 +168,7 @@ def _walk(interval: int, burst: int):
     """Decide sorted ticks; groups are runs of equal (key, slice), and memory holds one batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, free = None, _NEVER
+        current, free = None, NEVER
         for pdf in batches:
             passed = np.zeros(len(pdf), dtype="int64")
             wait = np.zeros(len(pdf), dtype="int64")
@@ -208,7 +208,7 @@ def decide_ticks(
     heavy = cut_lineage(
         slim.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy_rows).select("k")
     )
-    none = F.lit(_NEVER).alias("entry")
+    none = F.lit(NEVER).alias("entry")
     if heavy.isEmpty():
         started = ticks.select("k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none)
     else:
@@ -260,7 +260,7 @@ def _slice_entries(sliced: DataFrame, interval: int, burst: int) -> DataFrame:
     blocks = functions.groupBy("k", "block").applyInPandas(
         _compose(interval, burst), f"k string, block long, {_FUNCTION}"
     )
-    block_entries = blocks.withColumn("entry", F.lit(_NEVER)).groupBy("k").applyInPandas(
+    block_entries = blocks.withColumn("entry", F.lit(NEVER)).groupBy("k").applyInPandas(
         _entries("block"), "k string, block long, entry long"
     )
     return functions.join(block_entries, ["k", "block"]).groupBy("k", "block").applyInPandas(

@@ -179,17 +179,20 @@ def _window(width: str) -> str:
     )
 
 
-@query("ev_tumbling", _window("1 MINUTE"))
+TUMBLING_SQL = _window("1 MINUTE")
+
+
+@query("ev_tumbling", TUMBLING_SQL)
 def ev_tumbling(spark, sf_dir):
     return e.tumbling_metrics(_events(spark, sf_dir), "ts", "1 minute", ["event_type"])
 
 
-@query(
-    "ev_sliding",
-    """
+SLIDING_SQL = """
     SELECT w AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total
-    FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * unnest([0, 1, 2]) AS w FROM events) x GROUP BY 1, 2""",
-)
+    FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * unnest([0, 1, 2]) AS w FROM events) x GROUP BY 1, 2"""
+
+
+@query("ev_sliding", SLIDING_SQL)
 def ev_sliding(spark, sf_dir):
     return e.sliding_metrics(_events(spark, sf_dir), "ts", "3 hours", "1 hour", ["event_type"])
 

@@ -33,11 +33,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/tallymark-{uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a large intermediate result once, as a table that several later steps read in part.
 
     Unlike a checkpoint it is compressed, read by column, and of known size for the joins that follow.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/tallymark-{uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ zone, which has to be UTC to agree with the batch forms.
 
 Stateful keys keep one number plus the events that the watermark has not
 passed yet. How many rows of a hot key one trigger brings is set at the
-source (``maxFilesPerTrigger`` and the like).
+source (``maxFilesPerTrigger`` and the like). ``burst_batches`` keeps no state
+and works on streams as it is.
 """
 
 from __future__ import annotations
@@ -21,12 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallymark.functions.scalars import pressure_level
-from tallymark.operators.events import _NEVER, burst_batches, pass_count
+from tallymark.operators.events import NEVER, pass_count
 from tallymark.operators.quality import broken
 from tallymark.specs import Rule
 
-__all__ = ["burst_batches"]
-
 
 def with_event_time(stream: DataFrame, moment: str, delay: str) -> DataFrame:
     """Event time as a zoned timestamp with a watermark."""
@@ -53,7 +52,7 @@ def _stateful(stream: DataFrame, key: Column, moment: str, event_id: str, delay:
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
-        number = held[0] if held else _NEVER
+        number = held[0] if held else NEVER
         watermark_ms = state.getCurrentWatermarkMs()
         new = iter(()) if state.hasTimedOut else batches
         ready, rest = _ordered(held[1:] if held else (), new, watermark_ms * 1000)
@@ -127,7 +126,7 @@ def admission(
     """Admission of each arrival by the depth of its queue just before it."""
 
     def decide(depth: int, ready: list) -> tuple[int, dict]:
-        depth = 0 if depth == _NEVER else depth
+        depth = 0 if depth == NEVER else depth
         ids, depths, levels = [], [], []
         for _, event, step, level in ready:
             if step > 0:
@@ -236,6 +235,23 @@ def findings_sink(stream: DataFrame, rules: Sequence[Rule], good_path: str, reje
     )
 
 
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what its source holds now, each trigger replacing the table at ``path``, and read that table."""
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the watermark dropped, over the progress reports that the query still holds."""
     total = 0

@@ -14,7 +14,7 @@ from tallymark.operators import events as e
 ORIGIN = dt.datetime(2024, 1, 1)
 
 
-def plain_walk(times, interval, burst, free=e._NEVER):
+def plain_walk(times, interval, burst, free=e.NEVER):
     passed = []
     for t in times:
         ok, free = e.pass_count(t, 1, free, interval, burst)
@@ -79,7 +79,7 @@ def hot(spark):
     rng = random.Random(11)
     rows = [
         (i, ORIGIN + dt.timedelta(seconds=rng.randrange(0, 200_000)), "hot" if rng.random() < 0.8 else f"k{rng.randrange(20)}")
-        for i in range(6000)
+        for i in range(2500)
     ]
     return rows, spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
 
@@ -94,7 +94,7 @@ def model(rows, interval, burst):
 
 
 @pytest.mark.parametrize("interval,burst", [(60, 1), (90, 3), (7, 5)])
-@pytest.mark.parametrize("tuning", [{}, {"heavy_rows": 10}, {"heavy_rows": 700}])
+@pytest.mark.parametrize("tuning", [{}, {"heavy_rows": 40}, {"heavy_rows": 300}])
 def test_walk_of_a_hot_key(hot, interval, burst, tuning):
     rows, df = hot
     out = e.token_bucket(df, F.col("k"), "ts", "event_id", interval * 1_000_000, burst, **tuning)
