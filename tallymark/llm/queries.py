@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm import byte_bpe
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.histogram_shard import shard_by_bytes
 from tallymark.llm.line_windows import drop_repeated_lines
@@ -44,10 +46,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(coded, ranks)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op9_line_dedup": op9_line_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
