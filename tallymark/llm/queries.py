@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import byte_bpe
+from tallymark.llm import byte_bpe, language_id
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.histogram_shard import shard_by_bytes
 from tallymark.llm.line_windows import drop_repeated_lines
@@ -36,6 +36,18 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold_of(folds: int):
+    """Fold of a document by its identifier; null identifiers are in the fold of the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of(4) == 2
+    model = language_id.fit(docs.where(~held))
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(
@@ -55,6 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_histogram_shards": op3_histogram_shards,
+    "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
