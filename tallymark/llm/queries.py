@@ -10,6 +10,7 @@ from tallymark.llm import byte_bpe, language_id
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.histogram_shard import shard_by_bytes
 from tallymark.llm.line_windows import drop_repeated_lines
+from tallymark.llm.minhash import near_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
+
+
 def fold_of(folds: int):
     """Fold of a document by its identifier; null identifiers are in the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
@@ -67,6 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_minhash": op4_minhash,
     "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
