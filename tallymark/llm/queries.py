@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import byte_bpe, language_id
 from tallymark.llm.content_sort import exact_groups
+from tallymark.llm.decontaminate import find_leaks
 from tallymark.llm.histogram_shard import shard_by_bytes
 from tallymark.llm.line_windows import drop_repeated_lines
 from tallymark.llm.minhash import near_groups
@@ -53,6 +54,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select(
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_histogram_shards": op3_histogram_shards,
     "op4_minhash": op4_minhash,
     "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
