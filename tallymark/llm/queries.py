@@ -12,6 +12,7 @@ from tallymark.llm.decontaminate import find_leaks
 from tallymark.llm.histogram_shard import shard_by_bytes
 from tallymark.llm.line_windows import drop_repeated_lines
 from tallymark.llm.minhash import near_groups
+from tallymark.llm.warc import archive_and_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages carry no time of capture; a page is taken to be captured a minute after the one before it.
+    captured = F.timestamp_seconds(F.coalesce(F.col("id"), F.lit(0)) * 60 + 1_700_000_000)
+    index = archive_and_index(table(spark, sf_dir, "pages"), captured)
+    return index.select(
+        F.col("id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+        "url_key",
+        "captured",
+        "intact",
+    )
+
+
 def fold_of(folds: int):
     """Fold of a document by its identifier; null identifiers are in the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
@@ -78,6 +95,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_minhash": op4_minhash,
+    "op5_warc": op5_warc,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
