@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import byte_bpe, language_id
+from tallymark.llm import byte_bpe, language_id, suffix_tree_lm
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.decontaminate import find_leaks
 from tallymark.llm.histogram_shard import shard_by_bytes
@@ -64,6 +64,16 @@ def fold_of(folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold_of(7) == 2
+    model = suffix_tree_lm.fit(docs.where(~held))
+    scored = suffix_tree_lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(4) == 2
@@ -96,6 +106,7 @@ QUERIES = {
     "op3_histogram_shards": op3_histogram_shards,
     "op4_minhash": op4_minhash,
     "op5_warc": op5_warc,
+    "op6_suffix_tree_scores": op6_suffix_tree_scores,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
