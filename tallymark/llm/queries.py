@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import byte_bpe, language_id, suffix_tree_lm
+from tallymark.llm.bwt_dedup import remove_repeats
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.decontaminate import find_leaks
 from tallymark.llm.histogram_shard import shard_by_bytes
@@ -19,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(table(spark, sf_dir, "documents"), keep="largest")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -102,6 +114,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bwt_dedup": op1_bwt_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_minhash": op4_minhash,
