@@ -202,11 +202,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     return encoded.mapInArrow(look_up, f"{fields}, `{out_col}` binary")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded texts."""
+def digests(coded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded texts, and the columns in ``keep``."""
     return coded.select(
         "id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *keep,
     )

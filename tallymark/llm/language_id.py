@@ -200,12 +200,13 @@ def _counted(lang=(), draw=(), at=(), counts=(), bucket=(), n=()) -> pa.RecordBa
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` with ``lang_pred`` and ``score``, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the buckets and languages
-    rows = docs.select(F.col(text_col).alias("__text"), *keep)
+    rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
+    at = rows.columns.index(text_col)
 
     def label(batches):
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(0)]
-            kept = pa.record_batch([batch.column(i) for i in range(1, batch.num_columns)], names=batch.schema.names[1:])
+            found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
+            kept = pa.record_batch(batch.columns[: len(keep)], names=list(keep))
             yield kept.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column(
                 "score", pa.array([s for _, s in found], pa.float64())
             )

@@ -65,7 +65,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n, set_a, set_b, bands, sketch`` per row: set size, a 128-bit digest of the set, band keys, low signature bytes."""
+    """``id, version, n, set_a, set_b, bands, sketch`` per row: hash of the text, set size, a 128-bit digest of the set, band keys, low signature bytes."""
 
     def sign(batches):
         for batch in batches:
@@ -90,18 +90,19 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(size),
                     pa.array(_signed(digest[:, 0].copy())),
                     pa.array(_signed(digest[:, 1].copy())),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketch, pa.binary()),
                 ],
-                names=["id", "n", "set_a", "set_b", "bands", "sketch"],
+                names=["id", "version", "n", "set_a", "set_b", "bands", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(sign, f"id {kind}, n long, set_a long, set_b long, bands array<long>, sketch binary")
+    return rows.mapInArrow(sign, f"id {kind}, version long, n long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
 def _plausible(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
@@ -159,7 +160,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> Da
 def near_groups(
     docs: DataFrame, k: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` per row: groups linked by a similarity of ``similarity`` percent or more."""
+    """``id, n_shingles, component_id, kept, version`` per row (``version`` is the text's hash): groups linked by a similarity of ``similarity`` percent or more."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(plain, k, "id", "text"))
     classes = stored(signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep")))
@@ -195,8 +196,8 @@ def near_groups(
         "n", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id")
     )
     return (
-        signed.select("id", "n", "set_a", "set_b")
+        signed.select("id", "version", "n", "set_a", "set_b")
         .join(named, ["n", "set_a", "set_b"], "left")
-        .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+        .withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
+        .select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "version")
     )

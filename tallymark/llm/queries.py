@@ -52,7 +52,7 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
+    return near_groups(table(spark, sf_dir, "documents"), k=2).drop("version").withColumnRenamed("id", "doc_id")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_edited_copies(spark, k):
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    out = sorted(tuple(r) for r in near_groups(df, 2).where("id is not null").collect())
+    out = sorted(tuple(r)[:4] for r in near_groups(df, 2).where("id is not null").collect())
     assert out == [(1, 5, 1, True)] * 2
     assert near_groups(df.limit(0), 2).collect() == []
 
