@@ -8,12 +8,16 @@ per interval (deduplication window, throttle); with more it is a token bucket
 that refills one token per interval and holds ``burst`` of them.
 
 Whether an event passes depends on the events that passed before it, so a key
-has to be walked in time order. A key with very many events would be walked
-by one task; its timeline is therefore cut into slices. Each slice is first
-summarised as a function from the free time at its start to the free time at
+has to be walked in time order. The events are range-partitioned by key and
+time, so a key with many events lies in several slices. Only keys that cross a
+border between slices, at most one per border, need more: each of their slices
+is summarised as a function from the free time at its start to the free time at
 its end (piecewise, few pieces because different starts soon meet the same
 events), the summaries are composed per block and per key, and then all slices
 run independently from their now known start.
+
+A missing key is a key like any other. An event without a time has no place in
+the order: it neither passes nor is it told to wait.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import age_seconds, pressure_level
 from tallymark.operators.windows import join_slices, running_sum, with_slices
-from tallymark.session import cut_lineage, stored
+from tallymark.session import stored
 from tallymark.specs import DEFAULT_LIMITS
 
 NEVER = -(1 << 62)
@@ -121,14 +125,16 @@ def _trace_chain(functions: Sequence[tuple], free: int, top: int) -> tuple[int,
 _FUNCTION = "starts array<long>, values array<long>, slopes array<long>"
 
 
-def _summarise(interval: int, burst: int):
+def _summarise():
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, n = pdf["t"].to_numpy(), pdf["n"].to_numpy()
+        interval, burst = int(pdf["step"].iloc[0]), int(pdf["burst"].iloc[0])
         bottom = int(t[0])
         top = bottom + burst * interval
         found = _pieces(lambda a, b: _trace_slice(t, n, a, b, interval, burst), bottom, top)
-        return pd.DataFrame({"k": [key[0]], "slice": [key[1]], "starts": [found[0]], "values": [found[1]], "slopes": [found[2]]})
+        pieces = {"starts": [found[0]], "values": [found[1]], "slopes": [found[2]]}
+        return pd.DataFrame({"k": [key[0]], "slice": [key[1]], "step": [interval], "burst": [burst], **pieces})
 
     return run
 
@@ -140,9 +146,10 @@ def _stored(pdf: pd.DataFrame) -> list[tuple]:
     ]
 
 
-def _compose(interval: int, burst: int):
+def _compose():
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         functions = _stored(pdf.sort_values("slice"))
+        interval, burst = int(pdf["step"].iloc[0]), int(pdf["burst"].iloc[0])
         bottom = functions[0][0]
         found = _pieces(lambda a, b: _trace_chain(functions, a, b), bottom, bottom + burst * interval)
         return pd.DataFrame({"k": [key[0]], "block": [key[1]], "starts": [found[0]], "values": [found[1]], "slopes": [found[2]]})
@@ -164,102 +171,97 @@ def _entries(order: str):
     return run
 
 
-def _walk(interval: int, burst: int):
+def _walk():
     """Decide sorted ticks; groups are runs of equal (key, slice), and memory holds one batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, free = None, NEVER
         for pdf in batches:
-            passed = np.zeros(len(pdf), dtype="int64")
-            wait = np.zeros(len(pdf), dtype="int64")
-            columns = (pdf[c].tolist() for c in ("k", "slice", "t", "n", "entry"))
-            for i, (k, s, t, n, entry) in enumerate(zip(*columns)):
-                if current != (k, s):
-                    current, free = (k, s), entry
-                passed[i], free = pass_count(t, n, free, interval, burst)
-                if passed[i] < n:
-                    wait[i] = free - (burst - 1) * interval - t
-            yield pd.DataFrame({"k": pdf["k"], "t": pdf["t"], "first_id": pdf["first_id"], "n": pdf["n"], "passed": passed, "wait_us": wait})
+            if pdf.empty:
+                continue
+            k, part = pdf["k"].to_numpy(), pdf["slice"].to_numpy()
+            t, n = pdf["t"].to_numpy(), pdf["n"].to_numpy()
+            passed, wait = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf), dtype="int64")
+            begin = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (part[1:] != part[:-1]))))
+            for a, b in zip(begin, [*begin[1:], len(pdf)]):
+                if current != (k[a], part[a]):
+                    current, free = (k[a], part[a]), int(pdf["entry"].iat[a])
+                interval, burst = int(pdf["step"].iat[a]), int(pdf["burst"].iat[a])
+                slack, i = (burst - 1) * interval, a
+                while i < b:
+                    passed[i], after = pass_count(int(t[i]), int(n[i]), free, interval, burst)
+                    free = after
+                    if passed[i] == n[i]:
+                        i += 1
+                        continue
+                    # Nothing passes before the next token; those times are skipped together.
+                    ready = max(i + 1, a + int(np.searchsorted(t[a:b], free - slack)))
+                    wait[i:ready] = free - slack - t[i:ready]
+                    i = ready
+            yield pd.DataFrame({"k": k, "t": t, "first_id": pdf["first_id"], "n": n, "passed": passed, "wait_us": wait})
 
     return run
 
 
+def key_text(key: Column) -> Column:
+    """The key as text that joins and groups like any value, also when it is missing."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def _ticking(events: DataFrame, key: Column, moment: str, event_id: str) -> DataFrame:
+    return events.select(key_text(key).alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id"))
+
+
+def _amount(value: int | Column) -> Column:
+    return (value if isinstance(value, Column) else F.lit(value)).cast("long")
+
+
 def decide_ticks(
     events: DataFrame,
     key: Column,
     moment: str,
     event_id: str,
-    interval_us: int,
-    burst: int,
-    heavy_rows: int = 1_000_000,
+    interval_us: int | Column,
+    burst: int | Column,
+    slices: int | None = None,
 ) -> DataFrame:
     """Per key and distinct time: number of events ``n``, how many ``passed``, wait of the others, smallest id.
 
-    Events at the same time are one row before any shuffle. A first count per
-    key finds those with more than ``heavy_rows`` events. Without such keys
-    there is one walk over the others; the ticks of heavy keys and the
-    summaries of their slices are written once because several steps read them.
+    Interval and burst may be columns that are equal for all events of a key.
+    Events at the same time are one row before any shuffle. The number of
+    slices follows the size of the data unless given.
     """
+    t = micros(F.col(f"`{moment}`"))
     slim = events.select(
-        key.cast("string").alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id")
-    ).where(F.col("t").isNotNull() & F.col("k").isNotNull())
-    ticks = slim.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
-    # At most one row per ``heavy_rows`` events, so this stays small at any size.
-    heavy = cut_lineage(
-        slim.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy_rows).select("k")
+        key_text(key).alias("k"), t.alias("t"), F.col(f"`{event_id}`").alias("__id"), _amount(interval_us).alias("step"), _amount(burst).alias("burst")
+    ).where(F.col("t").isNotNull())
+    ticks = slim.groupBy("k", "t", "step", "burst").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
+    ranged = ticks.repartitionByRange(slices, "k", "t") if slices else ticks.repartitionByRange("k", "t")
+    laid = stored(ranged.withColumn("slice", F.spark_partition_id().cast("long")))
+    crossing = laid.groupBy("k").agg(F.min("slice").alias("lo"), F.max("slice").alias("hi")).where("lo < hi").select("k")
+    entries = _slice_entries(laid.join(crossing, "k", "left_semi")).select(
+        F.col("k").alias("e_k"), F.col("slice").alias("e_slice"), F.col("entry").alias("known")
+    )
+    started = laid.join(entries, (F.col("k") == F.col("e_k")) & (F.col("slice") == F.col("e_slice")), "left").select(
+        "k", "slice", "t", "n", "first_id", "step", "burst", F.coalesce("known", F.lit(NEVER)).alias("entry")
     )
-    none = F.lit(NEVER).alias("entry")
-    if heavy.isEmpty():
-        started = ticks.select("k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none)
-    else:
-        sliced = _sliced(stored(ticks.join(heavy, "k", "left_semi")), heavy_rows)
-        light = ticks.join(heavy, "k", "left_anti").select(
-            "k", F.lit(0).cast("long").alias("slice"), "t", "n", "first_id", none
-        )
-        started = light.unionByName(
-            sliced.join(_slice_entries(sliced, interval_us, burst), ["k", "slice"]).select(
-                "k", "slice", "t", "n", "first_id", "entry"
-            )
-        )
     id_type = events.schema[event_id].dataType.simpleString()
     return (
         started.repartition("k", "slice")
         .sortWithinPartitions("k", "slice", "t")
-        .mapInPandas(
-            _walk(interval_us, burst),
-            f"k string, t long, first_id {id_type}, n long, passed long, wait_us long",
-        )
-    )
-
-
-def _sliced(ticks: DataFrame, rows: int) -> DataFrame:
-    """Add ``slice``: consecutive seconds of a key that hold about ``rows`` ticks together.
-
-    However dense a key is at some time, a slice has at most ``rows`` ticks
-    more than its first second, and a second has at most a million.
-    """
-    second = F.floor(F.col("t") / F.lit(1_000_000)).cast("long")
-    seconds = ticks.groupBy("k", second.alias("second")).agg(F.count(F.lit(1)).alias("c"))
-    counted = running_sum(
-        seconds.withColumn("at", F.timestamp_seconds("second")), ["k"], "at", "second", "c", "upto", 86_400, heavy_rows=None
+        .mapInPandas(_walk(), f"k string, t long, first_id {id_type}, n long, passed long, wait_us long")
     )
-    numbered = counted.select(
-        F.col("k"), "second", F.floor((F.col("upto") - F.col("c")) / F.lit(rows)).cast("long").alias("slice")
-    )
-    return ticks.withColumn("second", second).join(numbered, ["k", "second"]).drop("second")
 
 
-def _slice_entries(sliced: DataFrame, interval: int, burst: int) -> DataFrame:
+def _slice_entries(sliced: DataFrame) -> DataFrame:
     """Free time at the start of every slice: summarise slices, compose blocks of them, then resolve both."""
     functions = stored(
-        sliced.select("k", "slice", "t", "n")
+        sliced.select("k", "slice", "t", "n", "step", "burst")
         .groupBy("k", "slice")
-        .applyInPandas(_summarise(interval, burst), f"k string, slice long, {_FUNCTION}")
+        .applyInPandas(_summarise(), f"k string, slice long, step long, burst long, {_FUNCTION}")
         .withColumn("block", F.floor(F.col("slice") / F.lit(_BLOCK)).cast("long"))
     )
-    blocks = functions.groupBy("k", "block").applyInPandas(
-        _compose(interval, burst), f"k string, block long, {_FUNCTION}"
-    )
+    blocks = functions.groupBy("k", "block").applyInPandas(_compose(), f"k string, block long, {_FUNCTION}")
     block_entries = blocks.withColumn("entry", F.lit(NEVER)).groupBy("k").applyInPandas(
         _entries("block"), "k string, block long, entry long"
     )
@@ -268,15 +270,17 @@ def _slice_entries(sliced: DataFrame, interval: int, burst: int) -> DataFrame:
     )
 
 
-def passing_events(events: DataFrame, key: Column, moment: str, event_id: str, interval_us: int, burst: int, **tuning) -> DataFrame:
+def passing_events(
+    events: DataFrame, key: Column, moment: str, event_id: str, interval_us: int | Column, burst: int | Column, **tuning
+) -> DataFrame:
     """The events that pass. Of several at one time the smaller ids go first."""
     ticks = decide_ticks(events, key, moment, event_id, interval_us, burst, **tuning).where("passed > 0")
-    if burst == 1:
+    if isinstance(burst, int) and burst == 1:
         chosen = ticks.select(F.col("first_id").alias(event_id))
     else:
         same_time = Window.partitionBy("k", "t").orderBy("__id")
         ranked = (
-            events.select(key.cast("string").alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id"))
+            _ticking(events, key, moment, event_id)
             .withColumn("rn", F.row_number().over(same_time))
             .where(F.col("rn") <= burst)
         )
@@ -297,23 +301,23 @@ def throttle(events: DataFrame, key: Column, moment: str, event_id: str, min_int
     return passing_events(events, key, moment, event_id, int(min_interval_seconds * 1_000_000), 1, **tuning)
 
 
-def token_bucket(events: DataFrame, key: Column, moment: str, event_id: str, interval_us: int, burst: int, **tuning) -> DataFrame:
+def token_bucket(
+    events: DataFrame, key: Column, moment: str, event_id: str, interval_us: int | Column, burst: int | Column, **tuning
+) -> DataFrame:
     """All events with ``accepted`` and, for refused ones, the seconds until a token is free."""
-    ticks = decide_ticks(events, key, moment, event_id, interval_us, burst, **tuning)
+    ticks = stored(decide_ticks(events, key, moment, event_id, interval_us, burst, **tuning))
+    most = ticks.select("k", "t", "passed").where("passed > 0")
     same_time = Window.partitionBy("k", "t").orderBy("__id")
-    slim = events.select(
-        key.cast("string").alias("k"), micros(F.col(f"`{moment}`")).alias("t"), F.col(f"`{event_id}`").alias("__id")
-    )
-    first = slim.withColumn("rn", F.row_number().over(same_time)).where(F.col("rn") <= burst)
+    first = _ticking(events, key, moment, event_id).withColumn("rn", F.row_number().over(same_time))
     accepted = (
-        first.join(ticks.where("passed > 0").select("k", "t", "passed"), ["k", "t"])
+        first.join(most, ["k", "t"])
         .where(F.col("rn") <= F.col("passed"))
         .select("__id", F.lit(True).alias("accepted"))
     )
     waits = ticks.where("wait_us > 0").select(F.col("k").alias("__k"), F.col("t").alias("__t"), "wait_us")
     joined = (
         events.join(accepted, F.col(f"`{event_id}`") == F.col("__id"), "left")
-        .join(waits, (key.cast("string") == F.col("__k")) & (micros(F.col(f"`{moment}`")) == F.col("__t")), "left")
+        .join(waits, (key_text(key) == F.col("__k")) & (micros(F.col(f"`{moment}`")) == F.col("__t")), "left")
     )
     ok = F.coalesce("accepted", F.lit(False))
     return joined.select(
@@ -326,15 +330,7 @@ def token_bucket(events: DataFrame, key: Column, moment: str, event_id: str, int
 # --- sessions --------------------------------------------------------------
 
 
-def with_session(
-    events: DataFrame,
-    key: str,
-    moment: str,
-    event_id: str,
-    gap: float = 5,
-    slice_seconds: int = 3600,
-    heavy_rows: int | None = 1_000_000,
-) -> DataFrame:
+def with_session(events: DataFrame, key: str, moment: str, event_id: str, gap: float = 5, slices: int | None = None) -> DataFrame:
     """Number the runs of events of a key that are at most ``gap`` seconds apart.
 
     Each slice counts the runs that start inside it; whether its first event
@@ -347,7 +343,7 @@ def with_session(
     inside = Window.partitionBy(*parts).orderBy(F.col(f"`{moment}`"), F.col(f"`{event_id}`"))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
-        with_slices(events, [key], moment, slice_seconds, heavy_rows)
+        with_slices(events, [key], moment, event_id, slices)
         .withColumn("__starts", F.when(t - F.lag(t).over(inside) > limit, 1).otherwise(0))
         .withColumn("__run", F.sum("__starts").over(upto))
     )
@@ -364,9 +360,9 @@ def with_session(
     return joined.select(*[F.col(f"`{c}`") for c in events.columns], number.cast("long").alias("session"))
 
 
-def debounce(events: DataFrame, key: str, moment: str, event_id: str, path: str, gap: float = 5, slice_seconds: int = 3600) -> DataFrame:
+def debounce(events: DataFrame, key: str, moment: str, event_id: str, path: str, gap: float = 5, slices: int | None = None) -> DataFrame:
     """One row per quiet-separated run: first and last event, flush time, events and distinct paths."""
-    sessions = with_session(events, key, moment, event_id, gap, slice_seconds)
+    sessions = with_session(events, key, moment, event_id, gap, slices)
     per_path = sessions.groupBy(key, "session", path).agg(
         F.count(F.lit(1)).alias("n"), F.min(moment).alias("first"), F.max(moment).alias("last")
     )
@@ -379,9 +375,9 @@ def debounce(events: DataFrame, key: str, moment: str, event_id: str, path: str,
     ).drop("session")
 
 
-def debounced_paths(events: DataFrame, key: str, moment: str, event_id: str, path: str, gap: float = 5, slice_seconds: int = 3600) -> DataFrame:
+def debounced_paths(events: DataFrame, key: str, moment: str, event_id: str, path: str, gap: float = 5, slices: int | None = None) -> DataFrame:
     """The distinct paths of each run as rows."""
-    return with_session(events, key, moment, event_id, gap, slice_seconds).select(key, "session", path).distinct()
+    return with_session(events, key, moment, event_id, gap, slices).select(key, "session", path).distinct()
 
 
 # --- bursts and queues -----------------------------------------------------
@@ -420,7 +416,7 @@ def admission(
     limited: Column | None = None,
     critical: int = 100,
     reject: int = 200,
-    slice_seconds: int = 3600,
+    slices: int | None = None,
 ) -> DataFrame:
     """Admission of each arrival (``change`` > 0) by the depth of its queue just before it.
 
@@ -428,7 +424,7 @@ def admission(
     become 3 at ``critical``. Duplicates and rate-limited requests are given as
     conditions and take part in the order duplicate, rejected, limited.
     """
-    depth_after = running_sum(events, [queue], moment, event_id, change, "__depth", slice_seconds)
+    depth_after = running_sum(events, [queue], moment, event_id, change, "__depth", slices)
     depth = F.col("__depth") - F.col(f"`{change}`")
     urgent = F.col(f"`{priority}`")
     effective = F.when((depth >= critical) & (urgent >= 2), 3).otherwise(urgent)
@@ -487,16 +483,14 @@ def rolling_series(points: DataFrame, series: str, moment: str, start: datetime
 
 
 def limit_by_priority(events: DataFrame, priority: str, moment: str, event_id: str, limits=None, **tuning) -> DataFrame:
-    """Token buckets per priority; a priority without a limit always passes."""
+    """Token buckets per priority, all decided in one walk; a priority without a limit always passes."""
     level = F.col(f"`{priority}`")
     limits = DEFAULT_LIMITS if limits is None else limits
     free = F.coalesce(~level.isin(*limits), F.lit(True))
-    decided = events.where(free).withColumns(
-        {"accepted": F.lit(True), "wait_seconds": F.lit(None).cast("double")}
-    )
-    for number, limit in sorted(limits.items()):
-        bucket = token_bucket(
-            events.where(level == number), level, moment, event_id, limit.interval_us, limit.burst, **tuning
-        )
-        decided = decided.unionByName(bucket)
-    return decided
+    decided = events.where(free).withColumns({"accepted": F.lit(True), "wait_seconds": F.lit(None).cast("double")})
+
+    def of(field: str) -> Column:
+        return F.coalesce(*[F.when(level == number, F.lit(getattr(limit, field))) for number, limit in sorted(limits.items())])
+
+    bucket = token_bucket(events.where(~free), level, moment, event_id, of("interval_us"), of("burst"), **tuning)
+    return decided.unionByName(bucket)

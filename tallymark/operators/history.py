@@ -161,10 +161,10 @@ def latest_per_job(runs: DataFrame, n: int = 10) -> DataFrame:
     return first_n_per_key(runs, ["job_path"], [F.desc("created_at"), F.asc("request_id")], n)
 
 
-def run_trend(runs: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def run_trend(runs: DataFrame, slices: int | None = None) -> DataFrame:
     """Duration change of each completed run against the run before, in percent; changes below 1 % are NULL."""
     completed = runs.where(status_is("completed") & F.col("duration_seconds").isNotNull())
-    before = with_previous(completed, ["job_path"], "created_at", "request_id", ["duration_seconds"], slice_seconds)
+    before = with_previous(completed, ["job_path"], "created_at", "request_id", ["duration_seconds"], slices)
     previous = F.nullif(F.col("previous_duration_seconds"), F.lit(0.0))
     change = F.try_divide(F.col("duration_seconds") - previous, previous) * 100
     return before.select(

@@ -1,10 +1,11 @@
 """First, latest, previous and running values per key.
 
 A key may hold a large part of all rows. First and latest rows are therefore
-aggregates (partial results before the shuffle) instead of sorted windows,
-and previous and running values work in two levels: inside time slices of a
-key, and over one summary row per slice. Slices with very many rows are cut
-into seconds, so no task ever holds the whole history of a key.
+aggregates (partial results before the shuffle) instead of sorted windows.
+Previous and running values work on one layout: the rows are range-partitioned
+by key, time and tie, so that a key with many rows, even at one moment, lies in
+several slices, and stored with the number of their slice. The values are found
+inside a slice and carried over its border by one summary row per slice and key.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import stored
+
 
 def _names(columns: Sequence[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
@@ -56,30 +59,15 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], moment: str, slice_seconds: int, heavy_rows: int | None = 1_000_000
-) -> DataFrame:
-    """Add ``__slice``, the start second of the time slice of the row.
+def with_slices(df: DataFrame, keys: Sequence[str], moment: str, tie: str, slices: int | None = None) -> DataFrame:
+    """The rows with ``__slice``, the number of their range of (keys, moment, tie); stored, because it is read twice.
 
-    A slice of a key with more than ``heavy_rows`` rows is cut into seconds.
-    There is at most one such slice per ``heavy_rows`` rows, so their list is
-    small at any size and Spark broadcasts it when it has measured that.
+    Later rows of a key are never in an earlier slice. The number of slices
+    follows the size of the data unless given. Rows without a moment come first.
     """
-    second = F.floor(F.unix_micros(F.col(f"`{moment}`").cast("timestamp")) / F.lit(1_000_000)).cast("long")
-    start = (F.floor(second / F.lit(slice_seconds)) * F.lit(slice_seconds)).cast("long")
-    if heavy_rows is None:
-        return df.withColumn("__slice", start)
-    heavy = (
-        df.groupBy(*[F.col(f"`{k}`").alias(f"__h{i}") for i, k in enumerate(keys)], start.alias("__start"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > heavy_rows)
-    )
-    same = start == F.col("__start")
-    for i, k in enumerate(keys):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__h{i}"))
-    return df.join(heavy, same, "left").select(
-        *_names(df.columns), F.when(F.col("__rows").isNotNull(), second).otherwise(start).alias("__slice")
-    )
+    order = [*_names(keys), F.col(f"`{moment}`"), F.col(f"`{tie}`")]
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return stored(ranged.withColumn("__slice", F.spark_partition_id().cast("long")))
 
 
 def join_slices(rows: DataFrame, summaries: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -99,8 +87,7 @@ def with_previous(
     moment: str,
     tie: str,
     columns: Sequence[str],
-    slice_seconds: int = 3600,
-    heavy_rows: int | None = 1_000_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``previous_<c>`` of the row before in (moment, tie) order within the key.
 
@@ -108,7 +95,7 @@ def with_previous(
     row of the nearest earlier slice of its key, found among the per-slice
     summaries.
     """
-    sliced = with_slices(df, keys, moment, slice_seconds, heavy_rows)
+    sliced = with_slices(df, keys, moment, tie, slices)
     parts = [*_names(keys), F.col("__slice")]
     inside = Window.partitionBy(*parts).orderBy(F.col(f"`{moment}`"), F.col(f"`{tie}`"))
     values = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
@@ -130,11 +117,10 @@ def running_sum(
     tie: str,
     amount: str,
     result: str,
-    slice_seconds: int = 3600,
-    heavy_rows: int | None = 1_000_000,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``amount`` up to and including the row in (moment, tie) order within the key."""
-    sliced = with_slices(df, keys, moment, slice_seconds, heavy_rows)
+    sliced = with_slices(df, keys, moment, tie, slices)
     parts = [*_names(keys), F.col("__slice")]
     inside = (
         Window.partitionBy(*parts)
@@ -151,11 +137,9 @@ def running_sum(
     )
 
 
-def gap_seconds(
-    df: DataFrame, keys: Sequence[str], moment: str, tie: str, slice_seconds: int = 3600, heavy_rows: int | None = 1_000_000
-) -> DataFrame:
+def gap_seconds(df: DataFrame, keys: Sequence[str], moment: str, tie: str, slices: int | None = None) -> DataFrame:
     """Add ``gap_seconds`` since the previous event of the key; NULL for the first."""
-    before = with_previous(df, keys, moment, tie, [moment], slice_seconds, heavy_rows)
+    before = with_previous(df, keys, moment, tie, [moment], slices)
     gap = F.unix_micros(F.col(f"`{moment}`").cast("timestamp")) - F.unix_micros(
         F.col(f"previous_{moment}").cast("timestamp")
     )

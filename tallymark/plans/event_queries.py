@@ -37,9 +37,9 @@ def ev_dedup_window(spark, sf_dir):
 
 @query("ev_throttle", _greedy("event_type", 3))
 def ev_throttle(spark, sf_dir):
-    # Five keys hold all events, so the sliced walk is used even for this little data.
+    # Five keys hold all events; more slices than keys make them cross the borders even for this little data.
     kept = e.throttle(
-        _events(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600, heavy_rows=500
+        _events(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600, slices=16
     )
     return kept.select("event_id", "event_type", "ts")
 
@@ -104,7 +104,7 @@ _SESSIONS = """
     FROM sessions GROUP BY user_id, session""",
 )
 def ev_debounce(spark, sf_dir):
-    return e.debounce(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", 7200, 86_400)
+    return e.debounce(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", 7200)
 
 
 @query(
@@ -112,7 +112,7 @@ def ev_debounce(spark, sf_dir):
     f"WITH {_SESSIONS} SELECT DISTINCT user_id, CAST(session AS BIGINT) AS session, event_type FROM sessions",
 )
 def ev_debounced_paths(spark, sf_dir):
-    return e.debounced_paths(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", 7200, 86_400)
+    return e.debounced_paths(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", 7200)
 
 
 @query(

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymark.operators import events as e
+from tallymark.operators import windows
 
 ORIGIN = dt.datetime(2024, 1, 1)
 
@@ -94,7 +95,7 @@ def model(rows, interval, burst):
 
 
 @pytest.mark.parametrize("interval,burst", [(60, 1), (90, 3), (7, 5)])
-@pytest.mark.parametrize("tuning", [{}, {"heavy_rows": 40}, {"heavy_rows": 300}])
+@pytest.mark.parametrize("tuning", [{}, {"slices": 7}, {"slices": 150}])
 def test_walk_of_a_hot_key(hot, interval, burst, tuning):
     rows, df = hot
     out = e.token_bucket(df, F.col("k"), "ts", "event_id", interval * 1_000_000, burst, **tuning)
@@ -126,8 +127,23 @@ def test_unlimited_priority_passes(spark):
 def test_sessions_across_slices(spark):
     at = [0, 5, 10, 16, 3599, 3603, 7300]
     df = spark.createDataFrame([(i, ORIGIN + dt.timedelta(seconds=s), "a", f"p{i % 2}") for i, s in enumerate(at)], "event_id long, ts timestamp, k string, path string")
-    for heavy in (None, 2):
-        numbered = e.with_session(df, "k", "ts", "event_id", 5, 60, heavy)
+    for slices in (None, 2, 6):
+        numbered = e.with_session(df, "k", "ts", "event_id", 5, slices)
         assert [r.session for r in numbered.orderBy("event_id").collect()] == [1, 1, 1, 2, 3, 3, 4]
-    out = e.debounce(df, "k", "ts", "event_id", "path", 5, 60).orderBy("first_event").collect()
+    out = e.debounce(df, "k", "ts", "event_id", "path", 5).orderBy("first_event").collect()
     assert [(r.events, r.paths) for r in out] == [(3, 2), (1, 1), (2, 2), (1, 1)]
+
+
+def test_missing_keys_are_one_key_and_missing_times_never_pass(spark):
+    rows = [(1, ORIGIN, None), (2, ORIGIN + dt.timedelta(seconds=9), None), (3, ORIGIN, "a"), (4, None, "a")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
+    assert sorted(r.event_id for r in e.dedup_window(df, F.col("k"), "ts", "event_id", 60).collect()) == [1, 3]
+    out = {r.event_id: (r.accepted, r.wait_seconds) for r in e.token_bucket(df, F.col("k"), "ts", "event_id", 60_000_000, 1).collect()}
+    assert out == {1: (True, None), 2: (False, 51.0), 3: (True, None), 4: (False, None)}
+
+
+def test_one_key_at_one_second_is_spread_over_tasks(spark):
+    df = spark.range(5000).select(F.col("id").alias("event_id"), F.lit(ORIGIN).alias("ts"), F.lit("a").alias("k"), F.lit(1).alias("n"))
+    parts = windows.with_slices(df, ["k"], "ts", "event_id", 10).groupBy("__slice").count().collect()
+    assert max(r["count"] for r in parts) < 1500
+    assert windows.running_sum(df, ["k"], "ts", "event_id", "n", "upto", 10).where("upto <> event_id + 1").count() == 0
