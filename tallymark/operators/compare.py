@@ -2,21 +2,24 @@
 
 All comparisons are one union of the two sides followed by one aggregation.
 Map-side partial aggregation shrinks repeated keys before the shuffle, grouping
-treats NULL keys as equal, and no join is needed, so a hot key never meets its
-copies from the other side row by row.
+treats NULL keys as equal, and a hot key never meets its copies from the other
+side row by row. Comparison by key aggregates digests of fixed width and looks
+at whole rows only where those differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.scalars import same_value
-from tallymark.operators.shape import explode_present, rows_from, tagged_union
+from tallymark.operators.shape import SCALE, explode_present, rows_from, summable, tagged_union
+from tallymark.session import stored
 from tallymark.specs import CompareSpec
 
 MATCH = "MATCH"
@@ -27,9 +30,6 @@ TYPE_ERROR = "TYPE_ERROR"
 DUPLICATE_GOLDEN = "DUPLICATE_KEY_GOLDEN"
 DUPLICATE_OUTPUT = "DUPLICATE_KEY_OUTPUT"
 
-_SUM_TYPE = "decimal(38,6)"
-
-
 def align_columns(left: DataFrame, right: DataFrame, ignore: Sequence[str] = ()) -> tuple[list[str], list[str], list[str]]:
     """Common, only-left and only-right column names after dropping the ignored ones."""
     lcols = [c for c in left.columns if c not in set(ignore)]
@@ -63,11 +63,20 @@ def conform(df: DataFrame, schema: T.StructType, columns: Sequence[str]) -> Data
     return df.withColumn("__failed", failed).withColumns({c: F.col(f"`{c}`").try_cast(types[c]) for c in drift})
 
 
+def _digests(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two independent 64-bit digests of a row that tell NULL from every value and every place."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))] or [F.lit(0)]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts))
+
+
 def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
     """One row per key: ``status``, both packed rows, the counts per side and a flag per differing column.
 
-    With duplicate keys the smallest row under the ordering of all value
-    columns represents its side; the counts keep the duplicates visible.
+    A first pass shuffles keys and row digests only, which hash aggregation
+    combines before the shuffle. Whole rows are fetched for the keys of both
+    sides whose digests differ; other keys carry no rows. With duplicate keys
+    the smallest row under the ordering of all value columns represents its
+    side; the counts keep the duplicates visible.
     """
     require_keys(spec.keys, left, right)
     common, _, _ = align_columns(left, right, spec.ignore)
@@ -79,48 +88,69 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     drift = "__failed" in golden.columns
     output = right.withColumn("__failed", F.lit(False)) if drift else right
     carried = [*values, "__failed"] if drift else values
-    packed = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("__none"))
     named = [F.col(f"`{k}`") for k in keys]
     side = F.col("__left")
-    both = golden.select(*named, packed.alias("__row"), F.lit(True).alias("__left")).union(
-        output.select(*named, packed.alias("__row"), F.lit(False))
+    one, two = _digests(carried)
+    narrow = golden.select(*named, one.alias("__1"), two.alias("__2"), F.lit(True).alias("__left")).union(
+        output.select(*named, one, two, F.lit(False))
     )
-    paired = both.groupBy(*named).agg(
-        F.count_if(side).alias("golden_rows"),
-        F.count_if(~side).alias("output_rows"),
-        F.min(F.when(side, F.col("__row"))).alias("golden"),
-        F.min(F.when(~side, F.col("__row"))).alias("output"),
+    counted = stored(
+        narrow.groupBy(*named).agg(
+            F.count_if(side).alias("golden_rows"),
+            F.count_if(~side).alias("output_rows"),
+            ((F.min("__1") == F.max("__1")) & (F.min("__2") == F.max("__2"))).alias("__alike"),
+        )
     )
-    misfit = F.coalesce(F.col("golden")["__failed"], F.lit(False)) if drift else F.lit(False)
-
     both_there = (F.col("golden_rows") > 0) & (F.col("output_rows") > 0)
-    changed = [
-        both_there & ~same_value(F.col("golden")[c], F.col("output")[c], types[c], spec.tolerance) for c in values
-    ]
-    any_changed = F.lit(False)
-    for flag in changed:
-        any_changed = any_changed | flag
-    differs = (
-        F.struct(*[flag.alias(c) for c, flag in zip(values, changed)])
-        if values
-        else F.struct(F.lit(False).alias("__none"))
+    unlike = both_there & ~F.col("__alike")
+    packed = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("__none"))
+    row_type = golden.select(packed.alias("r")).schema["r"].dataType
+
+    def flags(changed: Sequence[Column]) -> Column:
+        if not values:
+            return F.struct(F.lit(False).alias("__none"))
+        return F.struct(*[flag.alias(c) for c, flag in zip(values, changed)])
+
+    nothing = F.lit(None).cast(row_type)
+    settled = counted.where(~unlike).select(
+        *named,
+        F.when(F.col("output_rows") == 0, MISSING).when(F.col("golden_rows") == 0, EXTRA).otherwise(MATCH).alias("status"),
+        "golden_rows",
+        "output_rows",
+        flags([F.lit(False)] * len(values)).alias("differs"),
+        nothing.alias("golden"),
+        nothing.alias("output"),
+    )
+
+    wanted = counted.where(unlike)
+    listed = wanted.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)])
+    same_key = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    rows = golden.select(*named, packed.alias("__row"), F.lit(True).alias("__left")).union(
+        output.select(*named, packed.alias("__row"), F.lit(False))
     )
-    status = (
-        F.when(F.col("output_rows") == 0, MISSING)
-        .when(F.col("golden_rows") == 0, EXTRA)
-        .when(misfit, TYPE_ERROR)
-        .when(any_changed, CHANGED)
-        .otherwise(MATCH)
+    paired = (
+        rows.join(listed, same_key, "left_semi")
+        .groupBy(*named)
+        .agg(
+            F.count_if(side).alias("golden_rows"),
+            F.count_if(~side).alias("output_rows"),
+            F.min(F.when(side, F.col("__row"))).alias("golden"),
+            F.min(F.when(~side, F.col("__row"))).alias("output"),
+        )
     )
-    return paired.select(
+    misfit = F.coalesce(F.col("golden")["__failed"], F.lit(False)) if drift else F.lit(False)
+    changed = [~same_value(F.col("golden")[c], F.col("output")[c], types[c], spec.tolerance) for c in values]
+    any_changed = reduce(lambda a, b: a | b, changed, F.lit(False))
+    opened = paired.select(
         *named,
-        status.alias("status"),
+        F.when(misfit, TYPE_ERROR).when(any_changed, CHANGED).otherwise(MATCH).alias("status"),
         "golden_rows",
         "output_rows",
-        differs.alias("differs"),
+        flags(changed).alias("differs"),
         "golden",
         "output",
     )
+    return settled.union(opened)
 
 
 def diff_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -194,28 +224,43 @@ def numeric_columns(df: DataFrame, among: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name in set(among) and isinstance(f.dataType, T.NumericType)]
 
 
+def _summed(df: DataFrame, column: str, scale: int) -> tuple[Column, int]:
+    """The column as a summable value, and the digits after the point that it has."""
+    kind = df.schema[column].dataType
+    digits = kind.scale if isinstance(kind, T.DecimalType) else 0 if isinstance(kind, T.IntegralType) else scale
+    return summable(F.col(f"`{column}`"), kind, scale), digits
+
+
 def reconcile_sums(
     left: DataFrame,
     right: DataFrame,
     columns: Sequence[str] | None = None,
     tolerance: Decimal | float = Decimal(0),
+    scale: int = SCALE,
 ) -> DataFrame:
-    """Sum of each numeric column per side, null-safe delta and verdict."""
+    """Sum of each numeric column per side, null-safe delta and verdict.
+
+    Decimals and whole numbers are summed in their own digits, floating-point
+    values with ``scale`` digits after the point; what does not fit 38 digits
+    stops the query.
+    """
     common, _, _ = align_columns(left, right)
     chosen = list(columns) if columns is not None else numeric_columns(left, common)
     if not chosen:
         raise ValueError("no common numeric column to sum")
     both = tagged_union(left, right, chosen)
     side = F.col("__left")
+    values = [_summed(both, c, scale) for c in chosen]
+    kind = f"decimal(38,{max(digits for _, digits in values)})"
     sums = both.agg(
-        *[F.sum(F.when(side, F.col(f"`{c}`").cast(_SUM_TYPE))).alias(f"__l{i}") for i, c in enumerate(chosen)],
-        *[F.sum(F.when(~side, F.col(f"`{c}`").cast(_SUM_TYPE))).alias(f"__r{i}") for i, c in enumerate(chosen)],
+        *[F.sum(F.when(side, v)).alias(f"__l{i}") for i, (v, _) in enumerate(values)],
+        *[F.sum(F.when(~side, v)).alias(f"__r{i}") for i, (v, _) in enumerate(values)],
     )
     limit = F.lit(Decimal(str(tolerance)))
     listed = []
     for i, c in enumerate(chosen):
-        lv, rv = F.col(f"__l{i}").cast(_SUM_TYPE), F.col(f"__r{i}").cast(_SUM_TYPE)
-        delta = (lv - rv).cast(_SUM_TYPE)
+        lv, rv = F.col(f"__l{i}").cast(kind), F.col(f"__r{i}").cast(kind)
+        delta = (lv - rv).cast(kind)
         listed.append(
             {
                 "column_name": F.lit(c),
@@ -234,22 +279,24 @@ def group_totals(
     by: Sequence[str],
     measure: str,
     tolerance: Decimal | float = Decimal(0),
+    scale: int = SCALE,
 ) -> DataFrame:
-    """Totals of ``measure`` per group on both sides with delta and verdict; one shuffle of partial sums."""
-    amount = F.col(f"`{measure}`").cast(_SUM_TYPE)
+    """Totals of ``measure`` per group on both sides with delta and verdict; one shuffle of partial sums.
+
+    Digits are kept as in ``reconcile_sums``.
+    """
+    both = tagged_union(left, right, [*by, measure])
+    amount, digits = _summed(both, measure, scale)
+    kind = f"decimal(38,{digits})"
     side = F.col("__left")
-    grouped = (
-        tagged_union(left, right, [*by, measure])
-        .groupBy(*[F.col(f"`{c}`") for c in by])
-        .agg(
-            F.count_if(side).alias("left_rows"),
-            F.count_if(~side).alias("right_rows"),
-            F.sum(F.when(side, amount)).cast(_SUM_TYPE).alias("left_total"),
-            F.sum(F.when(~side, amount)).cast(_SUM_TYPE).alias("right_total"),
-        )
+    grouped = both.groupBy(*[F.col(f"`{c}`") for c in by]).agg(
+        F.count_if(side).alias("left_rows"),
+        F.count_if(~side).alias("right_rows"),
+        F.sum(F.when(side, amount)).cast(kind).alias("left_total"),
+        F.sum(F.when(~side, amount)).cast(kind).alias("right_total"),
     )
     lv, rv = F.col("left_total"), F.col("right_total")
-    delta = (F.coalesce(lv, F.lit(0)) - F.coalesce(rv, F.lit(0))).cast(_SUM_TYPE)
+    delta = (F.coalesce(lv, F.lit(0)) - F.coalesce(rv, F.lit(0))).cast(kind)
     return grouped.withColumn("delta", delta).withColumn(
         "ok",
         (F.abs(F.col("delta")) <= F.lit(Decimal(str(tolerance)))) & (lv.isNull() == rv.isNull()),
@@ -379,22 +426,20 @@ def quality_report(name: str, left: DataFrame, right: DataFrame, spec: CompareSp
         F.coalesce(F.sum("golden_rows"), F.lit(0)).alias("row_count_left"),
         F.coalesce(F.sum("output_rows"), F.lit(0)).alias("row_count_right"),
         F.coalesce(F.sum(F.greatest(weight - 1, F.lit(0))), F.lit(0)).alias("key_duplicate_count"),
-        *[
-            F.count_if((weight > 0) & F.col("output")[c].isNull()).alias(f"__n{i}")
-            for i, c in enumerate(values)
-        ],
         *[F.count_if(F.col("differs")[c]).alias(f"__d{i}") for i, c in enumerate(values)],
-        F.count_if(weight > 0).alias("__keys"),
-    )
-    rates = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.try_divide(F.col(f"__n{i}"), F.col("__keys")).alias("null_rate"),
-            )
-            for i, c in enumerate(values)
-        ]
     )
+    # Rates are over rows, so they are counted before rows of one key meet.
+    rates = right.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    F.try_divide(F.count_if(F.col(f"`{c}`").isNull()), F.count(F.lit(1))).alias("null_rate"),
+                )
+                for c in values
+            ]
+        ).alias("rates")
+    ).scalar()
     worst = F.array(
         *[
             F.struct((-F.col(f"__d{i}")).alias("order"), F.lit(c).alias("column_name"), F.col(f"__d{i}").alias("mismatches"))

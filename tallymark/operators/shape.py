@@ -6,6 +6,26 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Digits after the point that sums of floating-point values keep; a value that does not fit stops the query.
+SCALE = 9
+
+
+def summable(column: Column, kind: T.DataType | None = None, scale: int = SCALE) -> Column:
+    """A value as a decimal whose sums do not depend on the order of the rows.
+
+    Whole numbers and decimals keep all their digits. Anything else is taken as
+    floating point and rounded to ``scale`` digits.
+    """
+    if isinstance(kind, T.DecimalType):
+        return column
+    if isinstance(kind, T.IntegralType):
+        return column.cast("decimal(20,0)")
+    wide = column.try_cast(f"decimal(38,{scale})")
+    lost = F.raise_error(F.concat(F.lit("no decimal of the wanted scale holds "), column.cast("string")))
+    return F.when(column.isNotNull() & wide.isNull(), lost.cast(f"decimal(38,{scale})")).otherwise(wide)
 
 
 def rows_from(df: DataFrame, rows: Sequence[Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:

@@ -196,10 +196,10 @@ def compare_anti_right(spark, sf_dir):
     with_fixtures(
         " UNION ALL ".join(
             f"""
-            SELECT '{c}' AS column_name, l AS left_sum, r AS right_sum, CAST(l - r AS DECIMAL(38,6)) AS delta,
+            SELECT '{c}' AS column_name, l AS left_sum, r AS right_sum, CAST(l - r AS DECIMAL(38,2)) AS delta,
                    abs(l - r) <= 1000 AS ok
-            FROM (SELECT (SELECT CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DECIMAL(38,6)) FROM golden) AS l,
-                         (SELECT CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DECIMAL(38,6)) FROM output) AS r) s"""
+            FROM (SELECT (SELECT CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DECIMAL(38,2)) FROM golden) AS l,
+                         (SELECT CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DECIMAL(38,2)) FROM output) AS r) s"""
             for c in ("id", "o_custkey", "amount")
         )
     ),
@@ -213,14 +213,14 @@ def compare_sums(spark, sf_dir):
     with_fixtures(
         """
         SELECT o_orderpriority, CAST(sum(l) AS BIGINT) AS left_rows, CAST(sum(r) AS BIGINT) AS right_rows,
-               CAST(sum(la) AS DECIMAL(38,6)) AS left_total, CAST(sum(ra) AS DECIMAL(38,6)) AS right_total,
-               CAST(coalesce(sum(la), 0) - coalesce(sum(ra), 0) AS DECIMAL(38,6)) AS delta,
+               CAST(sum(la) AS DECIMAL(38,2)) AS left_total, CAST(sum(ra) AS DECIMAL(38,2)) AS right_total,
+               CAST(coalesce(sum(la), 0) - coalesce(sum(ra), 0) AS DECIMAL(38,2)) AS delta,
                abs(coalesce(sum(la), 0) - coalesce(sum(ra), 0)) <= 0.01
                    AND (sum(la) IS NULL) = (sum(ra) IS NULL) AS ok
-        FROM (SELECT o_orderpriority, 1 AS l, 0 AS r, CAST(amount AS DECIMAL(38,6)) AS la,
-                     CAST(NULL AS DECIMAL(38,6)) AS ra FROM golden
+        FROM (SELECT o_orderpriority, 1 AS l, 0 AS r, CAST(amount AS DECIMAL(38,2)) AS la,
+                     CAST(NULL AS DECIMAL(38,2)) AS ra FROM golden
               UNION ALL
-              SELECT o_orderpriority, 0, 1, NULL, CAST(amount AS DECIMAL(38,6)) FROM output) b
+              SELECT o_orderpriority, 0, 1, NULL, CAST(amount AS DECIMAL(38,2)) FROM output) b
         GROUP BY o_orderpriority"""
     ),
 )
