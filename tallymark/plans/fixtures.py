@@ -10,14 +10,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.sources.readers import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
-_TEXT_TABLES = ("documents", "pages")
 
 FIXTURES = {
     "golden": """
@@ -226,7 +224,8 @@ FIXTURES = {
                       'spark.sql("""', chr(10), 'SELECT a, b, sum(c) AS s FROM x', CAST(p_size AS VARCHAR(10)), ' JOIN y', chr(10),
                       'ON x.i = y.i GROUP BY a', CASE WHEN p_size % 3 = 0 THEN ', b' ELSE '' END, '""")', chr(10),
                       'z = spark.sql(f"""SELECT 1 FROM {t}""")', chr(10),
-                      'v = PCS_ParameterSet["JpBusinessDate"] + GDM_ParamSet["K', CAST(p_size % 3 AS VARCHAR(10)), '"]', chr(10),
+                      'm = f"hello {z}"', chr(10),
+                      'v = RunParameterSet["BusinessDate"] + LoadParamSet["K', CAST(p_size % 3 AS VARCHAR(10)), '"]', chr(10),
                       'c_df.writeTo("db.out', CAST(p_size AS VARCHAR(10)), '").createOrReplace()', chr(10),
                       CASE WHEN p_partkey % 9 = 0 THEN concat('spark.sql("INSERT INTO db.out', CAST(p_size AS VARCHAR(10)), ' SELECT 1")', chr(10)) ELSE '' END,
                       CASE WHEN p_partkey % 8 = 0 THEN 'CASE WHEN STAT IN (''10'', ''40'') THEN 1 END' ELSE '# end' END) AS text
@@ -243,7 +242,7 @@ FIXTURES = {
         SELECT concat('export_', CAST(s_suppkey AS VARCHAR(20)), '.xml') AS path,
                concat('This file has no style information', chr(10), '<?xml version="1.0"?><DSExport><Job Identifier="', s_name, '">',
                       '<?xml version="1.0"?>',
-                      '<Collection Name="Parameters"><SubRecord><Property Name="Name">JpDate', CAST(s_nationkey AS VARCHAR(10)), '</Property>',
+                      '<Collection Name="Parameters"><SubRecord><Property Name="Name">RunDate', CAST(s_nationkey AS VARCHAR(10)), '</Property>',
                       '<Property Name="Default">a & b</Property><Property Name="Prompt">x <> y</Property></SubRecord></Collection>',
                       '<SubRecord Name="OutputColumn"><Property Name="Name">KEY_', CAST(s_suppkey AS VARCHAR(20)), '</Property><Property Name="SqlType">12</Property>',
                       '<Property Name="Nullable">0</Property></SubRecord>',
@@ -265,8 +264,7 @@ def _mentioned(sql: str, names) -> list[str]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(scan) if table in _TEXT_TABLES else scan
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

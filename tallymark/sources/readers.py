@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,31 +34,34 @@ def read_golden_csv(spark: SparkSession, path: str, schema: T.StructType | str |
     return reader.csv(path)
 
 
-def table_candidates(name: str, catalogs: Sequence[str] = ("hive_metastore", "spark_catalog"), default_database: str = "default") -> list[str]:
-    """Names to try for a table, from the name itself to catalog-qualified ones."""
-    name = name.strip()
-    dots = name.count(".")
-    if dots >= 2:
-        return [name]
-    if dots == 1:
-        return [name, *[f"{c}.{name}" for c in catalogs]]
-    return [
-        name,
-        f"{default_database}.{name}",
-        *[f"{c}.{default_database}.{name}" for c in catalogs],
-    ]
+# Catalogs and database to try for a name that does not say.
+CATALOGS = ("hive_metastore", "spark_catalog")
+DATABASE = "default"
 
 
-def resolve_table(spark: SparkSession, name: str, catalogs: Sequence[str] = ("hive_metastore", "spark_catalog"), default_database: str = "default") -> str:
+def table_candidates(name: str, catalogs: Sequence[str] = CATALOGS, default_database: str = DATABASE) -> list[str]:
+    """Names to try for a table: every choice of catalog and database that the name leaves open, plain ones first."""
+    given = name.strip().split(".")
+    databases = [(), (default_database,)] if len(given) == 1 else [()]
+    choices = product([(), *((c,) for c in catalogs)] if len(given) < 3 else [()], databases)
+    # A catalog is followed by a database, given or chosen.
+    return [".".join([*c, *d, *given]) for c, d in choices if not c or len(d) + len(given) > 1]
+
+
+def resolve_table(spark: SparkSession, name: str, catalogs: Sequence[str] = CATALOGS, default_database: str = DATABASE) -> str:
     """The first candidate that exists; asks the catalog only, reads no data."""
     tried = table_candidates(name, catalogs, default_database)
-    for candidate in tried:
-        try:
-            if spark.catalog.tableExists(candidate):
-                return candidate
-        except Exception:  # an unknown catalog in the name
-            continue
-    raise ValueError("table not found; tried: " + ", ".join(tried))
+    found = next((t for t in tried if _exists(spark, t)), None)
+    if found is None:
+        raise ValueError("table not found; tried: " + ", ".join(tried))
+    return found
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    try:
+        return spark.catalog.tableExists(name)
+    except AnalysisException:  # the name's catalog is not configured
+        return False
 
 
 def sql_source(
@@ -74,7 +79,7 @@ def sql_source(
     return cast_dataframe(spark.sql(text, args=dict(parameters), **(frames or {})), schema, strict)
 
 
-# Query of each extraction stage of the loan job, over frames or tables named in braces.
+# Query of each extraction stage of the loan job, over frames or tables named in braces.
 STAGE_QUERIES = {
     "V138S0": (
         "SELECT ACCT_NBR, NEW_CAPN_AMT, OLD_CAPN_AMT, ACTIVITY_CODE, SBSD_SCHEME_CD, IND_CODE, SUB_IND_CODE,"
@@ -104,12 +109,3 @@ def stage_query(stage: str) -> str:
     if stage not in STAGE_QUERIES:
         raise ValueError(f"unknown stage {stage!r}; known: {sorted(STAGE_QUERIES)}")
     return STAGE_QUERIES[stage]
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores; a scan with enough splits as it is.
-
-    Meant for text that is expensive per row; the argument has to be a plain scan.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import date, timedelta
+from hashlib import sha256
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,19 +111,19 @@ def write_summary(summary: DataFrame, path: str) -> str:
     return path
 
 
-def safe_file_name(text: str) -> str:
-    """Last path part with unusual characters replaced, at most 120 characters, never empty."""
-    last = (text or "").strip().replace("\\", "/").split("/")[-1]
-    return re.sub(r"[^a-zA-Z0-9_.-]+", "_", last)[:120] or "output"
+def capture_name(target: str) -> str:
+    """A folder name for the copy of a target: readable, and different for different targets."""
+    readable = re.sub(r"\W+", "_", target.strip()).strip("_")[-60:]
+    return f"{readable}-{sha256(target.strip().encode()).hexdigest()[:16]}"
+
+
+# Where captures of a job go.
+CAPTURE_LAYOUTS = {"job_request": "{root}/{job}/{request}", "job_only": "{root}/{job}", "flat": "{root}"}
 
 
 def capture_folder(root: str, job_path: str, request_id: str, layout: str = "job_request") -> str:
-    stem = re.sub(r"\.[^.]*$", "", job_path.rstrip("/").split("/")[-1]) or "job"
-    if layout == "job_request":
-        return f"{root}/{stem}/{request_id or 'run'}"
-    if layout == "job_only":
-        return f"{root}/{stem}"
-    return root
+    job = PurePosixPath(job_path).stem or "job"
+    return CAPTURE_LAYOUTS[layout].format(root=root, job=job, request=request_id or "run")
 
 
 def tee_write(
@@ -132,19 +134,19 @@ def tee_write(
     mode: str = "overwrite",
     capture_format: str = "parquet",
 ) -> bool:
-    """Write ``df`` and keep a copy under ``capture``.
+    """Write ``df`` and keep a copy of what was written under ``capture``, named by the whole target.
 
-    The copy reads the files just written, so the plan of ``df`` runs once and
-    nothing is cached. A failed copy never fails the job; the result tells
-    whether the copy was made.
+    Both writes read one stored result, so the plan of ``df`` runs once and the
+    copy holds this batch only, also when the target is appended to. A failed
+    copy never fails the job; the result tells whether the copy was made.
     """
-    df.write.format(fmt).mode(mode).save(target)
+    batch = stored(df)
+    batch.write.format(fmt).mode(mode).save(target)
     try:
-        written = df.sparkSession.read.format(fmt).schema(df.schema).load(target)
-        writer = written.write.mode("overwrite")
+        writer = batch.write.mode("overwrite")
         if capture_format == "csv":
             writer = writer.option("header", True)
-        writer.format(capture_format).save(f"{capture}/{safe_file_name(target)}")
+        writer.format(capture_format).save(f"{capture}/{capture_name(target)}")
         return True
     except Exception:
         return False

@@ -120,7 +120,12 @@ def test_tee(spark, tmp_path):
     assert sinks.capture_folder("x", "/j/a.py", "r", "job_only") == "x/a"
     assert sinks.capture_folder("x", "/j/a.py", "r", "flat") == "x"
     assert sinks.tee_write(df, f"{tmp_path}/out data", capture)
-    assert spark.read.parquet(f"{capture}/out_data").count() == 4
+    assert spark.read.parquet(f"{capture}/{sinks.capture_name(f'{tmp_path}/out data')}").count() == 4
+    assert sinks.tee_write(df, f"{tmp_path}/other/out data", capture)
+    assert sinks.tee_write(spark.range(2), f"{tmp_path}/out data", capture, mode="append")
+    assert spark.read.parquet(f"{tmp_path}/out data").count() == 6
+    assert spark.read.parquet(f"{capture}/{sinks.capture_name(f'{tmp_path}/out data')}").count() == 2
+    assert spark.read.parquet(f"{capture}/{sinks.capture_name(f'{tmp_path}/other/out data')}").count() == 4
     assert not sinks.tee_write(df, f"{tmp_path}/out2", "nosuchscheme://x")
     assert spark.read.parquet(f"{tmp_path}/out2").count() == 4
 
