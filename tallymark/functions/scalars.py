@@ -99,7 +99,7 @@ def domain_of(path: Column) -> Column:
     part = F.filter(F.split(path, "/"), lambda p: p.startswith("domain") | p.contains("_"))
     spaced = F.regexp_replace(F.get(part, F.lit(0)), r"[-_]", " ")
     return (
-        F.when(word != "", F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1000)))
+        F.when(word != "", F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2))))
         .when(spaced.isNotNull(), F.initcap(spaced))
         .otherwise(F.lit("Unknown"))
     )
@@ -107,9 +107,10 @@ def domain_of(path: Column) -> Column:
 
 def safe_name(text: Column) -> Column:
     """Last path part with unusual characters replaced, at most 120 characters, never empty."""
-    last = F.regexp_extract(F.replace(F.trim(text), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
-    cleaned = F.left(F.regexp_replace(last, r"[^a-zA-Z0-9_.-]+", "_"), F.lit(120))
-    return F.when(F.coalesce(cleaned, F.lit("")) == "", F.lit("output")).otherwise(cleaned)
+    name = F.element_at(F.split(F.trim(text), r"[/\\\\]", -1), -1)
+    plain = F.regexp_replace(name, r"[^\w.-]+", "_")
+    # The longest name, and the name of nothing.
+    return F.coalesce(F.nullif(F.substring(plain, 1, 120), F.lit("")), F.lit("output"))
 
 
 def strip_export_escapes(text: Column) -> Column:

@@ -7,12 +7,11 @@ column conditions inside one projection, so a corpus is scanned once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark.functions.scalars import complexity_level
 from tallymark.operators.shape import explode_present
@@ -167,7 +166,7 @@ def usage_findings(corpus: DataFrame) -> DataFrame:
         lines(corpus),
         [
             (
-                (line.contains("spark.sql") & line.contains('f"""')) | line.contains("f'''") | line.contains('f"'),
+                line.contains("spark.sql") & line.rlike("""\\bf("|''')"""),
                 _finding("sql_fstring", "WARNING", "f-string in spark.sql()", "Use query parameters"),
             ),
             (
@@ -241,14 +240,10 @@ def uncached_reuse(corpus: DataFrame, least: int = 3) -> DataFrame:
 
 # --- embedded SQL ----------------------------------------------------------
 
-# The six ways a SQL text is passed.
-SQL_CALLS = (
-    r'spark\.sql\s*\(\s*"""(.*?)"""',
-    r"spark\.sql\s*\(\s*'''(.*?)'''",
-    r'spark\.sql\s*\(\s*"([^"]*)"',
-    r"spark\.sql\s*\(\s*'([^']*)'",
-    r'spark\.sql\s*\(\s*f"""(.*?)"""',
-    r"spark\.sql\s*\(\s*f'''(.*?)'''",
+# The six ways a SQL text is passed are a call with a text in three double or single quotes, plain or
+# formatted, or in one double or single quote.
+_SQL_CALL = (
+    r'(?s)spark\.sql\s*\(\s*(?:f?"""(.*?)"""|f?\'\'\'(.*?)\'\'\'|"([^"]*)"|\'([^\']*)\')'
 )
 
 
@@ -257,32 +252,28 @@ def _newlines(text: Column) -> Column:
 
 
 def sql_statements(corpus: DataFrame) -> DataFrame:
-    """SQL texts passed to ``spark.sql`` with the line of the call; ``templated`` marks texts with braces."""
+    """SQL texts passed to ``spark.sql`` with the line of the call; ``templated`` marks texts with braces.
+
+    A file is cut at its calls; the lines before a call are added up over the
+    pieces, so each part of a text is looked at once.
+    """
     text = F.col("text")
+    cut = corpus.where(text.contains("spark.sql")).select(
+        "path", F.regexp_extract_all(text, F.lit(_SQL_CALL), F.lit(0)).alias("calls"), F.split(text, _SQL_CALL, -1).alias("between")
+    )
+    breaks = F.zip_with("between", "calls", lambda gap, call: F.struct(_newlines(gap).alias("gap"), _newlines(call).alias("call"), call.alias("whole")))
+    first = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,whole:string>>").alias("found"))
 
-    def place(found: Column, call: Column) -> Column:
-        # A call is searched from the end of the call before it, so repeated texts keep their own lines.
-        start = F.call_function("locate", call["whole"], text, found["next"])
-        entry = F.struct((_newlines(F.substr(text, F.lit(1), start)) + 1).alias("line"), call["body"].alias("body"))
-        return F.struct(
-            (start + F.length(call["whole"])).alias("next"), F.array_append(found["calls"], entry).alias("calls")
-        )
+    def place(so_far: Column, piece: Column) -> Column:
+        line = so_far["line"] + piece["gap"]
+        entry = F.struct(line.alias("line"), piece["whole"].alias("whole"))
+        return F.struct((line + piece["call"]).alias("line"), F.array_append(so_far["found"], entry).alias("found"))
 
-    placed = []
-    for call in SQL_CALLS:
-        pattern = F.lit("(?s)" + call)
-        calls = F.arrays_zip(
-            F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"),
-            F.regexp_extract_all(text, pattern, F.lit(1)).alias("body"),
-        )
-        none = F.struct(
-            F.lit(1).alias("next"), F.array().cast("array<struct<line:int,body:string>>").alias("calls")
-        )
-        placed.append(F.aggregate(calls, none, place)["calls"])
+    with_calls = F.filter(breaks, lambda piece: piece["whole"].isNotNull())
+    calls = cut.select("path", F.explode(F.aggregate(with_calls, first, place)["found"]).alias("call"))
+    body = F.concat(*[F.regexp_extract("call.whole", _SQL_CALL, i) for i in (1, 2, 3, 4)])
     return (
-        corpus.where(text.contains("spark.sql"))
-        .select("path", F.explode(F.flatten(F.array(*placed))).alias("call"))
-        .select("path", "call.line", stripped(F.col("call.body")).alias("statement"))
+        calls.select("path", "call.line", stripped(body).alias("statement"))
         .where(F.col("statement") != "")
         .withColumn("templated", F.col("statement").contains("{") & F.col("statement").contains("}"))
     )
@@ -320,63 +311,58 @@ def table_lineage(statements: DataFrame) -> DataFrame:
     return statements.select("path", F.explode(found).alias("table_name")).distinct()
 
 
-def _split_top_level(text: str) -> list[str]:
-    """Items of a comma-separated SQL list; commas inside parentheses do not split."""
-    items, depth, start = [], 0, 0
-    for i, ch in enumerate(text):
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth = max(0, depth - 1)
-        elif ch == "," and depth == 0:
-            items.append(text[start:i].strip())
-            start = i + 1
-    items.append(text[start:].strip())
-    return [item for item in items if item]
+# Functions whose call makes an expression an aggregate, and what a literal starts with.
+_AGGREGATES = r"(?i)(sum|count|avg|min|max|collect_list|collect_set|stddev|variance)\("
+_LITERAL = r"""^(\d+(\.\d+)?$|'|")"""
+# The selected list and the grouped list of a statement; a grouped list ends at the next clause.
+_GROUPED_QUERY = r"(?is)select\s+(.*?)\s+from\s.*?\sgroup\s+by\s+(.*?)(?:\s+(?:having|order\s+by|limit|qualify)\s.*)?$"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _list_items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(_split_top_level)
+def _listed(text: Column) -> Column:
+    """Entries of a comma-separated list. A piece between commas belongs to the entry before it while that has open brackets."""
+    none = F.struct(F.array().cast("array<string>").alias("entries"), F.lit(0).alias("open"))
 
+    def add(so_far: Column, piece: Column) -> Column:
+        entries = so_far["entries"]
+        joined = F.concat(
+            F.slice(entries, F.lit(1), F.size(entries) - 1), F.array(F.concat_ws(",", F.element_at(entries, -1), piece))
+        )
+        brackets = F.regexp_count(piece, F.lit(r"\(")) - F.regexp_count(piece, F.lit(r"\)"))
+        return F.struct(
+            F.when(so_far["open"] > 0, joined).otherwise(F.array_append(entries, piece)).alias("entries"),
+            F.greatest(so_far["open"] + brackets, F.lit(0)).alias("open"),
+        )
 
-_AGGREGATES = r"(?i)(sum|count|avg|min|max|collect_list|collect_set|stddev|variance)\("
+    entries = F.transform(F.aggregate(F.split(text, ","), none, add)["entries"], lambda x: F.trim(x))
+    return F.filter(entries, lambda x: x != "")
 
 
 def group_by_findings(statements: DataFrame) -> DataFrame:
-    """Selected expressions that are neither aggregated, nor literals, nor grouped.
-
-    Only statements with a GROUP BY reach Python, and there only the list splitting runs.
-    """
-    flat = F.trim(F.regexp_replace("statement", r"\s+", " "))
-    low = F.lower(flat)
-    rows = statements.select("path", "line", flat.alias("q"), low.alias("low")).where(
-        F.col("low").contains("select ") & F.col("low").contains(" from ") & F.col("low").contains(" group by ")
-    )
-    q = F.col("q")
-    start = F.locate("select ", F.col("low"), 1) + F.lit(7)
-    selected = F.substr(q, start, F.greatest(F.locate(" from ", F.col("low"), 1) - start, F.lit(0)))
-    after = F.substr(q, F.locate(" group by ", F.col("low"), 1) + F.lit(10))
-    grouped = F.regexp_replace(after, r"(?i) (having|order by|limit|qualify) .*$", "")
-    parts = rows.select("path", "line", _list_items(selected).alias("items"), _list_items(grouped).alias("groups"))
+    """Selected expressions that are neither aggregated, nor literals, nor grouped."""
 
     def plain(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.trim(x), r"^`+|`+$", ""), r"\s+", " ")
+        return F.regexp_replace(F.trim(F.trim(x), F.lit("`")), r"\s+", " ")
 
-    literal = r"""^(\d+(\.\d+)?$|'|")"""
-    candidates = F.filter("items", lambda x: ~x.rlike(_AGGREGATES) & ~x.rlike(literal))
-    names = F.transform(candidates, lambda x: plain(F.regexp_replace(x, r"(?i)\s+as\s+.*$", "")))
-    loose = F.array_sort(F.array_except(F.array_distinct(names), F.transform("groups", plain)))
-    return parts.select(
+    def clause(i: int) -> Column:
+        return F.regexp_replace(F.regexp_extract(F.trim("statement"), _GROUPED_QUERY, i), r"\s+", " ")
+
+    lists = statements.where(F.trim("statement").rlike(_GROUPED_QUERY)).select(
+        "path", "line", F.xxhash64("statement").alias("which"), _listed(clause(1)).alias("selected"), F.transform(_listed(clause(2)), plain).alias("grouped")
+    )
+    entries = lists.select("path", "line", "which", "grouped", F.explode("selected").alias("entry")).where(
+        ~F.col("entry").rlike(_AGGREGATES) & ~F.col("entry").rlike(_LITERAL)
+    )
+    name = plain(F.regexp_replace("entry", r"(?i)\s+as\s.*$", ""))
+    loose = entries.withColumn("name", name).where(~F.array_contains("grouped", F.col("name")))
+    per_statement = loose.groupBy("path", "line", "which").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return per_statement.select(
         "path",
         "line",
         F.lit("group_by_mismatch").alias("rule"),
         F.lit("ERROR").alias("severity"),
-        F.concat(F.lit("Not aggregated and not grouped: "), F.array_join(loose, ", ")).alias("message"),
+        F.concat(F.lit("Not aggregated and not grouped: "), F.array_join("names", ", ")).alias("message"),
         F.lit("Group by the columns or aggregate them").alias("suggestion"),
-        F.size(loose).alias("__n"),
-    ).where(F.col("__n") > 0).drop("__n")
+    )
 
 
 def duplicate_writes(corpus: DataFrame) -> DataFrame:
@@ -406,6 +392,7 @@ def parameter_keys(corpus: DataFrame) -> DataFrame:
 
 def code_metrics(corpus: DataFrame) -> DataFrame:
     """Line counts and counts of calls, frames and source tables per file, without exploding the text."""
+    # The patterns that are counted.
     text = F.col("text")
     trimmed = F.transform(F.split(text, "\n", -1), stripped)
 
@@ -469,14 +456,14 @@ def ddl_statements(corpus: DataFrame) -> DataFrame:
 
 
 def usable_rules(corpus: DataFrame, rules: Sequence[TextRule]) -> tuple[list[TextRule], list[TextRule]]:
-    """Rules whose pattern Spark accepts, and the others; tries each on an empty text, reads no corpus."""
+    """Rules whose pattern the engine's regular expressions accept, and the others; runs no job."""
+    compile_ = corpus.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
     good, bad = [], []
-    one = corpus.sparkSession.range(1)
     for rule in rules:
         try:
-            one.select(F.lit("").rlike(rule.pattern)).collect()
+            compile_(rule.pattern)
             good.append(rule)
-        except Exception:
+        except IllegalArgumentException:
             bad.append(rule)
     return good, bad
 

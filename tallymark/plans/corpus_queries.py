@@ -8,7 +8,6 @@ from tallymark.operators import corpus as c
 from tallymark.plans.fixtures import fixture, read, run_sql, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.sources import corpora
-from tallymark.sources.readers import spread
 from tallymark.specs import TextRule
 
 _LINES = """lines AS (SELECT path, unnest(string_split(text, chr(10))) AS content,
@@ -16,7 +15,7 @@ _LINES = """lines AS (SELECT path, unnest(string_split(text, chr(10))) AS conten
 
 
 def _code(spark, sf_dir):
-    return spread(fixture(spark, sf_dir, "code"))
+    return fixture(spark, sf_dir, "code")
 
 
 @query(
@@ -174,8 +173,8 @@ def corpus_duplicate_writes(spark, sf_dir):
 @query(
     "corpus_parameter_keys",
     with_fixtures(
-        "SELECT path, 'PCS_ParameterSet' AS parameter_set, 'JpBusinessDate' AS key FROM code UNION ALL"
-        " SELECT path, 'GDM_ParamSet', regexp_extract(text, 'GDM_ParamSet\\[\"(K[0-9])', 1) FROM code"
+        "SELECT path, 'RunParameterSet' AS parameter_set, 'BusinessDate' AS key FROM code UNION ALL"
+        " SELECT path, 'LoadParamSet', regexp_extract(text, 'LoadParamSet\\[\"(K[0-9])', 1) FROM code"
     ),
 )
 def corpus_parameter_keys(spark, sf_dir):
@@ -300,7 +299,7 @@ def markup_expected_schema(spark, sf_dir):
 
 @query(
     "markup_parameters",
-    f"SELECT {_EXPORT}, concat('JpDate', CAST(s_nationkey AS VARCHAR)) AS name, 'a & b' AS default_value, 'x <> y' AS prompt FROM supplier",
+    f"SELECT {_EXPORT}, concat('RunDate', CAST(s_nationkey AS VARCHAR)) AS name, 'a & b' AS default_value, 'x <> y' AS prompt FROM supplier",
 )
 def markup_parameters(spark, sf_dir):
     return corpora.export_parameters(fixture(spark, sf_dir, "exports"))

@@ -77,7 +77,7 @@ def test_text_helpers(spark):
     assert one(spark, s.append_if_absent(F.array(F.lit("a")), F.lit("b"))) == ["a", "b"]
     assert one(spark, s.lenient_bool(F.lit(" Yes "))) is True
     assert one(spark, s.lenient_bool(F.lit(None).cast("string"), True)) is True
-    assert one(spark, s.default_for_key(F.lit("JpBusinessDate"))) == "1970-01-01"
+    assert one(spark, s.default_for_key(F.lit("RunBusinessDate"))) == "1970-01-01"
     assert one(spark, s.strip_export_escapes(F.lit("(2)(10)/out.txt "))) == "/out.txt"
     assert one(spark, s.source_type(F.lit("3"), F.lit(None).cast("string"), F.lit("2"))) == "decimal(38,2)"
 
