@@ -310,7 +310,10 @@ def merge_into(target: str, changes: DataFrame, keys: Sequence[str]) -> None:
 
 
 def change_history(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Added, removed and changed keys of two snapshots, one row per changed column with old and new value."""
+    """Added, removed and changed keys of two snapshots, one row per changed column with old and new value.
+
+    An added or removed key whose columns are all NULL is one row without a column name.
+    """
     named = [F.col(f"`{k}`") for k in keys]
     packed = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
     both = before.select(*named, packed.alias("r"), F.lit(True).alias("old")).union(
@@ -332,6 +335,10 @@ def change_history(before: DataFrame, after: DataFrame, keys: Sequence[str], col
         }
         for c in columns
     ]
+    empty = reduce(lambda a, b: a & b, [F.col(s)[c].isNull() for s in ("a", "b") for c in columns])
+    bare = empty & ~(F.col("was") & F.col("stays"))
+    nothing = F.lit(None).cast("string")
+    listed.append({"change": F.when(bare, kind), "column_name": nothing, "previous_value": nothing, "new_value": nothing})
     return rows_from(paired, listed, keep=list(keys)).where(
-        ~F.col("previous_value").eqNullSafe(F.col("new_value"))
+        ~F.col("previous_value").eqNullSafe(F.col("new_value")) | (F.col("column_name").isNull() & F.col("change").isNotNull())
     )

@@ -12,13 +12,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.operators.shape import explode_present, rows_from, tagged_union
+from tallymark.operators.shape import SCALE, explode_present, rows_from, tagged_union
+from tallymark.session import stored
 from tallymark.specs import PENALTIES, Rule
 
 # --- profiles --------------------------------------------------------------
@@ -75,9 +76,20 @@ def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float], bi
     equal bins and narrows every range to the smallest and largest value of its
     bin, until a range is a single value. A pass is one grouped count with few
     groups, so no task orders or holds the column; the driver sees one row per
-    wanted rank. Two or three passes are usual.
+    wanted rank. Two or three passes are usual. The column is stored once for them.
+
+    Floating-point columns give doubles; whole numbers and decimals are compared
+    in their own type and give decimals.
     """
-    values = df.select(F.col(f"`{column}`").cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    kind = df.schema[column].dataType
+    floating = not isinstance(kind, (T.IntegralType, T.DecimalType))
+    v = F.col("v")
+    if floating:
+        values = df.select(F.col(f"`{column}`").cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    else:
+        own = "decimal(20,0)" if isinstance(kind, T.IntegralType) else kind
+        values = df.select(F.col(f"`{column}`").cast(own).alias("v")).where(v.isNotNull())
+    values = stored(values)
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     positions = [f * (n - 1) for f in fractions] if n else []
     ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
@@ -86,11 +98,13 @@ def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float], bi
         opened = sorted({b for b in ranges.values() if b[0] < b[1]})
         if not opened:
             break
-        v, place, cell = F.col("v"), F.lit(None).cast("int"), F.lit(None).cast("int")
+        place, cell = F.lit(None).cast("int"), F.lit(None).cast("int")
         for i, (lo, hi, _) in enumerate(opened):
             inside = v.between(lo, hi)
-            # Halves keep the width of a very wide range finite.
-            share = (v * 0.5 - lo * 0.5) / F.lit(hi * 0.5 - lo * 0.5)
+            if floating:  # halves keep the width of a very wide range finite
+                share = (v * 0.5 - lo * 0.5) / F.lit(hi * 0.5 - lo * 0.5)
+            else:  # differences are exact, so two values never fall together while they differ by the whole range
+                share = (v - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
             place = F.when(inside, i).otherwise(place)
             cell = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")).otherwise(cell)
         counted = (
@@ -120,9 +134,16 @@ def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float], bi
     rows = []
     for f, p in zip(fractions, positions):
         lower, upper = ranges[math.floor(p)][0], ranges[math.ceil(p)][0]
-        rows.append((float(f), lower + (p - math.floor(p)) * (upper - lower)))
+        part = p - math.floor(p)
+        rows.append((float(f), lower + (part if floating else Decimal(str(round(part, 9)))) * (upper - lower)))
     rows += [(float(f), None) for f in fractions] if not n else []
-    return df.sparkSession.createDataFrame(rows, "fraction double, value double")
+    if floating:
+        return df.sparkSession.createDataFrame(rows, "fraction double, value double")
+    scale = min(38, max(SCALE, kind.scale if isinstance(kind, T.DecimalType) else 0))
+    with localcontext() as exact:
+        exact.prec = 60
+        rows = [(f, None if x is None else x.quantize(Decimal(1).scaleb(-scale))) for f, x in rows]
+    return df.sparkSession.createDataFrame(rows, f"fraction double, value decimal(38,{scale})")
 
 
 def approximate_percentiles(df: DataFrame, column: str, fractions: Sequence[float], accuracy: int = 10_000) -> DataFrame:

@@ -327,13 +327,11 @@ def etl_business_date(spark, sf_dir):
 @query(
     "etl_search",
     "SELECT p_partkey FROM part WHERE (lower(p_name) LIKE '%ma%' OR lower(p_brand) LIKE '%ma%')"
-    " AND p_size >= 10 AND p_type < 'L'",
+    " AND p_size >= 10",
 )
 def etl_search(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    return project.search(part, "MA", ["p_name", "p_brand"], at_least={"p_size": 10}).where("p_type < 'L'").select(
-        "p_partkey"
-    )
+    return project.search(part, "MA", ["p_name", "p_brand"], at_least={"p_size": 10}).select("p_partkey")
 
 
 @query(
@@ -542,7 +540,7 @@ def etl_fingerprint(spark, sf_dir):
 def etl_event_functions(spark, sf_dir):
     kind, as_of = F.col("event_type"), F.lit(datetime(2024, 2, 1)).cast("timestamp")
     flag = F.when(kind == "click", " Yes").when(kind == "view", "TRUE").otherwise("off")
-    name = F.when(kind == "view", "JpBusinessDate").when(kind == "click", "run_FLAG").otherwise("other")
+    name = F.when(kind == "view", "RunBusinessDate").when(kind == "click", "run_FLAG").otherwise("other")
     tags = s.append_if_absent(F.array(F.lit("error"), F.lit("x")), kind)
     return read(spark, sf_dir, "events").select(
         "event_id",

@@ -175,7 +175,7 @@ def ev_admission(spark, sf_dir):
 def _window(width: str) -> str:
     return (
         f"SELECT time_bucket(INTERVAL {width}, ts) AS window_start, event_type, count(*) AS n,"
-        " CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
+        " CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
     )
 
 
@@ -188,7 +188,7 @@ def ev_tumbling(spark, sf_dir):
 
 
 SLIDING_SQL = """
-    SELECT w AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total
+    SELECT w AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) AS total
     FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * unnest([0, 1, 2]) AS w FROM events) x GROUP BY 1, 2"""
 
 

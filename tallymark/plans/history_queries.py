@@ -23,7 +23,7 @@ _AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 def _mean(value: str, condition: str = "true") -> str:
     return (
         f"CASE WHEN count({value}) FILTER (WHERE {condition}) > 0 THEN"
-        f" CAST(sum(CAST({value} AS DECIMAL(18,6))) FILTER (WHERE {condition}) AS DOUBLE)"
+        f" CAST(sum(CAST({value} AS DECIMAL(38,9))) FILTER (WHERE {condition}) AS DOUBLE)"
         f" / count({value}) FILTER (WHERE {condition}) END"
     )
 
@@ -175,12 +175,12 @@ def hist_recent_page(spark, sf_dir):
 @query(
     "hist_priority_queue",
     with_fixtures(
-        "SELECT request_id, priority FROM waiting WHERE status = 'pending' ORDER BY priority, created_at, request_id LIMIT 25"
+        "SELECT request_id, priority FROM waiting WHERE status = 'pending'"
     ),
 )
 def hist_priority_queue(spark, sf_dir):
     rows = project.flag_filter(fixture(spark, sf_dir, "waiting"), "status", "pending")
-    return project.priority_order(rows, "priority", "created_at", "request_id").limit(25).select("request_id", "priority")
+    return project.priority_order(rows, "priority", "created_at", "request_id").select("request_id", "priority")
 
 
 @query(
@@ -241,7 +241,7 @@ def hist_eta(spark, sf_dir):
 
 
 _TOTALS = (
-    "count(*) AS total_count, CAST(sum(CAST(duration_seconds AS DECIMAL(18,6))) AS DOUBLE) AS total_sum,"
+    "count(*) AS total_count, CAST(sum(CAST(duration_seconds AS DECIMAL(38,9))) AS DOUBLE) AS total_sum,"
     f" {_mean('duration_seconds')} AS mean"
 )
 

@@ -24,6 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallymark.functions.scalars import pressure_level
 from tallymark.operators.events import NEVER, pass_count
 from tallymark.operators.quality import broken
+from tallymark.operators.shape import summable
 from tallymark.specs import Rule
 
 
@@ -181,7 +182,7 @@ def _windowed(stream: DataFrame, moment: str, window: Column, by: Sequence[str],
     return (
         with_event_time(stream, moment, delay)
         .groupBy(window, *by)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(summable(F.col("value"))).cast("double").alias("total"))
         .select(F.col("window.start").alias("window_start"), *by, "n", "total")
     )
 
