@@ -1,12 +1,30 @@
-"""Session helpers: reliable lineage cuts."""
+"""Session helpers: reliable lineage cuts and delivery of the package."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of the session, once, so that Python operators run wherever a task runs."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tallymark-package-")) / "tallymark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, str(Path(home.name) / source.relative_to(home)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate results.
