@@ -11,14 +11,14 @@ from tallymark.operators.windows import running_sum
 from tallymark.plans.fixtures import fixture, read, with_fixtures
 from tallymark.plans.registry import query
 
-_HOUR_US = 3_600_000_000
+HOUR_US = 3_600_000_000
 
 
 def _events(spark, sf_dir):
     return read(spark, sf_dir, "events")
 
 
-def _greedy(key: str, hours: int) -> str:
+def greedy(key: str, hours: int) -> str:
     """Walk each key: the next kept event is the first at least ``hours`` after the last kept one."""
     return f"""
         WITH RECURSIVE kept AS (
@@ -29,13 +29,13 @@ def _greedy(key: str, hours: int) -> str:
         SELECT e.event_id, e.{key}, e.ts FROM events e JOIN kept ON e.{key} = kept.k AND e.ts = kept.ts"""
 
 
-@query("ev_dedup_window", _greedy("user_id", 6))
+@query("ev_dedup_window", greedy("user_id", 6))
 def ev_dedup_window(spark, sf_dir):
     kept = e.dedup_window(_events(spark, sf_dir), F.col("user_id"), "ts", "event_id", 6 * 3600)
     return kept.select("event_id", "user_id", "ts")
 
 
-@query("ev_throttle", _greedy("event_type", 3))
+@query("ev_throttle", greedy("event_type", 3))
 def ev_throttle(spark, sf_dir):
     # Five keys hold all events; more slices than keys make them cross the borders even for this little data.
     kept = e.throttle(
@@ -44,22 +44,24 @@ def ev_throttle(spark, sf_dir):
     return kept.select("event_id", "event_type", "ts")
 
 
-@query(
-    "ev_token_bucket",
-    f"""
+def token_walk() -> str:
+    """Decisions of a bucket of three tokens that gains one every two hours, per user."""
+    return f"""
     WITH RECURSIVE o AS (
         SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     walk AS (
-        SELECT event_id, user_id, rn, true AS accepted, CAST(NULL AS DOUBLE) AS wait_seconds, t + {2 * _HOUR_US} AS free FROM o WHERE rn = 1
+        SELECT event_id, user_id, rn, true AS accepted, CAST(NULL AS DOUBLE) AS wait_seconds, t + {2 * HOUR_US} AS free FROM o WHERE rn = 1
         UNION ALL
-        SELECT o.event_id, o.user_id, o.rn, w.free <= o.t + {4 * _HOUR_US},
-               CASE WHEN w.free > o.t + {4 * _HOUR_US} THEN (w.free - {4 * _HOUR_US} - o.t) / 1000000.0::DOUBLE END,
-               CASE WHEN w.free <= o.t + {4 * _HOUR_US} THEN greatest(w.free, o.t) + {2 * _HOUR_US} ELSE w.free END
+        SELECT o.event_id, o.user_id, o.rn, w.free <= o.t + {4 * HOUR_US},
+               CASE WHEN w.free > o.t + {4 * HOUR_US} THEN (w.free - {4 * HOUR_US} - o.t) / 1000000.0::DOUBLE END,
+               CASE WHEN w.free <= o.t + {4 * HOUR_US} THEN greatest(w.free, o.t) + {2 * HOUR_US} ELSE w.free END
         FROM walk w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
-    SELECT event_id, accepted, wait_seconds FROM walk""",
-)
+    SELECT event_id, accepted, wait_seconds FROM walk"""
+
+
+@query("ev_token_bucket", token_walk())
 def ev_token_bucket(spark, sf_dir):
-    decided = e.token_bucket(_events(spark, sf_dir), F.col("user_id"), "ts", "event_id", 2 * _HOUR_US, 3)
+    decided = e.token_bucket(_events(spark, sf_dir), F.col("user_id"), "ts", "event_id", 2 * HOUR_US, 3)
     return decided.select("event_id", "accepted", "wait_seconds")
 
 

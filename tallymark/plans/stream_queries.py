@@ -1,22 +1,55 @@
-"""Registered streaming queries: the event table as a stream, run to its end."""
+"""Registered streaming queries: the events as a stream of several files, run to its end.
+
+The events are staged as files in time order and read one file per trigger.
+Files with a far later event at the end let the watermark pass every event.
+"""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallymark.plans.event_queries import SLIDING_SQL, TUMBLING_SQL
-from tallymark.plans.fixtures import read
+from tallymark.plans.event_queries import HOUR_US, SLIDING_SQL, TUMBLING_SQL, greedy, token_walk
+from tallymark.plans.fixtures import fixture, read, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.session import fresh_path
 from tallymark.specs import Rule
 from tallymark.streaming import events as live
 
+_FILES = 3
+_END = datetime(2100, 1, 1)
+
+
+def _staged(events: DataFrame, moment: str = "ts") -> DataFrame:
+    """The rows as a stream: one file set per part of the time span, then two marks that end it."""
+    spark, folder = events.sparkSession, fresh_path(events.sparkSession)
+    when = F.unix_micros(F.col(moment).cast("timestamp"))
+    first, last = events.agg(F.min(when), F.max(when)).first()
+    part = F.least(F.floor((when - first) * F.lit(_FILES) / F.lit(last - first + 1)), F.lit(_FILES - 1))
+    for i in range(_FILES):
+        events.where(part == i).write.parquet(f"{folder}/{i}")
+    kind = events.schema[moment].dataType
+    for i in range(2):
+        end = spark.range(1).select(
+            *[(F.lit(_END.replace(year=_END.year + i)) if f.name == moment else F.lit(None)).cast(kind if f.name == moment else f.dataType).alias(f.name) for f in events.schema.fields]
+        )
+        end.write.parquet(f"{folder}/{_FILES + i}")
+    return (
+        spark.readStream.schema(events.schema)
+        .option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", _FILES_PER_TRIGGER)
+        .parquet(folder)
+    )
+
+
+#: A part may be several files; a trigger takes a few of them, in the order they were written.
+_FILES_PER_TRIGGER = 4
+
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _staged(read(spark, sf_dir, "events"))
 
 
 def _finished(stream: DataFrame) -> DataFrame:
@@ -24,16 +57,25 @@ def _finished(stream: DataFrame) -> DataFrame:
     return live.run_available(stream, fresh_path(spark), fresh_path(spark))
 
 
+def _plain(done: DataFrame, *columns: str) -> DataFrame:
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def _ended(done: DataFrame, column: str) -> DataFrame:
+    """Without the marks."""
+    return done.where(F.col(column) < F.lit(_END).cast(done.schema[column].dataType))
+
+
 @query("stream_tumbling", TUMBLING_SQL)
 def stream_tumbling(spark, sf_dir):
     done = _finished(live.tumbling_metrics(_stream(spark, sf_dir), "ts", "1 minute", ["event_type"]))
-    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _plain(_ended(done, "window_start"), "window_start")
 
 
 @query("stream_sliding", SLIDING_SQL)
 def stream_sliding(spark, sf_dir):
     done = _finished(live.sliding_metrics(_stream(spark, sf_dir), "ts", "3 hours", "1 hour", ["event_type"]))
-    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _plain(done.where("event_type is not null"), "window_start")
 
 
 @query(
@@ -43,19 +85,68 @@ def stream_sliding(spark, sf_dir):
         SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
         FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))
                              <= 7200000000 THEN 0 ELSE 1 END AS s FROM events) x)
-    SELECT user_id, min(ts) AS first_event, max(ts) + INTERVAL 2 HOUR AS flush_at, count(*) AS events,
-           array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths
+    SELECT user_id, min(ts) AS first_event, max(ts) + INTERVAL 2 HOUR AS flush_at, count(*) AS events
     FROM sessions GROUP BY user_id, session""",
 )
 def stream_debounce(spark, sf_dir):
     done = _finished(live.debounce(_stream(spark, sf_dir), "user_id", "ts", "event_type", "2 hours", "1 minute"))
-    return done.select(
-        "user_id",
-        F.col("first_event").cast("timestamp_ntz").alias("first_event"),
-        F.col("flush_at").cast("timestamp_ntz").alias("flush_at"),
-        "events",
-        F.array_join("paths", ",").alias("paths"),
-    )
+    return _plain(_ended(done, "first_event"), "first_event", "flush_at").drop("paths")
+
+
+@query("stream_dedup_window", f"SELECT event_id FROM ({greedy('user_id', 6)}) k")
+def stream_dedup_window(spark, sf_dir):
+    done = _finished(live.dedup_window(_stream(spark, sf_dir), F.col("user_id"), "ts", "event_id", 6 * 3600))
+    return done.select("event_id").where("event_id is not null")
+
+
+@query("stream_throttle", f"SELECT event_id FROM ({greedy('event_type', 3)}) k")
+def stream_throttle(spark, sf_dir):
+    done = _finished(live.throttle(_stream(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600))
+    return done.select("event_id").where("event_id is not null")
+
+
+@query("stream_token_bucket", f"SELECT event_id, accepted FROM ({token_walk()}) k")
+def stream_token_bucket(spark, sf_dir):
+    done = _finished(live.token_bucket(_stream(spark, sf_dir), F.col("user_id"), "ts", "event_id", 2 * HOUR_US, 3))
+    return done.select("event_id", "accepted").where("event_id is not null")
+
+
+@query(
+    "stream_admission",
+    with_fixtures(
+        """
+        SELECT event_id, depth, CASE WHEN depth >= 100 AND priority >= 2 THEN 3 ELSE priority END AS effective_priority,
+               CASE WHEN depth >= 200 AND priority >= 3 THEN 'REJECTED' ELSE 'QUEUED' END AS result
+        FROM (SELECT *, CAST(sum(change) OVER (PARTITION BY queue ORDER BY ts, event_id) - change AS BIGINT) AS depth FROM arrivals) x
+        WHERE change > 0"""
+    ),
+)
+def stream_admission(spark, sf_dir):
+    arrivals = _staged(fixture(spark, sf_dir, "arrivals")).na.fill(0, ["change", "priority"])
+    done = _finished(live.admission(arrivals, F.col("queue"), "ts", "event_id", F.col("change"), F.col("priority")))
+    return done.select("event_id", "depth", "effective_priority", "result").where("event_id is not null")
+
+
+@query(
+    "stream_burst_windows",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def stream_burst_windows(spark, sf_dir):
+    return _plain(_finished(live.burst_windows(_stream(spark, sf_dir), "ts", "1 hour", 1, ["event_type"])), "window_start")
+
+
+@query(
+    "stream_stale_slots",
+    with_fixtures(
+        "SELECT slot_id, ts FROM slots s WHERE action = 'acquire'"
+        " AND NOT EXISTS (SELECT 1 FROM slots r WHERE r.slot_id = s.slot_id AND r.action = 'release')"
+    ),
+)
+def stream_stale_slots(spark, sf_dir):
+    slots = fixture(spark, sf_dir, "slots")
+    acquired, released = (_staged(slots.where(F.col("action") == a).drop("action")) for a in ("acquire", "release"))
+    done = _finished(live.stale_slots(acquired, released, "slot_id", "ts", "1 hour"))
+    return _plain(done.where("slot_id is not null"), "ts")
 
 
 @query(
@@ -67,9 +158,7 @@ def stream_debounce(spark, sf_dir):
 )
 def stream_findings(spark, sf_dir):
     rules = [Rule("high_value", "value", "range", maximum=40), Rule("no_error", "event_type", "custom", expression="event_type <> 'error'")]
-    good, bad = fresh_path(spark), fresh_path(spark)
-    schema = read(spark, sf_dir, "events").schema
-    live.findings_sink(_stream(spark, sf_dir), rules, good, bad, fresh_path(spark)).awaitTermination()
-    accepted = spark.read.schema(schema).parquet(good).select("event_id", F.lit("").alias("broken"))
-    rejected = spark.read.schema(schema.add("broken_rules", T.ArrayType(T.StringType()))).parquet(bad)
-    return accepted.union(rejected.select("event_id", F.array_join(F.array_sort("broken_rules"), ",")))
+    path = fresh_path(spark)
+    live.findings_sink(_stream(spark, sf_dir), rules, path, fresh_path(spark)).awaitTermination()
+    found = spark.read.parquet(path).where("event_id is not null")
+    return found.select("event_id", F.array_join(F.array_sort("broken_rules"), ",").alias("broken"))

@@ -6,7 +6,8 @@ the same input, except for late rows: the watermark drops those, and
 zone, which has to be UTC to agree with the batch forms.
 
 Stateful keys keep one number plus the events that the watermark has not
-passed yet. How many rows of a hot key one trigger brings is set at the
+passed yet, and nothing once the number no longer matters. All forms work in
+append mode, so state is released as the watermark moves. How many rows of a hot key one trigger brings is set at the
 source (``maxFilesPerTrigger`` and the like). ``burst_batches`` keeps no state
 and works on streams as it is.
 """
@@ -43,13 +44,14 @@ def _ordered(buffered: tuple, batches: Iterator[pd.DataFrame], watermark_us: int
     return ready, events[len(ready) :]
 
 
-def _wait(state: GroupState, rest: list, watermark_ms: int) -> None:
-    if rest:
-        state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, watermark_ms + 1))
-
+def _stateful(
+    stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column, needed
+) -> DataFrame:
+    """Run ``decide(number, ready events) -> (number, output columns)`` per key in event-time order.
 
-def _stateful(stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column) -> DataFrame:
-    """Run ``decide(number, ready events) -> (number, output columns)`` per key in event-time order."""
+    ``needed(number)`` is the time (microseconds) up to which a key without
+    waiting events must be remembered, or None if it must be for good.
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
@@ -58,9 +60,15 @@ def _stateful(stream: DataFrame, key: Column, moment: str, event_id: str, delay:
         new = iter(()) if state.hasTimedOut else batches
         ready, rest = _ordered(held[1:] if held else (), new, watermark_ms * 1000)
         number, out = decide(number, ready)
-        columns = list(zip(*rest)) if rest else [[], [], [], []]
-        state.update((number, *[list(c) for c in columns]))
-        _wait(state, rest, watermark_ms)
+        last = needed(number)
+        if not rest and last is not None and last <= watermark_ms * 1000:
+            state.remove()
+        else:
+            columns = list(zip(*rest)) if rest else [[], [], [], []]
+            state.update((number, *[list(c) for c in columns]))
+            next_us = rest[0][0] if rest else last
+            if next_us is not None:
+                state.setTimeoutTimestamp(max(next_us // 1000 + 1, watermark_ms + 1))
         if out["event_id"]:
             yield pd.DataFrame({"k": k[0], **out})
 
@@ -94,7 +102,7 @@ def token_bucket(stream: DataFrame, key: Column, moment: str, event_id: str, int
 
     nothing = F.lit(0)
     return _stateful(
-        stream, key, moment, event_id, delay, decide, "event_id long, accepted boolean", nothing, nothing
+        stream, key, moment, event_id, delay, decide, "event_id long, accepted boolean", nothing, nothing, lambda free: free
     )
 
 
@@ -138,7 +146,8 @@ def admission(
         return depth, {"event_id": ids, "depth": depths, "priority": levels}
 
     decided = _stateful(
-        stream, queue, moment, event_id, delay, decide, "event_id long, depth long, priority int", change, priority
+        stream, queue, moment, event_id, delay, decide, "event_id long, depth long, priority int", change, priority,
+        lambda depth: NEVER if depth in (0, NEVER) else None,
     )
     depth, urgent = F.col("depth"), F.col("priority")
     return decided.select(
@@ -152,20 +161,21 @@ def admission(
 
 
 def debounce(stream: DataFrame, key: str, moment: str, path: str, gap: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
-    """One row per quiet-separated run of a watch root with its distinct paths, flushed after silence."""
+    """One row per quiet-separated run of a watch root, flushed after silence.
+
+    ``paths`` is the estimated number of distinct paths (a sketch of fixed
+    size); the paths themselves follow from the run's bounds in the stored events.
+    """
     return (
         with_event_time(stream, moment, delay)
         .groupBy(F.session_window(F.col(f"`{moment}`"), gap), F.col(f"`{key}`"))
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.collect_set(F.col(f"`{path}`")).alias("paths"),
-        )
+        .agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct(F.col(f"`{path}`"), 0.02).alias("paths"))
         .select(
             key,
             F.col("session_window.start").alias("first_event"),
             F.col("session_window.end").alias("flush_at"),
             "events",
-            F.array_sort("paths").alias("paths"),
+            "paths",
         )
     )
 
@@ -203,30 +213,33 @@ def stale_slots(acquired: DataFrame, released: DataFrame, slot: str, moment: str
 # --- findings --------------------------------------------------------------
 
 
-def split_by_rules(batch: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and bad rows with the names of the rules they break."""
+def marked_by_rules(batch: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Rows with the names of the rules they break and a verdict, ``good`` or ``bad``."""
     names = F.filter(
         F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules if r.enabled]), lambda x: x.isNotNull()
     )
     marked = batch.withColumn("broken_rules", names)
+    return marked.withColumn("verdict", F.when(F.size("broken_rules") == 0, "good").otherwise("bad"))
+
+
+def split_by_rules(batch: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and bad rows with the names of the rules they break."""
+    marked = marked_by_rules(batch, rules)
     return (
-        marked.where(F.size("broken_rules") == 0).drop("broken_rules"),
-        marked.where(F.size("broken_rules") > 0),
+        marked.where("verdict = 'good'").drop("broken_rules", "verdict"),
+        marked.where("verdict = 'bad'").drop("verdict"),
     )
 
 
-def findings_sink(stream: DataFrame, rules: Sequence[Rule], good_path: str, reject_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write good and bad rows of each trigger to their own folders.
+def findings_sink(stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the rows of each trigger with their verdict, partitioned by trigger and verdict.
 
-    Each trigger owns a ``batch_id`` partition that it replaces, so a repeated
-    trigger after a failure leaves the same files.
+    A trigger is written in one go and owns its ``batch_id`` partition, which
+    it replaces, so a repeated trigger after a failure leaves the same files.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        for rows, path in zip(split_by_rules(batch, rules), (good_path, reject_path)):
-            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        batch.unpersist()
+        marked_by_rules(batch, rules).write.mode("overwrite").partitionBy("verdict").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -236,21 +249,24 @@ def findings_sink(stream: DataFrame, rules: Sequence[Rule], good_path: str, reje
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source holds now, each trigger replacing the table at ``path``, and read that table."""
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream in append mode over what its source holds now and read the rows that it gave out.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    Each trigger replaces its own partition of the table at ``path``.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path).drop("batch_id")
 
 
 def late_rows(query: StreamingQuery) -> int:
