@@ -13,13 +13,14 @@ from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.scalars import same_value
 from tallymark.operators.shape import SCALE, explode_present, rows_from, summable, tagged_union
 from tallymark.session import stored
+from tallymark.sources.readers import read_dataset
 from tallymark.specs import CompareSpec
 
 MATCH = "MATCH"
@@ -357,6 +358,34 @@ def sample_mismatches(diff: DataFrame, keys: Sequence[str], n: int = 20) -> Data
     return diff.orderBy(*[F.col(f"`{k}`") for k in keys], "mismatch_type").limit(n)
 
 
+def sums_summary(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None, tolerance: Decimal | float = Decimal(0)) -> DataFrame:
+    """The summary of a comparison by sums: counts, how many columns differ, the largest gap, and the verdict."""
+    counts = compare_counts(left, right)
+    sums = reconcile_sums(left, right, columns, tolerance).agg(
+        F.count(F.lit(1)).alias("columns"), F.count_if(~F.col("ok")).alias("differing"), F.max(F.abs("delta")).cast("double").alias("largest_gap")
+    )
+    packed = sums.select(F.struct("columns", "differing", "largest_gap").alias("s")).scalar()
+    return counts.select(F.struct("left_rows", "right_rows").alias("counts"), F.col("ok").alias("same_count"), packed.alias("sums")).select(
+        F.lit("sums").alias("mode"), "counts", "sums", (F.col("same_count") & (F.col("sums.differing") == 0)).alias("passed")
+    )
+
+
+def compare_addresses(spark: SparkSession, left: str, right: str, spec: CompareSpec, target: str, mode: str = "rows") -> DataFrame:
+    """Compare the datasets at two addresses, write the one-row summary as JSON to ``target`` and return it.
+
+    ``mode`` is ``rows`` (by key, or as multisets without keys) or ``sums``.
+    """
+    golden, output = (read_dataset(spark, address) for address in (left, right))
+    if mode == "sums":
+        summary = sums_summary(golden, output, tolerance=spec.tolerance)
+    elif mode == "rows":
+        summary = compare_summary(golden, output, spec)
+    else:
+        raise ValueError("mode is 'rows' or 'sums'")
+    summary.coalesce(1).write.mode("overwrite").json(target)
+    return spark.read.schema(summary.schema).json(target)
+
+
 def compare_summary(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
     """One row with schema, counts, findings and the overall verdict."""
     common, only_left, only_right = align_columns(left, right, spec.ignore)

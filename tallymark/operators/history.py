@@ -373,6 +373,25 @@ def log_filter(logs: DataFrame, level: str | None = None, category: str | None =
 # --- classifications -------------------------------------------------------
 
 
+def classification_filter(
+    jobs: DataFrame,
+    complexity: str | None = None,
+    batch: int | str | None = None,
+    has_suggestions: bool | None = None,
+    suggestions: str = "suggestions",
+) -> DataFrame:
+    """Classified jobs by any of complexity, batch and whether they carry suggestions (an array or its absence)."""
+    rows = jobs
+    if complexity is not None:
+        rows = rows.where(F.col("complexity") == complexity)
+    if batch is not None:
+        rows = rows.where(F.col("batch_id") == F.lit(batch))
+    if has_suggestions is not None:
+        some = F.coalesce(F.size(F.col(f"`{suggestions}`")) > 0, F.lit(False))
+        rows = rows.where(some if has_suggestions else ~some)
+    return rows
+
+
 def tag_stats(jobs: DataFrame, tags: str = "tags", statuses: Sequence[str] = ("completed", "failed", "error")) -> DataFrame:
     """Jobs per tag, per status, and the completed share."""
     return (

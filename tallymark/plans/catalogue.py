@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallymark.plans.registry import ORACLES, QUERIES, Query
 
-_FAMILIES = ("compare", "quality", "etl", "history", "hierarchy", "corpus", "event", "stream")
+_FAMILIES = ("compare", "quality", "etl", "history", "hierarchy", "corpus", "event", "stream", "source")
 
 
 def _load() -> None:

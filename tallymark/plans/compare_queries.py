@@ -12,7 +12,7 @@ from tallymark.specs import CompareSpec
 SPEC = CompareSpec(keys=("id",), tolerance="0.01")
 _VALUES = ("o_custkey", "o_orderstatus", "amount", "order_date", "o_orderpriority")
 
-_JOINED = """
+STATUS_CLAUSE = """
     joined AS (
         SELECT coalesce(g.id, o.id) AS id,
                CASE WHEN o.id IS NULL THEN 'MISSING_IN_OUTPUT' WHEN g.id IS NULL THEN 'EXTRA_IN_OUTPUT'
@@ -42,7 +42,7 @@ def _sides(spark, sf_dir):
             for i, c in enumerate(_VALUES, 1)
         )
         + " FROM joined WHERE status <> 'MATCH'",
-        _JOINED,
+        STATUS_CLAUSE,
     ),
 )
 def compare_key_diff(spark, sf_dir):
@@ -51,7 +51,7 @@ def compare_key_diff(spark, sf_dir):
 
 @query(
     "compare_key_status_counts",
-    with_fixtures("SELECT status, count(*) AS n FROM joined GROUP BY status", _JOINED),
+    with_fixtures("SELECT status, count(*) AS n FROM joined GROUP BY status", STATUS_CLAUSE),
 )
 def compare_key_status_counts(spark, sf_dir):
     return compare.status_counts(compare.pair_by_key(*_sides(spark, sf_dir), SPEC))
@@ -70,7 +70,7 @@ def compare_key_status_counts(spark, sf_dir):
             + ") AS mismatches FROM joined"
             for i, c in enumerate(_VALUES, 1)
         ),
-        _JOINED,
+        STATUS_CLAUSE,
     ),
 )
 def compare_column_mismatch(spark, sf_dir):
@@ -81,7 +81,7 @@ def compare_column_mismatch(spark, sf_dir):
     "compare_sample_mismatches",
     with_fixtures(
         "SELECT id, status AS mismatch_type FROM joined WHERE status <> 'MATCH' ORDER BY id, status LIMIT 50",
-        _JOINED,
+        STATUS_CLAUSE,
     ),
 )
 def compare_sample_mismatches(spark, sf_dir):
@@ -97,7 +97,7 @@ def compare_sample_mismatches(spark, sf_dir):
         " count(*) FILTER (WHERE status = 'EXTRA_IN_OUTPUT') AS extra_keys,"
         " count(*) FILTER (WHERE status = 'VALUE_MISMATCH') AS changed_keys,"
         " count(*) FILTER (WHERE status <> 'MATCH') = 0 AS passed FROM joined",
-        _JOINED,
+        STATUS_CLAUSE,
     ),
 )
 def compare_summary(spark, sf_dir):
@@ -117,7 +117,7 @@ def compare_summary(spark, sf_dir):
                count(*) FILTER (WHERE status IN ('MATCH', 'VALUE_MISMATCH') AND g2 IS DISTINCT FROM o2)
                    AS status_mismatches
         FROM joined""",
-        _JOINED,
+        STATUS_CLAUSE,
     ),
 )
 def compare_quality_report(spark, sf_dir):
