@@ -40,7 +40,7 @@ SLICE_BYTES = 8 << 20
 SAMPLED, REPETITIONS = 4, 64
 _WALK = 20070611
 _CHUNK = 4 << 20
-_SPACE = re.compile(rb"[ \t-\r]+")
+_SPACE = re.compile(rb"[ \t-\r]{2,}|[\t-\r]")  # single spaces stay as they are
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
@@ -83,19 +83,26 @@ class Walks:
         self.steps = 2 * longest + 1
         self.bits = draw.integers(0, 2, size=(REPETITIONS, self.steps, 256), dtype=np.uint8)
 
-    def keys(self, r: int, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sampled coordinates of each row's embedding in repetition r, as one number. Rows are padded with zeros."""
-        wanted = (self.places[r] * (2 * sizes)[:, None]).astype(np.int64)
-        at, each = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-        found = np.zeros((len(rows), SAMPLED), dtype=np.uint8)
+    def keys(self, repetitions: range, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sampled coordinates of the rows' embeddings as numbers, one line per repetition. Rows are padded with zeros."""
+        each = np.tile(np.arange(len(rows)), len(repetitions))
+        r = np.repeat(np.array(repetitions), len(rows))
+        wanted = (self.places[r] * (2 * sizes[each])[:, None]).astype(np.int64)
+        order = np.argsort(wanted, axis=None, kind="stable")
+        due = np.searchsorted(wanted.ravel()[order], np.arange(int(wanted.max()) + 2))
+        at = np.zeros(len(each), dtype=np.int64)
+        found = np.zeros(wanted.size, dtype=np.uint8)
         for step in range(int(wanted.max()) + 1):
             seen = rows[each, at]
-            hit = wanted == step
-            if hit.any():
-                found[hit] = np.broadcast_to(seen[:, None], hit.shape)[hit]
+            hit = order[due[step] : due[step + 1]]
+            found[hit] = seen[hit // SAMPLED]
             at += self.bits[r, step, seen]
             np.minimum(at, rows.shape[1] - 1, out=at)
-        return found.copy().view(np.uint32).ravel()
+        return found.view(np.uint32).reshape(len(repetitions), len(rows))
+
+
+#: Copies meet in the first repetition; the others are walked together.
+_ROUNDS = (range(0, 1), range(1, 8), range(8, REPETITIONS))
 
 
 def _rows(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +135,7 @@ class Items:
         if long:
             walks = Walks(self.longest)
             rows, sizes = _rows(texts)
-            self.keys = [walks.keys(r, rows, np.maximum(sizes, 1)) for r in range(REPETITIONS)]
+            self.keys = walks.keys(range(REPETITIONS), rows, np.maximum(sizes, 1))
 
     def seeds(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the data, item and offset of every piece that occurs."""
@@ -171,34 +178,45 @@ def _search(items: Items, walks: Walks | None, texts: list[bytes]) -> dict[tuple
     inside = last < len(doc)
     last = np.minimum(last, len(doc) - 1)
     good = inside & (doc[last] == doc) & (item[last] == item) & (start[last] - start <= 2 * items.budget[item])
+    group = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True])))
     windows, of = [], []
     seen: set[tuple[int, int, int]] = set()
-    for j in np.flatnonzero(good):
-        d, k = int(doc[j]), int(item[j])
-        run = slice(j, int(last[j]) + 1)
-        for s in {int(start[j]), int(start[run][np.argmin(offset[run])]), int(start[int(last[j])])}:
-            s = max(int(begin[d]), s)
-            if (d, k, s) not in seen:
-                seen.add((d, k, s))
-                windows.append(data[s : min(s + len(items.texts[k]), int(begin[d + 1]) - 1)])
-                of.append((d, k, s))
+    candidates = np.flatnonzero(good)
+    for g in np.unique(np.searchsorted(group, candidates, "right")) - 1:
+        a, stop = group[g], group[g + 1]
+        d, k = int(doc[a]), int(item[a])
+        text, wide, needed = items.texts[k], 2 * int(items.budget[k]), int(items.need[k])
+        for j in candidates[slice(*np.searchsorted(candidates, (a, stop)))]:
+            run = slice(j, j + int(np.searchsorted(start[j:stop], start[j] + wide, "right")))
+            # A piece that occurs several times there is one piece that survived.
+            if len(np.unique(offset[run])) < needed:
+                continue
+            starts = {int(start[j]), int(start[run][np.argmin(offset[run])]), int(np.median(start[run]))}
+            cuts = [(max(int(begin[d]), s), int(begin[d + 1]) - 1) for s in sorted(starts)]
+            if any(data[s : min(s + len(text), end)] == text for s, end in cuts):
+                # Equal strings have equal embeddings and no edits; nothing nearer can follow.
+                found[d, k] = 0
+                break
+            for s, end in cuts:
+                if (d, k, s) not in seen:
+                    seen.add((d, k, s))
+                    windows.append(data[s : min(s + len(text), end)])
+                    of.append((d, k, s))
     close = np.zeros(len(windows), dtype=bool)
-    for r in range(REPETITIONS):
+    for repetitions in _ROUNDS:
         rest = np.flatnonzero(~close)
-        if not len(rest):
-            break
-        for part in np.array_split(rest, -(-len(rest) // 4096)):
+        for part in np.array_split(rest, -(-len(rest) // 512)) if len(rest) else ():
             rows, _ = _rows([windows[i] for i in part])
-            sizes = np.array([len(items.texts[of[i][1]]) for i in part], dtype=np.int64)
-            close[part] = walks.keys(r, rows, sizes) == items.keys[r][[of[i][1] for i in part]]
+            which = np.array([of[i][1] for i in part])
+            sizes = np.array([len(items.texts[k]) for k in which], dtype=np.int64)
+            mine = walks.keys(repetitions, rows, sizes)
+            close[part] = (mine == items.keys[repetitions.start : repetitions.stop, which]).any(axis=0)
     for i in np.flatnonzero(close):
         d, k, s = of[i]
         text, allowed = items.texts[k], int(items.budget[k])
         if found.get((d, k), allowed + 1) == 0:
             continue
-        edits = 0 if windows[i] == text else None
-        if edits is None:
-            edits = least_edits(text, data[max(int(begin[d]), s - 2 * allowed) : min(s + len(text) + 4 * allowed, int(begin[d + 1]) - 1)])
+        edits = least_edits(text, data[max(int(begin[d]), s - 2 * allowed) : min(s + len(text) + 4 * allowed, int(begin[d + 1]) - 1)])
         if edits <= allowed:
             found[d, k] = min(edits, found.get((d, k), edits))
     return found
