@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.joins import lookup
 from tallymark.operators.shape import rows_from
 from tallymark.operators.windows import first_per_key
-from tallymark.session import cut_lineage
+from tallymark.session import cut_lineage, stored
 
 # --- trees -----------------------------------------------------------------
 
@@ -28,7 +28,7 @@ def category_tree(categories: DataFrame, approved_only: bool = False, separator:
     of looping; nodes inside a cycle have no root and are left out.
     """
     rows = categories.where(F.col("approved")) if approved_only else categories
-    nodes = rows.select("id", "parent_id", "type", "name")
+    nodes = stored(rows.select("id", "parent_id", "type", "name"))
     frontier = cut_lineage(
         nodes.where(F.col("parent_id").isNull()).select(
             "id",
@@ -104,30 +104,32 @@ def with_category_names(jobs: DataFrame, categories: DataFrame, columns: Sequenc
 
 
 def execution_layers(jobs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Topological layer of each job, from 0. Jobs that never become free (cycles, unknown dependencies) share the last layer."""
-    # Every job keeps one row without a dependency, so it stays known while its edges disappear.
+    """Topological layer of each job, from 0. Jobs that never become free (cycles, unknown dependencies) share the last layer.
+
+    Dependencies are counted once per job. A round follows only the edges of
+    the jobs that just became free, and writes these counts and no others.
+    """
     names = jobs.select("job_id").distinct()
-    open_rows = (
-        edges.select("job_id", "depends_on").distinct().join(names, "job_id", "left_semi")
-        .unionByName(names.withColumn("depends_on", F.lit(None).cast(edges.schema["depends_on"].dataType)))
+    links = stored(
+        edges.select("job_id", "depends_on").where("depends_on is not null").distinct().join(names, "job_id", "left_semi")
     )
+    total = stored(links.groupBy("job_id").agg(F.count(F.lit(1)).alias("needed")))
+    frontier = stored(names.join(total, "job_id", "left_anti"))
+    partly: DataFrame | None = None
     layers: list[DataFrame] = []
-    while True:
-        free = open_rows.groupBy("job_id").agg((F.count("depends_on") == 0).alias("free"))
-        state = cut_lineage(open_rows.join(free, "job_id"))
-        ready = state.where("free").select("job_id")
-        waiting = state.where("NOT free")
-        left, done = state.agg(F.count_if(~F.col("free")), F.count_if("free")).first()
-        if done == 0:
-            if left:
-                layers.append(waiting.select("job_id").distinct().withColumn("layer", F.lit(len(layers))))
-            break
-        layers.append(ready.withColumn("layer", F.lit(len(layers))))
-        gone = ready.select(F.col("job_id").alias("depends_on"))
-        open_rows = waiting.select("job_id", "depends_on").join(gone, "depends_on", "left_anti").select("job_id", "depends_on")
+    while not frontier.isEmpty():
+        layers.append(frontier.withColumn("layer", F.lit(len(layers))))
+        freed = frontier.select(F.col("job_id").alias("depends_on"))
+        met = links.join(freed, "depends_on").groupBy("job_id").agg(F.count(F.lit(1)).alias("met"))
+        if partly is not None:
+            met = partly.union(met).groupBy("job_id").agg(F.sum("met").alias("met"))
+        state = stored(met.join(total, "job_id").select("job_id", "met", (F.col("met") == F.col("needed")).alias("free")))
+        frontier, partly = state.where("free").select("job_id"), state.where("NOT free").select("job_id", "met")
     if not layers:
         return names.withColumn("layer", F.lit(0))
-    return reduce(DataFrame.union, layers)
+    placed = reduce(DataFrame.union, layers)
+    rest = names.join(placed.select("job_id"), "job_id", "left_anti").withColumn("layer", F.lit(len(layers)))
+    return placed.union(rest)
 
 
 def blocked_jobs(jobs: DataFrame, edges: DataFrame) -> DataFrame:
