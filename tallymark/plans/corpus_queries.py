@@ -330,3 +330,89 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;",
 def markup_extract(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
     return corpora.element_texts(pages, "li")
+
+
+# --- the same rules on the given texts -------------------------------------
+
+_DOC_LINES = f"""lines AS (SELECT path, unnest(string_split(text, chr(10))) AS content,
+                         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM ({_DOCUMENTS}) d)"""
+
+
+def _documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), "text"
+    )
+
+
+@query(
+    "corpus_documents_line_rules",
+    f"""
+    WITH {_DOC_LINES}, plain AS (SELECT * FROM lines WHERE NOT starts_with(trim(content), '#'))
+    SELECT path, CAST(line AS INT) AS line, rule FROM (
+        SELECT path, line, 'bare_except' AS rule FROM plain WHERE trim(content) = 'except:' OR starts_with(trim(content), 'except: ')
+        UNION ALL SELECT path, line, 'collect_without_limit' FROM plain
+            WHERE contains(content, '.collect()') AND NOT contains(content, '.limit(') AND NOT contains(content, '.take(')
+        UNION ALL SELECT path, line, 'hardcoded_credentials' FROM plain
+            WHERE regexp_matches(lower(content), '(password|secret|api_key|token|apikey)=') AND regexp_matches(content, '["'']')
+                  AND NOT contains(content, 'os.environ') AND NOT contains(content, 'os.getenv')
+        UNION ALL SELECT path, line, 's3a_protocol' FROM plain WHERE contains(content, 's3a://')
+        UNION ALL SELECT path, line, 'print_statements' FROM plain WHERE starts_with(trim(content), 'print(')
+    ) f""",
+)
+def corpus_documents_line_rules(spark, sf_dir):
+    return c.line_findings(_documents(spark, sf_dir)).select("path", "line", "rule")
+
+
+@query(
+    "corpus_documents_credentials",
+    f"""
+    WITH {_DOC_LINES}
+    SELECT path, CAST(line AS INT) AS line, message FROM (
+        SELECT path, line, 'Hardcoded password' AS message FROM lines WHERE regexp_matches(content, 'password\\s*=\\s*["''][^"'']{{3,}}["'']', 'i')
+        UNION ALL SELECT path, line, 'Hardcoded secret' FROM lines WHERE regexp_matches(content, 'secret\\s*=\\s*["''][^"'']{{3,}}["'']', 'i')
+        UNION ALL SELECT path, line, 'Hardcoded API key' FROM lines WHERE regexp_matches(content, 'api[_-]?key\\s*=\\s*["''][^"'']{{3,}}["'']', 'i')
+        UNION ALL SELECT path, line, 'Hardcoded access key' FROM lines WHERE regexp_matches(content, 'access[_-]?key\\s*=\\s*["''][^"'']{{10,}}["'']', 'i')
+        UNION ALL SELECT path, line, 'Credential assigned in code' FROM lines
+            WHERE regexp_matches(content, '(password|api[_-]?key|secret)\\s*=\\s*["'']([^<{{$]|$)', 'i')
+    ) f""",
+)
+def corpus_documents_credentials(spark, sf_dir):
+    return c.credential_findings(_documents(spark, sf_dir)).select("path", "line", "message")
+
+
+@query(
+    "corpus_documents_imports",
+    f"""
+    WITH {_DOC_LINES}, m AS (
+        SELECT *, regexp_extract(content, '^\\s*(?:from|import)\\s+(\\S+)', 1) AS module FROM lines)
+    SELECT path, CAST(line AS INT) AS line, 'duplicate_import' AS rule
+    FROM (SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY line) AS rn FROM m WHERE module <> '') x WHERE rn > 1""",
+)
+def corpus_documents_imports(spark, sf_dir):
+    found = c.import_findings(_documents(spark, sf_dir))
+    return found.where("rule = 'duplicate_import'").select("path", "line", "rule")
+
+
+@query(
+    "corpus_documents_usage",
+    f"""
+    WITH {_DOC_LINES}
+    SELECT path, CAST(line AS INT) AS line, rule FROM (
+        SELECT path, line, 'sql_fstring' AS rule FROM lines WHERE contains(content, 'spark.sql') AND regexp_matches(content, '\\bf("|\'\'\'\'\'\')')
+        UNION ALL SELECT path, line, 'status_literals' FROM lines
+            WHERE regexp_matches(content, 'STAT(US)? IN') AND regexp_matches(content, '\'\'[0-9]+\'\'')) f""",
+)
+def corpus_documents_usage(spark, sf_dir):
+    return c.usage_findings(_documents(spark, sf_dir)).select("path", "line", "rule")
+
+
+@query(
+    "corpus_documents_sql",
+    f"""
+    SELECT path, CAST(count(*) AS BIGINT) AS statements FROM (
+        SELECT path, unnest(regexp_extract_all(text, 'spark\\.sql\\s*\\(\\s*"([^"]+)"', 1)) AS s FROM ({_DOCUMENTS}) d) x
+    WHERE trim(s) <> '' GROUP BY path""",
+)
+def corpus_documents_sql(spark, sf_dir):
+    found = c.sql_statements(_documents(spark, sf_dir))
+    return found.groupBy("path").agg(F.count(F.lit(1)).alias("statements"))
