@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallymark.plans import catalogue  # noqa: E402
+from tallymark.session import ship_package  # noqa: E402
 
 HEADLINE = (
     "compare_key_diff",
@@ -46,6 +47,17 @@ HEADLINE = (
     "ev_token_bucket",
     "ev_debounce",
     "ev_admission",
+    "ev_throttle",
+    "ev_priority_limits",
+    "lookup_three",
+    "corpus_group_by",
+    "corpus_documents_line_rules",
+    "stream_tumbling",
+    "stream_debounce",
+    "stream_token_bucket",
+    "stream_findings",
+    "sink_partitioned",
+    "sink_tee",
 )
 
 
@@ -65,8 +77,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     chosen = sys.argv[1:] or HEADLINE
     known = catalogue.queries()
-    # One small scan starts the JVM side before the clock does.
-    spark.read.parquet(f"{folder}/region.parquet").write.format("noop").mode("overwrite").save()
+    # A join, an aggregate and a Python worker start before the clock does, so the first query does not pay for them.
+    ship_package(spark)
+    region, nation = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("region", "nation"))
+    warm = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).groupBy("r_name").count()
+    warm.mapInArrow(lambda batches: batches, warm.schema).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in chosen:
         start = time.perf_counter()
