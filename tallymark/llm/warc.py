@@ -51,28 +51,32 @@ CAPTURE = (
 )
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``id, url, body, digest, refers_to``: ``refers_to`` is null for responses."""
+def plan_records(
+    pages: DataFrame, id_col: str, url_col: str, body_col: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES
+) -> DataFrame:
+    """``id, url, body, digest, refers_to``, one partition per archive; ``refers_to`` is null for responses.
+
+    Equal payloads meet as digests only. Bodies are shuffled once, by identifier, so copies of one payload spread evenly.
+    """
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.coalesce(F.col(body_col), F.lit("")).alias("body"),
     ).withColumn("digest", F.sha2(F.col("body"), 256))
-    repeated = (
-        rows.where(F.octet_length("body") >= least_bytes)
-        .groupBy("digest")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first <> last")
-        .select("digest", "first")
-    )
-    revisit = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("first"))
-    return rows.join(repeated, "digest", "left").select(
-        "id", "url", "body", "digest", F.when(revisit, F.col("first")).alias("refers_to")
+    named = stored(rows.where(F.col("id").isNotNull() & (F.octet_length("body") >= least_bytes)).select("id", "digest"))
+    first = named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    again = named.distinct().join(first.select("digest", "first"), "digest").where("id <> first")
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    archives = max(1, -(-total // archive_bytes))
+    return (
+        rows.repartition(archives, "id", "digest")
+        .join(again, ["id", "digest"], "left")
+        .select("id", "url", "body", "digest", F.col("first").alias("refers_to"))
     )
 
 
-def write_archives(records: DataFrame, path: str, captured, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the planned records as archives under the path. ``captured`` is the timestamp column of a record."""
+def write_archives(records: DataFrame, path: str, captured) -> None:
+    """Write each partition of the planned records as an archive under the path. ``captured`` is a record's timestamp column."""
     name = F.concat(F.lit(_NAME), F.coalesce(F.col("id").cast("string"), F.lit("")))
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("body"))
@@ -99,16 +103,8 @@ def write_archives(records: DataFrame, path: str, captured, archive_bytes: int =
         line("Content-Length", (F.octet_length(status) + F.octet_length(body)).cast("string")),
         F.lit(_END),
     )
-    sized = records.select("id", F.concat(header, status, body).alias("value"), F.xxhash64("id", "url", "digest").alias("place"))
-    total = records.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    (
-        sized.repartition(archives, "place")
-        .select("value")
-        .write.option("lineSep", _END + _END)
-        .option("compression", "gzip")
-        .text(path)
-    )
+    archived = records.select(F.concat(header, status, body).alias("value"))
+    archived.write.option("lineSep", _END + _END).option("compression", "gzip").text(path)
 
 
 def _records(chunks: Iterable[bytes]) -> Iterator[tuple[int, dict, bytes]]:
