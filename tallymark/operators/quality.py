@@ -106,7 +106,9 @@ def exact_percentiles(df: DataFrame, column: str, fractions: Sequence[float], bi
             else:  # differences are exact, so two values never fall together while they differ by the whole range
                 share = (v - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
             place = F.when(inside, i).otherwise(place)
-            cell = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")).otherwise(cell)
+            # The ends are apart whatever the arithmetic does, so every pass narrows the range.
+            own = F.when(v <= F.lit(lo), 0).when(v >= F.lit(hi), bins - 1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+            cell = F.when(inside, own).otherwise(cell)
         counted = (
             values.select("v", place.alias("place"), cell.alias("cell"))
             .where(F.col("place").isNotNull())
