@@ -8,20 +8,38 @@ the answers back per block.  A frequent word costs one entry per block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``id, text, block`` and the number of blocks. A null text becomes empty."""
+    """``id, text, block`` and the number of blocks. Texts are compressed for the shuffle; a null text becomes empty."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), blocks
+
+    def compress(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            text = pa.array([squeeze(t.as_py().encode()) for t in batch.column(1)], pa.binary())
+            yield pa.record_batch([batch.column(0), text, batch.column(2)], names=["id", "text", "block"])
+
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    return placed.mapInArrow(compress, f"id {docs.schema[id_col].dataType.simpleString()}, text binary, block int"), blocks
+
+
+def texts_of(block: pa.Table) -> Iterator[str]:
+    """The texts of a block, one at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for text in block.column("text"):
+        yield expand(text.as_py()).decode()
 
 
 def pack(**columns) -> bytes:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, unpack
+from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, texts_of, unpack
 
 #: Pieces longer than this are merged with a heap.
 _SHORT = 48
@@ -131,8 +131,8 @@ def encode(
 
     def distinct_words(key, block):
         words: set[str] = set()
-        for text in block.column("text"):
-            words.update(split(text.as_py()))
+        for text in texts_of(block):
+            words.update(split(text))
         by_part: dict[int, list[bytes]] = {}
         for word in words:
             raw = word.encode()
@@ -170,7 +170,7 @@ def encode(
             ends = ids.offsets.to_numpy() * 4
             for k, word in enumerate(batch.column("word").to_pylist()):
                 coded[word.decode()] = flat[ends[k] : ends[k + 1]]
-        chunks = [b"".join([coded[w] for w in split(text.as_py())]) for text in block.column("text")]
+        chunks = [b"".join([coded[w] for w in split(text)]) for text in texts_of(block)]
         ends = np.zeros(len(chunks) + 1, dtype=np.int64)
         np.cumsum([len(c) // 4 for c in chunks], out=ends[1:])
         ids = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(chunks), dtype="<i4"))
@@ -187,16 +187,14 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     tokens = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def look_up(batches):
-        table = pa.array(tokens.value, pa.binary())
+        table = pa.array(tokens.value, pa.large_binary())
+        nothing = pa.scalar(b"", pa.large_binary())
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            # One row at a time: the bytes of a batch of long texts could pass what one Arrow array holds.
-            ids = batch.column(at)
-            found = [
-                b"" if (row := ids[i]).values is None else b"".join(table.take(row.values.cast(pa.int32())).to_pylist())
-                for i in range(len(ids))
-            ]
-            yield batch.append_column(out_col, pa.array(found, pa.binary()))
+            ids = batch.column(at).cast(pa.large_list(pa.int32()))
+            ids = pa.LargeListArray.from_arrays(ids.offsets, table.take(ids.values))
+            found = pc.binary_join(ids, nothing).cast(pa.binary())
+            yield batch.append_column(out_col, found)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(look_up, f"{fields}, `{out_col}` binary")

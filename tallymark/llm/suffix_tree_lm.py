@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, unpack
+from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, texts_of, unpack
 from tallymark.llm.words import fold, hash_many, mix
 from tallymark.session import stored
 
@@ -307,7 +307,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def laid(block):
         tree = shared.value
-        tokens, begin = tokens_of(block.column("text").to_pylist())
+        tokens, begin = tokens_of(list(texts_of(block)))
         pairs = list(tree.at(tokens, begin))
         return tokens, begin, pairs, Layout(tokens, [(p, tree.parent[c]) for p, c in pairs], width, parts)
 
