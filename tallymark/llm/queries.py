@@ -135,6 +135,19 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, text_sha256
         FROM n
     """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
+        f AS (SELECT *, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY body) AS first,
+                     lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host,
+                     regexp_replace(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', '') AS rest FROM p)
+        SELECT page_id, payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to,
+               array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE rest WHEN '' THEN '/' ELSE rest END AS url_key,
+               strftime(make_timestamp((page_id * 60 + 1700000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+               true AS intact
+        FROM f
+    """,
     "op9_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         w AS (SELECT doc_id, i AS pos, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS w
