@@ -201,7 +201,8 @@ def repeated_spans(
 
     form = f"id {kind}, version long, first long, windows int, left int, gram long, seg long"
     every = stored(docs.select("id", "version", "text").mapInArrow(cut, form))
-    common = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Stored, so that the join below is one of two plain exchanges, whose hot strings Spark can split.
+    common = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     shared = stored(every.join(common, "gram", "left_semi"))
     # One of each kind of segment; any will do, for their bytes are equal.
     kinds = stored(

@@ -90,7 +90,8 @@ def exact_groups(
     # A row finds its group by digest and salt, so that the copies of one text meet their answer in several tasks.
     cuts = stored(light.groupBy("sha256", "salt").agg(pick("id").alias("best"), F.count(F.lit(1)).alias("n")))
     groups = cuts.groupBy("sha256").agg(pick("best").alias("keep_id"), F.sum("n").alias("group_size"))
-    answers = cuts.select("sha256", "salt").join(groups, "sha256")
+    # Stored, so that the join below deals by digest and salt and not by the digest alone.
+    answers = stored(cuts.select("sha256", "salt").join(groups, "sha256"))
     return light.join(answers, ["sha256", "salt"]).select(
         "id",
         "keep_id",
