@@ -26,7 +26,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
     blocks = max(1, -(-total // block_bytes))
 
     def compress(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             text = pa.array([squeeze(t.as_py().encode()) for t in batch.column(1)], pa.binary())
             yield pa.record_batch([batch.column(0), text, batch.column(2)], names=["id", "text", "block"])
@@ -46,7 +46,8 @@ def pack(**columns) -> bytes:
     """Columns of equal length as one compressed value."""
     batch = pa.record_batch(list(columns.values()), names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

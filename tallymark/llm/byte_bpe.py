@@ -30,6 +30,8 @@ from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, texts_of, unpack
 
 #: Pieces longer than this are merged with a heap.
 _SHORT = 48
+#: Tokens that are decoded at a time.
+_DECODED = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -189,12 +191,20 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     def look_up(batches):
         table = pa.array(tokens.value, pa.large_binary())
         nothing = pa.scalar(b"", pa.large_binary())
-        for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            ids = batch.column(at).cast(pa.large_list(pa.int32()))
-            ids = pa.LargeListArray.from_arrays(ids.offsets, table.take(ids.values))
-            found = pc.binary_join(ids, nothing).cast(pa.binary())
-            yield batch.append_column(out_col, found)
+        for whole in batches:
+            at = whole.schema.get_field_index(ids_col)
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < whole.num_rows:
+                # Rows of about so many tokens at a time; a longer text is alone.
+                past = sizes[row - 1] if row else 0
+                stop = max(row + 1, int(np.searchsorted(sizes, past + _DECODED, "right")))
+                batch = whole.slice(row, stop - row)
+                pieces = table.take(batch.column(at).flatten())
+                ends = np.concatenate(([past], sizes[row:stop])) - past
+                found = pc.binary_join(pa.LargeListArray.from_arrays(ends, pieces), nothing).cast(pa.binary())
+                yield batch.append_column(out_col, found)
+                row = stop
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(look_up, f"{fields}, `{out_col}` binary")
