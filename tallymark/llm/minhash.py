@@ -4,14 +4,16 @@ Each text is the set of its distinct runs of k words (A-Z folded).  Texts of
 equal sets form a class; one member stands for the class.  The minima of many
 universal hashes are cut into bands; classes that agree on a band are
 candidates.  Candidates whose signatures agree far too rarely are put aside,
-and the rest is confirmed on the full sets.  In each bucket all members are
-compared with the bucket's smallest one; when components are known, members of
-a bucket that are still in different components are compared with each other,
-so no link that a bucket shows is lost and no pair inside a component is made.
+and the rest is confirmed on the full sets.  First each class is compared with
+that head of its buckets with which it shares the most; then, where the components found so far still
+differ, with the other heads; then members of a bucket that are still in
+different components with each other.  So no link that a bucket shows is lost,
+and pairs inside a component are not made.
 
-With 40 bands of 6 rows a pair of similarity 0.8 shares no bucket with
-probability 5e-6.  Signatures are put aside below an agreement that is seven
-standard deviations under 0.8.
+With 64 bands of 8 rows a pair of similarity 0.8 shares no bucket with
+probability 8e-6.  Signatures are put aside below an agreement that is five
+standard deviations under 0.8.  Pairs far below 0.8 that share a bucket by
+chance grow with the square of the corpus; more rows per band thin them out.
 
 Defined cases: a text with fewer than k words is one run; a text without words
 has an empty set and no links.  A null identifier takes no part in links.
@@ -30,7 +32,7 @@ from tallymark.llm.components import connected_components
 from tallymark.llm.words import fold, hash_many, hash_words, mix, shingles
 from tallymark.session import stored
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 64, 8
 _HASHES = BANDS * ROWS
 _DRAW = np.random.default_rng(1997)
 _A = _DRAW.integers(0, 1 << 63, size=_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,6 +40,8 @@ _B = _DRAW.integers(0, 1 << 64, size=_HASHES, dtype=np.uint64)
 #: Values hashed at a time, so that the arrays stay in cache.
 _STRIP = 1 << 15
 SIMILARITY = 80
+#: Standard deviations under the similarity at which a signature rules a pair out: once in three million pairs at 0.8.
+DEVIATIONS = 5
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -108,7 +112,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
 def _plausible(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose set sizes and signatures do not rule the similarity out."""
     share = similarity / 100
-    least = (share - 7 * (share * (1 - share) / _HASHES) ** 0.5) * _HASHES
+    least = (share - DEVIATIONS * (share * (1 - share) / _HASHES) ** 0.5) * _HASHES
     one = members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = members.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
@@ -126,10 +130,8 @@ def _plausible(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFra
     return joined.mapInArrow(agree, f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. ``docs`` has ``id, text``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Pairs whose full sets are similar enough. ``texts`` has one row ``id, text`` per member."""
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b")
@@ -164,31 +166,65 @@ def near_groups(
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(plain, k, "id", "text"))
     classes = stored(signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep")))
-    heads = classes.where("n >= 4 and rep is not null")
+    large = classes.where("n >= 4 and rep is not null")
     members = stored(
-        signed.join(heads.select("n", "set_a", "set_b", F.col("rep").alias("id")), ["id", "n", "set_a", "set_b"], "left_semi")
+        signed.join(large.select("n", "set_a", "set_b", F.col("rep").alias("id")), ["id", "n", "set_a", "set_b"], "left_semi")
         .select("id", "n", "bands", "sketch")
         .dropDuplicates(["id"])
     )
     buckets = members.select("id", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(buckets.join(shared.select("key", "a"), "key"))
-    star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(_confirmed(stored(_plausible(star, members, similarity)), plain, k, similarity))
+    heads = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(buckets.join(heads.select("key", "a"), "key"))
+    # Texts and signatures of the members that share a bucket are fetched once. The texts are too many for a broadcast at
+    # any size that matters, so the plan is the same at every size.
+    met = shared.select("id").distinct()
+    texts = stored(plain.join(met.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    sketches = stored(members.select("id", "n", "sketch").join(met, "id", "left_semi"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(_confirmed(stored(_plausible(pairs, sketches, similarity)), texts, k, similarity))
+
+    def placed(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+        known = found.select(F.col("node").alias(column), F.col("component").alias(name))
+        return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+    pairs = stored(shared.where("id <> a").groupBy("a", "id").agg(F.count(F.lit(1)).alias("times")))
+    most = pairs.groupBy("id").agg(F.max("times").alias("times"))
+    nearest = stored(pairs.join(most, ["id", "times"]).groupBy("id").agg(F.min("a").alias("a")))
+    links = linked(nearest.select("a", F.col("id").alias("b")))
     found = stored(connected_components(links))
 
-    # Members of one bucket that are not in one component have not been compared unless one is the bucket's smallest.
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "a", F.coalesce("component", "id").alias("component")
+    # Then, twice, the head of another component with which a class shares the most, and at last all other heads.
+    tried = nearest.select("id", "a")
+    for last in (False, False, True):
+        apart = placed(placed(pairs, found, "id", "of_id"), found, "a", "of_a").where("of_id <> of_a")
+        apart = stored(apart.select("id", "a", "times").join(tried, ["id", "a"], "left_anti"))
+        if apart.isEmpty():
+            break
+        chosen = apart.select("id", "a")
+        if not last:
+            most = apart.groupBy("id").agg(F.max("times").alias("times"))
+            chosen = stored(apart.join(most, ["id", "times"]).groupBy("id").agg(F.min("a").alias("a")))
+        tried = tried.union(chosen.select("id", "a"))
+        more = linked(chosen.select("a", F.col("id").alias("b")))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = stored(connected_components(links))
+
+    # Members of one bucket that are not in one component have not been compared unless one is the bucket's head.
+    lone = placed(shared, found, "id", "component")
+    open_keys = lone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rest = stored(
+        lone.where("id <> a")
+        .join(open_keys.select("key"), "key", "left_semi")
+        .join(sketches.select("id", "n"), "id")
+        .select("key", "id", "component", "n")
     )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = stored(placed.where("id <> a").join(open_keys.select("key"), "key", "left_semi").select("key", "id", "component"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    cross = (
-        rest.withColumnRenamed("id", "a").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
-    )
-    likely = stored(_plausible(cross, members, similarity))
-    more = stored(_confirmed(likely, plain, k, similarity))
+    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"))
+    fits = F.lit(100) * F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b")
+    apart = (F.col("r.key") == F.col("o.key")) & (F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & fits
+    cross = rest.alias("r").join(other.alias("o"), apart).select(F.col("id").alias("a"), "b").distinct()
+    more = linked(cross)
     if not more.isEmpty():
         found = stored(connected_components(links.union(more)))
 
