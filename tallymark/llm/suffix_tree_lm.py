@@ -1,19 +1,20 @@
 """Language model scoring with a probabilistic suffix tree over words.
 
 The tree's states are contexts of one to ``DEPTH`` words.  A context is a
-candidate when it holds at least ``LEAST_SHARE`` of all training tokens, so
-there are at most DEPTH / LEAST_SHARE of them whatever the corpus.  A candidate
-is retained when its next-word distribution diverges from the one of its
-longest proper suffix by more than ``DIVERGENCE`` (Kullback-Leibler, less the
-bias of counting), and with it its suffixes.  Distributions are smoothed
-towards the suffix's one (Witten-Bell), at the root by adding one to each count
-with one place for unknown words.  A token is scored by the longest retained
-suffix of the words before it.
+candidate when ``LEAST_COUNT`` tokens follow it, however large the corpus; only
+a corpus so small that ``LEAST_SHARE`` of its tokens is fewer asks for that share.
+A candidate is retained when its next-word distribution diverges from the one
+of its longest proper suffix by more than ``DIVERGENCE`` (Kullback-Leibler,
+less the bias of counting), and with it its suffixes.  Distributions are
+smoothed towards the suffix's one (Witten-Bell), at the root by adding one to
+each count with one place for unknown words.  A token is scored by the longest
+retained suffix of the words before it.
 
 Counts are exact and cover all training documents.  Blocks of documents send
-the distinct words and (context, word) pairs that they hold to the part of the
-model that owns the word; the model stays partitioned by word, and only the
-figures of contexts, whose number is bounded, come to the driver.
+the distinct words that they hold to the part of the model that owns the word,
+and the distinct contexts with the words after them to the part that owns the
+context.  The model stays partitioned, also when documents are scored; only
+totals come to the driver.
 
 Words are the runs of bytes other than space and 0x09-0x0D with A-Z folded, each
 known by a 64-bit hash; every text ends with an end token.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,45 +42,12 @@ from tallymark.session import stored
 
 DEPTH = 3
 LEAST_SHARE = 5e-4
+LEAST_COUNT = 40
 DIVERGENCE = 0.02
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass(frozen=True)
-class Contexts:
-    """Contexts by their hash, in order; ``parent`` is the place of the longest proper suffix, -1 for the root."""
-
-    hash: np.ndarray
-    parent: np.ndarray
-    depth: np.ndarray
-    tokens: np.ndarray | None = None  # tokens seen after the context
-    kinds: np.ndarray | None = None  # distinct ones
-
-    @staticmethod
-    def closed(rows: dict[int, tuple[int, int]]) -> Contexts:
-        """Of hash -> (depth, hash of the suffix), those whose suffixes are all present."""
-        kept: dict[int, tuple[int, int]] = {}
-        for depth in sorted({d for d, _ in rows.values()}):
-            kept |= {h: r for h, r in rows.items() if r[0] == depth and (depth == 1 or r[1] in kept)}
-        order = sorted(kept)
-        place = {h: i for i, h in enumerate(order)}
-        return Contexts(
-            np.array(order, dtype=np.uint64),
-            np.array([place[kept[h][1]] if kept[h][0] > 1 else -1 for h in order], dtype=np.int64),
-            np.array([kept[h][0] for h in order], dtype=np.int64),
-        )
-
-    def at(self, tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """By depth: the token places that such a context precedes, and which context it is."""
-        for places, hashes, _ in suffixes(tokens, begin):
-            if not len(self.hash):
-                return
-            which = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-            found = self.hash[which] == hashes
-            yield places[found], which[found]
-
-
 def suffixes(tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By depth: token places with so many tokens before them in their text, the hash of those, the hash without the first."""
     offset = np.arange(len(tokens)) - np.repeat(begin[:-1], np.diff(begin))
@@ -97,29 +66,49 @@ def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Layout:
-    """Distinct words of a block ordered by the part that owns them, and its distinct (word, context) pairs."""
-
-    def __init__(self, tokens: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], contexts: int, parts: int):
-        words, self.word_of = np.unique(tokens, return_inverse=True)
-        part = (words % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((words, part))
+    """Distinct words, contexts and (context, word) pairs of a block; words and contexts are ordered by the part that owns them."""
+
+    def __init__(self, tokens: np.ndarray, begin: np.ndarray, parts: int):
+        self.parts = parts
+        self.words, self.word_of, self.word_bounds = self._owned(tokens)
+        found = list(suffixes(tokens, begin))
+        hashes, before = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+        self.contexts, at, self.context_bounds = self._owned(hashes)
+        self.before, self.depth = np.zeros(len(self.contexts), dtype=np.uint64), np.zeros(len(self.contexts), dtype=np.int8)
+        self.before[at] = before
+        self.depth[at] = np.repeat(np.arange(1, DEPTH + 1), [len(f[0]) for f in found])
+        keys = at * max(1, len(self.words)) + self.word_of[np.concatenate([f[0] for f in found])]
+        self.pairs, pair_of, self.pair_counts = np.unique(keys, return_inverse=True, return_counts=True)
+        self.pair_bounds = np.searchsorted(self.pairs, self.context_bounds * max(1, len(self.words)))
+        #: By depth: token places, and the context before and the pair at each.
+        self.places, start = [], 0
+        for places, _, _ in found:
+            rows = slice(start, start + len(places))
+            self.places.append((places, at[rows], pair_of[rows]))
+            start = rows.stop
+
+    def _owned(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes by part, the place of each given one among them, and where each part begins."""
+        distinct, place = np.unique(hashes, return_inverse=True)
+        part = (distinct % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.words, self.word_of = words[order], rank[self.word_of]
-        owned, first = np.unique(part[order], return_index=True)
-        self.parts, self.word_bounds = owned, np.append(first, len(words))
-        self.contexts = max(1, contexts)
-        keys = [self.word_of[p] * self.contexts + c for p, c in pairs]
-        self.pairs, self.pair_counts = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *keys]), return_counts=True)
-        self.pair_bounds = np.searchsorted(self.pairs, self.word_bounds * self.contexts)
-
-    def rows(self) -> Iterator[tuple[int, slice, slice, pa.Array, pa.Array, pa.Array]]:
-        """Per part: its number, the slices of words and pairs, and columns of words, and of pairs (word, context)."""
-        for i, p in enumerate(self.parts):
-            w = slice(self.word_bounds[i], self.word_bounds[i + 1])
-            q = slice(self.pair_bounds[i], self.pair_bounds[i + 1])
-            word, context = np.divmod(self.pairs[q], self.contexts)
-            yield int(p), w, q, pa.array(self.words[w]), pa.array((word - w.start).astype(np.int32)), pa.array(context.astype(np.int32))
+        return distinct[order], rank[place], np.searchsorted(part[order], np.arange(self.parts + 1))
+
+    def slices(self, part: int) -> tuple[slice, slice, slice]:
+        """Words, contexts and pairs of a part."""
+        return tuple(slice(b[part], b[part + 1]) for b in (self.word_bounds, self.context_bounds, self.pair_bounds))
+
+    def rows(self) -> Iterator[tuple[int, slice, slice, slice, dict, dict]]:
+        """Per part: its number, its slices, and columns of pairs (context, place in the dictionary) and of that dictionary of words."""
+        for part in range(self.parts):
+            w, c, q = self.slices(part)
+            if w.stop > w.start or c.stop > c.start:
+                context, word = np.divmod(self.pairs[q], max(1, len(self.words)))
+                used, word = np.unique(word, return_inverse=True)
+                pairs = {"context": pa.array((context - c.start).astype(np.int32)), "word": pa.array(word.astype(np.int32))}
+                yield part, w, c, q, pairs, {"word": pa.array(self.words[used].view(np.int64))}
 
 
 def _gathered(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,227 +125,230 @@ def _gathered(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tokens_of(texts)
 
 
-def candidate_contexts(texts: DataFrame, block_bytes: int = BLOCK_BYTES, least_share: float = LEAST_SHARE) -> Contexts:
-    """Contexts that hold the least share of tokens somewhere; one that does so overall must do so in some block."""
+_FORM = {"words": pa.binary(), "contexts": pa.binary(), "pairs": pa.binary(), "dictionary": pa.binary()}
+_COUNTS = "part int, words binary, contexts binary, pairs binary, dictionary binary"
 
-    def local(batches):
-        for tokens, begin in _gathered(batches, block_bytes):
-            frequent = None
-            for depth, (places, hashes, before) in enumerate(suffixes(tokens, begin), 1):
-                if frequent is not None:
-                    open_ = np.isin(before, frequent)
-                    hashes, before = hashes[open_], before[open_]
-                found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                often = counts >= least_share * len(tokens)
-                frequent = found[often]
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(len(frequent), depth, dtype=np.int32)),
-                        pa.array(frequent.view(np.int64)),
-                        pa.array(before[first[often]].view(np.int64)),
-                    ],
-                    names=["depth", "hash", "before"],
-                )
 
-    rows = texts.mapInArrow(local, "depth int, hash long, before long").distinct().collect()
-    wrap = (1 << 64) - 1
-    return Contexts.closed({r["hash"] & wrap: (r["depth"], r["before"] & wrap) for r in rows})
+def _packed(rows: list[tuple], **kinds) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _numbers(packed: bytes, *columns: str) -> list[np.ndarray]:
+    batch = unpack(packed)
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
 
-def count_model(texts: DataFrame, contexts: Contexts, parts: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The counts, one row per part: ``part, words, pairs``, packed (word, n) and (word's place, context, n)."""
-    shared = texts.sparkSession.sparkContext.broadcast(contexts)
+
+def count_model(texts: DataFrame, parts: int, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per part: packed words (word, n), contexts (hash, before, depth, tokens, kinds) that at least so many tokens
+    follow, pairs (place of the context, place in the dictionary, n) and the dictionary of their words. All in order."""
 
     def count(batches):
-        known = shared.value
         for tokens, begin in _gathered(batches, block_bytes):
-            lay = Layout(tokens, list(known.at(tokens, begin)), len(known.hash), parts)
+            lay = Layout(tokens, begin, parts)
             n = np.bincount(lay.word_of, minlength=len(lay.words))
-            out = [
-                (p, pack(word=words, n=pa.array(n[w])), pack(word=word, context=context, n=pa.array(lay.pair_counts[q])))
-                for p, w, q, words, word, context in lay.rows()
-            ]
-            yield _model_rows(out)
+            for part, w, c, q, pairs, dictionary in lay.rows():
+                words = pack(word=pa.array(lay.words[w].view(np.int64)), n=pa.array(n[w]))
+                contexts = pack(
+                    hash=pa.array(lay.contexts[c].view(np.int64)), before=pa.array(lay.before[c].view(np.int64)), depth=pa.array(lay.depth[c])
+                )
+                counted = pack(**pairs, n=pa.array(lay.pair_counts[q]))
+                yield _packed([(part, words, contexts, counted, pack(**dictionary))], part=pa.int32(), **_FORM)
 
     def add_up(key, sent):
-        words, counts, pair_words, pair_contexts, pair_counts = [], [], [], [], []
-        for w, q in zip(sent.column("words"), sent.column("pairs"), strict=True):
-            own, pairs = unpack(w.as_py()), unpack(q.as_py())
-            words.append(own.column("word").to_numpy())
-            counts.append(own.column("n").to_numpy())
-            pair_words.append(words[-1][pairs.column("word").to_numpy()])
-            pair_contexts.append(pairs.column("context").to_numpy())
-            pair_counts.append(pairs.column("n").to_numpy())
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        width = max(1, len(shared.value.hash))
-        keys = np.searchsorted(distinct, np.concatenate(pair_words)) * width + np.concatenate(pair_contexts)
-        pairs, at = np.unique(keys, return_inverse=True)
-        m = np.bincount(at, weights=np.concatenate(pair_counts), minlength=len(pairs)).astype(np.int64)
-        word, context = np.divmod(pairs, width)
-        packed = pack(word=pa.array(word.astype(np.int32)), context=pa.array(context.astype(np.int32)), n=pa.array(m))
-        return pa.Table.from_batches([_model_rows([(key[0].as_py(), pack(word=pa.array(distinct), n=pa.array(n)), packed)])])
-
-    form = "part int, words binary, pairs binary"
-    return stored(texts.mapInArrow(count, form).groupBy("part").applyInArrow(add_up, form))
-
-
-def _model_rows(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "words", "pairs"])
+        words = [_numbers(w.as_py(), "word", "n") for w in sent.column("words")]
+        word, n = _sums(*(np.concatenate(x) for x in zip(*words, strict=True)))
+        contexts = [_numbers(c.as_py(), "hash", "before", "depth") for c in sent.column("contexts")]
+        dictionaries = [_numbers(d.as_py(), "word")[0] for d in sent.column("dictionary")]
+        (hashes, first), used = np.unique(np.concatenate([c[0] for c in contexts]), return_index=True), np.unique(np.concatenate(dictionaries))
+        before, depth = (np.concatenate([c[i] for c in contexts])[first] for i in (1, 2))
+        keys, ns = [], []
+        for (h, _, _), d, q in zip(contexts, dictionaries, sent.column("pairs"), strict=True):
+            at, of, m = _numbers(q.as_py(), "context", "word", "n")
+            keys.append(np.searchsorted(hashes, h)[at] * len(used) + np.searchsorted(used, d)[of])
+            ns.append(m)
+        pairs, m = _sums(np.concatenate(keys), np.concatenate(ns))
+        context, of = np.divmod(pairs, max(1, len(used)))
+        tokens = np.bincount(context, weights=m, minlength=len(hashes)).astype(np.int64)
+        kinds = np.bincount(context, minlength=len(hashes))
+        held = {"hash": hashes, "before": before, "depth": depth, "tokens": tokens, "kinds": kinds}
+        packed = _chosen(held, context, of, m, used, tokens >= least)
+        return pa.Table.from_batches([_packed([(key[0].as_py(), pack(word=pa.array(word), n=pa.array(n)), *packed)], part=pa.int32(), **_FORM)])
+
+    return stored(texts.mapInArrow(count, _COUNTS).groupBy("part").applyInArrow(add_up, _COUNTS))
+
+
+def _chosen(held: dict, context: np.ndarray, word: np.ndarray, n: np.ndarray, dictionary: np.ndarray, chosen: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Packed contexts, pairs and dictionary of the chosen contexts."""
+    kept = chosen[context]
+    used, word = np.unique(word[kept], return_inverse=True)
+    place = np.cumsum(chosen) - 1
+    pairs = pack(context=pa.array(place[context[kept]].astype(np.int32)), word=pa.array(word.astype(np.int32)), n=pa.array(n[kept]))
+    return pack(**{c: pa.array(v[chosen]) for c, v in held.items()}), pairs, pack(word=pa.array(dictionary[used]))
 
 
 @dataclass(frozen=True)
 class Model:
-    counts: DataFrame
-    contexts: Contexts  # candidates, with their figures
-    kept: np.ndarray  # which of them are states
+    counts: DataFrame  # as count_model, of the states
+    kept: np.ndarray  # states of each depth
     tokens: int
     kinds: int
     parts: int
 
 
-def fit(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, least_share: float = LEAST_SHARE) -> Model:
+def fit(
+    docs: DataFrame,
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    least_share: float = LEAST_SHARE,
+    least_count: int = LEAST_COUNT,
+) -> Model:
     """Learn from all given documents."""
     texts = docs.select(F.col(text_col).alias("text"))
+
+    def lengths(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(fold(t).split()) + 1 for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = texts.mapInArrow(lengths, "n long").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-size // block_bytes))
-    contexts = candidate_contexts(texts, block_bytes, least_share)
-    counts = count_model(texts, contexts, parts, block_bytes)
+    counts = count_model(texts, parts, min(least_share * total, least_count), block_bytes)
 
-    def totals(batches):
+    def words(batches):
         for batch in batches:
-            for w, q in zip(batch.column(0), batch.column(1), strict=True):
-                n, pairs = unpack(w.as_py()).column("n").to_numpy(), unpack(q.as_py())
-                context, m = pairs.column("context").to_numpy(), pairs.column("n").to_numpy()
-                width = len(contexts.hash)
-                sums = np.bincount(context, weights=m, minlength=width).astype(np.int64)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.arange(-1, width, dtype=np.int32)),
-                        pa.array(np.append(n.sum(), sums)),
-                        pa.array(np.append(len(n), np.bincount(context, minlength=width))),
-                    ],
-                    names=["context", "tokens", "kinds"],
-                )
+            for w in batch.column(0):
+                yield unpack(w.as_py())
 
-    figures = counts.select("words", "pairs").mapInArrow(totals, "context int, tokens long, kinds long")
-    figures = {r[0]: (r[1], r[2]) for r in figures.groupBy("context").agg(F.sum("tokens"), F.sum("kinds")).collect()}
-    total, kinds = figures.get(-1, (0, 0))
-    after = [figures.get(i, (0, 0)) for i in range(len(contexts.hash))]
-    contexts = Contexts(
-        contexts.hash,
-        contexts.parent,
-        contexts.depth,
-        np.array([a[0] for a in after], dtype=np.int64),
-        np.array([a[1] for a in after], dtype=np.int64),
-    )
-    gap = _divergence(counts, contexts, total, kinds)
-    states = (gap >= DIVERGENCE) & (contexts.tokens >= least_share * total)
-    for i in np.argsort(-contexts.depth, kind="stable"):
-        if states[i] and contexts.parent[i] >= 0:
-            states[contexts.parent[i]] = True
-    return Model(counts, contexts, states, total, kinds, parts)
+    known = counts.select("words").mapInArrow(words, "word long, n long")
+    kinds = known.count()
+    states = _states(counts, known, total, kinds)
+    kept = {r["depth"]: r["count"] for r in states.groupBy("depth").count().collect()}
+
+    def retain(key, held, chosen):
+        out = []
+        for row in held.to_pylist():
+            contexts = unpack(row["contexts"])
+            at, of, n = _numbers(row["pairs"], "context", "word", "n")
+            columns = {c: contexts.column(c).to_numpy(zero_copy_only=False) for c in contexts.schema.names}
+            mask = np.isin(columns["hash"], chosen.column("hash").to_numpy())
+            out.append((row["part"], row["words"], *_chosen(columns, at, of, n, _numbers(row["dictionary"], "word")[0], mask)))
+        return pa.Table.from_batches([_packed(out, part=pa.int32(), **_FORM)])
 
+    tree = stored(counts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(retain, _COUNTS))
+    return Model(tree, np.array([kept.get(d, 0) for d in range(1, DEPTH + 1)]), total, kinds, parts)
 
-def _divergence(counts: DataFrame, contexts: Contexts, total: int, kinds: int) -> np.ndarray:
-    """Of each context, how far its next words are from those of its suffix, in nats, less the bias of finite counts."""
-    shared = counts.sparkSession.sparkContext.broadcast(contexts)
 
-    def compare(batches):
-        known = shared.value
-        width = len(known.hash)
+def _states(counts: DataFrame, words: DataFrame, total: int, kinds: int) -> DataFrame:
+    """``part, depth, hash`` of the contexts whose next words are far from those of their suffix, and of their suffixes."""
+
+    def pairs(batches):
         for batch in batches:
-            for w, q in zip(batch.column(0), batch.column(1), strict=True):
-                n, pairs = unpack(w.as_py()).column("n").to_numpy(), unpack(q.as_py())
-                word, context, m = (pairs.column(c).to_numpy() for c in ("word", "context", "n"))
-                keys = word.astype(np.int64) * width + context
-                p = np.zeros(len(keys))
-                for depth in range(1, DEPTH + 1):
-                    at = np.flatnonzero(known.depth[context] == depth)
-                    if depth == 1:
-                        below = (n[word[at]] + 1) / (total + kinds + 1)
-                    else:
-                        # A word after a context also follows the context's suffix.
-                        below = p[np.searchsorted(keys, word[at].astype(np.int64) * width + known.parent[context[at]])]
-                    c = context[at]
-                    gain = m[at] / known.tokens[c] * np.log(m[at] / known.tokens[c] / below)
-                    p[at] = (m[at] + known.kinds[c] * below) / (known.tokens[c] + known.kinds[c])
-                    sums = np.bincount(c, weights=gain, minlength=width).astype(np.float64)
-                    some = np.unique(c)
-                    yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["context", "gain"])
-
-    out = np.zeros(len(contexts.hash))
-    if len(out):
-        rows = counts.select("words", "pairs").mapInArrow(compare, "context int, gain double")
-        for r in rows.groupBy("context").agg(F.sum("gain").alias("gain")).collect():
-            out[r["context"]] = r["gain"]
-    return out - (contexts.kinds - 1) / (2 * np.maximum(contexts.tokens, 1))
+            for row in batch.to_pylist():
+                contexts = pa.Table.from_batches([unpack(row["contexts"])])
+                at, of, n = _numbers(row["pairs"], "context", "word", "n")
+                dictionary = _numbers(row["dictionary"], "word")[0]
+                for start in range(0, len(at), 1 << 17):
+                    part = slice(start, start + (1 << 17))
+                    out = contexts.take(pa.array(at[part])).append_column("word", pa.array(dictionary[of[part]]))
+                    out = out.append_column("n", pa.array(n[part])).append_column("part", pa.array(np.full(len(at[part]), row["part"], dtype=np.int32)))
+                    yield from out.to_batches()
+
+    form = "hash long, before long, depth tinyint, tokens long, kinds long, word long, n long, part int"
+    seen = stored(counts.mapInArrow(pairs, form))
+    # In nats, less the bias of finite counts.
+    share = F.col("n") / F.col("tokens")
+    below = words.select("word", ((F.col("n") + 1) / F.lit(total + kinds + 1)).alias("below"))
+    far: list[DataFrame] = []
+    for depth in range(1, DEPTH + 1):
+        # A word after a context also follows the context's suffix.
+        here = seen.where(F.col("depth") == depth).join(below, ["word"] if depth == 1 else ["before", "word"])
+        here = here.withColumns({"gain": share * F.log(share / F.col("below")), "p": (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("tokens") + F.col("kinds"))})
+        here = stored(here.select("part", "depth", "hash", "before", "word", "tokens", "kinds", "gain", "p"))
+        gap = F.sum("gain") - (F.first("kinds") - 1) / (2 * F.first("tokens"))
+        far.append(here.groupBy("part", "depth", "hash", "before").agg(gap.alias("gap")).where(F.col("gap") >= DIVERGENCE).drop("gap"))
+        below = here.select(F.col("hash").alias("before"), "word", F.col("p").alias("below"))
+    every = seen.select("part", "depth", "hash", "before").distinct()
+    kept = [stored(far.pop())]
+    while far:
+        suffix = kept[-1].select(F.col("before").alias("hash")).distinct()
+        needed = every.where(F.col("depth") == len(far)).join(suffix, "hash", "left_semi")
+        kept.append(stored(far.pop().unionByName(needed).distinct()))
+    return stored(reduce(DataFrame.unionByName, kept).select("part", "depth", "hash"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, n_tokens, n_known, base_score, score`` of every text: log10 probabilities by the root alone and by the tree."""
     blocked, _ = in_blocks(docs, id_col, text_col, block_bytes)
-    states = np.flatnonzero(model.kept)
-    all_ = model.contexts
-    # States keep their place among the candidates, by which the counts know them.
-    tree = Contexts(all_.hash[states], states, all_.depth[states], all_.tokens[states], all_.kinds[states])
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    total, kinds, parts, width = model.tokens, model.kinds, model.parts, len(all_.hash)
+    total, kinds, parts = model.tokens, model.kinds, model.parts
 
     def laid(block):
-        tree = shared.value
         tokens, begin = tokens_of(list(texts_of(block)))
-        pairs = list(tree.at(tokens, begin))
-        return tokens, begin, pairs, Layout(tokens, [(p, tree.parent[c]) for p, c in pairs], width, parts)
+        return begin, Layout(tokens, begin, parts)
 
     def ask(key, block):
-        lay = laid(block)[3]
-        out = [(p, pack(word=words), pack(word=word, context=context)) for p, _, _, words, word, context in lay.rows()]
-        rows = _model_rows(out)
-        return pa.Table.from_batches([rows.append_column("block", pa.array([key[0].as_py()] * len(out), pa.int32()))])
+        lay = laid(block)[1]
+        out = []
+        for part, w, c, _, pairs, dictionary in lay.rows():
+            words, contexts = (pack(hash=pa.array(x.view(np.int64))) for x in (lay.words[w], lay.contexts[c]))
+            out.append((key[0].as_py(), part, words, contexts, pack(**pairs), pack(**dictionary)))
+        return pa.Table.from_batches([_packed(out, block=pa.int32(), part=pa.int32(), **_FORM)])
+
+    def places(table, wanted):
+        """Where the table, which is in order, holds the wanted, and whether."""
+        if not len(table):
+            return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+        return at, table[at] == wanted
 
     def answer(key, asked, held):
-        words = n = keys = m = np.zeros(0, dtype=np.int64)
-        if held.num_rows:
-            own, pairs = unpack(held.column("words")[0].as_py()), unpack(held.column("pairs")[0].as_py())
-            words, n, m = own.column("word").to_numpy(), own.column("n").to_numpy(), pairs.column("n").to_numpy()
-            keys = pairs.column("word").to_numpy().astype(np.int64) * max(1, width) + pairs.column("context").to_numpy()
-
-        def look_up(table, values, wanted):
-            if not len(table):
-                return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=np.int64)
-            at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-            return np.where(table[at] == wanted, values[at], 0), at
+        none = np.zeros(0, dtype=np.int64)
+        words = n = hashes = tokens = kinds_ = keys = m = used = none
+        for row in held.to_pylist():
+            words, n = _numbers(row["words"], "word", "n")
+            hashes, tokens, kinds_ = _numbers(row["contexts"], "hash", "tokens", "kinds")
+            used = _numbers(row["dictionary"], "word")[0]
+            context, of, m = _numbers(row["pairs"], "context", "word", "n")
+            keys = context.astype(np.int64) * len(used) + of
+
+        def look_up(values, at, found):
+            return np.where(found, values[at], 0) if len(values) else np.zeros(len(at), dtype=np.int64)
 
         out = []
-        for block, w, q in zip(asked.column("block"), asked.column("words"), asked.column("pairs"), strict=True):
-            counts, at = look_up(words, n, unpack(w.as_py()).column("word").to_numpy())
-            pairs = unpack(q.as_py())
-            place = at[pairs.column("word").to_numpy()] if pairs.num_rows else at[:0]
-            seen = counts[pairs.column("word").to_numpy()] > 0
-            after, _ = look_up(keys, m, place * max(1, width) + pairs.column("context").to_numpy())
-            out.append((block.as_py(), key[0].as_py(), pack(n=pa.array(counts)), pack(n=pa.array(np.where(seen, after, 0)))))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds_ = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["block", "part", "words", "pairs"])
+        # One asking block at a time is unpacked.
+        for i in range(asked.num_rows):
+            w, c, q, d = (asked.column(x)[i].as_py() for x in _FORM)
+            counts = look_up(n, *places(words, _numbers(w, "hash")[0]))
+            at, state = places(hashes, _numbers(c, "hash")[0])
+            of, known = places(used, _numbers(d, "word")[0])
+            context, word = _numbers(q, "context", "word")
+            pair, found = places(keys, at[context] * len(used) + of[word])
+            after = look_up(m, pair, found & state[context] & known[word])
+            figures = pack(tokens=pa.array(look_up(tokens, at, state)), kinds=pa.array(look_up(kinds_, at, state)))
+            out.append((asked.column("block")[i].as_py(), key[0].as_py(), pack(n=pa.array(counts)), figures, pack(n=pa.array(after))))
+        return pa.Table.from_batches([_packed(out, block=pa.int32(), part=pa.int32(), words=pa.binary(), contexts=pa.binary(), pairs=pa.binary())])
 
     def rate(block, answered):
-        tree = shared.value
-        tokens, begin, pairs, lay = laid(block)
+        begin, lay = laid(block)
         count, after = np.zeros(len(lay.words)), np.zeros(len(lay.pairs))
-        place = {int(p): i for i, p in enumerate(lay.parts)}
-        for p, w, q in zip(answered.column("part"), answered.column("words"), answered.column("pairs"), strict=True):
-            i = place[p.as_py()]
-            count[lay.word_bounds[i] : lay.word_bounds[i + 1]] = unpack(w.as_py()).column("n").to_numpy()
-            after[lay.pair_bounds[i] : lay.pair_bounds[i + 1]] = unpack(q.as_py()).column("n").to_numpy()
+        tokens, kinds_ = np.zeros(len(lay.contexts)), np.zeros(len(lay.contexts))
+        for i in range(answered.num_rows):
+            w, c, q = lay.slices(answered.column("part")[i].as_py())
+            count[w] = _numbers(answered.column("words")[i].as_py(), "n")[0]
+            tokens[c], kinds_[c] = _numbers(answered.column("contexts")[i].as_py(), "tokens", "kinds")
+            after[q] = _numbers(answered.column("pairs")[i].as_py(), "n")[0]
         seen = count[lay.word_of]
         base = (seen + 1) / (total + kinds + 1)
         p = base.copy()
-        for places, which in pairs:
-            at = np.searchsorted(lay.pairs, lay.word_of[places] * lay.contexts + tree.parent[which])
-            p[places] = (after[at] + tree.kinds[which] * p[places]) / (tree.tokens[which] + tree.kinds[which])
+        for at, context, pair in lay.places:
+            state = tokens[context] > 0
+            at, context, pair = at[state], context[state], pair[state]
+            p[at] = (after[pair] + kinds_[context] * p[at]) / (tokens[context] + kinds_[context])
         return pa.table(
             {
                 "id": block.column("id"),
@@ -367,11 +359,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "part int, words binary, pairs binary, block int")
+    asked = blocked.groupBy("block").applyInArrow(ask, f"block int, {_COUNTS}")
     answered = (
         asked.groupBy("part")
         .cogroup(model.counts.groupBy("part"))
-        .applyInArrow(answer, "block int, part int, words binary, pairs binary")
+        .applyInArrow(answer, "block int, part int, words binary, contexts binary, pairs binary")
     )
     kind = docs.schema[id_col].dataType.simpleString()
     return (

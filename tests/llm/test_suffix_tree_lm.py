@@ -98,3 +98,16 @@ def test_empty_tables(spark):
     assert lm.score(none, model).collect() == []
     one = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in lm.score(one, model).collect()] == [(None, 3, 0, 0.0, 0.0)]
+
+
+def test_a_context_stays_a_state_in_a_larger_corpus(spark):
+    """The same context with the same counts, beside ever more other text."""
+    train = ["alpha beta gamma"] * 45 + ["delta beta epsilon"] * 45
+    other = [" ".join(f"w{(i * 7919 + j * j) % 50_000}" for j in range(1000)) for i in range(200)]
+    states = {}
+    for name, extra in (("small", other[:20]), ("large", other)):
+        model = lm.fit(spark.createDataFrame([(t,) for t in train + extra], "text string"))
+        row = lm.score(spark.createDataFrame([(0, "alpha beta gamma")], "doc_id long, text string"), model).first()
+        states[name] = row["score"] - row["base_score"]
+        assert model.kept[1] > 0
+    assert states["large"] > states["small"] > 5
