@@ -5,14 +5,16 @@ item's edit budget: a tenth of the item's bytes, and less than the number of
 its eight-byte pieces.  Texts are compared with A-Z folded and white space
 collapsed.
 
-Item-sized windows are embedded by the CGK random walk, which turns edit
-distance into Hamming distance, and hashed by sampled coordinates; a window
-that agrees with its item in any of the repetitions is verified by the exact
-edit distance.  Only windows that can be within the budget are embedded: each
-edit spoils at most one of an item's disjoint eight-byte pieces, so the rest
-must occur unchanged near one diagonal.  That bound is exact; the sampling is
-the only step with a chance of missing, and its repetitions are chosen for the
-recall below at the full budget.
+Windows are embedded by the CGK random walk, which turns edit distance into
+Hamming distance, and hashed by sampled coordinates.  An item is cut into equal
+parts of at most ``PART`` bytes, because two walks drift apart the longer they
+are; one of the parts has at most its share of the edits.  A window that agrees
+with a part in any of the repetitions has the whole item verified by the exact
+edit distance.  Only windows that can be within the budget are embedded, one at
+each diagonal of unchanged pieces: each edit spoils at most one of an item's
+disjoint eight-byte pieces, so the rest must occur unchanged near one diagonal.
+That bound is exact; the sampling is the only step with a chance of missing,
+and its repetitions are chosen for the recall below at the full budget.
 
 Items are held by every task. Their bytes are counted first, and more than
 ``SLICE_BYTES`` of them are taken in several passes over the documents.
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 
 PIECE = 8
 SLICE_BYTES = 8 << 20
-#: Coordinates per repetition, and repetitions. An item at its full budget agrees in one repetition with
-#: probability 0.07 to 0.19 (measured on edited items of 80 to 400 bytes), so 64 repetitions miss at most 1 in 80.
+#: Most bytes of an item that are embedded as one.
+PART = 200
+#: Coordinates per repetition, and repetitions. A part at its full budget agrees in one repetition with
+#: probability 0.07 to 0.19 (measured on edits of 80 to 400 bytes), so 64 repetitions miss at most 1 in 80.
 SAMPLED, REPETITIONS = 4, 64
 _WALK = 20070611
 _CHUNK = 4 << 20
@@ -77,7 +81,7 @@ def least_edits(item: bytes, text: bytes) -> int:
 class Walks:
     """The random walks of all repetitions, from a fixed seed."""
 
-    def __init__(self, longest: int):
+    def __init__(self, longest: int = PART):
         draw = np.random.default_rng(_WALK)
         self.places = draw.random((REPETITIONS, SAMPLED))
         self.steps = 2 * longest + 1
@@ -130,12 +134,17 @@ class Items:
         self.offset = np.array([p[2] for p in pieces], dtype=np.int64)[order]
         self.filter = np.zeros(1 << _BITS, dtype=bool)
         self.filter[(self.value * _SPREAD) >> np.uint64(64 - _BITS)] = True
-        self.longest = max(map(len, texts), default=0)
+        # The parts of all items, those of item i from first[i] on.
+        count = [-(-len(t) // PART) if len(t) >= 2 * PIECE else 0 for t in texts]
+        self.first = np.concatenate(([0], np.cumsum(count))).astype(np.int64)
+        self.bounds = [np.arange(n + 1) * len(t) // max(n, 1) for t, n in zip(texts, count, strict=True)]
         self.keys = None
         if long:
-            walks = Walks(self.longest)
-            rows, sizes = _rows(texts)
-            self.keys = walks.keys(range(REPETITIONS), rows, np.maximum(sizes, 1))
+            walks = Walks()
+            parts = [texts[i][a:b] for i in long for a, b in zip(self.bounds[i], self.bounds[i][1:])]
+            self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+            chunks = [_rows(parts[at : at + 4096]) for at in range(0, len(parts), 4096)]
+            self.keys = np.concatenate([walks.keys(range(REPETITIONS), *c) for c in chunks], axis=1)
 
     def seeds(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place in the data, item and offset of every piece that occurs."""
@@ -179,45 +188,61 @@ def _search(items: Items, walks: Walks | None, texts: list[bytes]) -> dict[tuple
     last = np.minimum(last, len(doc) - 1)
     good = inside & (doc[last] == doc) & (item[last] == item) & (start[last] - start <= 2 * items.budget[item])
     group = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True])))
-    windows, of = [], []
-    seen: set[tuple[int, int, int]] = set()
+    windows: list[bytes] = []
+    of: list[tuple[int, int, int]] = []
+    part_of: list[int] = []
     candidates = np.flatnonzero(good)
     for g in np.unique(np.searchsorted(group, candidates, "right")) - 1:
         a, stop = group[g], group[g + 1]
         d, k = int(doc[a]), int(item[a])
         text, wide, needed = items.texts[k], 2 * int(items.budget[k]), int(items.need[k])
+        first, end = int(begin[d]), int(begin[d + 1]) - 1
+        live = np.zeros(stop - a, dtype=bool)
         for j in candidates[slice(*np.searchsorted(candidates, (a, stop)))]:
             run = slice(j, j + int(np.searchsorted(start[j:stop], start[j] + wide, "right")))
             # A piece that occurs several times there is one piece that survived.
             if len(np.unique(offset[run])) < needed:
                 continue
-            starts = {int(start[j]), int(start[run][np.argmin(offset[run])]), int(np.median(start[run]))}
-            cuts = [(max(int(begin[d]), s), int(begin[d + 1]) - 1) for s in sorted(starts)]
-            if any(data[s : min(s + len(text), end)] == text for s, end in cuts):
+            s = int(start[j])
+            if s >= first and data.startswith(text, s, end):
                 # Equal strings have equal embeddings and no edits; nothing nearer can follow.
                 found[d, k] = 0
                 break
-            for s, end in cuts:
-                if (d, k, s) not in seen:
-                    seen.add((d, k, s))
-                    windows.append(data[s : min(s + len(text), end)])
-                    of.append((d, k, s))
+            live[run.start - a : run.stop - a] = True
+        if found.get((d, k)) == 0 or not live.any():
+            continue
+        seeds = a + np.flatnonzero(live)
+        bounds = items.bounds[k]
+        parts = np.searchsorted(bounds, offset[seeds], "right") - 1
+        for s, p in np.unique(np.stack([start[seeds], parts], axis=1), axis=0).tolist():
+            window = data[max(first, s + int(bounds[p])) : max(first, min(s + int(bounds[p + 1]), end))]
+            if window:
+                windows.append(window)
+                of.append((d, k, s))
+                part_of.append(int(items.first[k]) + p)
     close = np.zeros(len(windows), dtype=bool)
+    which = np.array(part_of, dtype=np.int64)
+    agreed: set[tuple[int, int, int]] = set()
     for repetitions in _ROUNDS:
-        rest = np.flatnonzero(~close)
-        for part in np.array_split(rest, -(-len(rest) // 512)) if len(rest) else ():
-            rows, _ = _rows([windows[i] for i in part])
-            which = np.array([of[i][1] for i in part])
-            sizes = np.array([len(items.texts[k]) for k in which], dtype=np.int64)
-            mine = walks.keys(repetitions, rows, sizes)
-            close[part] = (mine == items.keys[repetitions.start : repetitions.stop, which]).any(axis=0)
-    for i in np.flatnonzero(close):
-        d, k, s = of[i]
-        text, allowed = items.texts[k], int(items.budget[k])
-        if found.get((d, k), allowed + 1) == 0:
-            continue
-        edits = least_edits(text, data[max(int(begin[d]), s - 2 * allowed) : min(s + len(text) + 4 * allowed, int(begin[d + 1]) - 1)])
-        if edits <= allowed:
+        # One part that agrees is enough for its diagonal.
+        rest = np.array([i for i, w in enumerate(of) if w not in agreed], dtype=np.int64)
+        for some in np.array_split(rest, -(-len(rest) // 512)) if len(rest) else ():
+            rows, _ = _rows([windows[i] for i in some])
+            mine = walks.keys(repetitions, rows, items.sizes[which[some]])
+            close[some] = (mine == items.keys[repetitions.start : repetitions.stop, which[some]]).any(axis=0)
+        agreed.update(of[i] for i in np.flatnonzero(close))
+    # Diagonals whose stretches of text overlap are verified as one stretch.
+    stretches: list[list[int]] = []
+    for d, k, s in sorted(agreed):
+        size, allowed = len(items.texts[k]), int(items.budget[k])
+        low, high = max(int(begin[d]), s - 2 * allowed), min(s + size + 4 * allowed, int(begin[d + 1]) - 1)
+        if stretches and stretches[-1][:2] == [d, k] and low < stretches[-1][3]:
+            stretches[-1][3] = max(high, stretches[-1][3])
+        else:
+            stretches.append([d, k, low, high])
+    for d, k, low, high in stretches:
+        edits = least_edits(items.texts[k], data[low:high])
+        if edits <= items.budget[k]:
             found[d, k] = min(edits, found.get((d, k), edits))
     return found
 
@@ -254,7 +279,7 @@ def _pass(docs: DataFrame, known: DataFrame, keep: tuple[str, ...], text_col: st
 
     def search(batches):
         held = shared.value
-        walks = Walks(held.longest) if held.keys is not None else None
+        walks = Walks() if held.keys is not None else None
         for batch in batches:
             texts = [normal(t) for t in batch.column(0).to_pylist()]
             at = 0

@@ -1,8 +1,9 @@
 """Leaks agree with the edit distance of every item to every text."""
 
 import numpy as np
+import pytest
 
-from tallymark.llm.decontaminate import budget, find_leaks, least_edits, normal
+from tallymark.llm.decontaminate import Items, Walks, _search, budget, find_leaks, least_edits, normal
 from tallymark.llm.queries import op8_decontamination
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,23 @@ def test_odd_rows(spark):
     assert got == sorted(map(str, [(1, 7, 0), (1, 8, 0)] * 2 + [(None, 7, 0), (None, 8, 0), (5, None, 0)]))
     assert len(find_leaks(docs, items, slice_bytes=50).collect()) == 7
     assert find_leaks(docs.limit(0), items).collect() == [] and find_leaks(docs, items.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("inserts_only", [False, True])
+@pytest.mark.parametrize("size", [400, 1600, 6400])
+def test_recall_does_not_fall_with_the_length_of_the_item(size, inserts_only):
+    draw = np.random.default_rng(size)
+    item = bytes(draw.integers(97, 123, size=size).tolist())
+    held = Items([item])
+    texts = []
+    for _ in range(20):
+        q = bytearray(item)
+        for _ in range(budget(size)):
+            j, op = int(draw.integers(len(q))), 0 if inserts_only else int(draw.integers(3))
+            q[j : j + (op > 0)] = b"" if op == 2 else bytes([int(draw.integers(97, 123))])
+        texts.append(bytes(draw.integers(97, 123, size=500).tolist()) + bytes(q) + bytes(draw.integers(97, 123, size=500).tolist()))
+    assert budget(size) == size // 10
+    got = _search(held, Walks(), texts)
+    assert sum((d, 0) in got for d in range(20)) >= 19
+    for (d, _), edits in got.items():
+        assert edits == least_edits(item, texts[d])
