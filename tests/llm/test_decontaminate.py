@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallymark.llm.decontaminate import Items, Walks, _search, budget, find_leaks, least_edits, normal
+from tallymark.llm.decontaminate import REPETITIONS, Items, Walks, _search, budget, find_leaks, least_edits, normal
 from tallymark.llm.queries import op8_decontamination
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,10 @@ def test_recall_does_not_fall_with_the_length_of_the_item(size, inserts_only):
     assert sum((d, 0) in got for d in range(20)) >= 19
     for (d, _), edits in got.items():
         assert edits == least_edits(item, texts[d])
+
+
+def test_walks_do_not_grow_with_the_longest_item():
+    item = bytes(np.random.default_rng(3).integers(97, 123, size=100_000).tolist())
+    held = Items([item, b"a short item of some bytes"])
+    assert held.keys.shape == (REPETITIONS, 501) and Walks().bits.nbytes < 10 << 20
+    assert _search(held, Walks(), [b"before " + item + b" after"]) == {(0, 0): 0}
