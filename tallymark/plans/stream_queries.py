@@ -1,12 +1,16 @@
-"""Registered streaming queries: the events as a stream of several files, run to its end.
+"""Registered streaming queries: the events as a stream of slices of time, run to its end.
 
-The events are staged as files in time order and read one file per trigger.
-Files with a far later event at the end let the watermark pass every event.
+Each slice is staged when the one before has been read, and is one trigger,
+however many files it has: later slices hold later events only, so the
+watermark makes none late.  Slices with a far later event at the end let it
+pass every event.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,43 +22,48 @@ from tallymark.session import fresh_path
 from tallymark.specs import Rule
 from tallymark.streaming import events as live
 
-_FILES = 3
+_SLICES = 3
 _END = datetime(2100, 1, 1)
 
 
-def _staged(events: DataFrame, moment: str = "ts") -> DataFrame:
-    """The rows as a stream: one file set per part of the time span, then two marks that end it."""
+def _staged(events: DataFrame, moment: str = "ts") -> tuple[DataFrame, Iterator[None]]:
+    """The rows as a stream, and its feed: each step adds a slice. Rows without a time come first, two marks last."""
     spark, folder = events.sparkSession, fresh_path(events.sparkSession)
     when = F.unix_micros(F.col(moment).cast("timestamp"))
-    first, last = events.agg(F.min(when), F.max(when)).first()
-    part = F.least(F.floor((when - first) * F.lit(_FILES) / F.lit(last - first + 1)), F.lit(_FILES - 1))
-    for i in range(_FILES):
-        events.where(part == i).write.parquet(f"{folder}/{i}")
+    first, last, untimed = events.agg(F.min(when), F.max(when), F.count_if(when.isNull())).first()
+    slices = [events.where(when.isNull())] if untimed else []
+    if first is not None:
+        part = F.floor((when - first) * F.lit(_SLICES) / F.lit(last - first + 1))
+        slices += [events.where(F.least(part, F.lit(_SLICES - 1)) == i) for i in range(_SLICES)]
     kind = events.schema[moment].dataType
     for i in range(2):
-        end = spark.range(1).select(
-            *[(F.lit(_END.replace(year=_END.year + i)) if f.name == moment else F.lit(None)).cast(kind if f.name == moment else f.dataType).alias(f.name) for f in events.schema.fields]
+        slices.append(
+            spark.range(1).select(
+                *[(F.lit(_END.replace(year=_END.year + i)) if f.name == moment else F.lit(None)).cast(kind if f.name == moment else f.dataType).alias(f.name) for f in events.schema.fields]
+            )
         )
-        end.write.parquet(f"{folder}/{_FILES + i}")
-    return (
-        spark.readStream.schema(events.schema)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", _FILES_PER_TRIGGER)
-        .parquet(folder)
-    )
+    # The source needs its folder from the start.
+    slices[0].write.parquet(f"{folder}/0")
 
+    def feed() -> Iterator[None]:
+        yield
+        for i, rows in enumerate(slices[1:], 1):
+            rows.write.parquet(f"{folder}/{i}")
+            yield
 
-#: A part may be several files; a trigger takes a few of them, in the order they were written.
-_FILES_PER_TRIGGER = 4
+    return spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(folder), feed()
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Iterator[None]]:
     return _staged(read(spark, sf_dir, "events"))
 
 
-def _finished(stream: DataFrame) -> DataFrame:
+def _finished(stream: DataFrame, *feeds: Iterator[None]) -> DataFrame:
     spark = stream.sparkSession
-    return live.run_available(stream, fresh_path(spark), fresh_path(spark))
+    path, checkpoint = fresh_path(spark), fresh_path(spark)
+    for _ in zip_longest(*feeds):
+        done = live.run_available(stream, path, checkpoint)
+    return done
 
 
 def _plain(done: DataFrame, *columns: str) -> DataFrame:
@@ -68,13 +77,15 @@ def _ended(done: DataFrame, column: str) -> DataFrame:
 
 @query("stream_tumbling", TUMBLING_SQL)
 def stream_tumbling(spark, sf_dir):
-    done = _finished(live.tumbling_metrics(_stream(spark, sf_dir), "ts", "1 minute", ["event_type"]))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.tumbling_metrics(events, "ts", "1 minute", ["event_type"]), feed)
     return _plain(_ended(done, "window_start"), "window_start")
 
 
 @query("stream_sliding", SLIDING_SQL)
 def stream_sliding(spark, sf_dir):
-    done = _finished(live.sliding_metrics(_stream(spark, sf_dir), "ts", "3 hours", "1 hour", ["event_type"]))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.sliding_metrics(events, "ts", "3 hours", "1 hour", ["event_type"]), feed)
     return _plain(done.where("event_type is not null"), "window_start")
 
 
@@ -89,25 +100,29 @@ def stream_sliding(spark, sf_dir):
     FROM sessions GROUP BY user_id, session""",
 )
 def stream_debounce(spark, sf_dir):
-    done = _finished(live.debounce(_stream(spark, sf_dir), "user_id", "ts", "event_type", "2 hours", "1 minute"))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.debounce(events, "user_id", "ts", "event_type", "2 hours", "1 minute"), feed)
     return _plain(_ended(done, "first_event"), "first_event", "flush_at").drop("paths")
 
 
 @query("stream_dedup_window", f"SELECT event_id FROM ({greedy('user_id', 6)}) k")
 def stream_dedup_window(spark, sf_dir):
-    done = _finished(live.dedup_window(_stream(spark, sf_dir), F.col("user_id"), "ts", "event_id", 6 * 3600))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.dedup_window(events, F.col("user_id"), "ts", "event_id", 6 * 3600), feed)
     return done.select("event_id").where("event_id is not null")
 
 
 @query("stream_throttle", f"SELECT event_id FROM ({greedy('event_type', 3)}) k")
 def stream_throttle(spark, sf_dir):
-    done = _finished(live.throttle(_stream(spark, sf_dir), F.col("event_type"), "ts", "event_id", 3 * 3600))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.throttle(events, F.col("event_type"), "ts", "event_id", 3 * 3600), feed)
     return done.select("event_id").where("event_id is not null")
 
 
 @query("stream_token_bucket", f"SELECT event_id, accepted FROM ({token_walk()}) k")
 def stream_token_bucket(spark, sf_dir):
-    done = _finished(live.token_bucket(_stream(spark, sf_dir), F.col("user_id"), "ts", "event_id", 2 * HOUR_US, 3))
+    events, feed = _stream(spark, sf_dir)
+    done = _finished(live.token_bucket(events, F.col("user_id"), "ts", "event_id", 2 * HOUR_US, 3), feed)
     return done.select("event_id", "accepted").where("event_id is not null")
 
 
@@ -122,8 +137,9 @@ def stream_token_bucket(spark, sf_dir):
     ),
 )
 def stream_admission(spark, sf_dir):
-    arrivals = _staged(fixture(spark, sf_dir, "arrivals")).na.fill(0, ["change", "priority"])
-    done = _finished(live.admission(arrivals, F.col("queue"), "ts", "event_id", F.col("change"), F.col("priority")))
+    arrivals, feed = _staged(fixture(spark, sf_dir, "arrivals"))
+    arrivals = arrivals.na.fill(0, ["change", "priority"])
+    done = _finished(live.admission(arrivals, F.col("queue"), "ts", "event_id", F.col("change"), F.col("priority")), feed)
     return done.select("event_id", "depth", "effective_priority", "result").where("event_id is not null")
 
 
@@ -132,7 +148,8 @@ def stream_admission(spark, sf_dir):
     "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def stream_burst_windows(spark, sf_dir):
-    return _plain(_finished(live.burst_windows(_stream(spark, sf_dir), "ts", "1 hour", 1, ["event_type"])), "window_start")
+    events, feed = _stream(spark, sf_dir)
+    return _plain(_finished(live.burst_windows(events, "ts", "1 hour", 1, ["event_type"]), feed), "window_start")
 
 
 @query(
@@ -144,8 +161,8 @@ def stream_burst_windows(spark, sf_dir):
 )
 def stream_stale_slots(spark, sf_dir):
     slots = fixture(spark, sf_dir, "slots")
-    acquired, released = (_staged(slots.where(F.col("action") == a).drop("action")) for a in ("acquire", "release"))
-    done = _finished(live.stale_slots(acquired, released, "slot_id", "ts", "1 hour"))
+    (acquired, taken), (released, given) = (_staged(slots.where(F.col("action") == a).drop("action")) for a in ("acquire", "release"))
+    done = _finished(live.stale_slots(acquired, released, "slot_id", "ts", "1 hour"), taken, given)
     return _plain(done.where("slot_id is not null"), "ts")
 
 
@@ -158,7 +175,9 @@ def stream_stale_slots(spark, sf_dir):
 )
 def stream_findings(spark, sf_dir):
     rules = [Rule("high_value", "value", "range", maximum=40), Rule("no_error", "event_type", "custom", expression="event_type <> 'error'")]
-    path = fresh_path(spark)
-    live.findings_sink(_stream(spark, sf_dir), rules, path, fresh_path(spark)).awaitTermination()
+    path, checkpoint = fresh_path(spark), fresh_path(spark)
+    events, feed = _stream(spark, sf_dir)
+    for _ in feed:
+        live.findings_sink(events, rules, path, checkpoint).awaitTermination()
     found = spark.read.parquet(path).where("event_id is not null")
     return found.select("event_id", F.array_join(F.array_sort("broken_rules"), ",").alias("broken"))

@@ -79,7 +79,7 @@ def _stateful(
         F.col(f"`{event_id}`").cast("long").alias("__id"),
         change.cast("long").alias("__change"),
         level.cast("int").alias("__level"),
-    )
+    ).where(F.col("__t").isNotNull())  # without a time there is no order
     return slim.groupBy("k").applyInPandasWithState(
         run,
         f"k string, {result}",

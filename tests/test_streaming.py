@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import events as batch
+from tallymark.plans.stream_queries import _finished, _staged
 from tallymark.specs import Rule
 from tallymark.streaming import events as live
 
@@ -150,3 +151,28 @@ def test_approximate_dedup_keeps_a_subset(spark, feed, tmp_path):
     folder, _ = feed
     out, _ = drain(spark, live.dedup_approximate(stream_of(spark, folder), ["k"], "ts", "20 seconds"), "approx", tmp_path)
     assert 2 <= out.count() <= 600
+
+
+def test_staged_rows_of_many_unordered_partitions_are_not_late(spark, tmp_path):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=rng.randrange(86_400)), rng.choice("ab"), 1.0) for i in range(3000)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").repartition(24)
+    stream, feed = _staged(events)
+    hours, path, checkpoint, late = live.tumbling_metrics(stream, "ts", "1 hour", ["event_type"]), str(tmp_path / "out"), str(tmp_path / "check"), 0
+    for _ in feed:
+        query = hours.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        late += live.late_rows(query)
+    assert late == 0
+    assert spark.read.parquet(path).where("event_type is not null").agg(F.sum("n")).first()[0] == 3000
+
+
+def test_staged_rows_without_a_time_reach_the_stream(spark):
+    rows = [(1, None), (2, dt.datetime(2024, 1, 1)), (3, dt.datetime(2024, 1, 2))]
+    stream, feed = _staged(spark.createDataFrame(rows, "event_id long, ts timestamp"))
+    assert ids(_finished(stream, feed).where("event_id is not null")) == {1, 2, 3}
+    timed = spark.createDataFrame([(i, t, "a") for i, t in rows], "event_id long, ts timestamp, k string")
+    stream, feed = _staged(timed)
+    done = _finished(live.dedup_window(stream, F.col("k"), "ts", "event_id", 3600), feed)
+    assert ids(done.where("event_id is not null")) == {2, 3}
