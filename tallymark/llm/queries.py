@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import byte_bpe, language_id, suffix_tree_lm
+from tallymark.llm import byte_bpe, language_id, packing, suffix_tree_lm
 from tallymark.llm.bwt_dedup import remove_repeats
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.decontaminate import find_leaks
@@ -113,6 +113,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(coded, ranks)).withColumnRenamed("id", "doc_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
+    )
+
+
 QUERIES = {
     "op1_bwt_dedup": op1_bwt_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -124,6 +131,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_packing": op11_packing,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
