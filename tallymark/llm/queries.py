@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import byte_bpe, language_id, packing, suffix_tree_lm
+from tallymark.llm import byte_bpe, hard_negatives, language_id, packing, suffix_tree_lm
 from tallymark.llm.bwt_dedup import remove_repeats
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.decontaminate import find_leaks
@@ -120,6 +120,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
+
+
 QUERIES = {
     "op1_bwt_dedup": op1_bwt_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -132,6 +138,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,4 +175,23 @@ ORACLES = {
               FROM lines x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.line = x.line GROUP BY x.doc_id)
         SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+            FROM e a JOIN e ON a.vec_id % 100 = 0 AND e.vec_id <> a.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+             AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+    """,
 }
