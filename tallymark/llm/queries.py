@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import byte_bpe, hard_negatives, language_id, packing, suffix_tree_lm
+from tallymark.llm import byte_bpe, hard_negatives, language_id, packing, spelling, suffix_tree_lm
 from tallymark.llm.bwt_dedup import remove_repeats
 from tallymark.llm.content_sort import exact_groups
 from tallymark.llm.decontaminate import find_leaks
@@ -126,6 +126,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, noisy)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bwt_dedup": op1_bwt_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -139,6 +143,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -194,4 +199,40 @@ ORACLES = {
              AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
         QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op13_spelling_variants": """
+        WITH RECURSIVE crc_table AS MATERIALIZED (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c
+                FROM range(256) r(i))),
+        runs AS (
+            SELECT CAST(doc_id AS VARCHAR) AS name, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+        r AS (
+            SELECT coalesce(name, '') AS name, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+        h AS (
+            SELECT run, n, xor(list_reduce(
+                       flatten(list_transform(string_split(name || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + ord(x) // 64 AS BIGINT), CAST(128 + ord(x) % 64 AS BIGINT)] END)),
+                       lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h
+            FROM r, crc_table),
+        w AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT n, CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM h) d
+            WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        gap AS MATERIALIZED (
+            SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w) u),
+        near AS MATERIALIZED (
+            SELECT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT g.word, w.word, w.n FROM gap g JOIN w ON g.rest = w.word
+            UNION SELECT w.word, g.word, g.n FROM gap g JOIN w ON g.rest = w.word),
+        best AS (
+            SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n FROM near
+            QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(other)) = 1),
+        f AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+                   CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+        walk AS (
+            SELECT word, word AS at, form AS next FROM f
+            UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
+        SELECT f.word, form, walk.at AS root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+    """,
 }
