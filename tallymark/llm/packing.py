@@ -14,9 +14,9 @@ tokens of each queue, the counts of earlier tasks are added up, and then every
 task places its own documents, with the deficits that all tasks before it leave
 to each queue.
 
-Texts are cut at white space and each distinct word is encoded once by a task,
-which gives the ids of the whole text because no match of the tokenizer's
-pattern and no normalisation crosses a space.
+Texts are cut into words where the tokenizer's pattern cuts them, and a task
+encodes each distinct word once, which gives the ids of the whole text because
+no merge and no normalisation crosses such a cut.
 
 Defined cases: a null or empty text has the end id only.  A null source is a
 queue of its own.  The ``queues`` sources with the most tokens have a queue
@@ -31,12 +31,14 @@ three named ones are not looked at.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Mapping
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,42 +52,71 @@ LEAST = 64
 QUEUES = 256
 #: Target shares are whole multiples of this part.
 _UNIT = 1 << 28
-#: Words whose ids a worker remembers, bytes of text encoded and bytes of ids returned at a time.
+#: Words whose ids a worker remembers (twice as many with the older half), bytes of text encoded and bytes of ids returned at a time.
 _WORDS, _TEXT_BYTES, _ID_BYTES = 300_000, 1 << 20, 8 << 20
+# The tokenizer's pattern for lower-case text of the signs that _SIMPLE allows: all its letters are Latin, all its digits ASCII.
+_SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\r0-9a-zß-öø-ÿ]+").findall
+_CHUNKS = re.compile(r"[^ \t-\r]+").findall
+_PLAIN = re.compile(r"[!-~]+").fullmatch
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word.
+
+    The words are the matches of the tokenizer's pattern, found here for texts
+    of ASCII and Latin-1 letters; of other texts, what stands between white
+    space is one word if it holds any other sign.
+    """
 
     def __init__(self, path: str):
         self.path = path
         self._tokenizer = None
-        self._known: dict[bytes, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def __reduce__(self):
         return Encoder, (self.path,)
 
-    def _encode(self, words) -> None:
+    def _encode(self, words: list[str]) -> None:
         if self._tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
             self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        words = list(words)
-        coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, found in zip(words, coded, strict=True):
-            self._known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self._model = self._tokenizer.model
+        rest = []
+        for word in words:
+            found = self._older.get(word)
+            if found is None and _PLAIN(word):  # its signs are the model's own
+                found = array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+            if found is None:
+                rest.append(word)
+            else:
+                self._known[word] = found
+        for word, found in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self._known[word] = array("I", found.ids).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        if _SIMPLE(text):
+            return _PIECES(text.lower())
+        found = []
+        for chunk in _CHUNKS(text):
+            if _SIMPLE(chunk):
+                found += _PIECES(chunk.lower())
+            else:
+                found.append(chunk)
+        return found
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [self.words(t) for t in texts]
         wanted = set(chain.from_iterable(words))
         new = wanted.difference(self._known)
-        if new and len(self._known) + len(new) > _WORDS:
-            self._known.clear()
-            new = wanted
+        if len(self._known) + len(new) > _WORDS:
+            self._known, self._older, new = {}, self._known, wanted
         if new:
-            self._encode(new)
+            self._encode(list(new))
         return [b"".join(map(self._known.__getitem__, w)) for w in words]
 
 
@@ -113,14 +144,15 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(1)
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             row, ready, size = 0, [], 0
             while row < batch.num_rows:
                 stop, taken = row, 0
                 while stop < batch.num_rows and (stop == row or taken < _TEXT_BYTES):
-                    taken += len(texts[stop].as_buffer() or b"")
+                    taken += lengths[stop]
                     stop += 1
-                coded = encode([t or b"" for t in texts.slice(row, stop - row).to_pylist()])
+                coded = encode([t or "" for t in texts.slice(row, stop - row).to_pylist()])
                 ids, queues = batch.column(0).slice(row, stop - row).to_pylist(), batch.column(2).slice(row, stop - row).to_pylist()
                 for i, queue, found in zip(ids, queues, coded, strict=True):
                     found += end
