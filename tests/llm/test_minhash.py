@@ -5,10 +5,12 @@ import re
 import numpy as np
 import pytest
 
+from tallymark.llm import minhash
 from tallymark.llm.components import connected_components
 from tallymark.llm.minhash import near_groups
 from tallymark.llm.queries import op4_minhash
 from tallymark.llm.words import hash_many, hash_words
+from tallymark.session import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +67,53 @@ def test_edited_copies(spark, k):
     assert got(near_groups(df, k)) == brute(rows, k)
 
 
+def test_one_identifier_with_two_texts_loses_no_link(spark):
+    w, u = " ".join(f"w{i}" for i in range(200)), " ".join(f"u{i}" for i in range(200))
+    rows = [(1, w), (1, u), (2, w + " more"), (3, u + " more"), (4, "x y z")]
+    out = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r["id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+@pytest.mark.parametrize("paired,block", [(0, 16), (3, 512), (10**6, 1)])
+def test_open_members_of_large_buckets(spark, monkeypatch, paired, block):
+    """A family of copies near the limit of similarity: many do not reach the head, some reach each other, some nobody."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "_BLOCK_ROWS", block)
+    draw = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(int(draw.integers(2, 16))):
+            words[int(draw.integers(len(words)))] = f"x{draw.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows, 2)
+    assert 5 < len({c for _, c, _ in want.values()}) < 150
+    assert got(near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == want
+
+
+def test_thousands_below_the_similarity_stay_linear(spark, monkeypatch):
+    """One bucket of unlinked members makes no rows per pair."""
+    made = []
+    monkeypatch.setattr(minhash, "stored", lambda df: made.append(stored(df)) or made[-1])
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(2500):
+        words = list(base)
+        for j in range(14):
+            words[(i * 7 + j * 13) % 200] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    out = near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2)
+    assert out.where("kept").count() > 2400
+    assert max(df.count() for df in made) < 70 * len(rows)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 9973}v{i % 7919}" for i in range(150_000))
+    rows = [(2, long), (1, long + " end"), (3, "w " * 100_000), (4, "short text of five words"), (5, "")]
+    names = ["row", "id", "version", "node", "n", "set_a", "bands", "sketch", "key", "component", "kept", "size", "group"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join(["doc_id long, text string", *[f"{n} int" for n in names]]))
+    assert {i: v[1:] for i, v in got(near_groups(df, 5)).items()} == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True)}
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     out = sorted(tuple(r)[:4] for r in near_groups(df, 2).where("id is not null").collect())
