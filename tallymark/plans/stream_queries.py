@@ -26,8 +26,11 @@ _SLICES = 3
 _END = datetime(2100, 1, 1)
 
 
-def _staged(events: DataFrame, moment: str = "ts") -> tuple[DataFrame, Iterator[None]]:
-    """The rows as a stream, and its feed: each step adds a slice. Rows without a time come first, two marks last."""
+def _staged(events: DataFrame, moment: str = "ts", key: str | None = None) -> tuple[DataFrame, Iterator[None]]:
+    """The rows as a stream, and its feed: each step adds a slice. Rows without a time come first, two marks last.
+
+    A mark is null in all columns but the time and ``key``, which is below zero.
+    """
     spark, folder = events.sparkSession, fresh_path(events.sparkSession)
     when = F.unix_micros(F.col(moment).cast("timestamp"))
     first, last, untimed = events.agg(F.min(when), F.max(when), F.count_if(when.isNull())).first()
@@ -35,13 +38,10 @@ def _staged(events: DataFrame, moment: str = "ts") -> tuple[DataFrame, Iterator[
     if first is not None:
         part = F.floor((when - first) * F.lit(_SLICES) / F.lit(last - first + 1))
         slices += [events.where(F.least(part, F.lit(_SLICES - 1)) == i) for i in range(_SLICES)]
-    kind = events.schema[moment].dataType
     for i in range(2):
-        slices.append(
-            spark.range(1).select(
-                *[(F.lit(_END.replace(year=_END.year + i)) if f.name == moment else F.lit(None)).cast(kind if f.name == moment else f.dataType).alias(f.name) for f in events.schema.fields]
-            )
-        )
+        mark = {moment: F.lit(_END.replace(year=_END.year + i))} | ({key: F.lit(-1 - i)} if key else {})
+        # A join's key must not be null in a mark: rows that cannot be joined are dropped before they move the watermark.
+        slices.append(spark.range(1).select(*[mark.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields]))
     # The source needs its folder from the start.
     slices[0].write.parquet(f"{folder}/0")
 
@@ -161,9 +161,9 @@ def stream_burst_windows(spark, sf_dir):
 )
 def stream_stale_slots(spark, sf_dir):
     slots = fixture(spark, sf_dir, "slots")
-    (acquired, taken), (released, given) = (_staged(slots.where(F.col("action") == a).drop("action")) for a in ("acquire", "release"))
+    (acquired, taken), (released, given) = (_staged(slots.where(F.col("action") == a).drop("action"), key="slot_id") for a in ("acquire", "release"))
     done = _finished(live.stale_slots(acquired, released, "slot_id", "ts", "1 hour"), taken, given)
-    return _plain(done.where("slot_id is not null"), "ts")
+    return _plain(_ended(done, "ts"), "ts")
 
 
 @query(

@@ -6,9 +6,9 @@ the same input, except for late rows: the watermark drops those, and
 zone, which has to be UTC to agree with the batch forms.
 
 Stateful keys keep one number plus the events that the watermark has not
-passed yet, and nothing once the number no longer matters. All forms work in
-append mode, so state is released as the watermark moves. How many rows of a hot key one trigger brings is set at the
-source (``maxFilesPerTrigger`` and the like). ``burst_batches`` keeps no state
+passed yet, by slices of time in the state store, and nothing once the number
+no longer matters. All forms work in append mode, so state is released as the
+watermark moves. ``burst_batches`` keeps no state
 and works on streams as it is.
 """
 
@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallymark.functions.scalars import pressure_level
 from tallymark.operators.events import NEVER, pass_count
@@ -28,64 +28,103 @@ from tallymark.operators.quality import broken
 from tallymark.operators.shape import summable
 from tallymark.specs import Rule
 
+#: Time slice by which the waiting events of a key are stored and released.
+SLICE_US = 60_000_000
+#: Output columns of whole numbers, which may be missing.
+_WHOLE = {"event_id", "depth", "priority"}
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def with_event_time(stream: DataFrame, moment: str, delay: str) -> DataFrame:
     """Event time as a zoned timestamp with a watermark."""
     return stream.withColumn(moment, F.col(f"`{moment}`").cast("timestamp")).withWatermark(moment, delay)
 
 
-def _ordered(buffered: tuple, batches: Iterator[pd.DataFrame], watermark_us: int) -> tuple[list, list]:
-    """Buffered and new events that the watermark has passed, in (time, id) order, and the rest."""
-    events = list(zip(*buffered)) if buffered else []
-    for pdf in batches:
-        events += list(zip(pdf["__t"].tolist(), pdf["__id"].tolist(), pdf["__change"].tolist(), pdf["__level"].tolist()))
-    events.sort()
-    ready = [e for e in events if e[0] < watermark_us]
-    return ready, events[len(ready) :]
+class _Walk(StatefulProcessor):
+    """Walks the events of a key in (time, id) order behind the watermark, slice of time by slice of time.
+
+    Waiting events lie in a map from (slice, chunk) to packed columns, one entry
+    for what a batch brings to a slice, so neither a trigger nor a state row
+    ever holds the events of a key in a list. A timer at the end of a slice
+    releases it: one slice is read, sorted and decided at a time.
+    """
+
+    def __init__(self, decide, needed, slice_us: int, columns: list[str]):
+        self._decide, self._needed, self._slice_us, self._columns = decide, needed, slice_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._number = handle.getValueState("number", "number long")
+        self._waiting = handle.getMapState("waiting", "slice long, chunk long", "packed binary")
+        self._chunks = handle.getMapState("chunks", "slice long", "chunks long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if pdf.empty:
+                continue
+            events = pdf[["t", "id", "change", "level", "known"]].to_numpy(dtype=np.int64)
+            place = events[:, 0] // self._slice_us
+            for part in np.unique(place).tolist():
+                chunk = self._chunks.getValue((part,))[0] if self._chunks.containsKey((part,)) else 0
+                self._waiting.updateValue((part, chunk), (events[place == part].tobytes(),))
+                self._chunks.updateValue((part,), (chunk + 1,))
+                if chunk == 0:
+                    self._handle.registerTimer((part + 1) * self._slice_us // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        number = self._number.get()[0] if self._number.exists() else NEVER
+        ended = sorted(k[0] for k in self._chunks.keys() if (k[0] + 1) * self._slice_us <= watermark)
+        for part in ended:
+            (chunks,) = self._chunks.getValue((part,))
+            packed = b"".join(bytes(self._waiting.getValue((part, c))[0]) for c in range(chunks))
+            events = np.frombuffer(packed, dtype=np.int64).reshape(-1, 5)
+            events = events[np.lexsort((events[:, 1], events[:, 4] & 1, events[:, 0]))]  # a missing id comes first
+            ready = [(t, i if k & 1 else None, c, v if k & 2 else None) for t, i, c, v, k in events.tolist()]
+            number, out = self._decide(number, ready)
+            if out["event_id"]:
+                columns = {c: pd.array(v, dtype="Int64") if c in _WHOLE else v for c, v in out.items()}
+                yield pd.DataFrame({"k": key[0], **columns})[self._columns]
+            for c in range(chunks):
+                self._waiting.removeKey((part, c))
+            self._chunks.removeKey((part,))
+        last = self._needed(number)
+        waits = any(True for _ in self._chunks.keys())
+        if not waits and last is not None and last <= watermark:
+            self._number.clear()
+        else:
+            self._number.update((number,))
+            if not waits and last is not None:
+                self._handle.registerTimer(last // 1000 + 1)
+
+    def close(self) -> None:
+        pass
 
 
 def _stateful(
-    stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column, needed
+    stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column, needed, slice_us: int = SLICE_US
 ) -> DataFrame:
     """Run ``decide(number, ready events) -> (number, output columns)`` per key in event-time order.
 
     ``needed(number)`` is the time (microseconds) up to which a key without
-    waiting events must be remembered, or None if it must be for good.
+    waiting events must be remembered, or None if it must be for good. State is
+    kept in RocksDB, so it may exceed the memory of an executor.
     """
-
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        number = held[0] if held else NEVER
-        watermark_ms = state.getCurrentWatermarkMs()
-        new = iter(()) if state.hasTimedOut else batches
-        ready, rest = _ordered(held[1:] if held else (), new, watermark_ms * 1000)
-        number, out = decide(number, ready)
-        last = needed(number)
-        if not rest and last is not None and last <= watermark_ms * 1000:
-            state.remove()
-        else:
-            columns = list(zip(*rest)) if rest else [[], [], [], []]
-            state.update((number, *[list(c) for c in columns]))
-            next_us = rest[0][0] if rest else last
-            if next_us is not None:
-                state.setTimeoutTimestamp(max(next_us // 1000 + 1, watermark_ms + 1))
-        if out["event_id"]:
-            yield pd.DataFrame({"k": k[0], **out})
-
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     slim = with_event_time(stream, moment, delay).select(
         key.cast("string").alias("k"),
-        F.col(f"`{moment}`").alias("__moment"),
-        F.unix_micros(F.col(f"`{moment}`")).alias("__t"),
-        F.col(f"`{event_id}`").cast("long").alias("__id"),
-        change.cast("long").alias("__change"),
-        level.cast("int").alias("__level"),
-    ).where(F.col("__t").isNotNull())  # without a time there is no order
-    return slim.groupBy("k").applyInPandasWithState(
-        run,
-        f"k string, {result}",
-        "number long, t array<long>, id array<long>, change array<long>, level array<int>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        F.col(f"`{moment}`").alias("moment"),
+        F.unix_micros(F.col(f"`{moment}`")).alias("t"),
+        F.coalesce(F.col(f"`{event_id}`").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce(change.cast("long"), F.lit(0)).alias("change"),
+        F.coalesce(level.cast("long"), F.lit(0)).alias("level"),
+        # Columns with nulls would reach Python as floating point: bit 0 tells an id, bit 1 a level.
+        (F.col(f"`{event_id}`").isNotNull().cast("long") + level.isNotNull().cast("long") * 2).alias("known"),
+    ).where(F.col("t").isNotNull())  # without a time there is no order
+    columns = ["k", *[c.split()[0] for c in result.split(", ")]]
+    return slim.groupBy("k").transformWithStateInPandas(
+        _Walk(decide, needed, slice_us, columns), f"k string, {result}", "append", "EventTime"
     )
 
 

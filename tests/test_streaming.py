@@ -124,6 +124,31 @@ def test_stale_slots(spark, feed, tmp_path):
     assert ids(out) == {i for i in range(600) if i % 3 == 0}
 
 
+def test_open_slots_of_the_last_minute_come_out(spark):
+    """The end of a bounded stream releases the state of the outer join, on both sides."""
+    start = dt.datetime(2024, 1, 1)
+    taken = [(i, start + dt.timedelta(minutes=i)) for i in range(100)]
+    given = [(i, t + dt.timedelta(seconds=20)) for i, t in taken if i % 10 and i < 99]
+    schema = "slot_id long, ts timestamp"
+    (acquired, one), (released, two) = (_staged(spark.createDataFrame(rows, schema), key="slot_id") for rows in (taken, given))
+    done = _finished(live.stale_slots(acquired, released, "slot_id", "ts", "1 hour"), one, two)
+    assert {r.slot_id for r in done.collect() if r.slot_id >= 0} == {*range(0, 100, 10), 99}
+
+
+def test_a_hot_key_is_stored_by_slices_and_released(spark, tmp_path):
+    """Chunks of a key lie apart in the state store, and nothing is left at the end."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(milliseconds=7 * i), "hot") for i in range(30_000)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
+    stream, feed = _staged(events)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "check")
+    for _ in feed:
+        done = live.run_available(live.dedup_window(stream, F.col("k"), "ts", "event_id", 3), path, checkpoint)
+    assert ids(done.where("event_id is not null")) == ids(batch.dedup_window(events, F.col("k"), "ts", "event_id", 3))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
+    assert state.where("key.k = 'hot'").count() == 0
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     early, late = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
     folder = tmp_path / "late_feed"
