@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import age_seconds, pressure_level
-from tallymark.operators.shape import summable
+from tallymark.operators.shape import exact_sum
 from tallymark.operators.windows import join_slices, running_sum, with_slices
 from tallymark.session import stored
 from tallymark.specs import DEFAULT_LIMITS
@@ -471,7 +471,7 @@ def sliding_metrics(events: DataFrame, moment: str, width: str, slide: str, by:
 def _windowed(events: DataFrame, window: Column, by: Sequence[str]) -> DataFrame:
     return (
         events.groupBy(window, *by)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(summable(F.col("value"))).cast("double").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("value")).alias("total"))
         .select(F.col("window.start").alias("window_start"), *by, "n", "total")
     )
 

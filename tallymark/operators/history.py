@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.scalars import age_seconds, estimate_error_pct, remaining_seconds
 from tallymark.operators.project import top_k_by_count
-from tallymark.operators.shape import rows_from, summable
+from tallymark.operators.shape import exact_parts, exact_sum, rows_from
 from tallymark.operators.windows import first_n_per_key, with_previous
 
 FINISHED = ("completed", "failed")
@@ -28,7 +28,7 @@ DURATION_BUCKETS = (1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
 
 def exact_mean(value: Column, condition: Column | None = None) -> Column:
     chosen = value if condition is None else F.when(condition, value)
-    return F.try_divide(F.sum(summable(chosen)).cast("double"), F.count(chosen))
+    return F.try_divide(exact_sum(chosen), F.count(chosen))
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -222,7 +222,7 @@ def histogram(df: DataFrame, value: str, buckets: Sequence[float] = DEFAULT_BUCK
     counted = df.where(v.isNotNull()).groupBy(*named).agg(
         *[F.count_if(v <= F.lit(float(b))).alias(f"__{i}") for i, b in enumerate(buckets)],
         F.count(F.lit(1)).alias("__n"),
-        F.sum(summable(v)).cast("double").alias("__sum"),
+        exact_sum(v).alias("__sum"),
     )
     total, amount = F.col("__n"), F.col("__sum")
 
@@ -409,17 +409,18 @@ def domain_summary(jobs: DataFrame) -> DataFrame:
     distinct aggregates by one shuffle on a key that no domain can skew.
     """
     level = F.col("complexity")
-    confidence = summable(F.col("confidence"))
+    high, low = exact_parts(F.col("confidence"))
     per_job = jobs.groupBy("domain", "job_id").agg(
         *[
             F.max(F.when((level == s) & F.col("job_id").isNotNull(), 1).otherwise(0)).alias(s)
             for s in ("low", "medium", "high")
         ],
-        F.sum(confidence).alias("conf"),
-        F.count(confidence).alias("n"),
+        F.sum(high).alias("conf"),
+        F.sum(low).alias("conf_rest"),
+        F.count(high).alias("n"),
     )
     return per_job.groupBy("domain").agg(
         F.count(F.col("job_id")).alias("job_count"),
         *[F.sum(s).alias(f"{s}_complexity") for s in ("low", "medium", "high")],
-        F.try_divide(F.sum("conf").cast("double"), F.sum("n")).alias("avg_confidence"),
+        F.try_divide(F.sum("conf").cast("double") + F.sum("conf_rest").cast("double"), F.sum("n")).alias("avg_confidence"),
     )

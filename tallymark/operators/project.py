@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tallymark.operators.windows import running_sum
 
 # Column names that may hold the business date, in order of preference.
 BUSINESS_DATE_COLUMNS = ("business_date", "businessdate", "dt", "logdate")
@@ -183,6 +184,13 @@ def recent(df: DataFrame, moment: str, key: str, n: int, status: tuple[str, str]
     return rows.orderBy(F.desc(moment), F.asc(key)).limit(n)
 
 
-def priority_order(df: DataFrame, priority: str, moment: str, key: str) -> DataFrame:
-    """Most urgent first, oldest first within a priority."""
-    return df.orderBy(F.asc(priority), F.asc(moment), F.asc(key))
+def priority_order(df: DataFrame, priority: str, moment: str, key: str, place: str | None = None) -> DataFrame:
+    """Most urgent first, oldest first within a priority; ``place`` names a column for the place in the queue, from 1.
+
+    The places come from ranges of the order and one count per range, so no
+    task sees the whole queue.
+    """
+    if place is None:
+        return df.orderBy(F.asc(priority), F.asc(moment), F.asc(key))
+    ranked = df.withColumn("__then", F.struct(F.col(moment), F.col(key))).withColumn("__one", F.lit(1).cast("long"))
+    return running_sum(ranked, [], priority, "__then", "__one", place).drop("__then", "__one")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Digits after the point that sums of floating-point values keep; a value that does not fit stops the query.
+#: Digits after the point that decimal sums of floating-point values have; a value that needs more stops the query.
 SCALE = 9
 
 
@@ -17,15 +17,36 @@ def summable(column: Column, kind: T.DataType | None = None, scale: int = SCALE)
     """A value as a decimal whose sums do not depend on the order of the rows.
 
     Whole numbers and decimals keep all their digits. Anything else is taken as
-    floating point and rounded to ``scale`` digits.
+    floating point; a value that ``scale`` digits do not hold exactly stops the
+    query, so no digit is lost before a sum.
     """
     if isinstance(kind, T.DecimalType):
         return column
     if isinstance(kind, T.IntegralType):
         return column.cast("decimal(20,0)")
     wide = column.try_cast(f"decimal(38,{scale})")
-    lost = F.raise_error(F.concat(F.lit("no decimal of the wanted scale holds "), column.cast("string")))
-    return F.when(column.isNotNull() & wide.isNull(), lost.cast(f"decimal(38,{scale})")).otherwise(wide)
+    lost = F.raise_error(F.concat(F.lit(f"no decimal of {scale} digits after the point holds "), column.cast("string")))
+    held = wide.isNotNull() & (wide.cast("double") == column.cast("double"))
+    return F.when(column.isNotNull() & ~held, lost.cast(f"decimal(38,{scale})")).otherwise(wide)
+
+
+def exact_parts(column: Column) -> tuple[Column, Column]:
+    """A floating-point value as two decimals: nine digits after the point, and what they leave to the 30th digit.
+
+    What a double of the first part leaves of the value is exact. A value
+    beyond 29 digits before the point stops the query.
+    """
+    value = column.cast("double")
+    high = value.try_cast(f"decimal(38,{SCALE})")
+    lost = F.raise_error(F.concat(F.lit("too large to be summed exactly: "), column.cast("string")))
+    whole = F.when(value.isNotNull() & high.isNull(), lost.cast(f"decimal(38,{SCALE})")).otherwise(high)
+    return whole, (value - high.cast("double")).try_cast("decimal(38,30)")
+
+
+def exact_sum(column: Column) -> Column:
+    """The sum of floating-point values as a double that does not depend on the order of the rows."""
+    high, low = exact_parts(column)
+    return F.sum(high).cast("double") + F.sum(low).cast("double")
 
 
 def rows_from(df: DataFrame, rows: Sequence[Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:

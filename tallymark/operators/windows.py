@@ -1,7 +1,8 @@
 """First, latest, previous and running values per key.
 
 A key may hold a large part of all rows. First and latest rows are therefore
-aggregates (partial results before the shuffle) instead of sorted windows.
+limited per key in every task before the shuffle, which rows cross in place of
+a key's whole history.
 Previous and running values work on one layout: the rows are range-partitioned
 by key, time and tie, so that a key with many rows, even at one moment, lies in
 several slices, and stored with the number of their slice. The values are found
@@ -24,14 +25,11 @@ def _names(columns: Sequence[str]) -> list[Column]:
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
     """One row per key: the first under ``order`` and then all columns, so the choice is deterministic."""
-    rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(
-        F.struct(*_names(order)).alias("o") if order else F.lit(0).alias("o"),
-        F.struct(*_names(rest)).alias("r") if rest else F.lit(0).alias("r"),
-    )
-    pick = F.max if descending else F.min
-    chosen = df.groupBy(*_names(keys)).agg(pick(ranked).alias("__p"))
-    return chosen.select(*_names(keys), *[F.col("__p.r")[c].alias(c) for c in rest]).select(*_names(df.columns))
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    ranking = [c.desc() if descending else c.asc() for c in _names([*order, *rest])]
+    if not ranking:
+        return df.distinct()
+    return first_n_per_key(df, keys, ranking, 1, "__place").drop("__place")
 
 
 def dedup_exact(df: DataFrame) -> DataFrame:

@@ -175,12 +175,12 @@ def hist_recent_page(spark, sf_dir):
 @query(
     "hist_priority_queue",
     with_fixtures(
-        "SELECT request_id, priority FROM waiting WHERE status = 'pending'"
+        "SELECT request_id, priority, row_number() OVER (ORDER BY priority, created_at, request_id) AS place FROM waiting WHERE status = 'pending'"
     ),
 )
 def hist_priority_queue(spark, sf_dir):
     rows = project.flag_filter(fixture(spark, sf_dir, "waiting"), "status", "pending")
-    return project.priority_order(rows, "priority", "created_at", "request_id").select("request_id", "priority")
+    return project.priority_order(rows, "priority", "created_at", "request_id", "place").select("request_id", "priority", "place")
 
 
 @query(

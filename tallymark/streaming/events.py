@@ -15,6 +15,7 @@ and works on streams as it is.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tallymark.functions.scalars import pressure_level
 from tallymark.operators.events import NEVER, pass_count
 from tallymark.operators.quality import broken
-from tallymark.operators.shape import summable
+from tallymark.operators.shape import exact_sum
 from tallymark.specs import Rule
 
 #: Time slice by which the waiting events of a key are stored and released.
@@ -45,8 +46,9 @@ class _Walk(StatefulProcessor):
 
     Waiting events lie in a map from (slice, chunk) to packed columns, one entry
     for what a batch brings to a slice, so neither a trigger nor a state row
-    ever holds the events of a key in a list. A timer at the end of a slice
-    releases it: one slice is read, sorted and decided at a time.
+    ever holds the events of a key in a list. A timer at the end of the first
+    slice releases what the watermark has passed: one slice is read, sorted and
+    decided at a time.
     """
 
     def __init__(self, decide, needed, slice_us: int, columns: list[str]):
@@ -56,29 +58,38 @@ class _Walk(StatefulProcessor):
         self._handle = handle
         self._number = handle.getValueState("number", "number long")
         self._waiting = handle.getMapState("waiting", "slice long, chunk long", "packed binary")
-        self._chunks = handle.getMapState("chunks", "slice long", "chunks long")
+        self._chunks = handle.getValueState("chunks", "chunks long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunk = self._chunks.get()[0] if self._chunks.exists() else 0
+        first = None
         for pdf in rows:
             if pdf.empty:
                 continue
             events = pdf[["t", "id", "change", "level", "known"]].to_numpy(dtype=np.int64)
             place = events[:, 0] // self._slice_us
-            for part in np.unique(place).tolist():
-                chunk = self._chunks.getValue((part,))[0] if self._chunks.containsKey((part,)) else 0
-                self._waiting.updateValue((part, chunk), (events[place == part].tobytes(),))
-                self._chunks.updateValue((part,), (chunk + 1,))
-                if chunk == 0:
-                    self._handle.registerTimer((part + 1) * self._slice_us // 1000 + 1)
+            parts, begin = np.unique(place[order := np.argsort(place, kind="stable")], return_index=True)
+            for part, some in zip(parts.tolist(), np.split(events[order], begin[1:]), strict=True):
+                self._waiting.updateValue((part, chunk), (some.tobytes(),))
+            chunk += 1
+            first = int(parts[0]) if first is None else min(first, int(parts[0]))
+        if first is not None:
+            self._chunks.update((chunk,))
+            self._handle.registerTimer(self._end(first))
         return iter(())
 
+    def _end(self, part: int) -> int:
+        return (part + 1) * self._slice_us // 1000 + 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         number = self._number.get()[0] if self._number.exists() else NEVER
-        ended = sorted(k[0] for k in self._chunks.keys() if (k[0] + 1) * self._slice_us <= watermark)
-        for part in ended:
-            (chunks,) = self._chunks.getValue((part,))
-            packed = b"".join(bytes(self._waiting.getValue((part, c))[0]) for c in range(chunks))
+        # Keys only; the events are read slice by slice.
+        stored = sorted((k[0], k[1]) for k in self._waiting.keys())
+        ended = [k for k in stored if (k[0] + 1) * self._slice_us <= watermark]
+        for _, chunks in groupby(ended, key=lambda k: k[0]):
+            chunks = list(chunks)
+            packed = b"".join(bytes(self._waiting.getValue(c)[0]) for c in chunks)
             events = np.frombuffer(packed, dtype=np.int64).reshape(-1, 5)
             events = events[np.lexsort((events[:, 1], events[:, 4] & 1, events[:, 0]))]  # a missing id comes first
             ready = [(t, i if k & 1 else None, c, v if k & 2 else None) for t, i, c, v, k in events.tolist()]
@@ -86,16 +97,18 @@ class _Walk(StatefulProcessor):
             if out["event_id"]:
                 columns = {c: pd.array(v, dtype="Int64") if c in _WHOLE else v for c, v in out.items()}
                 yield pd.DataFrame({"k": key[0], **columns})[self._columns]
-            for c in range(chunks):
-                self._waiting.removeKey((part, c))
-            self._chunks.removeKey((part,))
-        last = self._needed(number)
-        waits = any(True for _ in self._chunks.keys())
-        if not waits and last is not None and last <= watermark:
+            for c in chunks:
+                self._waiting.removeKey(c)
+        last, waits = self._needed(number), stored[len(ended) :]
+        if waits:
+            self._number.update((number,))
+            self._handle.registerTimer(self._end(waits[0][0]))
+        elif last is not None and last <= watermark:
             self._number.clear()
+            self._chunks.clear()
         else:
             self._number.update((number,))
-            if not waits and last is not None:
+            if last is not None:
                 self._handle.registerTimer(last // 1000 + 1)
 
     def close(self) -> None:
@@ -231,7 +244,7 @@ def _windowed(stream: DataFrame, moment: str, window: Column, by: Sequence[str],
     return (
         with_event_time(stream, moment, delay)
         .groupBy(window, *by)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(summable(F.col("value"))).cast("double").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_sum(F.col("value")).alias("total"))
         .select(F.col("window.start").alias("window_start"), *by, "n", "total")
     )
 

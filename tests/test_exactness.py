@@ -1,5 +1,7 @@
 """Results that must not lose digits, rows or names."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import scalars
 from tallymark.operators import compare, corpus, hierarchy, history, quality
 from tallymark.sources import readers
+from tallymark.operators.shape import exact_sum
 from tallymark.specs import CompareSpec
 
 
@@ -94,3 +97,18 @@ def test_layers_with_a_cycle_and_an_unknown_dependency(spark):
     )
     got = {r.job_id: r.layer for r in hierarchy.execution_layers(jobs, edges).collect()}
     assert got == {"a": 0, "g": 0, "b": 1, "c": 2, "d": 3, "e": 3, "f": 3}
+
+
+def test_sums_keep_small_beside_large_values(spark):
+    rows = [(1e15,)] * 3 + [(4e-12,)] * 1000 + [(-1e15,)] * 3 + [(None,)]
+    df = spark.createDataFrame(rows, "v double").repartition(7)
+    assert df.agg(exact_sum(F.col("v")).alias("s")).first()["s"] == pytest.approx(4e-9, rel=1e-12)
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([(1e30,)], "v double").agg(exact_sum(F.col("v"))).collect()
+
+
+def test_decimal_sums_stop_where_a_digit_would_be_lost(spark):
+    df = spark.createDataFrame([(4e-10,), (1.5,)], "v double")
+    with pytest.raises(Exception, match="9 digits"):
+        compare.reconcile_sums(df, df).collect()
+    assert compare.reconcile_sums(df, df, scale=12).first()["left_sum"] == Decimal("1.500000000400")

@@ -48,9 +48,14 @@ def test_business_date_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in text or "GreaterThanOrEqual(DT" in text
 
 
-def test_dedup_is_an_aggregate_with_partial_results(spark):
-    df = windows.first_per_key(read(spark, SF, "lineitem"), ["l_orderkey"], ["l_shipdate"])
-    assert "partial_min" in plan(df) and "Window" not in plan(df)
+def test_dedup_limits_keys_before_the_shuffle(spark):
+    text = plan(windows.first_per_key(read(spark, SF, "lineitem"), ["l_orderkey"], ["l_shipdate"]))
+    assert re.search(r"WindowGroupLimit.*Partial", text) and "SortAggregate" not in text
+
+
+@pytest.mark.parametrize("name", ["etl_dedup", "lookup_three", "etl_lookup_twice"])
+def test_whole_rows_are_not_aggregated(spark, name):
+    assert "SortAggregate" not in plan(catalogue.queries()[name](spark, SF))
 
 
 def test_first_n_limits_groups_before_the_shuffle(spark):
