@@ -198,7 +198,11 @@ def _counted(lang=(), draw=(), at=(), counts=(), bucket=(), n=()) -> pa.RecordBa
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` with ``lang_pred`` and ``score``, for every row."""
+    """The columns in ``keep`` with ``lang_pred`` and ``score``, for every row.
+
+    A kept column that has one of these two names comes back with ``kept_`` before it.
+    """
+    names = [f"kept_{c}" if c in ("lang_pred", "score") else c for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the buckets and languages
     rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
     at = rows.columns.index(text_col)
@@ -206,10 +210,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     def label(batches):
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            kept = pa.record_batch(batch.columns[: len(keep)], names=list(keep))
+            kept = pa.record_batch(batch.columns[: len(keep)], names=names)
             yield kept.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column(
                 "score", pa.array([s for _, s in found], pa.float64())
             )
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    fields = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     return rows.mapInArrow(label, f"{fields}, lang_pred string, score double")

@@ -8,6 +8,7 @@ import sys
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(__import__("pathlib").Path(__file__).parents[2]))
 
@@ -85,3 +86,27 @@ def test_run(spark, steps):
 
 def test_module_names_are_plain():
     assert all(re.fullmatch(r"\w+", n) for n, _ in pipeline.STAGES)
+
+
+CLASHING = ["id", "k_id", "k_version", "_null", "score", "lang_pred", "text_", "row", "version", "size", "key", "carried", "sha256", "block"]
+
+
+def test_clashing_columns_pass_through(spark, steps):
+    docs = steps[0]
+    for i, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for n, (_, stage) in enumerate(pipeline.STAGES, 1):
+        docs = stored(stage(spark, docs, SF))
+        if n < len(pipeline.STAGES):
+            assert docs.columns == [*steps[0].columns, *CLASHING]
+            found = docs.collect()
+            assert all(r[name] == f"{i}:{r['doc_id']}" for r in found for i, name in enumerate(CLASHING))
+            assert {r["doc_id"]: r["text"] for r in found} == rows(steps[n])
+    assert {tuple(r) for r in docs.select("doc_id", "ids_sha256").collect()} == {tuple(r) for r in steps[-1].select("doc_id", "ids_sha256").collect()}
+
+
+def test_an_empty_table(spark, steps):
+    docs = steps[0].limit(0)
+    for _, stage in pipeline.STAGES[1:]:
+        docs = stored(stage(spark, docs, SF))
+    assert docs.count() == 0
