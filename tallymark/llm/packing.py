@@ -53,7 +53,7 @@ QUEUES = 256
 #: Target shares are whole multiples of this part.
 _UNIT = 1 << 28
 #: Words whose ids a worker remembers (twice as many with the older half), bytes of text encoded and bytes of ids returned at a time.
-_WORDS, _TEXT_BYTES, _ID_BYTES = 300_000, 1 << 20, 8 << 20
+_WORDS, _TEXT_BYTES, _ID_BYTES = 500_000, 1 << 20, 8 << 20
 # The tokenizer's pattern for lower-case text of the signs that _SIMPLE allows: all its letters are Latin, all its digits ASCII.
 _SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\r0-9a-zß-öø-ÿ]+").findall
