@@ -1,8 +1,8 @@
 """Category trees, dependency graphs, name matching, upserts and snapshots.
 
-Trees and graphs are walked level by level: one equi join per level, with the
-frontier written to the checkpoint folder so that plans stay flat and a lost
-executor costs one level, not the walk. The number of rounds is the depth.
+Paths of a tree double in every round; a graph is walked layer by layer. A round
+is one equi join whose result is written to the checkpoint folder, so that plans
+stay flat and a lost executor costs one round, not the walk.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators.joins import lookup
+from tallymark.operators.joins import dimension, look_up_in
 from tallymark.operators.shape import rows_from
 from tallymark.operators.windows import first_per_key
 from tallymark.session import cut_lineage, stored
@@ -24,45 +24,48 @@ from tallymark.session import cut_lineage, stored
 def category_tree(categories: DataFrame, approved_only: bool = False, separator: str = " > ") -> DataFrame:
     """Level, path of names and path of ids of every category reachable from a root.
 
+    Paths grow upwards and double in a round: every open path is put behind the
+    path of the node above its top, so a tree of depth d takes about log2(d)
+    rounds, each one equi join and one stored table.
+
     A node never occurs twice on its own path, so cyclic parents end instead
     of looping; nodes inside a cycle have no root and are left out.
     """
     rows = categories.where(F.col("approved")) if approved_only else categories
-    nodes = stored(rows.select("id", "parent_id", "type", "name"))
-    frontier = cut_lineage(
-        nodes.where(F.col("parent_id").isNull()).select(
+    started = stored(
+        rows.select(
             "id",
             "parent_id",
             "type",
             "name",
-            F.lit(1).alias("level"),
+            F.col("parent_id").alias("above"),
             F.col("name").alias("path"),
             F.array("id").alias("path_ids"),
         )
     )
-    levels = [frontier]
-    while not frontier.isEmpty():
-        parents = frontier.select(
-            F.col("id").alias("__pid"),
-            F.col("level").alias("__level"),
-            F.col("path").alias("__path"),
-            F.col("path_ids").alias("__ids"),
+    complete, growing = [started.where("above IS NULL")], started.where("above IS NOT NULL")
+    while not growing.isEmpty():
+        upper = reduce(DataFrame.union, [*complete, growing]).select(
+            F.col("id").alias("__id"), F.col("above").alias("__above"), F.col("path").alias("__path"), F.col("path_ids").alias("__ids")
         )
-        frontier = cut_lineage(
-            nodes.join(parents, F.col("parent_id") == F.col("__pid"))
-            .where(~F.array_contains("__ids", F.col("id")))
+        grown = stored(
+            growing.join(upper, F.col("above") == F.col("__id"))
+            .where(~F.arrays_overlap("path_ids", "__ids"))
             .select(
                 "id",
                 "parent_id",
                 "type",
                 "name",
-                (F.col("__level") + 1).alias("level"),
-                F.concat("__path", F.lit(separator), "name").alias("path"),
-                F.array_append("__ids", F.col("id")).alias("path_ids"),
+                F.col("__above").alias("above"),
+                F.concat("__path", F.lit(separator), "path").alias("path"),
+                F.concat("__ids", "path_ids").alias("path_ids"),
             )
         )
-        levels.append(frontier)
-    return reduce(DataFrame.union, levels)
+        complete.append(grown.where("above IS NULL"))
+        growing = grown.where("above IS NOT NULL")
+    return reduce(DataFrame.union, complete).select(
+        "id", "parent_id", "type", "name", F.size("path_ids").alias("level"), "path", "path_ids"
+    )
 
 
 def tree_search(tree: DataFrame, text: str) -> DataFrame:
@@ -93,10 +96,10 @@ def job_counts_by_level(jobs: DataFrame, levels: Sequence[str], defaults: Sequen
 
 
 def with_category_names(jobs: DataFrame, categories: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """Name of each category id column: (id column, result column); the same dimension is looked up each time."""
-    named = jobs
+    """Name of each category id column: (id column, result column); the dimension is prepared once for all of them."""
+    names, named = stored(dimension(categories, "id", ["name"])), jobs
     for id_column, result in columns:
-        named = lookup(named, categories, id_column, "id", {"name": result})
+        named = look_up_in(named, names, id_column, {"name": result})
     return named
 
 
@@ -161,72 +164,73 @@ def blocked_jobs(jobs: DataFrame, edges: DataFrame) -> DataFrame:
 NO_NAMES = ("", "unknown", "n/a", "none")
 
 
-def _lengths(names: DataFrame, column: str, shortest: int) -> Column:
-    """The distinct lengths of short texts as one array."""
-    found = names.where(F.length(column) >= shortest).agg(F.collect_set(F.length(column)).alias("l"))
-    return found.scalar()
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of so many characters, found in one walk over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of a short text that have one of the lengths."""
-    n = F.length(text)
-    fitting = F.filter(lengths, lambda length: length <= n)
-    cut = F.transform(
-        fitting,
-        lambda length: F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.substr(text, i, length)),
-    )
-    return F.array_distinct(F.flatten(cut))
+_GRAM = 3
+
+
+def _contained(short: DataFrame, needle: str, long: DataFrame, text: str, shortest: int) -> DataFrame:
+    """``type``, needle and text of all pairs in which the needle, of at least so many characters, lies in the text.
+
+    The grams of the texts are an inverted index. A needle is looked up by its
+    rarest gram alone, and what that yields is verified; needles shorter than a
+    gram are grams of their own length.
+    """
+    found = []
+    for size in range(min(shortest, _GRAM), _GRAM + 1):
+        wanted = F.length(needle) >= shortest
+        wanted = wanted & (F.length(needle) >= size if size == _GRAM else F.length(needle) == size)
+        index = long.select("type", text, F.explode(_grams(F.col(text), size)).alias("gram"))
+        often = index.groupBy("type", "gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = (
+            short.where(wanted)
+            .select("type", needle, F.explode(_grams(F.col(needle), size)).alias("gram"))
+            .join(often, ["type", "gram"], "left")
+            .groupBy("type", needle)
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+            .where("g.n > 0")
+            .select("type", needle, F.col("g.gram").alias("gram"))
+        )
+        found.append(index.join(rarest, ["type", "gram"]).where(F.col(text).contains(F.col(needle))).select("type", needle, text))
+    return reduce(DataFrame.union, found)
 
 
 def match_categories(names: DataFrame, categories: DataFrame) -> DataFrame:
     """Best category per (type, name): equal first, then the longest that contains the name or is contained
     in it, then the smaller name; names shorter than three letters only match when equal.
 
-    Containment becomes an equi join on substrings of the lengths that occur on
-    the other side, so only true matches meet. Names are reduced to distinct
-    ones first; they are short texts.
+    Containment is found through an index of three-letter grams (``_contained``),
+    so the work is linear in the length of a name. Names are reduced to distinct
+    ones, and categories of one spelling to the first identifier, before they
+    meet; the best of a name's matches is chosen in the tasks that find them.
     """
     wanted = (
         names.select("type", F.lower(F.trim("name")).alias("wanted"))
         .where(~F.col("wanted").isin(*NO_NAMES))
         .distinct()
     )
-    known = categories.select(
-        "type", F.lower("name").alias("known"), F.col("id").alias("category_id"), F.col("name").alias("category")
-    )
-    in_name = (
-        wanted.withColumn("lengths", _lengths(known, "known", 1))
-        .select("type", "wanted", F.explode(_substrings(F.col("wanted"), F.col("lengths"))).alias("known"))
-        .where((F.length("wanted") >= 3) | (F.col("known") == F.col("wanted")))
-        .join(known, ["type", "known"])
-    )
-    in_category = (
-        known.withColumn("lengths", _lengths(wanted, "wanted", 3))
-        .select(
-            "type", "known", "category_id", "category", F.explode(_substrings(F.col("known"), F.col("lengths"))).alias("wanted")
-        )
-        .join(wanted, ["type", "wanted"])
-    )
-    pairs = in_name.select("type", "wanted", "known", "category_id", "category").union(
-        in_category.select("type", "wanted", "known", "category_id", "category")
+    known = (
+        categories.select("type", F.lower("name").alias("known"), F.struct(F.col("id").alias("category_id"), F.col("name").alias("category")).alias("c"))
+        .groupBy("type", "known")
+        .agg(F.min("c").alias("c"))
     )
+    spelled = known.select("type", "known")
+    in_name = _contained(spelled, "known", wanted, "wanted", 1).where((F.length("wanted") >= 3) | (F.col("known") == F.col("wanted")))
+    in_category = _contained(wanted, "wanted", spelled, "known", 3)
+    pairs = in_name.select("type", "wanted", "known").union(in_category.select("type", "wanted", "known"))
     best = pairs.groupBy("type", "wanted").agg(
-        F.min(
-            F.struct(
-                (F.col("known") != F.col("wanted")).alias("inexact"),
-                (-F.length("known")).alias("shorter"),
-                F.col("known"),
-                F.col("category_id"),
-                F.col("category"),
-            )
-        ).alias("b")
+        F.min(F.struct((F.col("known") != F.col("wanted")).alias("inexact"), (-F.length("known")).alias("shorter"), "known")).alias("b")
     )
-    return wanted.join(best, ["type", "wanted"], "left").select(
+    chosen = best.select("type", "wanted", F.col("b.inexact").alias("inexact"), F.col("b.known").alias("known")).join(known, ["type", "known"])
+    return wanted.join(chosen, ["type", "wanted"], "left").select(
         "type",
         F.col("wanted").alias("name"),
-        F.col("b.category_id").alias("category_id"),
-        F.col("b.category").alias("category"),
-        (~F.col("b.inexact")).alias("exact"),
+        F.col("c.category_id").alias("category_id"),
+        F.col("c.category").alias("category"),
+        (~F.col("inexact")).alias("exact"),
     )
 
 

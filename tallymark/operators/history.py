@@ -256,6 +256,14 @@ def dashboard(runs: DataFrame, gauges: DataFrame | None = None) -> DataFrame:
     return summary.withColumn("gauges", latest.scalar())
 
 
+def dashboard_rows(runs: DataFrame, gauges: DataFrame) -> DataFrame:
+    """The dashboard as rows of ``kind, name, value``: counters of the run table, and every gauge at its latest, however many there are."""
+    summary = dashboard(runs)
+    counters = [{"kind": F.lit("counter"), "name": F.lit(c), "value": F.col(c).cast("double")} for c in summary.columns]
+    latest = latest_gauges(gauges).select(F.lit("gauge").alias("kind"), "name", F.col("value").cast("double").alias("value"))
+    return rows_from(summary, counters).union(latest)
+
+
 def latest_gauges(points: DataFrame) -> DataFrame:
     """Last value of each gauge; a gauge is a named series, so the result has one row per name."""
     return points.groupBy("name").agg(

@@ -36,6 +36,18 @@ def left_chain(base: DataFrame, steps: Sequence[tuple[DataFrame, Sequence[str]]]
     return joined
 
 
+def dimension(dim: DataFrame, key: str, take: Sequence[str]) -> DataFrame:
+    """The key and the taken columns, one row per key: the first in column order."""
+    return first_per_key(dim.select(key, *[c for c in take if c != key]), [key], []).withColumnRenamed(key, "__key")
+
+
+def look_up_in(df: DataFrame, prepared: DataFrame, left_key: str | Column, take: Mapping[str, str]) -> DataFrame:
+    """Add renamed columns of a prepared ``dimension``; it may serve several lookups."""
+    key = F.col(f"`{left_key}`") if isinstance(left_key, str) else left_key
+    renamed = prepared.select("__key", *[F.col(f"`{c}`").alias(out) for c, out in take.items()])
+    return df.join(renamed, key == F.col("__key"), "left").drop("__key")
+
+
 def lookup(
     df: DataFrame,
     dim: DataFrame,
@@ -47,12 +59,10 @@ def lookup(
 
     A dimension key that occurs twice gives its first row in column order.
     """
-    key = F.col(f"`{left_key}`") if isinstance(left_key, str) else left_key
-    slim = first_per_key(dim.select(dim_key, *[c for c in take if c != dim_key]), [dim_key], [])
-    renamed = slim.select(
-        F.col(f"`{dim_key}`").alias("__key"), *[F.col(f"`{c}`").alias(out) for c, out in take.items()]
-    )
-    return df.join(renamed, key == F.col("__key"), "left").drop("__key")
+    prepared = dimension(dim, dim_key, list(take))
+    if dim_key in take:
+        prepared = prepared.withColumn(dim_key, F.col("__key"))
+    return look_up_in(df, prepared, left_key, take)
 
 
 def join_on_expression(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how: str = "inner") -> DataFrame:

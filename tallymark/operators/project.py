@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
+from tallymark.operators.shape import rows_from
 from tallymark.operators.windows import running_sum
 
 # Column names that may hold the business date, in order of preference.
@@ -36,10 +38,23 @@ def cast_columns(df: DataFrame, schema: Mapping[str, str], keep_others: bool = T
 
 
 def validate_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Missing (``FAIL``) and extra (``WARN``) column names as rows; reads no data."""
+    """Missing (``FAIL``) and extra (``WARN``) columns as rows, with the number of values that an extra column holds."""
     rows = [(c, "missing", "FAIL") for c in expected if c not in df.columns]
     rows += [(c, "extra", "WARN") for c in df.columns if c not in set(expected)]
-    return df.sparkSession.createDataFrame(rows, "column_name string, finding string, status string")
+    return _column_rows(df, ("column_name", "finding", "status"), rows)
+
+
+def _column_rows(df: DataFrame, names: Sequence[str], rows: Sequence[tuple[str, ...]]) -> DataFrame:
+    """Rows about columns, the first entry of each, with ``filled``: how many rows hold a value, NULL without such a column. One pass."""
+    if not rows:
+        return df.sparkSession.createDataFrame([], ", ".join(f"{n} string" for n in names) + ", filled long")
+    here = [r[0] for r in rows if r[0] in df.columns]
+    counted = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(f"__{i}") for i, c in enumerate(here)])
+    filled = {c: F.col(f"__{i}") for i, c in enumerate(here)}
+    return rows_from(
+        counted,
+        [{**{n: F.lit(x) for n, x in zip(names, r)}, "filled": filled.get(r[0], F.lit(None).cast("long"))} for r in rows],
+    )
 
 
 def flag_filter(df: DataFrame, column: str, value) -> DataFrame:
@@ -108,6 +123,15 @@ def name_difference(left: Sequence[str], right: Sequence[str]) -> tuple[list[str
     return sorted(set(left) - set(right)), sorted(set(right) - set(left))
 
 
+def one_sided_columns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns that only one side has, as rows of ``column_name, side, filled``: how many of its rows hold a value."""
+    only_left, only_right = name_difference(left.columns, right.columns)
+    names = ("column_name", "side")
+    return _column_rows(left, names, [(c, "only_left") for c in only_left]).union(
+        _column_rows(right, names, [(c, "only_right") for c in only_right])
+    )
+
+
 def unpivot_pairs(df: DataFrame, ids: Sequence[str], pairs: Sequence[Sequence[str]], names: Sequence[str], drop_empty: bool = False) -> DataFrame:
     """Groups of columns to rows, one row per group; rows without any value are kept unless dropped."""
     groups = F.array(

@@ -279,6 +279,28 @@ def hist_dashboard(spark, sf_dir):
     return h.dashboard(fixture(spark, sf_dir, "runs"))
 
 
+@query(
+    "hist_dashboard_rows",
+    with_fixtures(
+        f"""
+        SELECT 'counter' AS kind, name, value FROM (
+            SELECT CAST(count(*) AS DOUBLE) AS jobs_submitted,
+                   CAST({_count("status IN ('completed', 'failed', 'error')")} AS DOUBLE) AS jobs_completed,
+                   CAST({_count("status IN ('failed', 'error')")} AS DOUBLE) AS jobs_failed,
+                   {_mean('duration_seconds', "status IN ('completed', 'failed', 'error')")} AS avg_duration,
+                   ({_count("status IN ('completed', 'failed', 'error')")} - {_count("status IN ('failed', 'error')")})
+                       * 100.0::DOUBLE / {_count("status IN ('completed', 'failed', 'error')")} AS success_rate
+            FROM runs) UNPIVOT (value FOR name IN (jobs_submitted, jobs_completed, jobs_failed, avg_duration, success_rate))
+        UNION ALL SELECT 'gauge', event_type || '_' || user_id, arg_max(value, (ts, value)) FROM events
+        WHERE ts IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type, user_id"""
+    ),
+)
+def hist_dashboard_rows(spark, sf_dir):
+    name = F.concat_ws("_", "event_type", "user_id")
+    points = read(spark, sf_dir, "events").where("ts IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL")
+    return h.dashboard_rows(fixture(spark, sf_dir, "runs"), points.select(name.alias("name"), "ts", "value"))
+
+
 @query(
     "hist_gauges",
     "SELECT event_type AS name, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY event_type",

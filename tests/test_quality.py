@@ -24,6 +24,22 @@ def test_percentiles_match_numpy(spark):
         assert got == pytest.approx(list(np.quantile(values, fractions)), rel=1e-12), name
 
 
+def test_sketches_of_days_merge(spark):
+    days = spark.range(60_000).selectExpr("id % 30 AS day", "CAST(id * 7919 % 60000 AS DOUBLE) AS x")
+    sketches = q.quantile_sketches(days, "x", ["day"])
+    month = q.sketch_percentiles(sketches, [0.0, 0.1, 0.5, 0.99]).collect()
+    assert sketches.count() == 30 and {r.n for r in month} == {60_000}
+    assert all(abs(r.value - r.fraction * 60_000) < 0.005 * 60_000 for r in month)
+    assert {r.day for r in q.sketch_percentiles(sketches, [0.5], ["day"]).collect()} == set(range(30))
+
+
+def test_percentiles_outside_their_brackets_are_found(spark, monkeypatch):
+    exact = q._at_ranks
+    monkeypatch.setattr(q, "_at_ranks", lambda v, b: exact(v, {r: ((1e9, 2e9) if e[0] > -1e300 else e) for r, e in b.items()}))
+    df = spark.range(1001).selectExpr("CAST(id AS DOUBLE) AS x")
+    assert [r.value for r in q.exact_percentiles(df, "x", [0.25, 0.5]).collect()] == [250.0, 500.0]
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([], "x double")
     assert [r.value for r in q.exact_percentiles(df, "x", [0.5]).collect()] == [None]
@@ -102,3 +118,5 @@ def test_distinct_and_column_count(spark):
     assert [(r.column_name, r.distinct_values) for r in q.distinct_counts(df, ["x", "y"]).collect()] == [("x", 1), ("y", 2)]
     assert q.distinct_counts(df, ["y"], approximate=True).first().distinct_values == 2
     assert not q.column_count_check(df, 3).first().ok
+    some = q.column_count_check(spark.createDataFrame([(1, None), (2, None)], "a int, b string"), 2).first()
+    assert (some.ok, some.rows, some.empty_columns) == (True, 2, 1)

@@ -19,6 +19,22 @@ def test_tree_ignores_cycles_and_orphans(spark):
     assert sorted((r.id, r.level, r.path) for r in tree.collect()) == [(1, 1, "A"), (2, 2, "A > B")]
 
 
+def test_tree_of_great_depth_takes_few_rounds(spark, monkeypatch):
+    depth, rounds = 4096, []
+    monkeypatch.setattr(g, "stored", lambda df, keep=g.stored: rounds.append(1) or keep(df))
+    rows = [(i, i - 1 if i else None, "m", str(i)) for i in range(depth)] + [(depth + i, depth + (i + 1) % 5, "m", "loop") for i in range(5)]
+    tree = g.category_tree(spark.createDataFrame([*rows, (9000, depth, "m", "below the loop")], CATEGORIES))
+    found = {r.id: (r.level, r.path_ids[0], r.path_ids[-1], len(set(r.path_ids))) for r in tree.select("id", "level", "path_ids").where("id % 1000 = 5 OR id > 4090").collect()}
+    assert found == {i: (i + 1, 0, i, i + 1) for i in range(depth) if i % 1000 == 5 or i > 4090}
+    assert tree.count() == depth and len(rounds) <= 1 + 13
+
+
+def test_tree_keeps_every_path_of_a_repeated_id(spark):
+    rows = [(1, None, "d", "A"), (2, None, "d", "B"), (3, 1, "m", "C"), (3, 2, "m", "C"), (4, 3, "g", "D")]
+    tree = g.category_tree(spark.createDataFrame(rows, CATEGORIES))
+    assert sorted(r.path for r in tree.where("id = 4").collect()) == ["A > C > D", "B > C > D"]
+
+
 def test_tree_approved_only(spark):
     rows = [(1, None, "d", "A", True), (2, 1, "m", "B", False), (3, 2, "m", "C", True)]
     tree = g.category_tree(spark.createDataFrame(rows, CATEGORIES + ", approved boolean"), approved_only=True)
@@ -70,6 +86,28 @@ def test_name_matching_order(spark):
     assert got == {"loan": (1, True), "loans": (2, False), "banana": (3, False), "zx": (5, True), "lo": (None, None), "qqq": (None, None)}
 
 
+def test_name_matching_of_long_texts_and_common_words(spark):
+    categories = spark.range(100_000).selectExpr("id", "'module' AS type", "concat('Area ', id) AS name").union(
+        spark.createDataFrame([(200_000, "module", "x" * 4000), (200_001, "module", "Ä€"), (200_002, "module", "zz")], "id long, type string, name string")
+    )
+    names = spark.createDataFrame([("module", n) for n in ("area", "y" * 6000 + "x" * 4000, "kitchen ä€ sink", "a 77777 b", "pizzza")], "type string, name string")
+    got = {r.name[:4]: r.category_id for r in g.match_categories(names, categories).collect()}
+    assert got == {"area": 10000, "yyyy": 200_000, "kitc": 200_001, "a 77": None, "pizz": 200_002}
+
+
+def test_name_matching_agrees_with_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randrange(1, 7))) for _ in range(160)]
+    known, wanted = list(enumerate(words[:80])), sorted(set(words[80:]))
+    categories = spark.createDataFrame([(i, "t", w) for i, w in known], "id long, type string, name string")
+    got = {r.name: r.category_id for r in g.match_categories(spark.createDataFrame([("t", w) for w in wanted], "type string, name string"), categories).collect()}
+    for w in wanted:
+        fit = [(k != w, -len(k), k, i) for i, k in known if k == w or (len(w) >= 3 and (k in w or w in k))]
+        assert got[w] == (min(fit)[3] if fit else None), w
+
+
 def test_upsert_newest_wins_and_changes_win_ties(spark):
     schema = "id int, v string, at int"
     now = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], schema)
@@ -201,3 +239,17 @@ def test_health_states(spark):
     assert h.health(df.where("component = 'a'"), now, 60).first().health == "healthy"
     assert h.health(df.where("component = 'c'"), now, 60).first().stale == 1
     assert h.health(df.where("false"), now, 60).first().health == "unknown"
+
+
+def test_dashboard_rows_hold_every_gauge(spark):
+    runs = spark.createDataFrame([("completed", 1.0), ("failed", 3.0)], "status string, duration_seconds double")
+    points = spark.createDataFrame([(f"g{i % 500}", dt.datetime(2024, 1, 1 + i % 3), float(i)) for i in range(1500)], "name string, ts timestamp, value double")
+    rows = h.dashboard_rows(runs, points).collect()
+    assert sum(r.kind == "gauge" for r in rows) == 500
+    assert {r.name: r.value for r in rows if r.kind == "counter"}["success_rate"] == 50.0
+
+
+def test_rules_with_broken_patterns_are_found_by_the_engine(spark):
+    rules = [TextRule(name=f"r{i}", pattern="(" if i in (3, 8) else f"word{i}", severity="error") for i in range(12)]
+    good, bad = x.usable_rules(spark.createDataFrame([], "path string, text string"), rules)
+    assert [r.name for r in bad] == ["r3", "r8"] and len(good) == 10
