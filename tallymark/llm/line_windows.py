@@ -64,9 +64,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = _rows(docs, id_col, text_col).withColumn("l", F.split("text", "\n", -1))
     joined = rows.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("version") == F.col("r_version")), "left")
     gone = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
-    left = F.when(
-        F.col("removed").isNotNull(), F.array_join(F.filter("l", lambda x, i: ~F.array_contains(gone, i)), "\n")
-    ).otherwise(F.col("text"))
+    # The lines between two removed ones are taken together, so the work follows the lines and not their square.
+    before, after = F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size("l")))
+    runs = F.zip_with(before, after, lambda b, a: F.slice(F.col("l"), b + 2, a - b - 1))
+    left = F.when(F.col("removed").isNotNull(), F.array_join(F.flatten(runs), "\n")).otherwise(F.col("text"))
     return joined.select("id", left.alias("text"), F.size("l").cast("long").alias("n_lines"), gone.alias("removed"))
 
 

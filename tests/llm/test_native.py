@@ -1,6 +1,7 @@
 """The operators made of column functions: exact copies, shards, repeated lines."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -118,6 +119,19 @@ def test_odd_lines(odd):
     assert Counter((r["id"], r["n_lines"], r["text"]) for r in got) == want
 
 
+def test_text_of_many_lines(spark):
+    """Two copies of 60,000 lines of which the second has every hundredth line of its own."""
+    lines = [f"line {i}" for i in range(60_000)]
+    other = [f"own {i}" if i % 100 == 50 else x for i, x in enumerate(lines)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other))], "id long, text string")
+    begun = time.time()
+    got = {r["id"]: r for r in drop_repeated_lines(df, "id", "text").collect()}
+    assert got[1]["text"] == "\n".join(lines) and got[1]["removed"] == []
+    assert got[2]["text"] == "\n".join(x for x in other if x.startswith("own"))
+    assert got[2]["removed"] == [i for i in range(60_000) if i % 100 != 50]
+    assert time.time() - begun < 30
+
+
 def test_empty_tables(odd):
     none = odd[1].limit(0)
     assert exact_groups(none, "id", "text").collect() == []
