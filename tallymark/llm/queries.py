@@ -77,12 +77,10 @@ def fold_of(folds: int):
 
 
 def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     held = fold_of(7) == 2
-    model = suffix_tree_lm.fit(docs.where(~held))
-    scored = suffix_tree_lm.score(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    found = suffix_tree_lm.score_corpus(table(spark, sf_dir, "documents"), ~held)
+    return found.rows.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

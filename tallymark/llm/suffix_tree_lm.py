@@ -1,62 +1,66 @@
 """Language model scoring with a probabilistic suffix tree over words.
 
 The tree's states are contexts of one to ``DEPTH`` words.  A context is a
-candidate when ``LEAST_COUNT`` tokens follow it, however large the corpus; only
-a corpus so small that ``LEAST_SHARE`` of its tokens is fewer asks for that share.
-A candidate is retained when its next-word distribution diverges from the one
-of its longest proper suffix by more than ``DIVERGENCE`` (Kullback-Leibler,
-less the bias of counting), and with it its suffixes.  Distributions are
-smoothed towards the suffix's one (Witten-Bell), at the root by adding one to
-each count with one place for unknown words.  A token is scored by the longest
-retained suffix of the words before it.
-
-Counts are exact and cover all training documents.  Blocks of documents send
-the distinct words that they hold to the part of the model that owns the word,
-and the distinct contexts with the words after them to the part that owns the
-context.  The model stays partitioned, also when documents are scored; only
-totals come to the driver.
+candidate when at least ``LEAST_COUNT`` tokens of the training documents follow
+it, whatever the size of the corpus.  A candidate is retained when its next-word
+distribution diverges from the one of its suffix (the context without its first
+word) by more than ``DIVERGENCE`` (Kullback-Leibler, less the bias of counting).
+Distributions are smoothed towards the next shorter state (Witten-Bell), at the
+root by adding one to each count with one place for unknown words.  A token is
+scored by the longest retained suffix of the words before it.
+
+Candidates are found depth by depth, because a context is never more frequent
+than any part of it: words are counted first, then what follows frequent words,
+then what follows longer contexts all of whose pairs of neighbours are frequent.
+What follows a context is the count of the next longer context, so one exchange
+serves both.  In an exchange every block of documents sends its distinct keys,
+with their counts, to the part that owns them and gets the corpus-wide counts
+back.  A part owns a range of the hashes of contexts together with the word
+after them, so what follows a frequent context is spread over all parts, and a
+frequent key costs one entry per block.  Numbers of kinds and divergences are
+sums over the places of a context; blocks add their places up and exchange one
+row per context.
+
+Counts are exact and cover all training documents.  Tokens stay in their bucket
+of blocks throughout; only totals come to the driver.
 
 Words are the runs of bytes other than space and 0x09-0x0D with A-Z folded, each
 known by a 64-bit hash; every text ends with an end token.
 
 Defined cases: a null text is the end token alone.  Without training documents
 every word is unknown.  Rows with a null training mark are not learned from.
-Repeated rows count each time and get equal scores.  An empty table gives an
-empty result.  Columns not named are not looked at.
+Repeated rows count each time and get equal scores.  A text of any length is
+read whole and lies in one block.  An empty table gives an empty result.
+Columns not named are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.blocks import BLOCK_BYTES, in_blocks, pack, texts_of, unpack
+from tallymark.llm.blocks import BLOCK_BYTES, pack, unpack
 from tallymark.llm.words import fold, hash_many, mix
-from tallymark.session import stored
+from tallymark.session import fresh_path, stored
 
-DEPTH = 3
-LEAST_SHARE = 5e-4
+DEPTH = 4
 LEAST_COUNT = 40
 DIVERGENCE = 0.02
+#: Files of blocks that no exchange moves again; beyond so many blocks a bucket holds several, one of which is worked on at a time.
+MOST_BUCKETS = 20_000
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def suffixes(tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By depth: token places with so many tokens before them in their text, the hash of those, the hash without the first."""
-    offset = np.arange(len(tokens)) - np.repeat(begin[:-1], np.diff(begin))
-    places, hashes = np.arange(len(tokens)), np.ones(len(tokens), dtype=np.uint64)
-    for depth in range(1, DEPTH + 1):
-        deep = offset[places] >= depth
-        places, before = places[deep], hashes[deep]
-        hashes = mix(before * _STEP + tokens[places - depth] + np.uint64(depth))
-        yield places, hashes, before
+#: Exchanges of counts: words, what follows one word, what follows longer contexts; and the one of the contexts' sums.
+_WORDS, _PAIRS, _LONGER, _STATES = range(4)
 
 
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -65,309 +69,306 @@ def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, begin[1:], END), begin + np.arange(len(begin))
 
 
-class Layout:
-    """Distinct words, contexts and (context, word) pairs of a block; words and contexts are ordered by the part that owns them."""
-
-    def __init__(self, tokens: np.ndarray, begin: np.ndarray, parts: int):
-        self.parts = parts
-        self.words, self.word_of, self.word_bounds = self._owned(tokens)
-        found = list(suffixes(tokens, begin))
-        hashes, before = (np.concatenate([f[i] for f in found]) for i in (1, 2))
-        self.contexts, at, self.context_bounds = self._owned(hashes)
-        self.before, self.depth = np.zeros(len(self.contexts), dtype=np.uint64), np.zeros(len(self.contexts), dtype=np.int8)
-        self.before[at] = before
-        self.depth[at] = np.repeat(np.arange(1, DEPTH + 1), [len(f[0]) for f in found])
-        keys = at * max(1, len(self.words)) + self.word_of[np.concatenate([f[0] for f in found])]
-        self.pairs, pair_of, self.pair_counts = np.unique(keys, return_inverse=True, return_counts=True)
-        self.pair_bounds = np.searchsorted(self.pairs, self.context_bounds * max(1, len(self.words)))
-        #: By depth: token places, and the context before and the pair at each.
-        self.places, start = [], 0
-        for places, _, _ in found:
-            rows = slice(start, start + len(places))
-            self.places.append((places, at[rows], pair_of[rows]))
-            start = rows.stop
-
-    def _owned(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes by part, the place of each given one among them, and where each part begins."""
-        distinct, place = np.unique(hashes, return_inverse=True)
-        part = (distinct % np.uint64(self.parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return distinct[order], rank[place], np.searchsorted(part[order], np.arange(self.parts + 1))
-
-    def slices(self, part: int) -> tuple[slice, slice, slice]:
-        """Words, contexts and pairs of a part."""
-        return tuple(slice(b[part], b[part + 1]) for b in (self.word_bounds, self.context_bounds, self.pair_bounds))
-
-    def rows(self) -> Iterator[tuple[int, slice, slice, slice, dict, dict]]:
-        """Per part: its number, its slices, and columns of pairs (context, place in the dictionary) and of that dictionary of words."""
-        for part in range(self.parts):
-            w, c, q = self.slices(part)
-            if w.stop > w.start or c.stop > c.start:
-                context, word = np.divmod(self.pairs[q], max(1, len(self.words)))
-                used, word = np.unique(word, return_inverse=True)
-                pairs = {"context": pa.array((context - c.start).astype(np.int32)), "word": pa.array(word.astype(np.int32))}
-                yield part, w, c, q, pairs, {"word": pa.array(self.words[used].view(np.int64))}
-
-
-def _gathered(batches, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens of about so many bytes of text at a time."""
-    texts, held = [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            texts.append(text)
-            held += len(text or "")
-            if held >= size:
-                yield tokens_of(texts)
-                texts, held = [], 0
-    if texts:
-        yield tokens_of(texts)
-
-
-_FORM = {"words": pa.binary(), "contexts": pa.binary(), "pairs": pa.binary(), "dictionary": pa.binary()}
-_COUNTS = "part int, words binary, contexts binary, pairs binary, dictionary binary"
-
-
-def _packed(rows: list[tuple], **kinds) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
-
-def _numbers(packed: bytes, *columns: str) -> list[np.ndarray]:
-    batch = unpack(packed)
-    return [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-
-
-def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
-
-
-def count_model(texts: DataFrame, parts: int, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per part: packed words (word, n), contexts (hash, before, depth, tokens, kinds) that at least so many tokens
-    follow, pairs (place of the context, place in the dictionary, n) and the dictionary of their words. All in order."""
-
-    def count(batches):
-        for tokens, begin in _gathered(batches, block_bytes):
-            lay = Layout(tokens, begin, parts)
-            n = np.bincount(lay.word_of, minlength=len(lay.words))
-            for part, w, c, q, pairs, dictionary in lay.rows():
-                words = pack(word=pa.array(lay.words[w].view(np.int64)), n=pa.array(n[w]))
-                contexts = pack(
-                    hash=pa.array(lay.contexts[c].view(np.int64)), before=pa.array(lay.before[c].view(np.int64)), depth=pa.array(lay.depth[c])
-                )
-                counted = pack(**pairs, n=pa.array(lay.pair_counts[q]))
-                yield _packed([(part, words, contexts, counted, pack(**dictionary))], part=pa.int32(), **_FORM)
-
-    def add_up(key, sent):
-        words = [_numbers(w.as_py(), "word", "n") for w in sent.column("words")]
-        word, n = _sums(*(np.concatenate(x) for x in zip(*words, strict=True)))
-        contexts = [_numbers(c.as_py(), "hash", "before", "depth") for c in sent.column("contexts")]
-        dictionaries = [_numbers(d.as_py(), "word")[0] for d in sent.column("dictionary")]
-        (hashes, first), used = np.unique(np.concatenate([c[0] for c in contexts]), return_index=True), np.unique(np.concatenate(dictionaries))
-        before, depth = (np.concatenate([c[i] for c in contexts])[first] for i in (1, 2))
-        keys, ns = [], []
-        for (h, _, _), d, q in zip(contexts, dictionaries, sent.column("pairs"), strict=True):
-            at, of, m = _numbers(q.as_py(), "context", "word", "n")
-            keys.append(np.searchsorted(hashes, h)[at] * len(used) + np.searchsorted(used, d)[of])
-            ns.append(m)
-        pairs, m = _sums(np.concatenate(keys), np.concatenate(ns))
-        context, of = np.divmod(pairs, max(1, len(used)))
-        tokens = np.bincount(context, weights=m, minlength=len(hashes)).astype(np.int64)
-        kinds = np.bincount(context, minlength=len(hashes))
-        held = {"hash": hashes, "before": before, "depth": depth, "tokens": tokens, "kinds": kinds}
-        packed = _chosen(held, context, of, m, used, tokens >= least)
-        return pa.Table.from_batches([_packed([(key[0].as_py(), pack(word=pa.array(word), n=pa.array(n)), *packed)], part=pa.int32(), **_FORM)])
-
-    return stored(texts.mapInArrow(count, _COUNTS).groupBy("part").applyInArrow(add_up, _COUNTS))
-
-
-def _chosen(held: dict, context: np.ndarray, word: np.ndarray, n: np.ndarray, dictionary: np.ndarray, chosen: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Packed contexts, pairs and dictionary of the chosen contexts."""
-    kept = chosen[context]
-    used, word = np.unique(word[kept], return_inverse=True)
-    place = np.cumsum(chosen) - 1
-    pairs = pack(context=pa.array(place[context[kept]].astype(np.int32)), word=pa.array(word.astype(np.int32)), n=pa.array(n[kept]))
-    return pack(**{c: pa.array(v[chosen]) for c, v in held.items()}), pairs, pack(word=pa.array(dictionary[used]))
+def _shut(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, so that high bytes of small numbers cost nothing."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes()) if len(numbers) else b""
+
+
+def _open(packed: bytes, kind=np.int64) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+    return np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
+def _shut_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, as differences."""
+    return _shut(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _open_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_open(packed, np.uint64), dtype=np.uint64)
+
+
+def _next(marks: np.ndarray) -> np.ndarray:
+    """The mark of the place before."""
+    return np.concatenate(([False], marks[:-1]))
+
+
+class Block:
+    """Tokens of a block with all that the exchanges so far have answered.
+
+    ``n[d]`` tells how often training documents hold the token of a place after
+    the ``d`` words before it, where those are a candidate (``alive[d]``);
+    ``asked`` and ``asked_n`` are the keys of the next exchange of counts, in
+    order, and their counts in this block.
+    """
+
+    def __init__(self, row: dict, answers: Sequence[np.ndarray], depth: int, least: int):
+        docs = unpack(row["docs"])
+        self.ids, self.sizes = docs.column("id"), docs.column("size").to_numpy()
+        words, word = _open_keys(row["words"]), _open(row["tokens"], np.int32)
+        self.tokens, self.least = words[word], least
+        self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.offset = np.arange(len(word)) - np.repeat(self.begin[:-1], self.sizes)
+        self.trained = np.repeat(docs.column("trained").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+        self.n: list[np.ndarray] = []
+        self.alive = [np.ones(len(word), dtype=bool)]
+        self.hashes = [np.ones(len(word), dtype=np.uint64)]
+        self.asked, self.asked_n = words, self._trained(word, np.arange(len(word)), len(words))
+        if answers:
+            self.n.append(answers[_WORDS][word])
+            self._grow(range(1, min(1, depth) + 1), answers, _PAIRS)
+        if len(answers) > _PAIRS:
+            self._grow(range(2, depth + 1), answers, _LONGER)
+
+    def _trained(self, key: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(key[self.trained[places]], minlength=size).astype(np.int64)
+
+    def _frequent(self) -> np.ndarray:
+        """Places before which the deepest known context and its next word are frequent together."""
+        return _next(self.alive[-1] & (self.n[-1] >= self.least))
+
+    def _grow(self, depths: range, answers: Sequence[np.ndarray], step: int) -> None:
+        found, mask = [], self._frequent()
+        for d in depths:
+            # Beyond the first depth only the neighbours are known to be frequent until the answer comes.
+            mask = (mask if d == depths[0] else mask & _next(mask)) & (self.offset >= d)
+            places, hashes = np.flatnonzero(mask), np.zeros_like(self.tokens)
+            hashes[places] = mix(self.hashes[-1][places] * _STEP + self.tokens[places - d] + np.uint64(d))
+            self.hashes.append(hashes)
+            found.append(places)
+        places = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
+        context = np.concatenate([*(h[p] for h, p in zip(self.hashes[depths.start :], found)), np.zeros(0, dtype=np.uint64)])
+        self.asked, key = np.unique(mix(context * _STEP + self.tokens[places]), return_inverse=True)
+        self.asked_n = self._trained(key, places, len(self.asked))
+        if len(answers) <= step:
+            return
+        counts = answers[step][key]
+        for d, at in zip(depths, found, strict=True):
+            n, alive = np.zeros(len(self.tokens), dtype=np.int64), np.zeros(len(self.tokens), dtype=bool)
+            n[at], counts = counts[: len(at)], counts[len(at) :]
+            alive[at] = True
+            alive &= self._frequent()
+            self.n.append(n)
+            self.alive.append(alive)
+
+    def contexts(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Places of the candidates by depth, all distinct candidates in order, and the candidate of each place."""
+        places = [np.flatnonzero(a) for a in self.alive[1:]]
+        hashes = [h[p] for h, p in zip(self.hashes[1:], places)]
+        return places, *np.unique(np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+
+    def sums(self, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per candidate: hash, tokens after it in the corpus, and this block's share of its kinds and of its divergence."""
+        places, distinct, candidate = self.contexts()
+        tokens, kinds, gain = (np.zeros(len(candidate)) for _ in range(3))
+        start = 0
+        for d, at in enumerate(places, 1):
+            rows = np.arange(start, start + len(at))
+            start += len(at)
+            tokens[rows] = self.n[d - 1][at - 1]
+            learned = self.trained[at]
+            at, rows = at[learned], rows[learned]
+            after, shorter = self.n[d][at], total if d == 1 else self.n[d - 2][at - 1]
+            kinds[rows] = 1 / after
+            # A word after a context also follows the context's suffix.
+            gain[rows] = np.log(after / tokens[rows] / (self.n[d - 1][at] / shorter))
+        followed = np.zeros(len(distinct), dtype=np.int64)
+        followed[candidate] = tokens
+        return distinct, followed, *(np.bincount(candidate, weights=w, minlength=len(distinct)) for w in (kinds, gain))
+
+    def scores(self, total: int, kinds: int, states: np.ndarray) -> pa.Table:
+        """Log10 probabilities by the root alone and by the tree; ``states`` has the kinds of each candidate, 0 if not retained."""
+        base = (self.n[0] + 1) / (total + kinds + 1)
+        p = base.copy()
+        places, _, candidate = self.contexts()
+        for d, at in enumerate(places, 1):
+            here, candidate = states[candidate[: len(at)]], candidate[len(at) :]
+            at, here = at[here > 0], here[here > 0]
+            p[at] = (self.n[d][at] + here * p[at]) / (self.n[d - 1][at - 1] + here)
+        first = self.begin[:-1]
+        return pa.table(
+            {
+                "id": self.ids,
+                "n_tokens": pa.array(self.sizes),
+                "n_known": pa.array(np.add.reduceat((self.n[0] > 0).astype(np.int64), first)),
+                "base_score": pa.array(np.add.reduceat(np.log10(base), first)),
+                "score": pa.array(np.add.reduceat(np.log10(p), first)),
+            }
+        )
 
 
-@dataclass(frozen=True)
-class Model:
-    counts: DataFrame  # as count_model, of the states
-    kept: np.ndarray  # states of each depth
-    tokens: int
-    kinds: int
-    parts: int
+def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Parts own ranges of the keys, which are in order."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    owners, first = np.unique(part, return_index=True)
+    bounds = np.append(first, len(keys))
+    for owner, start, stop in zip(owners, bounds[:-1], bounds[1:], strict=True):
+        yield int(owner), slice(start, stop)
 
 
-def fit(
-    docs: DataFrame,
-    text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES,
-    least_share: float = LEAST_SHARE,
-    least_count: int = LEAST_COUNT,
-) -> Model:
-    """Learn from all given documents."""
-    texts = docs.select(F.col(text_col).alias("text"))
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    def lengths(batches):
-        for batch in batches:
-            yield pa.record_batch([pa.array([len(fold(t).split()) + 1 for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    total = texts.mapInArrow(lengths, "n long").agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-size // block_bytes))
-    counts = count_model(texts, parts, min(least_share * total, least_count), block_bytes)
+def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
+    """One row per block of about so many bytes of text, from ``id, text, trained``: packed documents, words and tokens.
 
-    def words(batches):
-        for batch in batches:
-            for w in batch.column(0):
-                yield unpack(w.as_py())
+    The table is bucketed by block, so that no exchange moves it again.
+    """
 
-    known = counts.select("words").mapInArrow(words, "word long, n long")
-    kinds = known.count()
-    states = _states(counts, known, total, kinds)
-    kept = {r["depth"]: r["count"] for r in states.groupBy("depth").count().collect()}
+    def lay(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        rows, held = [], 0
 
-    def retain(key, held, chosen):
-        out = []
-        for row in held.to_pylist():
-            contexts = unpack(row["contexts"])
-            at, of, n = _numbers(row["pairs"], "context", "word", "n")
-            columns = {c: contexts.column(c).to_numpy(zero_copy_only=False) for c in contexts.schema.names}
-            mask = np.isin(columns["hash"], chosen.column("hash").to_numpy())
-            out.append((row["part"], row["words"], *_chosen(columns, at, of, n, _numbers(row["dictionary"], "word")[0], mask)))
-        return pa.Table.from_batches([_packed(out, part=pa.int32(), **_FORM)])
+        def packed():
+            ids, texts, trained = zip(*rows, strict=True)
+            tokens, begin = tokens_of(list(texts))
+            words, word = np.unique(tokens, return_inverse=True)
+            of = pack(id=pa.array(ids, kind), trained=pa.array(trained, pa.bool_()), size=pa.array(np.diff(begin)))
+            row = ((task << 32) + number, of, _shut_keys(words), _shut(word.astype(np.int32)))
+            return _table([row], block=pa.int64(), docs=pa.binary(), words=pa.binary(), tokens=pa.binary()).to_batches()[0]
 
-    tree = stored(counts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(retain, _COUNTS))
-    return Model(tree, np.array([kept.get(d, 0) for d in range(1, DEPTH + 1)]), total, kinds, parts)
+        for batch in batches:
+            kind = batch.column(0).type
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append(row)
+                held += len(row[1] or "")
+                if held >= block_bytes:
+                    yield packed()
+                    rows, held, number = [], 0, number + 1
+        if rows:
+            yield packed()
+
+    name = f"tallymark_{uuid4().hex}"
+    laid = docs.mapInArrow(lay, "block long, docs binary, words binary, tokens binary")
+    laid.write.format("parquet").bucketBy(buckets, "block").option("path", fresh_path(docs.sparkSession)).saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+_ANSWERS = "block long, part int, n binary"
+
+
+def _answered(step: int, sent: DataFrame) -> DataFrame:
+    """Corpus-wide counts of the keys of every block, in their order; block -1 has the number of keys in use and their sum."""
+
+    def add_up(key, rows):
+        part = key[0].as_py()
+        keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([_open(n.as_py()) for n in rows.column("n")])
+        n = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        out = [(b.as_py(), part, _shut(n[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
+        out.append((-1, part, _shut(np.array([np.count_nonzero(n), n.sum()]))))
+        return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
+
+    return stored(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
+
+
+def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
+    """The kinds of the candidates of every block, in their order, 0 for those that are not retained; block -1 has their number."""
+
+    def decide(key, rows):
+        part = key[0].as_py()
+        # Always in one order, so that sums do not depend on the exchange.
+        rows = rows.sort_by("block")
+        keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "f8"), ("gain", "f8")))
+        kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (kinds, gain))
+        after = np.zeros(len(distinct))
+        after[place] = tokens
+        kinds = np.rint(kinds)
+        kinds = np.where(gain - (kinds - 1) / 2 >= divergence * after, kinds, 0).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        out = [(b.as_py(), part, _shut(kinds[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
+        out.append((-1, part, _shut(np.array([np.count_nonzero(kinds), 0]))))
+        return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
+
+    return stored(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(_STATES)))
+
+
+def _totals(answers: DataFrame) -> tuple[int, int]:
+    """Sums of the two numbers that each part reports; one row per part."""
+
+    def opened(batches):
+        for batch in batches:
+            numbers = [_open(n.as_py()) for n in batch.column(0)]
+            yield pa.record_batch([pa.array([int(x[i]) for x in numbers], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    row = answers.where("block = -1").select("n").mapInArrow(opened, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
+    return row[0] or 0, row[1] or 0
 
-def _states(counts: DataFrame, words: DataFrame, total: int, kinds: int) -> DataFrame:
-    """``part, depth, hash`` of the contexts whose next words are far from those of their suffix, and of their suffixes."""
 
-    def pairs(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                contexts = pa.Table.from_batches([unpack(row["contexts"])])
-                at, of, n = _numbers(row["pairs"], "context", "word", "n")
-                dictionary = _numbers(row["dictionary"], "word")[0]
-                for start in range(0, len(at), 1 << 17):
-                    part = slice(start, start + (1 << 17))
-                    out = contexts.take(pa.array(at[part])).append_column("word", pa.array(dictionary[of[part]]))
-                    out = out.append_column("n", pa.array(n[part])).append_column("part", pa.array(np.full(len(at[part]), row["part"], dtype=np.int32)))
-                    yield from out.to_batches()
-
-    form = "hash long, before long, depth tinyint, tokens long, kinds long, word long, n long, part int"
-    seen = stored(counts.mapInArrow(pairs, form))
-    # In nats, less the bias of finite counts.
-    share = F.col("n") / F.col("tokens")
-    below = words.select("word", ((F.col("n") + 1) / F.lit(total + kinds + 1)).alias("below"))
-    far: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
-        # A word after a context also follows the context's suffix.
-        here = seen.where(F.col("depth") == depth).join(below, ["word"] if depth == 1 else ["before", "word"])
-        here = here.withColumns({"gain": share * F.log(share / F.col("below")), "p": (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("tokens") + F.col("kinds"))})
-        here = stored(here.select("part", "depth", "hash", "before", "word", "tokens", "kinds", "gain", "p"))
-        gap = F.sum("gain") - (F.first("kinds") - 1) / (2 * F.first("tokens"))
-        far.append(here.groupBy("part", "depth", "hash", "before").agg(gap.alias("gap")).where(F.col("gap") >= DIVERGENCE).drop("gap"))
-        below = here.select(F.col("hash").alias("before"), "word", F.col("p").alias("below"))
-    every = seen.select("part", "depth", "hash", "before").distinct()
-    kept = [stored(far.pop())]
-    while far:
-        suffix = kept[-1].select(F.col("before").alias("hash")).distinct()
-        needed = every.where(F.col("depth") == len(far)).join(suffix, "hash", "left_semi")
-        kept.append(stored(far.pop().unionByName(needed).distinct()))
-    return stored(reduce(DataFrame.unionByName, kept).select("part", "depth", "hash"))
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``id, n_tokens, n_known, base_score, score`` of every text: log10 probabilities by the root alone and by the tree."""
-    blocked, _ = in_blocks(docs, id_col, text_col, block_bytes)
-    total, kinds, parts = model.tokens, model.kinds, model.parts
-
-    def laid(block):
-        tokens, begin = tokens_of(list(texts_of(block)))
-        return begin, Layout(tokens, begin, parts)
-
-    def ask(key, block):
-        lay = laid(block)[1]
-        out = []
-        for part, w, c, _, pairs, dictionary in lay.rows():
-            words, contexts = (pack(hash=pa.array(x.view(np.int64))) for x in (lay.words[w], lay.contexts[c]))
-            out.append((key[0].as_py(), part, words, contexts, pack(**pairs), pack(**dictionary)))
-        return pa.Table.from_batches([_packed(out, block=pa.int32(), part=pa.int32(), **_FORM)])
-
-    def places(table, wanted):
-        """Where the table, which is in order, holds the wanted, and whether."""
-        if not len(table):
-            return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return at, table[at] == wanted
-
-    def answer(key, asked, held):
-        none = np.zeros(0, dtype=np.int64)
-        words = n = hashes = tokens = kinds_ = keys = m = used = none
-        for row in held.to_pylist():
-            words, n = _numbers(row["words"], "word", "n")
-            hashes, tokens, kinds_ = _numbers(row["contexts"], "hash", "tokens", "kinds")
-            used = _numbers(row["dictionary"], "word")[0]
-            context, of, m = _numbers(row["pairs"], "context", "word", "n")
-            keys = context.astype(np.int64) * len(used) + of
-
-        def look_up(values, at, found):
-            return np.where(found, values[at], 0) if len(values) else np.zeros(len(at), dtype=np.int64)
-
-        out = []
-        # One asking block at a time is unpacked.
-        for i in range(asked.num_rows):
-            w, c, q, d = (asked.column(x)[i].as_py() for x in _FORM)
-            counts = look_up(n, *places(words, _numbers(w, "hash")[0]))
-            at, state = places(hashes, _numbers(c, "hash")[0])
-            of, known = places(used, _numbers(d, "word")[0])
-            context, word = _numbers(q, "context", "word")
-            pair, found = places(keys, at[context] * len(used) + of[word])
-            after = look_up(m, pair, found & state[context] & known[word])
-            figures = pack(tokens=pa.array(look_up(tokens, at, state)), kinds=pa.array(look_up(kinds_, at, state)))
-            out.append((asked.column("block")[i].as_py(), key[0].as_py(), pack(n=pa.array(counts)), figures, pack(n=pa.array(after))))
-        return pa.Table.from_batches([_packed(out, block=pa.int32(), part=pa.int32(), words=pa.binary(), contexts=pa.binary(), pairs=pa.binary())])
-
-    def rate(block, answered):
-        begin, lay = laid(block)
-        count, after = np.zeros(len(lay.words)), np.zeros(len(lay.pairs))
-        tokens, kinds_ = np.zeros(len(lay.contexts)), np.zeros(len(lay.contexts))
-        for i in range(answered.num_rows):
-            w, c, q = lay.slices(answered.column("part")[i].as_py())
-            count[w] = _numbers(answered.column("words")[i].as_py(), "n")[0]
-            tokens[c], kinds_[c] = _numbers(answered.column("contexts")[i].as_py(), "tokens", "kinds")
-            after[q] = _numbers(answered.column("pairs")[i].as_py(), "n")[0]
-        seen = count[lay.word_of]
-        base = (seen + 1) / (total + kinds + 1)
-        p = base.copy()
-        for at, context, pair in lay.places:
-            state = tokens[context] > 0
-            at, context, pair = at[state], context[state], pair[state]
-            p[at] = (after[pair] + kinds_[context] * p[at]) / (tokens[context] + kinds_[context])
-        return pa.table(
-            {
-                "id": block.column("id"),
-                "n_tokens": pa.array(np.diff(begin)),
-                "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), begin[:-1])),
-                "base_score": pa.array(np.add.reduceat(np.log10(base), begin[:-1])),
-                "score": pa.array(np.add.reduceat(np.log10(p), begin[:-1])),
-            }
-        )
+@dataclass(frozen=True)
+class Scored:
+    rows: DataFrame  # id, n_tokens, n_known, base_score, score
+    tokens: int  # of the training documents
+    kinds: int  # distinct ones of them
+    states: int
 
-    asked = blocked.groupBy("block").applyInArrow(ask, f"block int, {_COUNTS}")
-    answered = (
-        asked.groupBy("part")
-        .cogroup(model.counts.groupBy("part"))
-        .applyInArrow(answer, "block int, part int, words binary, contexts binary, pairs binary")
-    )
+
+def score_corpus(
+    docs: DataFrame,
+    trained: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    depth: int = DEPTH,
+    least_count: int = LEAST_COUNT,
+    divergence: float = DIVERGENCE,
+    block_bytes: int = BLOCK_BYTES,
+) -> Scored:
+    """Learn from the documents that ``trained`` marks and score all: log10 probabilities by the root alone and by the tree."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // block_bytes))
+    blocks = _blocks(rows, block_bytes, min(parts, MOST_BUCKETS))
+    known: list[DataFrame] = []
+
+    def opened(block: pa.Table, held: pa.Table | None) -> tuple[Block, list[np.ndarray]]:
+        answers = []
+        if held is not None:
+            held = held.sort_by([("step", "ascending"), ("part", "ascending")])
+            steps = held.column("step").to_numpy()
+            for step in range(done):
+                found = [_open(held.column("n")[int(i)].as_py()) for i in np.flatnonzero(steps == step)]
+                answers.append(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
+        return Block(block.to_pylist()[0], answers, depth, least_count), answers
+
+    def each(work, form: str) -> DataFrame:
+        """``work`` on every block with all answers so far."""
+        grouped = blocks.groupBy("block")
+        if not known:
+            return grouped.applyInArrow(lambda block: work(block, None), form)
+        held = reduce(DataFrame.unionByName, known).where("block >= 0")
+        return grouped.cogroup(held.groupBy("block")).applyInArrow(work, form)
+
+    def ask(block, held):
+        number = block.column("block")[0].as_py()
+        of, _ = opened(block, held)
+        out = [(number, part, _shut_keys(of.asked[s]), _shut(of.asked_n[s])) for part, s in _by_part(of.asked, parts)]
+        return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary())
+
+    def add(block, held):
+        number = block.column("block")[0].as_py()
+        keys, *columns = opened(block, held)[0].sums(total)
+        out = [(number, part, _shut_keys(keys[s]), *(_shut(c[s]) for c in columns)) for part, s in _by_part(keys, parts)]
+        return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary(), kinds=pa.binary(), gain=pa.binary())
+
+    def rate(block, held):
+        of, answers = opened(block, held)
+        return of.scores(total, kinds, answers[_STATES])
+
+    total = kinds = 0
+    for done in (_WORDS, _PAIRS, _LONGER):
+        known.append(_answered(done, each(ask, "block long, part int, keys binary, n binary")))
+        if done == _WORDS:
+            kinds, total = _totals(known[0])
+    done = _STATES
+    known.append(_chosen(each(add, "block long, part int, keys binary, n binary, kinds binary, gain binary"), divergence))
+    states, _ = _totals(known[-1])
+    done += 1
     kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        blocked.groupBy("block")
-        .cogroup(answered.groupBy("block"))
-        .applyInArrow(rate, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    )
+    return Scored(each(rate, f"id {kind}, n_tokens long, n_known long, base_score double, score double"), total, kinds, states)

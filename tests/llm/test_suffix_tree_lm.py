@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.llm import suffix_tree_lm as lm
 from tallymark.llm.queries import op6_suffix_tree_scores
@@ -19,7 +20,7 @@ def words(text):
     return [*re.findall("[^\x20\x09-\x0d]+", low), None]
 
 
-def brute(train, texts, least):
+def brute(train, texts, least=lm.LEAST_COUNT):
     """Scores by a suffix tree kept in dictionaries."""
     one, after = Counter(), {}
     for t in train:
@@ -30,27 +31,29 @@ def brute(train, texts, least):
                 if i >= d:
                     after.setdefault(tuple(w[i - d : i]), Counter())[w[i]] += 1
     n, v = sum(one.values()), len(one)
-    after = {s: c for s, c in after.items() if sum(c.values()) >= least * n}
+    kept = set()
+    for s, c in after.items():
+        size = sum(c.values())
+        if size < least:
+            continue
+        below = after[s[1:]] if s[1:] else one
+        gap = sum(m / size * math.log(m / size / (below[w] / sum(below.values()))) for w, m in c.items()) - (len(c) - 1) / (2 * size)
+        if gap >= lm.DIVERGENCE:
+            kept.add(s)
 
-    def p(w, s, states):
-        while s and s not in states:
+    def p(w, s):
+        while s and s not in kept:
             s = s[1:]
         if not s:
             return (one[w] + 1) / (n + v + 1)
         c = after[s]
-        return (c[w] + len(c) * p(w, s[1:], states)) / (sum(c.values()) + len(c))
+        return (c[w] + len(c) * p(w, s[1:])) / (sum(c.values()) + len(c))
 
-    kept = set()
-    for s, c in after.items():
-        size = sum(c.values())
-        gap = sum(m / size * math.log(m / size / p(w, s[1:], after)) for w, m in c.items()) - (len(c) - 1) / (2 * size)
-        if gap >= lm.DIVERGENCE:
-            kept |= {s[i:] for i in range(len(s))}
     out = []
     for t in texts:
         w = words(t)
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        tree = sum(math.log10(p(x, tuple(w[max(0, i - lm.DEPTH) : i]), kept)) for i, x in enumerate(w))
+        tree = sum(math.log10(p(x, tuple(w[max(0, i - lm.DEPTH) : i]))) for i, x in enumerate(w))
         out.append((len(w), sum(one[x] > 0 for x in w), base, tree))
     return n, out, kept
 
@@ -58,16 +61,16 @@ def brute(train, texts, least):
 def test_documents_agree_with_dictionaries(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows}
-    n, want, kept = brute([r["text"] for r in rows if not held[r["doc_id"]]], [r["text"] for r in rows], lm.LEAST_SHARE)
+    n, want, kept = brute([r["text"] for r in rows if not held[r["doc_id"]]], [r["text"] for r in rows])
     got = {r["doc_id"]: r for r in op6_suffix_tree_scores(spark, SF).collect()}
-    assert kept and len(got) == len(rows)
+    assert len(got) == len(rows) and {len(s) for s in kept} == set(range(1, lm.DEPTH + 1))
     for r, (tokens, known, base, tree) in zip(rows, want, strict=True):
         g = got[r["doc_id"]]
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[r["doc_id"]], tokens, known, n)
         assert g["base_score"] == pytest.approx(base, abs=1e-6) and g["score"] == pytest.approx(tree, abs=1e-6)
 
 
-@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
+@pytest.mark.parametrize("block_bytes", [60_000, 1 << 20])
 def test_contexts_help_held_out_text_and_blocks_do_not_matter(spark, block_bytes):
     draw = np.random.default_rng(4)
     follow = {i: draw.integers(0, 30, size=3) for i in range(30)}
@@ -80,11 +83,12 @@ def test_contexts_help_held_out_text_and_blocks_do_not_matter(spark, block_bytes
 
     train = [text(40) for _ in range(120)]
     rest = [text(40) for _ in range(20)] + ["", None, "x y z", "w1  W2\tw3\n", "x" * 3_000_000]
-    spark_rows = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(rest)], "doc_id long, text string, score double")
-    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"), block_bytes=block_bytes, least_share=0.005)
-    got = {r["id"]: r for r in lm.score(spark_rows, model, block_bytes=block_bytes).collect()}
-    _, want, kept = brute(train, rest, 0.005)
-    assert int(model.kept.sum()) == len(kept)
+    texts = [(i, t, None if i % 2 else False, 1.0) for i, t in enumerate(rest)] + [(-1, t, True, 1.0) for t in train]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, learn boolean, score double")
+    found = lm.score_corpus(docs, F.col("learn"), least_count=25, block_bytes=block_bytes)
+    got = {r["id"]: r for r in found.rows.collect()}
+    _, want, kept = brute(train, rest, 25)
+    assert kept and found.states == len(kept) and found.rows.count() == len(texts)
     for i, (tokens, known, base, tree) in enumerate(want):
         assert (got[i]["n_tokens"], got[i]["n_known"]) == (tokens, known)
         assert got[i]["base_score"] == pytest.approx(base, abs=1e-6) and got[i]["score"] == pytest.approx(tree, abs=1e-6)
@@ -93,21 +97,28 @@ def test_contexts_help_held_out_text_and_blocks_do_not_matter(spark, block_bytes
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    model = lm.fit(none)
-    assert (model.tokens, model.kinds) == (0, 0)
-    assert lm.score(none, model).collect() == []
+    found = lm.score_corpus(none, F.lit(True))
+    assert (found.tokens, found.kinds, found.states) == (0, 0, 0) and found.rows.collect() == []
     one = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
-    assert [tuple(r) for r in lm.score(one, model).collect()] == [(None, 3, 0, 0.0, 0.0)]
+    assert [tuple(r) for r in lm.score_corpus(one, F.lit(None).cast("boolean")).rows.collect()] == [(None, 3, 0, 0.0, 0.0)]
 
 
 def test_a_context_stays_a_state_in_a_larger_corpus(spark):
     """The same context with the same counts, beside ever more other text."""
     train = ["alpha beta gamma"] * 45 + ["delta beta epsilon"] * 45
     other = [" ".join(f"w{(i * 7919 + j * j) % 50_000}" for j in range(1000)) for i in range(200)]
-    states = {}
+    gained = {}
     for name, extra in (("small", other[:20]), ("large", other)):
-        model = lm.fit(spark.createDataFrame([(t,) for t in train + extra], "text string"))
-        row = lm.score(spark.createDataFrame([(0, "alpha beta gamma")], "doc_id long, text string"), model).first()
-        states[name] = row["score"] - row["base_score"]
-        assert model.kept[1] > 0
-    assert states["large"] > states["small"] > 5
+        rows = [(1, t) for t in train + extra] + [(0, "alpha beta gamma")]
+        found = lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1)
+        row = found.rows.where("id = 0").first()
+        gained[name] = row["score"] - row["base_score"]
+        assert found.states >= 2
+    assert gained["large"] > gained["small"] > 5
+
+
+def test_blocks_are_not_moved(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * 60) for i in range(40)], "doc_id long, text string")
+    rows = lm.score_corpus(docs, F.lit(True), block_bytes=2000).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
