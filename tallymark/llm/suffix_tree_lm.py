@@ -17,9 +17,9 @@ serves both.  In an exchange every block of documents sends its distinct keys,
 with their counts, to the part that owns them and gets the corpus-wide counts
 back.  A part owns a range of the hashes of contexts together with the word
 after them, so what follows a frequent context is spread over all parts, and a
-frequent key costs one entry per block.  Numbers of kinds and divergences are
-sums over the places of a context; blocks add their places up and exchange one
-row per context.
+frequent key costs one entry per block.  Of the blocks that hold a key, one
+counts it as a kind of token after its context, and divergences are sums over
+the places of a context; blocks add both up and exchange one row per context.
 
 Counts are exact and cover all training documents.  Tokens stay in their bucket
 of blocks throughout; only totals come to the driver.
@@ -89,6 +89,11 @@ def _open_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_open(packed, np.uint64), dtype=np.uint64)
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """The counts in half the memory where they are small enough."""
+    return n.astype(np.int32) if n.max(initial=0) < 1 << 31 else n
+
+
 def _next(marks: np.ndarray) -> np.ndarray:
     """The mark of the place before."""
     return np.concatenate(([False], marks[:-1]))
@@ -98,8 +103,9 @@ class Block:
     """Tokens of a block with all that the exchanges so far have answered.
 
     ``n[d]`` tells how often training documents hold the token of a place after
-    the ``d`` words before it, where those are a candidate (``alive[d]``);
-    ``asked`` and ``asked_n`` are the keys of the next exchange of counts, in
+    the ``d`` words before it, where those are a candidate (``alive[d]``, with
+    hashes ``found[d]``), and ``new`` marks the places at which this block
+    counts a kind of token after a context; ``asked`` and ``asked_n`` are the keys of the next exchange of counts, in
     order, and their counts in this block.
     """
 
@@ -109,14 +115,16 @@ class Block:
         words, word = _open_keys(row["words"]), _open(row["tokens"], np.int32)
         self.tokens, self.least = words[word], least
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.offset = np.arange(len(word)) - np.repeat(self.begin[:-1], self.sizes)
+        self.offset = (np.arange(len(word)) - np.repeat(self.begin[:-1], self.sizes)).astype(np.int32)
         self.trained = np.repeat(docs.column("trained").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
         self.n: list[np.ndarray] = []
         self.alive = [np.ones(len(word), dtype=bool)]
-        self.hashes = [np.ones(len(word), dtype=np.uint64)]
+        self.found = [np.zeros(0, dtype=np.uint64)]
+        self.new = [np.zeros(0, dtype=bool)]
+        self.last = np.ones(len(word), dtype=np.uint64)
         self.asked, self.asked_n = words, self._trained(word, np.arange(len(word)), len(words))
         if answers:
-            self.n.append(answers[_WORDS][word])
+            self.n.append(_narrow(answers[_WORDS] >> 1)[word])
             self._grow(range(1, min(1, depth) + 1), answers, _PAIRS)
         if len(answers) > _PAIRS:
             self._grow(range(2, depth + 1), answers, _LONGER)
@@ -129,39 +137,43 @@ class Block:
         return _next(self.alive[-1] & (self.n[-1] >= self.least))
 
     def _grow(self, depths: range, answers: Sequence[np.ndarray], step: int) -> None:
-        found, mask = [], self._frequent()
+        found, hashes, mask = [], [], self._frequent()
         for d in depths:
             # Beyond the first depth only the neighbours are known to be frequent until the answer comes.
             mask = (mask if d == depths[0] else mask & _next(mask)) & (self.offset >= d)
-            places, hashes = np.flatnonzero(mask), np.zeros_like(self.tokens)
-            hashes[places] = mix(self.hashes[-1][places] * _STEP + self.tokens[places - d] + np.uint64(d))
-            self.hashes.append(hashes)
+            places = np.flatnonzero(mask)
+            hashes.append(mix(self.last[places] * _STEP + self.tokens[places - d] + np.uint64(d)))
+            self.last = np.zeros_like(self.tokens)
+            self.last[places] = hashes[-1]
             found.append(places)
         places = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
-        context = np.concatenate([*(h[p] for h, p in zip(self.hashes[depths.start :], found)), np.zeros(0, dtype=np.uint64)])
-        self.asked, key = np.unique(mix(context * _STEP + self.tokens[places]), return_inverse=True)
+        context = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
+        self.asked, first, key = np.unique(mix(context * _STEP + self.tokens[places]), return_index=True, return_inverse=True)
         self.asked_n = self._trained(key, places, len(self.asked))
         if len(answers) <= step:
             return
-        counts = answers[step][key]
-        for d, at in zip(depths, found, strict=True):
-            n, alive = np.zeros(len(self.tokens), dtype=np.int64), np.zeros(len(self.tokens), dtype=bool)
+        counts, new = _narrow(answers[step] >> 1)[key], np.zeros(len(places), dtype=bool)
+        new[first[(answers[step] & 1) > 0]] = True
+        for at, hashed in zip(found, hashes, strict=True):
+            n, alive = np.zeros(len(self.tokens), dtype=counts.dtype), np.zeros(len(self.tokens), dtype=bool)
             n[at], counts = counts[: len(at)], counts[len(at) :]
             alive[at] = True
             alive &= self._frequent()
             self.n.append(n)
             self.alive.append(alive)
+            self.found.append(hashed[alive[at]])
+            self.new.append(new[: len(at)][alive[at]])
+            new = new[len(at) :]
 
     def contexts(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Places of the candidates by depth, all distinct candidates in order, and the candidate of each place."""
         places = [np.flatnonzero(a) for a in self.alive[1:]]
-        hashes = [h[p] for h, p in zip(self.hashes[1:], places)]
-        return places, *np.unique(np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+        return places, *np.unique(np.concatenate(self.found), return_inverse=True)
 
     def sums(self, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per candidate: hash, tokens after it in the corpus, and this block's share of its kinds and of its divergence."""
+        """Per candidate: hash, tokens after it in the corpus, the kinds that this block counts, and its share of the divergence."""
         places, distinct, candidate = self.contexts()
-        tokens, kinds, gain = (np.zeros(len(candidate)) for _ in range(3))
+        tokens, gain = np.zeros(len(candidate)), np.zeros(len(candidate))
         start = 0
         for d, at in enumerate(places, 1):
             rows = np.arange(start, start + len(at))
@@ -170,12 +182,12 @@ class Block:
             learned = self.trained[at]
             at, rows = at[learned], rows[learned]
             after, shorter = self.n[d][at], total if d == 1 else self.n[d - 2][at - 1]
-            kinds[rows] = 1 / after
             # A word after a context also follows the context's suffix.
             gain[rows] = np.log(after / tokens[rows] / (self.n[d - 1][at] / shorter))
         followed = np.zeros(len(distinct), dtype=np.int64)
         followed[candidate] = tokens
-        return distinct, followed, *(np.bincount(candidate, weights=w, minlength=len(distinct)) for w in (kinds, gain))
+        kinds = np.bincount(candidate[np.concatenate(self.new)], minlength=len(distinct)).astype(np.int64)
+        return distinct, followed, kinds, np.bincount(candidate, weights=gain, minlength=len(distinct)).astype(np.float32)
 
     def scores(self, total: int, kinds: int, states: np.ndarray) -> pa.Table:
         """Log10 probabilities by the root alone and by the tree; ``states`` has the kinds of each candidate, 0 if not retained."""
@@ -251,16 +263,24 @@ _ANSWERS = "block long, part int, n binary"
 
 
 def _answered(step: int, sent: DataFrame) -> DataFrame:
-    """Corpus-wide counts of the keys of every block, in their order; block -1 has the number of keys in use and their sum."""
+    """Corpus-wide counts of the keys of every block, in their order; block -1 has the number of keys in use and their sum.
+
+    Counts are doubled; of the blocks whose training documents hold a key, the one with the lowest number gets one more.
+    """
 
     def add_up(key, rows):
         part = key[0].as_py()
+        rows = rows.sort_by("block")
         keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([_open(n.as_py()) for n in rows.column("n")])
         n = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        out = [(b.as_py(), part, _shut(n[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
+        held = np.flatnonzero(counts)
+        counts[held] = 0
+        counts[held[np.unique(place[held], return_index=True)[1]]] = 1
+        marked = np.split(2 * n[place] + counts, ends)
+        out = [(b.as_py(), part, _shut(x)) for b, x in zip(rows.column("block"), marked, strict=True)]
         out.append((-1, part, _shut(np.array([np.count_nonzero(n), n.sum()]))))
         return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
 
@@ -276,11 +296,10 @@ def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
         rows = rows.sort_by("block")
         keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "f8"), ("gain", "f8")))
+        tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "i8"), ("gain", "f4")))
         kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (kinds, gain))
         after = np.zeros(len(distinct))
         after[place] = tokens
-        kinds = np.rint(kinds)
         kinds = np.where(gain - (kinds - 1) / 2 >= divergence * after, kinds, 0).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
         out = [(b.as_py(), part, _shut(kinds[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
