@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.scalars import same_value
-from tallymark.operators.shape import SCALE, explode_present, rows_from, summable, tagged_union
+from tallymark.operators.shape import SCALE, explode_present, row_digests, rows_from, summable, tagged_union
 from tallymark.session import stored
 from tallymark.sources.readers import read_dataset
 from tallymark.specs import CompareSpec
@@ -64,12 +64,6 @@ def conform(df: DataFrame, schema: T.StructType, columns: Sequence[str]) -> Data
     return df.withColumn("__failed", failed).withColumns({c: F.col(f"`{c}`").try_cast(types[c]) for c in drift})
 
 
-def _digests(columns: Sequence[str]) -> tuple[Column, Column]:
-    """Two independent 64-bit digests of a row that tell NULL from every value and every place."""
-    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))] or [F.lit(0)]
-    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts))
-
-
 def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFrame:
     """One row per key: ``status``, both packed rows, the counts per side and a flag per differing column.
 
@@ -91,7 +85,7 @@ def pair_by_key(left: DataFrame, right: DataFrame, spec: CompareSpec) -> DataFra
     carried = [*values, "__failed"] if drift else values
     named = [F.col(f"`{k}`") for k in keys]
     side = F.col("__left")
-    one, two = _digests(carried)
+    one, two = row_digests(carried)
     narrow = golden.select(*named, one.alias("__1"), two.alias("__2"), F.lit(True).alias("__left")).union(
         output.select(*named, one, two, F.lit(False))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.joins import dimension, look_up_in
-from tallymark.operators.shape import rows_from
+from tallymark.operators.shape import row_digests, rows_from
 from tallymark.operators.windows import first_per_key
 from tallymark.session import cut_lineage, stored
 
@@ -319,13 +319,24 @@ def change_history(before: DataFrame, after: DataFrame, keys: Sequence[str], col
     """Added, removed and changed keys of two snapshots, one row per changed column with old and new value.
 
     An added or removed key whose columns are all NULL is one row without a column name.
+    Keys and row digests are compared first; whole rows cross the shuffle only for
+    keys that were added, removed or changed. Of repeated keys the smallest row counts.
     """
     named = [F.col(f"`{k}`") for k in keys]
-    packed = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    both = before.select(*named, packed.alias("r"), F.lit(True).alias("old")).union(
-        after.select(*named, packed, F.lit(False))
+    both = before.select(*named, *[F.col(f"`{c}`").cast("string").alias(f"__v{i}") for i, c in enumerate(columns)], F.lit(True).alias("old")).union(
+        after.select(*named, *[F.col(f"`{c}`").cast("string") for c in columns], F.lit(False))
     )
-    paired = both.groupBy(*named).agg(
+    one, two = row_digests([f"__v{i}" for i in range(len(columns))])
+    seen = both.select(*named, one.alias("__1"), two.alias("__2"), "old").groupBy(*named).agg(
+        F.bool_or("old").alias("was"),
+        F.bool_or(~F.col("old")).alias("stays"),
+        ((F.min("__1") == F.max("__1")) & (F.min("__2") == F.max("__2"))).alias("alike"),
+    )
+    touched = seen.where(~(F.col("was") & F.col("stays") & F.col("alike"))).select(*[k.alias(f"__k{i}") for i, k in enumerate(named)])
+    same_key = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(named)])
+    packed = F.struct(*[F.col(f"__v{i}").alias(c) for i, c in enumerate(columns)])
+    rows = both.select(*named, packed.alias("r"), "old").join(touched, same_key, "left_semi")
+    paired = rows.groupBy(*named).agg(
         F.min(F.when(F.col("old"), F.col("r"))).alias("a"),
         F.min(F.when(~F.col("old"), F.col("r"))).alias("b"),
         F.bool_or("old").alias("was"),

@@ -49,6 +49,12 @@ def exact_sum(column: Column) -> Column:
     return F.sum(high).cast("double") + F.sum(low).cast("double")
 
 
+def row_digests(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two independent 64-bit digests of a row that tell NULL from every value and every place."""
+    parts = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))] or [F.lit(0)]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts))
+
+
 def rows_from(df: DataFrame, rows: Sequence[Mapping[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """Turn each row of ``df`` into one row per mapping; all mappings have the same names."""
     packed = F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])

@@ -53,6 +53,11 @@ def test_dedup_limits_keys_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit.*Partial", text) and "SortAggregate" not in text
 
 
+def test_history_orders_whole_rows_of_touched_keys_only(spark):
+    text = plan(catalogue.queries()["snapshot_history"](spark, SF))
+    assert text.count("SortAggregate") <= 2 and re.search(r"SortAggregate[^\n]*\n(?:.*\n){1,12}.*LeftSemi", text)
+
+
 @pytest.mark.parametrize("name", ["etl_dedup", "lookup_three", "etl_lookup_twice"])
 def test_whole_rows_are_not_aggregated(spark, name):
     assert "SortAggregate" not in plan(catalogue.queries()[name](spark, SF))
