@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +24,9 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(home.rglob("*.py")):
             out.write(source, str(Path(home.name) / source.relative_to(home)))
     context.addPyFile(str(archive))
+    # The process in which the driver prepares a stateful stream is a worker without the added files.
+    paths = [str(archive), *filter(None, [context.environment.get("PYTHONPATH")])]
+    context.environment["PYTHONPATH"] = os.pathsep.join(paths)
     _SHIPPED.add(context.applicationId)
 
 
