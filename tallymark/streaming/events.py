@@ -6,7 +6,7 @@ the same input, except for late rows: the watermark drops those, and
 zone, which has to be UTC to agree with the batch forms.
 
 Stateful keys keep one number plus the events that the watermark has not
-passed yet, by slices of time in the state store, and nothing once the number
+passed yet, in sorted blocks in the state store that many keys share, and nothing once the number
 no longer matters. All forms work in append mode, so state is released as the
 watermark moves. ``burst_batches`` keeps no state
 and works on streams as it is.
@@ -14,6 +14,7 @@ and works on streams as it is.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
@@ -29,8 +30,10 @@ from tallymark.operators.quality import broken
 from tallymark.operators.shape import exact_sum
 from tallymark.specs import Rule
 
-#: Time slice by which the waiting events of a key are stored and released.
-SLICE_US = 60_000_000
+#: Groups into which keys fall; a checkpoint holds for one number only.
+BUCKETS = 128
+#: Waiting events of a bucket that are sorted together, and that one row of the state store holds at most.
+RUN_ROWS, BLOCK_ROWS = 1 << 18, 1 << 13
 #: Output columns of whole numbers, which may be missing.
 _WHOLE = {"event_id", "depth", "priority"}
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,91 +45,151 @@ def with_event_time(stream: DataFrame, moment: str, delay: str) -> DataFrame:
 
 
 class _Walk(StatefulProcessor):
-    """Walks the events of a key in (time, id) order behind the watermark, slice of time by slice of time.
-
-    Waiting events lie in a map from (slice, chunk) to packed columns, one entry
-    for what a batch brings to a slice, so neither a trigger nor a state row
-    ever holds the events of a key in a list. A timer at the end of the first
-    slice releases what the watermark has passed: one slice is read, sorted and
-    decided at a time.
+    """Walks the events of each key in (time, id) order behind the watermark, for the keys of one bucket together.
+
+    Waiting events lie in a map from (first time, serial) to packed columns: what
+    a batch brings to a bucket is sorted in runs and cut into blocks of bounded
+    size, so the calls to the state store grow with the blocks and neither with
+    the events nor with the keys, and no state row holds the events of a key in
+    a list. A timer just behind the first waiting event merges the blocks that
+    the watermark has reached; only blocks that overlap in time are held together.
     """
 
-    def __init__(self, decide, needed, slice_us: int, columns: list[str]):
-        self._decide, self._needed, self._slice_us, self._columns = decide, needed, slice_us, columns
+    def __init__(self, decide, needed, columns: list[str], run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS):
+        self._decide, self._needed, self._columns = decide, needed, columns
+        self._run_rows, self._block_rows = run_rows, block_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._number = handle.getValueState("number", "number long")
-        self._waiting = handle.getMapState("waiting", "slice long, chunk long", "packed binary")
-        self._chunks = handle.getValueState("chunks", "chunks long")
+        self._numbers = handle.getValueState("numbers", "keys string, packed binary, serial long")
+        self._waiting = handle.getMapState("waiting", "first long, serial long", "keys string, packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk = self._chunks.get()[0] if self._chunks.exists() else 0
-        first = None
+        begin, first, run, held = None, None, [], 0
         for pdf in rows:
             if pdf.empty:
                 continue
-            events = pdf[["t", "id", "change", "level", "known"]].to_numpy(dtype=np.int64)
-            place = events[:, 0] // self._slice_us
-            parts, begin = np.unique(place[order := np.argsort(place, kind="stable")], return_index=True)
-            for part, some in zip(parts.tolist(), np.split(events[order], begin[1:]), strict=True):
-                self._waiting.updateValue((part, chunk), (some.tobytes(),))
-            chunk += 1
-            first = int(parts[0]) if first is None else min(first, int(parts[0]))
+            if begin is None:
+                begin = self._numbers.get() or ("[]", b"", 0)
+                serial = begin[2]
+            run.append(pdf)
+            held += len(pdf)
+            if held >= self._run_rows:
+                first, serial = self._wait(*_coded(run), first, serial)
+                run, held = [], 0
+        if run:
+            first, serial = self._wait(*_coded(run), first, serial)
         if first is not None:
-            self._chunks.update((chunk,))
-            self._handle.registerTimer(self._end(first))
+            self._numbers.update((begin[0], bytes(begin[1]), serial))
+            self._handle.registerTimer(first // 1000 + 1)
         return iter(())
 
-    def _end(self, part: int) -> int:
-        return (part + 1) * self._slice_us // 1000 + 1
+    def _wait(self, keys: list, events: np.ndarray, first: int | None, serial: int) -> tuple[int, int]:
+        """Store a run of events; returns the first time of all and the next serial number."""
+        events = in_order([events])
+        for i in range(0, len(events), self._block_rows):
+            block = events[i : i + self._block_rows].copy()
+            used, block[:, 5] = np.unique(block[:, 5], return_inverse=True)
+            self._waiting.updateValue((int(block[0, 0]), serial), (json.dumps([keys[c] for c in used]), block.tobytes()))
+            serial += 1
+        begin = int(events[0, 0])
+        return (begin if first is None else min(first, begin)), serial
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        number = self._number.get()[0] if self._number.exists() else NEVER
-        # Keys only; the events are read slice by slice.
+        names, packed, serial = self._numbers.get() or ("[]", b"", 0)
+        keys = json.loads(names)
+        codes = {k: c for c, k in enumerate(keys)}
+        numbers = dict(enumerate(np.frombuffer(bytes(packed), dtype=np.int64).tolist()))
+        # Keys only; the events are read block by block.
         stored = sorted((k[0], k[1]) for k in self._waiting.keys())
-        ended = [k for k in stored if (k[0] + 1) * self._slice_us <= watermark]
-        for _, chunks in groupby(ended, key=lambda k: k[0]):
-            chunks = list(chunks)
-            packed = b"".join(bytes(self._waiting.getValue(c)[0]) for c in chunks)
-            events = np.frombuffer(packed, dtype=np.int64).reshape(-1, 5)
-            events = events[np.lexsort((events[:, 1], events[:, 4] & 1, events[:, 0]))]  # a missing id comes first
-            ready = [(t, i if k & 1 else None, c, v if k & 2 else None) for t, i, c, v, k in events.tolist()]
-            number, out = self._decide(number, ready)
-            if out["event_id"]:
-                columns = {c: pd.array(v, dtype="Int64") if c in _WHOLE else v for c, v in out.items()}
-                yield pd.DataFrame({"k": key[0], **columns})[self._columns]
-            for c in chunks:
-                self._waiting.removeKey(c)
-        last, waits = self._needed(number), stored[len(ended) :]
-        if waits:
-            self._number.update((number,))
-            self._handle.registerTimer(self._end(waits[0][0]))
-        elif last is not None and last <= watermark:
-            self._number.clear()
-            self._chunks.clear()
-        else:
-            self._number.update((number,))
-            if last is not None:
-                self._handle.registerTimer(last // 1000 + 1)
+        reached = [k for k in stored if k[0] < watermark]
+        events = np.empty((0, 6), dtype=np.int64)
+        for first, blocks in groupby(reached, key=lambda k: k[0]):
+            events, out = self._ended(keys, numbers, events, first)
+            yield from out
+            read = [events]
+            for block in blocks:
+                names, packed = self._waiting.getValue(block)
+                part = np.frombuffer(bytes(packed), dtype=np.int64).reshape(-1, 6).copy()
+                for k in (own := json.loads(names)):
+                    if k not in codes:
+                        codes[k] = len(keys)
+                        keys.append(k)
+                part[:, 5] = np.array([codes[k] for k in own])[part[:, 5]]
+                read.append(part)
+                self._waiting.removeKey(block)
+            events = in_order(read)
+        events, out = self._ended(keys, numbers, events, watermark)
+        yield from out
+        waits = stored[len(reached)][0] if len(reached) < len(stored) else None
+        if len(events):
+            waits, serial = self._wait(keys, events, waits, serial)
+        lasts = {c: self._needed(n) for c, n in numbers.items()}
+        kept = [c for c, last in lasts.items() if last is None or last > watermark]
+        if waits is None and not kept:
+            self._numbers.clear()
+            return
+        self._numbers.update((json.dumps([keys[c] for c in kept]), np.array([numbers[c] for c in kept], dtype=np.int64).tobytes(), serial))
+        ends = [lasts[c] for c in kept if lasts[c] is not None]
+        if waits is not None:
+            self._handle.registerTimer(waits // 1000 + 1)
+        elif ends:
+            self._handle.registerTimer(max(ends) // 1000 + 1)
+
+    def _ended(self, keys: list, numbers: dict, events: np.ndarray, border: int) -> tuple[np.ndarray, list[pd.DataFrame]]:
+        """Decide the events before ``border``; returns the events that are left and the output."""
+        ends = int(np.searchsorted(events[:, 0], border))
+        if not ends:
+            return events, []
+        ready = events[:ends][np.argsort(events[:ends, 5], kind="stable")]
+        begin = np.flatnonzero(np.diff(ready[:, 5], prepend=-1)).tolist()
+        of, given = [], {c: [] for c in self._columns[1:]}
+        for a, b in zip(begin, [*begin[1:], len(ready)], strict=True):
+            code = int(ready[a, 5])
+            some = [(t, i if k & 1 else None, c, v if k & 2 else None) for t, i, c, v, k, _ in ready[a:b].tolist()]
+            numbers[code], out = self._decide(numbers.get(code, NEVER), some)
+            of += [keys[code]] * len(out["event_id"])
+            for c, column in given.items():
+                column += out[c]
+        if not of:
+            return events[ends:], []
+        columns = {c: pd.array(v, dtype="Int64") if c in _WHOLE else v for c, v in given.items()}
+        return events[ends:], [pd.DataFrame({"k": of, **columns})[self._columns]]
 
     def close(self) -> None:
         pass
 
 
+def _coded(run: Sequence[pd.DataFrame]) -> tuple[list, np.ndarray]:
+    """Keys, and the columns of a run's events with the number of the key as the last."""
+    pdf = run[0] if len(run) == 1 else pd.concat(run, ignore_index=True)
+    codes, keys = pd.factorize(pdf["name"].astype(object), use_na_sentinel=False)
+    events = np.column_stack([pdf[["t", "id", "change", "level", "known"]].to_numpy(dtype=np.int64), codes])
+    return [None if pd.isna(k) else k for k in keys], events
+
+
+def in_order(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """Events in order of time and id; a missing id comes first."""
+    events = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    return events[np.lexsort((events[:, 1], events[:, 4] & 1, events[:, 0]))]
+
+
 def _stateful(
-    stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column, needed, slice_us: int = SLICE_US
+    stream: DataFrame, key: Column, moment: str, event_id: str, delay: str, decide, result: str, change: Column, level: Column, needed
 ) -> DataFrame:
     """Run ``decide(number, ready events) -> (number, output columns)`` per key in event-time order.
 
     ``needed(number)`` is the time (microseconds) up to which a key without
     waiting events must be remembered, or None if it must be for good. State is
-    kept in RocksDB, so it may exceed the memory of an executor.
+    kept in RocksDB, so it may exceed the memory of an executor. Keys share
+    ``BUCKETS`` groups, because Python reaches the state of a group by calls
+    that cost milliseconds each.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     slim = with_event_time(stream, moment, delay).select(
-        key.cast("string").alias("k"),
+        F.pmod(F.xxhash64(key.cast("string")), F.lit(BUCKETS)).cast("string").alias("k"),
+        key.cast("string").alias("name"),
         F.col(f"`{moment}`").alias("moment"),
         F.unix_micros(F.col(f"`{moment}`")).alias("t"),
         F.coalesce(F.col(f"`{event_id}`").cast("long"), F.lit(0)).alias("id"),
@@ -137,7 +200,7 @@ def _stateful(
     ).where(F.col("t").isNotNull())  # without a time there is no order
     columns = ["k", *[c.split()[0] for c in result.split(", ")]]
     return slim.groupBy("k").transformWithStateInPandas(
-        _Walk(decide, needed, slice_us, columns), f"k string, {result}", "append", "EventTime"
+        _Walk(decide, needed, columns), f"k string, {result}", "append", "EventTime"
     )
 
 

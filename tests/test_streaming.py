@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,71 @@ def test_staged_rows_without_a_time_reach_the_stream(spark):
     stream, feed = _staged(timed)
     done = _finished(live.dedup_window(stream, F.col("k"), "ts", "event_id", 3600), feed)
     assert ids(done.where("event_id is not null")) == {2, 3}
+
+
+class _Store:
+    """What a bucket keeps, with a count of the calls."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_calls_to_the_state_store_grow_with_blocks_and_not_with_events():
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**12), i, 0, 0, 1, str(rng.randrange(500))) for i in range(20_000)]
+
+    def decide(number, ready):
+        assert ready == sorted(ready, key=lambda e: e[:2])
+        return max(number, ready[-1][0]), {"event_id": [e[1] for e in ready], "accepted": [e[0] > number for e in ready]}
+
+    store = _Store()
+    walk = live._Walk(decide, lambda number: number, ["k", "event_id", "accepted"], run_rows=6000, block_rows=2000)
+    walk.init(store)
+    columns = ["t", "id", "change", "level", "known", "name"]
+    frames = [pd.DataFrame(rows[i : i + 1000], columns=columns) for i in range(0, len(rows), 1000)]
+    assert not list(walk.handleInputRows(("b",), iter(frames), store))
+    out = []
+    for store.watermark in (4 * 10**8, 2 * 10**9):
+        out += walk.handleExpiredTimer(("b",), store, None)
+    given = pd.concat(out)
+    assert sorted(given["event_id"]) == list(range(20_000)) and given["accepted"].all()
+    assert dict(zip(given["event_id"], given["k"], strict=True)) == {r[1]: r[5] for r in rows}
+    assert not store.rows and store.value is None
+    assert store.calls < 80
