@@ -40,7 +40,8 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def with_event_time(stream: DataFrame, moment: str, delay: str) -> DataFrame:
-    """Event time as a zoned timestamp with a watermark."""
+    """Event time as a zoned timestamp with a watermark; what waits for it is kept in RocksDB, not in the heap."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     return stream.withColumn(moment, F.col(f"`{moment}`").cast("timestamp")).withWatermark(moment, delay)
 
 
@@ -186,7 +187,6 @@ def _stateful(
     ``BUCKETS`` groups, because Python reaches the state of a group by calls
     that cost milliseconds each.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     slim = with_event_time(stream, moment, delay).select(
         F.pmod(F.xxhash64(key.cast("string")), F.lit(BUCKETS)).cast("string").alias("k"),
         key.cast("string").alias("name"),

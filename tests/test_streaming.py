@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import events as batch
+from tallymark.plans import stream_queries
 from tallymark.plans.stream_queries import _finished, _staged
 from tallymark.specs import Rule
 from tallymark.streaming import events as live
@@ -270,3 +271,12 @@ def test_calls_to_the_state_store_grow_with_blocks_and_not_with_events():
     assert dict(zip(given["event_id"], given["k"], strict=True)) == {r[1]: r[5] for r in rows}
     assert not store.rows and store.value is None
     assert store.calls < 80
+
+
+def test_the_debounce_query_keeps_no_sketch_and_no_state_in_the_heap(spark, monkeypatch):
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    seen = []
+    monkeypatch.setattr(stream_queries.live, "run_available", lambda stream, *_: seen.append(stream) or spark.range(0).selectExpr("timestamp '2024-01-01' AS first_event", "timestamp '2024-01-01' AS flush_at"))
+    stream_queries.stream_debounce(spark, "/root/testdata/sf0.001")
+    assert "paths" not in seen[0].columns
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
