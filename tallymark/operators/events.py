@@ -87,20 +87,89 @@ def _trace_slice(t: np.ndarray, n: np.ndarray, free: int, top: int, interval: in
     return free, slope, limit
 
 
+def _slice_function(t: np.ndarray, n: np.ndarray, interval: int, burst: int) -> tuple[list[int], list[int], list[int]]:
+    """The free time after a slice as a piecewise function of the one before it, on [t[0], t[0] + burst * interval].
+
+    Until the bucket is full at some event, a start only moves by whole
+    intervals: before event ``i`` it is the greatest value that differs from it
+    by whole intervals and is at most ``cap[i]`` and the start, plus one interval
+    for each event so far. Starts that meet a full bucket first at the same event
+    have the same result. So pieces come from the few starts, cut at the last
+    cap, and from the first full buckets, and not from every decision.
+    """
+    slack, bottom = (burst - 1) * interval, int(t[0])
+    top = bottom + burst * interval
+    before = np.concatenate(([0], np.cumsum(n))) * interval
+    # The bound that an event sets, without the intervals of the events so far; the first entry bounds nothing.
+    cap = np.minimum.accumulate(np.concatenate(([top], t + slack + interval - before[1:])))
+    full = t - before[:-1]
+    ends = np.full(len(t), NEVER)
+
+    def after_full(i: int) -> int:
+        """Result of a bucket that is full at event ``i``; known from the next full one on."""
+        passed, free = [], int(t[i])
+        while i < len(t):
+            if free <= t[i]:
+                if ends[i] != NEVER:
+                    free = int(ends[i])
+                    break
+                passed.append(i)
+            count, free = pass_count(int(t[i]), int(n[i]), free, interval, burst)
+            i = i + 1 if count else max(i + 1, int(np.searchsorted(t, free - slack)))
+        ends[passed] = free
+        return free
+
+    found: list[tuple[int, int, int]] = []
+    open_ = [(bottom, top)]
+    # A start is full at an event if its reduced value is at most ``full``: all values from the cap on, or a band below it.
+    for i in np.flatnonzero((full >= bottom) | (full > cap[:-1] - interval)).tolist():
+        limit, level = int(cap[i]), int(full[i])
+        left = []
+        for lo, hi in open_:
+            bands = [(bottom, min(level, limit))] if level < limit else [(bottom, top)]
+            if limit - interval < level < limit:
+                # The same phases one interval and more above the cap.
+                above = range(max(0, -((level - lo) // interval) - 1), (hi - limit - 1) // interval + 1)
+                bands += [(limit + 1 + k * interval, level + (k + 1) * interval) for k in above]
+            for x, y in bands:
+                x, y = max(x, lo), min(y, hi)
+                if x > y:
+                    continue
+                if x > lo:
+                    left.append((lo, x - 1))
+                found.append((x, after_full(i), 0))
+                lo = y + 1
+            if lo <= hi:
+                left.append((lo, hi))
+        open_ = left
+        if not open_:
+            break
+    last, moved = int(cap[-1]), int(before[-1])
+    for lo, hi in open_:
+        while lo <= hi:
+            over = max(0, -((last - lo) // interval))
+            found.append((lo, lo - over * interval + moved, 1))
+            lo = last + over * interval + 1
+    return _merged(sorted(found))
+
+
+def _merged(pieces: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Starts, values and slopes; a piece that goes on like the one before it is left out."""
+    kept: list[tuple[int, int, int]] = []
+    for at, value, slope in pieces:
+        if not (kept and kept[-1][2] == slope and kept[-1][1] + slope * (at - kept[-1][0]) == value):
+            kept.append((at, value, slope))
+    return [p[0] for p in kept], [p[1] for p in kept], [p[2] for p in kept]
+
+
 def _pieces(trace, bottom: int, top: int) -> tuple[list[int], list[int], list[int]]:
-    """Piecewise function on [bottom, top] from a trace; neighbours with the same result are merged."""
-    starts: list[int] = []
-    values: list[int] = []
-    slopes: list[int] = []
-    at = bottom
+    """Piecewise function on [bottom, top] from a trace."""
+    found, at = [], bottom
     while at <= top:
         value, slope, limit = trace(at, top)
-        if not (starts and slopes[-1] == 0 and slope == 0 and values[-1] == value):
-            starts.append(at)
-            values.append(value)
-            slopes.append(slope)
+        found.append((at, value, slope))
         at = limit + 1
-    return starts, values, slopes
+    return _merged(found)
 
 
 def _apply(piece: tuple, free: int, top: int) -> tuple[int, int, int]:
@@ -131,9 +200,7 @@ def _summarise():
         pdf = pdf.sort_values("t")
         t, n = pdf["t"].to_numpy(), pdf["n"].to_numpy()
         interval, burst = int(pdf["step"].iloc[0]), int(pdf["burst"].iloc[0])
-        bottom = int(t[0])
-        top = bottom + burst * interval
-        found = _pieces(lambda a, b: _trace_slice(t, n, a, b, interval, burst), bottom, top)
+        found = _slice_function(t, n, interval, burst)
         pieces = {"starts": [found[0]], "values": [found[1]], "slopes": [found[2]]}
         return pd.DataFrame({"k": [key[0]], "slice": [key[1]], "step": [interval], "burst": [burst], **pieces})
 

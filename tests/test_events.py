@@ -147,3 +147,25 @@ def test_one_key_at_one_second_is_spread_over_tasks(spark):
     parts = windows.with_slices(df, ["k"], "ts", "event_id", 10).groupBy("__slice").count().collect()
     assert max(r["count"] for r in parts) < 1500
     assert windows.running_sum(df, ["k"], "ts", "event_id", "n", "upto", 10).where("upto <> event_id + 1").count() == 0
+
+
+def test_the_function_of_an_overloaded_slice_has_few_pieces():
+    """An overloaded bucket never fills, so that starts keep their phase; their decisions differ, their results hardly."""
+    rng = random.Random(4)
+    times = sorted(rng.sample(range(10**6), 20_000))
+    t, n = np.array(times), np.array([rng.choice([1, 1, 3]) for _ in times])
+    interval, burst = 400, 5
+    found = e._slice_function(t, n, interval, burst)
+    assert len(found[0]) <= 2 * burst + 3
+    stored = (int(t[0]), *[np.array(x) for x in found])
+    top = int(t[0]) + burst * interval
+    for start in range(int(t[0]), top + 1, 171):
+        assert e._apply(stored, start, top)[0] == e._trace_slice(t, n, start, top, interval, burst)[0]
+    for _ in range(300):
+        interval, burst = rng.randrange(1, 12), rng.randrange(1, 5)
+        t = np.array(sorted(rng.sample(range(100, 160), rng.randrange(1, 14))))
+        n = np.array([rng.choice([1, 1, 2, 5]) for _ in t])
+        stored = (int(t[0]), *[np.array(x) for x in e._slice_function(t, n, interval, burst)])
+        top = int(t[0]) + burst * interval
+        for start in range(int(t[0]), top + 1):
+            assert e._apply(stored, start, top)[0] == e._trace_slice(t, n, start, top, interval, burst)[0]
