@@ -109,25 +109,28 @@ def with_category_names(jobs: DataFrame, categories: DataFrame, columns: Sequenc
 def execution_layers(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological layer of each job, from 0. Jobs that never become free (cycles, unknown dependencies) share the last layer.
 
-    Dependencies are counted once per job. A round follows only the edges of
+    Dependencies are counted once per job, and each edge carries the number of
+    its job, so that no round joins the table of these numbers, which would be
+    sent to the driver and back in every round. A round follows only the edges of
     the jobs that just became free, and writes these counts and no others.
     """
     names = jobs.select("job_id").distinct()
-    links = stored(
+    known = stored(
         edges.select("job_id", "depends_on").where("depends_on is not null").distinct().join(names, "job_id", "left_semi")
     )
-    total = stored(links.groupBy("job_id").agg(F.count(F.lit(1)).alias("needed")))
-    frontier = stored(names.join(total, "job_id", "left_anti"))
+    total = known.groupBy("job_id").agg(F.count(F.lit(1)).alias("needed"))
+    links = stored(known.join(total, "job_id"))
+    frontier = stored(names.join(links, "job_id", "left_anti"))
     partly: DataFrame | None = None
     layers: list[DataFrame] = []
     while not frontier.isEmpty():
         layers.append(frontier.withColumn("layer", F.lit(len(layers))))
         freed = frontier.select(F.col("job_id").alias("depends_on"))
-        met = links.join(freed, "depends_on").groupBy("job_id").agg(F.count(F.lit(1)).alias("met"))
+        met = links.join(freed, "depends_on").groupBy("job_id", "needed").agg(F.count(F.lit(1)).alias("met"))
         if partly is not None:
-            met = partly.union(met).groupBy("job_id").agg(F.sum("met").alias("met"))
-        state = stored(met.join(total, "job_id").select("job_id", "met", (F.col("met") == F.col("needed")).alias("free")))
-        frontier, partly = state.where("free").select("job_id"), state.where("NOT free").select("job_id", "met")
+            met = partly.union(met).groupBy("job_id", "needed").agg(F.sum("met").alias("met"))
+        state = stored(met.withColumn("free", F.col("met") == F.col("needed")))
+        frontier, partly = state.where("free").select("job_id"), state.where("NOT free").select("job_id", "needed", "met")
     if not layers:
         return names.withColumn("layer", F.lit(0))
     placed = reduce(DataFrame.union, layers)

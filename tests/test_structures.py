@@ -1,5 +1,6 @@
 """Trees, graphs, names, corpus rules and windows on hand-made input."""
 
+import re
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -253,3 +254,21 @@ def test_rules_with_broken_patterns_are_found_by_the_engine(spark):
     rules = [TextRule(name=f"r{i}", pattern="(" if i in (3, 8) else f"word{i}", severity="error") for i in range(12)]
     good, bad = x.usable_rules(spark.createDataFrame([], "path string, text string"), rules)
     assert [r.name for r in bad] == ["r3", "r8"] and len(good) == 10
+
+
+def test_a_round_of_layers_joins_the_edges_and_no_other_table(spark, monkeypatch, capsys):
+    plans, real = [], g.stored
+
+    def record(df):
+        capsys.readouterr()
+        df.explain()
+        if "free" in df.columns:
+            plans.append(capsys.readouterr().out)
+        return real(df)
+
+    monkeypatch.setattr(g, "stored", record)
+    jobs = spark.createDataFrame([(i,) for i in range(1, 16)], "job_id long")
+    edges = spark.createDataFrame([(i, i // 2) for i in range(2, 16)], "job_id long, depends_on long")
+    placed = dict(g.execution_layers(jobs, edges).collect())
+    assert placed == {i: i.bit_length() - 1 for i in range(1, 16)}
+    assert len(plans) == 4 and all(len(re.findall(r"(?:BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin)", p)) == 1 for p in plans)
