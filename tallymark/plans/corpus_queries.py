@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.operators import corpus as c
-from tallymark.plans.fixtures import fixture, read, run_sql, with_fixtures
+from tallymark.plans.fixtures import FIXTURES, fixture, read, run_sql, spread, with_fixtures
 from tallymark.plans.registry import query
 from tallymark.sources import corpora
 from tallymark.specs import TextRule
@@ -15,7 +15,8 @@ _LINES = """lines AS (SELECT path, unnest(string_split(text, chr(10))) AS conten
 
 
 def _code(spark, sf_dir):
-    return fixture(spark, sf_dir, "code")
+    # Rows of parts cross, not the texts that are made of them.
+    return run_sql(spark, sf_dir, FIXTURES["code"], spread)
 
 
 @query(

@@ -7,6 +7,7 @@ oracle puts the same text into a ``WITH`` clause.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -267,13 +268,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a text that names the given tables; every mention becomes a parameter of the call."""
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that is far larger than the file: a small file is read by few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a text that names the given tables, as they are or prepared; every mention becomes a parameter of the call."""
     names = _mentioned(sql, TABLES)
     sql = sql.replace("{", "{{").replace("}", "}}")
     for name in names:
         sql = re.sub(rf"(\b(?:FROM|JOIN)\s+){name}\b", rf"\1{{{name}}}", sql)
-    return spark.sql(sql, **{n: read(spark, sf_dir, n) for n in names})
+    tables = {n: read(spark, sf_dir, n) for n in names}
+    return spark.sql(sql, **{n: prepare(t) if prepare else t for n, t in tables.items()})
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

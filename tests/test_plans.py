@@ -82,3 +82,9 @@ def test_no_cross_joins(spark, name):
 def test_walk_uses_no_unbounded_window(spark):
     df = e.dedup_window(read(spark, SF, "events"), F.col("user_id"), "ts", "event_id", 60)
     assert "Window" not in plan(df) and "MapInPandas" in plan(df)
+
+
+def test_code_files_are_made_on_all_cores(spark):
+    from tallymark.plans.corpus_queries import _code
+
+    assert _code(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
