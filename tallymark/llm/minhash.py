@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.components import connected_components
+from tallymark.llm.components import connected_components, merged
 from tallymark.llm.words import fold, hash_many, hash_words, mix, shingles
-from tallymark.session import stored
+from tallymark.session import gathered, stored
 
 BANDS, ROWS = 64, 8
 _HASHES = BANDS * ROWS
@@ -137,7 +137,7 @@ def _plausible(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFra
             ok = pa.array((s == t).sum(axis=1) >= least)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
-    return joined.mapInArrow(agree, "a long, b long")
+    return gathered(joined).mapInArrow(agree, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> D
                 ok.append(100 * both >= similarity * (len(s) + len(t) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(confirm, "a long, b long")
+    return gathered(joined).mapInArrow(confirm, "a long, b long")
 
 
 def _compared(open_rows: pa.Table, rows: pa.Table, k: int, similarity: int) -> pa.Table:
@@ -197,8 +197,8 @@ def _in_blocks(rows: DataFrame, texts: DataFrame, k: int, similarity: int) -> Da
     component meet all its members, block by block; only links leave a task.
     """
     heads = rows.groupBy("key").agg(F.min("node").alias("a"))
-    edges = rows.join(heads, "key").select("a", F.col("node").alias("b")).distinct()
-    group = stored(connected_components(edges)).withColumnRenamed("component", "group")
+    edges = rows.join(heads, "key").select("a", F.col("node").alias("b"))
+    group = stored(gathered(connected_components(edges))).withColumnRenamed("component", "group")
     members = stored(rows.select("node", "component").distinct().join(group, "node").join(texts, "node"))
     sizes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
     # The largest component of a group, by rows and then by its name, in fixed-width columns.
@@ -238,7 +238,7 @@ def near_groups(
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(plain, k, "id", "text"))
     # A class is known by the number of one of its rows, never by an identifier, which several texts may have.
-    classes = stored(signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.min("row").alias("node")))
+    classes = stored(gathered(signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"), F.min("row").alias("node"))))
     large = classes.where("n >= 4 and rep is not null").select(F.col("node").alias("row"))
     members = signed.join(large, "row", "left_semi").withColumnRenamed("row", "node")
     buckets = members.select("node", F.explode("bands").alias("key"))
@@ -246,7 +246,7 @@ def near_groups(
     shared = stored(buckets.join(heads, "key"))
     # Texts and signatures of the members that share a bucket are fetched once. The texts are too many for a broadcast at
     # any size that matters, so the plan is the same at every size.
-    met = stored(shared.select("node").distinct())
+    met = shared.select("node").distinct()
     sketches = stored(members.select("node", "id", "version", "n", "sketch").join(met, "node", "left_semi"))
     named = sketches.select("node", F.col("id").alias("m_id"), F.col("version").alias("m_version")).hint("merge")
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("version") == F.col("m_version"))
@@ -259,37 +259,29 @@ def near_groups(
         known = found.select(F.col("node").alias("at"), F.col("component").alias(name))
         return rows.join(known, F.col(column) == F.col("at"), "left").drop("at").withColumn(name, F.coalesce(name, column))
 
-    pairs = stored(shared.where("node <> a").groupBy("a", "node").agg(F.count(F.lit(1)).alias("times")))
+    pairs = stored(gathered(shared.where("node <> a").groupBy("a", "node").agg(F.count(F.lit(1)).alias("times"))))
     most = pairs.groupBy("node").agg(F.max("times").alias("times"))
-    nearest = stored(pairs.join(most, ["node", "times"]).groupBy("node").agg(F.min("a").alias("a")))
-    links = linked(nearest.select("a", F.col("node").alias("b")))
-    found = stored(connected_components(links))
-
-    # Then, twice, the head of another component with which a class shares the most, and at last all other heads.
-    tried = nearest.select("node", "a")
-    for last in (False, False, True):
-        apart = placed(placed(pairs, found, "node", "of_node"), found, "a", "of_a").where("of_node <> of_a")
-        apart = stored(apart.select("node", "a", "times").join(tried, ["node", "a"], "left_anti"))
-        if apart.isEmpty():
-            break
-        chosen = apart.select("node", "a")
-        if not last:
-            most = apart.groupBy("node").agg(F.max("times").alias("times"))
-            chosen = stored(apart.join(most, ["node", "times"]).groupBy("node").agg(F.min("a").alias("a")))
-        tried = tried.union(chosen.select("node", "a"))
-        more = linked(chosen.select("a", F.col("node").alias("b")))
+    nearest = stored(gathered(pairs.join(most, ["node", "times"]).groupBy("node").agg(F.min("a").alias("a"))))
+    found = stored(gathered(connected_components(linked(nearest.select("a", F.col("node").alias("b"))))))
+
+    # Then all other heads that are in another component.
+    apart = placed(placed(pairs, found, "node", "of_node"), found, "a", "of_a").where("of_node <> of_a").select("node", "a")
+    apart = stored(gathered(apart.join(nearest, ["node", "a"], "left_anti")))
+    if not apart.isEmpty():
+        more = linked(apart.select("a", F.col("node").alias("b")))
         if not more.isEmpty():
-            links = links.union(more)
-            found = stored(connected_components(links))
+            found = merged(found, more)
 
     # Members of one bucket that are not in one component have not been compared unless one is the bucket's head.
     lone = placed(shared, found, "node", "component")
     open_keys = lone.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = stored(
-        lone.where("node <> a")
-        .join(open_keys.select("key"), "key", "left_semi")
-        .join(sketches.select("node", "n"), "node")
-        .select("key", "node", "component", "n", "size")
+        gathered(
+            lone.where("node <> a")
+            .join(open_keys.select("key"), "key", "left_semi")
+            .join(sketches.select("node", "n"), "node")
+            .select("key", "node", "component", "n", "size")
+        )
     )
     few = rest.where(F.col("size") <= PAIRED)
     other = few.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"))
@@ -300,7 +292,7 @@ def near_groups(
     if not many.isEmpty():
         more = more.union(stored(_in_blocks(many, texts, k, similarity)))
     if not more.isEmpty():
-        found = stored(connected_components(links.union(more)))
+        found = merged(found, more)
 
     # A component is named by its smallest identifier.
     inside = classes.join(found.withColumnRenamed("component", "of"), "node", "left").withColumn("of", F.coalesce("of", "node"))

@@ -5,8 +5,8 @@ import re
 import numpy as np
 import pytest
 
-from tallymark.llm import minhash
-from tallymark.llm.components import connected_components
+from tallymark.llm import components, minhash
+from tallymark.llm.components import connected_components, merged
 from tallymark.llm.minhash import near_groups
 from tallymark.llm.queries import op4_minhash
 from tallymark.llm.words import hash_many, hash_words
@@ -127,6 +127,45 @@ def test_components_of_a_path_and_a_star(spark):
     assert found == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
 
 
+def test_components_merged_with_further_links(spark):
+    draw = np.random.default_rng(5)
+    links = [tuple(int(x) for x in draw.integers(400, size=2)) for _ in range(330)]
+    first, more = (spark.createDataFrame(rows, "a long, b long") for rows in (links[:230], links[230:]))
+    want = dict(connected_components(first.union(more)).collect())
+    assert dict(merged(connected_components(first), more).collect()) == want
+    assert dict(merged(connected_components(first.limit(0)), more).collect()) == dict(connected_components(more).collect())
+
+
+def test_rounds_on_many_partitions_are_few_and_in_few_files(spark, monkeypatch):
+    """With hundreds of shuffle partitions a narrow step is written in at most four files per core, and few steps run."""
+    made = []
+
+    def kept(df):
+        made.append(stored(df))
+        return made[-1]
+
+    monkeypatch.setattr(minhash, "stored", kept)
+    monkeypatch.setattr(components, "stored", kept)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(120):
+        words = [f"{w}f{i % 6}" for w in base]
+        for j in range(i % 5):
+            words[(i * 7 + j * 13) % 120] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    hot = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        assert got(near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    narrow = [len(df.inputFiles()) for df in made if set(df.columns) <= {"a", "b", "u", "v", "m", "node", "times", "component"}]
+    assert len(narrow) >= 8 and max(narrow) <= 4 * spark.sparkContext.defaultParallelism
+    assert len(made) <= 45
+
+
 def test_word_hashes_are_the_same_in_any_batch():
     texts = [b"a b", b"", b"\x00\x00 x", b" tab\tnew\nline ", b"z" * 300 + b" y"]
     words, begin = hash_many(texts)
