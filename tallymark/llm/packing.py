@@ -14,7 +14,7 @@ tokens of each queue, the counts of earlier tasks are added up, and then every
 task places its own documents, with the deficits that all tasks before it leave
 to each queue.
 
-Texts are cut into words where the tokenizer's pattern cuts them, and a task
+Texts are cut into words where the tokenizer's pattern cuts them, and a worker
 encodes each distinct word once, which gives the ids of the whole text because
 no merge and no normalisation crosses such a cut.
 
@@ -34,7 +34,7 @@ import os
 import re
 from array import array
 from collections.abc import Mapping
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +52,36 @@ LEAST = 64
 QUEUES = 256
 #: Target shares are whole multiples of this part.
 _UNIT = 1 << 28
-#: Words whose ids a worker remembers (twice as many with the older half), bytes of text encoded and bytes of ids returned at a time.
-_WORDS, _TEXT_BYTES, _ID_BYTES = 500_000, 1 << 20, 8 << 20
+#: Words whose ids a worker remembers (twice as many with the older half), and signs of the longest such word.
+_WORDS, _LONGEST = 500_000, 64
+#: Bytes of text encoded and bytes of ids returned at a time.
+_TEXT_BYTES, _ID_BYTES = 1 << 20, 8 << 20
 # The tokenizer's pattern for lower-case text of the signs that _SIMPLE allows: all its letters are Latin, all its digits ASCII.
 _SIMPLE = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\r0-9a-zß-öø-ÿ]+").findall
 _CHUNKS = re.compile(r"[^ \t-\r]+").findall
-_PLAIN = re.compile(r"[!-~]+").fullmatch
+_PLAIN = re.compile(r"[!-~ß-öø-ÿ]+").fullmatch
+# The model's signs for the UTF-8 bytes of a Latin-1 letter: bytes that print in Latin-1 stand for themselves, the others follow from 0x100 on.
+_UNSEEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SIGNS = {c: "".join(chr(0x100 + _UNSEEN.index(b) if b in _UNSEEN else b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Memory(dict):
+    """Answers worked out once; beyond ``_WORDS`` of them the older ones are forgotten unless they are asked for again."""
+
+    def __init__(self, work):
+        self.work, self.older = work, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.work(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= _WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class Encoder:
@@ -66,19 +89,19 @@ class Encoder:
 
     The words are the matches of the tokenizer's pattern, found here for texts
     of ASCII and Latin-1 letters; of other texts, what stands between white
-    space is one word if it holds any other sign.
+    space is one word if it holds any other sign.  Words are remembered for as
+    long as the worker lives.
     """
 
     def __init__(self, path: str):
         self.path = path
         self._tokenizer = None
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._known = _Memory(self._encode)
 
     def __reduce__(self):
-        return Encoder, (self.path,)
+        return _shared, (self.path,)
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, word: str) -> bytes:
         if self._tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -86,17 +109,9 @@ class Encoder:
             self._tokenizer = Tokenizer.from_file(self.path)
             self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
             self._model = self._tokenizer.model
-        rest = []
-        for word in words:
-            found = self._older.get(word)
-            if found is None and _PLAIN(word):  # its signs are the model's own
-                found = array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
-            if found is None:
-                rest.append(word)
-            else:
-                self._known[word] = found
-        for word, found in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._known[word] = array("I", found.ids).tobytes()
+        if _PLAIN(word):
+            return array("I", [t.id for t in self._model.tokenize(word if word.isascii() else word.translate(_SIGNS))]).tobytes()
+        return array("I", self._tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 
     def words(self, text: str) -> list[str]:
         if _SIMPLE(text):
@@ -110,14 +125,14 @@ class Encoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        wanted = set(chain.from_iterable(words))
-        new = wanted.difference(self._known)
-        if len(self._known) + len(new) > _WORDS:
-            self._known, self._older, new = {}, self._known, wanted
-        if new:
-            self._encode(list(new))
-        return [b"".join(map(self._known.__getitem__, w)) for w in words]
+        return [b"".join(map(self._known.__getitem__, self.words(t))) for t in texts]
+
+
+@cache
+def _shared(path: str) -> Encoder:
+    """One encoder per worker, whatever the number of its tasks."""
+    return Encoder(path)
+
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, queue_col: str | None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Packing agrees with queues walked round by round, and holds every id of every document once."""
 
+import pickle
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallymark.llm import packing
 from tallymark.llm.packing import Encoder, Rounds, pack, sequences
 from tallymark.llm.queries import op11_packing
 
@@ -138,3 +140,14 @@ def test_sequences_and_empty_table(spark):
     assert sum(r["length"] < 4096 for r in rows) <= 1
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pack(empty, VOCABULARY, END).collect() == []
+
+
+def test_tasks_of_a_worker_share_one_memory_of_words(library, monkeypatch):
+    sent = pickle.dumps(Encoder(VOCABULARY))
+    one, two = pickle.loads(sent), pickle.loads(sent)
+    assert one is two
+    monkeypatch.setattr(packing, "_WORDS", 7)
+    texts = ["Ça été où naïve ÀÉÎÕÜ straße señor", "don't stop-it 12 " * 3, "x" * 200, "“Ça” \xad\xa0é \x1c\x85ok", "Ça été Æsir ÿ þorn"] * 2
+    for found, text in zip(one(texts), texts):
+        assert np.frombuffer(found, dtype="<u4").tolist() == library(text)[:-1]
+    assert len(one._known) <= 7
