@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.blocks import BLOCK_BYTES, pack, unpack
 from tallymark.llm.words import fold, hash_many, mix
-from tallymark.session import fresh_path, stored
+from tallymark.session import fresh_path, passed_on
 
 DEPTH = 4
 LEAST_COUNT = 40
@@ -171,7 +171,7 @@ class Block:
         return places, *np.unique(np.concatenate(self.found), return_inverse=True)
 
     def sums(self, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per candidate: hash, tokens after it in the corpus, the kinds that this block counts, and its share of the divergence."""
+        """Per candidate: hash, tokens after it in the corpus (0 if this block counts no kind), the kinds that this block counts, and its share of the divergence."""
         places, distinct, candidate = self.contexts()
         tokens, gain = np.zeros(len(candidate)), np.zeros(len(candidate))
         start = 0
@@ -187,6 +187,7 @@ class Block:
         followed = np.zeros(len(distinct), dtype=np.int64)
         followed[candidate] = tokens
         kinds = np.bincount(candidate[np.concatenate(self.new)], minlength=len(distinct)).astype(np.int64)
+        followed[kinds == 0] = 0  # Some block counts a kind of every candidate.
         return distinct, followed, kinds, np.bincount(candidate, weights=gain, minlength=len(distinct)).astype(np.float32)
 
     def scores(self, total: int, kinds: int, states: np.ndarray) -> pa.Table:
@@ -284,7 +285,7 @@ def _answered(step: int, sent: DataFrame) -> DataFrame:
         out.append((-1, part, _shut(np.array([np.count_nonzero(n), n.sum()]))))
         return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
 
-    return stored(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
+    return passed_on(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
 
 
 def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
@@ -299,14 +300,15 @@ def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
         tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "i8"), ("gain", "f4")))
         kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (kinds, gain))
         after = np.zeros(len(distinct))
-        after[place] = tokens
+        told = tokens > 0
+        after[place[told]] = tokens[told]
         kinds = np.where(gain - (kinds - 1) / 2 >= divergence * after, kinds, 0).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
         out = [(b.as_py(), part, _shut(kinds[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
         out.append((-1, part, _shut(np.array([np.count_nonzero(kinds), 0]))))
         return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
 
-    return stored(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(_STATES)))
+    return passed_on(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(_STATES)))
 
 
 def _totals(answers: DataFrame) -> tuple[int, int]:

@@ -70,6 +70,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passed_on(df: DataFrame) -> DataFrame:
+    """``stored``, after which the files of its exchanges go at once and not when the driver next collects garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return stored(df)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """Narrow rows in at most four partitions per core: hundreds of nearly empty tasks and files cost more than what they hold.
 

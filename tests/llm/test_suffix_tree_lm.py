@@ -2,8 +2,10 @@
 
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -95,6 +97,19 @@ def test_contexts_help_held_out_text_and_blocks_do_not_matter(spark, block_bytes
     assert sum(got[i]["score"] for i in range(20)) > sum(got[i]["base_score"] for i in range(20)) + 100
 
 
+def test_files_of_finished_exchanges_are_gone(spark):
+    def files():
+        return set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+
+    docs = spark.createDataFrame([(i, "a b c d e " * 20) for i in range(60)], "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    before = files()
+    lm.score_corpus(docs, F.lit(True), block_bytes=2000)
+    # What little is left belongs to the totals, which have one row per part.
+    assert sum(f.stat().st_size for f in files() - before) < 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     found = lm.score_corpus(none, F.lit(True))
