@@ -1,6 +1,7 @@
 """Counts, base scores and tree scores agree with plain dictionaries."""
 
 import math
+import os
 import re
 import tempfile
 import zlib
@@ -99,12 +100,14 @@ def test_contexts_help_held_out_text_and_blocks_do_not_matter(spark, block_bytes
 
 def test_files_of_finished_exchanges_are_gone(spark):
     def files():
-        return set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+        folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+        return set(Path(folder).rglob("shuffle_*.data"))
 
-    docs = spark.createDataFrame([(i, "a b c d e " * 20) for i in range(60)], "doc_id long, text string").repartition(4).cache()
-    docs.count()
+    draw = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in draw.integers(500, size=400))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     before = files()
-    lm.score_corpus(docs, F.lit(True), block_bytes=2000)
+    lm.score_corpus(docs, F.lit(True), block_bytes=60_000)
     # What little is left belongs to the totals, which have one row per part.
     assert sum(f.stat().st_size for f in files() - before) < 20_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
