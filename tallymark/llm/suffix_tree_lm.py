@@ -11,15 +11,19 @@ scored by the longest retained suffix of the words before it.
 
 Candidates are found depth by depth, because a context is never more frequent
 than any part of it: words are counted first, then what follows frequent words,
-then what follows longer contexts all of whose pairs of neighbours are frequent.
-What follows a context is the count of the next longer context, so one exchange
-serves both.  In an exchange every block of documents sends its distinct keys,
-with their counts, to the part that owns them and gets the corpus-wide counts
-back.  A part owns a range of the hashes of contexts together with the word
-after them, so what follows a frequent context is spread over all parts, and a
-frequent key costs one entry per block.  Of the blocks that hold a key, one
-counts it as a kind of token after its context, and divergences are sums over
-the places of a context; blocks add both up and exchange one row per context.
+then what follows frequent pairs, and so on.  What follows a context is the
+count of the next longer context, so one exchange serves both.  In an exchange
+every block of documents sends its distinct keys, with their counts, to the part
+that owns them and gets the corpus-wide counts back.  A frequent key costs one
+entry per block.
+
+Keys are small.  A part numbers the words and the frequent contexts that it
+owns, so a context and the word after it are one number below contexts times
+words, not a hash of 64 bits; numbers are scattered by a bijection, so what
+follows a frequent context is spread over all parts.  A place whose word never
+follows the shorter context asks nothing, for its count is 0.  Of the blocks
+that hold a key, one counts it as a kind of token after its context and adds the
+kind's part of the divergence; blocks exchange one row per context.
 
 Counts are exact and cover all training documents.  Tokens stay in their bucket
 of blocks throughout; only totals come to the driver.
@@ -58,11 +62,6 @@ DIVERGENCE = 0.02
 #: Files of blocks that no exchange moves again; beyond so many blocks a bucket holds several, one of which is worked on at a time.
 MOST_BUCKETS = 20_000
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Exchanges of counts: words, what follows one word, what follows longer contexts; and the one of the contexts' sums.
-_WORDS, _PAIRS, _LONGER, _STATES = range(4)
-
-
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end token, and where each begins."""
     words, begin = hash_many([fold(t) for t in texts])
@@ -94,123 +93,131 @@ def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.int32) if n.max(initial=0) < 1 << 31 else n
 
 
-def _next(marks: np.ndarray) -> np.ndarray:
-    """The mark of the place before."""
-    return np.concatenate(([False], marks[:-1]))
+def _scatter(numbers: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of so many bits that spreads them evenly, in the highest of 64 bits."""
+    if bits > 64:
+        raise OverflowError(f"keys of {bits} bits")
+    keep, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        numbers = ((numbers ^ (numbers >> half)) * np.uint64(factor)) & keep
+    return numbers << np.uint64(64 - bits)
+
+
+def _bits(size: int) -> int:
+    return max(1, size - 1).bit_length()
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What the corpus holds of a block's keys, in their order."""
+
+    n: np.ndarray  # twice the count, and one more if this block counts the key
+    known: np.ndarray  # numbers of the words that occur
+    often: np.ndarray  # numbers of the keys that are candidates as a context
 
 
 class Block:
     """Tokens of a block with all that the exchanges so far have answered.
 
-    ``n[d]`` tells how often training documents hold the token of a place after
-    the ``d`` words before it, where those are a candidate (``alive[d]``, with
-    hashes ``found[d]``), and ``new`` marks the places at which this block
-    counts a kind of token after a context; ``asked`` and ``asked_n`` are the keys of the next exchange of counts, in
-    order, and their counts in this block.
+    Exchange ``d`` is about ``d`` words and the word after them: ``key[d]`` has
+    the key that a place asked for (-1 if none), ``n[d]`` the count of each key
+    (and a 0 for -1), ``counted[d]`` the keys that this block counts, ``often[d]``
+    those that are candidates as a context of ``d + 1`` words and ``number[d]``
+    their numbers. ``alive[d]`` marks the places after a candidate of ``d``
+    words. ``asked`` and ``asked_n`` are the keys of the next exchange, in order,
+    and their counts in this block; keys have ``sizes[d]`` values.
     """
 
-    def __init__(self, row: dict, answers: Sequence[np.ndarray], depth: int, least: int):
+    def __init__(self, row: dict, answers: Sequence[Answer], depth: int, least: int, words: int, sizes: Sequence[int]):
         docs = unpack(row["docs"])
         self.ids, self.sizes = docs.column("id"), docs.column("size").to_numpy()
-        words, word = _open_keys(row["words"]), _open(row["tokens"], np.int32)
-        self.tokens, self.least = words[word], least
+        word = _by_class(_open(row["classes"], np.uint8))[_open(row["tokens"], np.int32)]
+        self.least, self.words = least, np.uint64(words)
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
         self.offset = (np.arange(len(word)) - np.repeat(self.begin[:-1], self.sizes)).astype(np.int32)
         self.trained = np.repeat(docs.column("trained").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
+        self.key = [word]
         self.n: list[np.ndarray] = []
+        self.counted, self.often, self.number = [], [], []
         self.alive = [np.ones(len(word), dtype=bool)]
-        self.found = [np.zeros(0, dtype=np.uint64)]
-        self.new = [np.zeros(0, dtype=bool)]
-        self.last = np.ones(len(word), dtype=np.uint64)
-        self.asked, self.asked_n = words, self._trained(word, np.arange(len(word)), len(words))
-        if answers:
-            self.n.append(_narrow(answers[_WORDS] >> 1)[word])
-            self._grow(range(1, min(1, depth) + 1), answers, _PAIRS)
-        if len(answers) > _PAIRS:
-            self._grow(range(2, depth + 1), answers, _LONGER)
-
-    def _trained(self, key: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(key[self.trained[places]], minlength=size).astype(np.int64)
-
-    def _frequent(self) -> np.ndarray:
-        """Places before which the deepest known context and its next word are frequent together."""
-        return _next(self.alive[-1] & (self.n[-1] >= self.least))
-
-    def _grow(self, depths: range, answers: Sequence[np.ndarray], step: int) -> None:
-        found, hashes, mask = [], [], self._frequent()
-        for d in depths:
-            # Beyond the first depth only the neighbours are known to be frequent until the answer comes.
-            mask = (mask if d == depths[0] else mask & _next(mask)) & (self.offset >= d)
-            places = np.flatnonzero(mask)
-            hashes.append(mix(self.last[places] * _STEP + self.tokens[places - d] + np.uint64(d)))
-            self.last = np.zeros_like(self.tokens)
-            self.last[places] = hashes[-1]
-            found.append(places)
-        places = np.concatenate([*found, np.zeros(0, dtype=np.int64)])
-        context = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
-        self.asked, first, key = np.unique(mix(context * _STEP + self.tokens[places]), return_index=True, return_inverse=True)
-        self.asked_n = self._trained(key, places, len(self.asked))
-        if len(answers) <= step:
-            return
-        counts, new = _narrow(answers[step] >> 1)[key], np.zeros(len(places), dtype=bool)
-        new[first[(answers[step] & 1) > 0]] = True
-        for at, hashed in zip(found, hashes, strict=True):
-            n, alive = np.zeros(len(self.tokens), dtype=counts.dtype), np.zeros(len(self.tokens), dtype=bool)
-            n[at], counts = counts[: len(at)], counts[len(at) :]
-            alive[at] = True
-            alive &= self._frequent()
-            self.n.append(n)
-            self.alive.append(alive)
-            self.found.append(hashed[alive[at]])
-            self.new.append(new[: len(at)][alive[at]])
-            new = new[len(at) :]
-
-    def contexts(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Places of the candidates by depth, all distinct candidates in order, and the candidate of each place."""
-        places = [np.flatnonzero(a) for a in self.alive[1:]]
-        return places, *np.unique(np.concatenate(self.found), return_inverse=True)
-
-    def sums(self, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per candidate: hash, tokens after it in the corpus (0 if this block counts no kind), the kinds that this block counts, and its share of the divergence."""
-        places, distinct, candidate = self.contexts()
-        tokens, gain = np.zeros(len(candidate)), np.zeros(len(candidate))
-        start = 0
-        for d, at in enumerate(places, 1):
-            rows = np.arange(start, start + len(at))
-            start += len(at)
-            tokens[rows] = self.n[d - 1][at - 1]
-            learned = self.trained[at]
-            at, rows = at[learned], rows[learned]
-            after, shorter = self.n[d][at], total if d == 1 else self.n[d - 2][at - 1]
+        for d, answer in enumerate(answers, 1):
+            n = _narrow(answer.n >> 1)
+            self.n.append(np.append(n, n.dtype.type(0)))
+            self.counted.append(np.flatnonzero(answer.n & 1))
+            self.often.append(np.flatnonzero(n >= least))
+            self.number.append(answer.often)
+            if d == 1:
+                self.word_number = np.zeros(len(n), dtype=np.uint64)
+                self.word_number[n > 0] = answer.known
+            if d <= depth:
+                self._grow(d, _bits(words * sizes[d - 1]))
+
+    def _grow(self, d: int, bits: int) -> None:
+        n = self.n[-1][self.key[-1]]
+        self.alive.append(np.concatenate(([False], n[:-1] >= self.least)) & (self.offset >= d))
+        # A word that never follows the shorter context does not follow the longer one.
+        places = np.flatnonzero(self.alive[-1] & (n > 0))
+        context = np.zeros(len(self.n[-1]), dtype=np.uint64)
+        context[self.often[-1]] = self.number[-1]
+        numbers = context[self.key[-1][places - 1]] * self.words + self.word_number[self.key[0][places]]
+        self.asked, key = np.unique(_scatter(numbers, bits), return_inverse=True)
+        self.asked_n = np.bincount(key[self.trained[places]], minlength=len(self.asked)).astype(np.int64)
+        self.key.append(np.full(len(n), -1, dtype=np.int32))
+        self.key[-1][places] = key
+
+    def candidates(self, sizes: Sequence[int]) -> np.ndarray:
+        """Numbers of the candidates, by depth, of which there are at most so many of each depth."""
+        numbers = zip(self.number[:-1], np.cumsum([0, *sizes]).tolist(), strict=False)
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *(number + np.uint64(start) for number, start in numbers)])
+
+    def sums(self, total: int) -> tuple[np.ndarray, ...]:
+        """Per candidate, by depth: tokens after it in the corpus (0 if this block does not count it), the kinds after it that this block counts, and their share of the divergence."""
+        found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32))]
+        for d in range(1, len(self.n)):
+            place = np.zeros(len(self.n[d]), dtype=np.int64)
+            place[self.key[d]] = np.arange(len(self.key[d]))
+            at, n = place[self.counted[d]], self.n[d][self.counted[d]].astype(float)
+            context = self.key[d - 1][at - 1]
+            shorter = total if d == 1 else self.n[d - 2][self.key[d - 2][at - 1]]
             # A word after a context also follows the context's suffix.
-            gain[rows] = np.log(after / tokens[rows] / (self.n[d - 1][at] / shorter))
-        followed = np.zeros(len(distinct), dtype=np.int64)
-        followed[candidate] = tokens
-        kinds = np.bincount(candidate[np.concatenate(self.new)], minlength=len(distinct)).astype(np.int64)
-        followed[kinds == 0] = 0  # Some block counts a kind of every candidate.
-        return distinct, followed, kinds, np.bincount(candidate, weights=gain, minlength=len(distinct)).astype(np.float32)
+            gain = n * np.log(n / self.n[d - 1][context] / (self.n[d - 1][self.key[d - 1][at]] / shorter))
+            told = np.zeros(len(self.n[d - 1]), dtype=np.int64)
+            told[self.counted[d - 1]] = self.n[d - 1][self.counted[d - 1]]
+            kinds, gain = (np.bincount(context, weights=w, minlength=len(told)) for w in (None, gain))
+            often = self.often[d - 1]
+            found.append((told[often], kinds[often], gain[often].astype(np.float32)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def scores(self, total: int, kinds: int, states: np.ndarray) -> pa.Table:
-        """Log10 probabilities by the root alone and by the tree; ``states`` has the kinds of each candidate, 0 if not retained."""
-        base = (self.n[0] + 1) / (total + kinds + 1)
+        """Log10 probabilities by the root alone and by the tree; ``states`` has the kinds of each candidate, by depth, 0 if not retained."""
+        n = self.n[0][self.key[0]]
+        base = (n + 1) / (total + kinds + 1)
         p = base.copy()
-        places, _, candidate = self.contexts()
-        for d, at in enumerate(places, 1):
-            here, candidate = states[candidate[: len(at)]], candidate[len(at) :]
-            at, here = at[here > 0], here[here > 0]
-            p[at] = (self.n[d][at] + here * p[at]) / (self.n[d - 1][at - 1] + here)
+        for d in range(1, len(self.n)):
+            kept = np.zeros(len(self.n[d - 1]), dtype=np.int64)
+            kept[self.often[d - 1]], states = states[: len(self.often[d - 1])], states[len(self.often[d - 1]) :]
+            at = np.flatnonzero(self.alive[d])
+            context = self.key[d - 1][at - 1]
+            at, context = at[kept[context] > 0], context[kept[context] > 0]
+            here = kept[context]
+            p[at] = (self.n[d][self.key[d][at]] + here * p[at]) / (self.n[d - 1][context] + here)
         first = self.begin[:-1]
         return pa.table(
             {
                 "id": self.ids,
                 "n_tokens": pa.array(self.sizes),
-                "n_known": pa.array(np.add.reduceat((self.n[0] > 0).astype(np.int64), first)),
+                "n_known": pa.array(np.add.reduceat((n > 0).astype(np.int64), first)),
                 "base_score": pa.array(np.add.reduceat(np.log10(base), first)),
                 "score": pa.array(np.add.reduceat(np.log10(p), first)),
             }
         )
 
 
+def _by_class(classes: np.ndarray) -> np.ndarray:
+    """The words of a block from the most frequent class on, so that low numbers are frequent."""
+    return np.argsort(np.uint8(255) - classes, kind="stable").astype(np.int32)
+
+
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
     """Parts own ranges of the keys, which are in order."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -225,8 +232,11 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
-    """One row per block of about so many bytes of text, from ``id, text, trained``: packed documents, words and tokens.
+_SENT = "block long, part int, keys binary, n binary"
+
+
+def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> tuple[DataFrame, DataFrame, str]:
+    """Blocks of about so many bytes of text, from ``id, text, trained``: packed documents and tokens, the words sent to parts, and where these lie.
 
     The table is bucketed by block, so that no exchange moves it again.
     """
@@ -238,10 +248,18 @@ def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
         def packed():
             ids, texts, trained = zip(*rows, strict=True)
             tokens, begin = tokens_of(list(texts))
-            words, word = np.unique(tokens, return_inverse=True)
+            words, word, count = np.unique(tokens, return_inverse=True, return_counts=True)
             of = pack(id=pa.array(ids, kind), trained=pa.array(trained, pa.bool_()), size=pa.array(np.diff(begin)))
-            row = ((task << 32) + number, of, _shut_keys(words), _shut(word.astype(np.int32)))
-            return _table([row], block=pa.int64(), docs=pa.binary(), words=pa.binary(), tokens=pa.binary()).to_batches()[0]
+            n = np.bincount(word[np.repeat(np.array(trained, dtype=bool), np.diff(begin))], minlength=len(words)).astype(np.int64)
+            classes = np.frexp(count)[1].astype(np.uint8)
+            order = _by_class(classes)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            block = (task << 32) + number
+            out = [(block, part, _shut_keys(words[s]), _shut(n[s]), None, None, None, "words") for part, s in _by_part(words, parts)]
+            out.append((block, None, None, None, of, _shut(classes), _shut(rank[word]), "tokens"))
+            form = {"keys": pa.binary(), "n": pa.binary(), "docs": pa.binary(), "classes": pa.binary(), "tokens": pa.binary(), "kind": pa.string()}
+            yield from _table(out, block=pa.int64(), part=pa.int32(), **form).to_batches()
 
         for batch in batches:
             kind = batch.column(0).type
@@ -249,22 +267,29 @@ def _blocks(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
                 rows.append(row)
                 held += len(row[1] or "")
                 if held >= block_bytes:
-                    yield packed()
+                    yield from packed()
                     rows, held, number = [], 0, number + 1
         if rows:
-            yield packed()
+            yield from packed()
+
+    spark, name, path = docs.sparkSession, f"tallymark_{uuid4().hex}", fresh_path(docs.sparkSession)
+    laid = docs.mapInArrow(lay, f"{_SENT}, docs binary, classes binary, tokens binary, kind string").write.format("parquet").partitionBy("kind")
+    laid.bucketBy(min(parts, MOST_BUCKETS), "block").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    blocks = table.where("kind = 'tokens'").select("block", "docs", "classes", "tokens")
+    return blocks, table.where("kind = 'words'").select("block", "part", "keys", "n"), f"{path}/kind=words"
+
 
-    name = f"tallymark_{uuid4().hex}"
-    laid = docs.mapInArrow(lay, "block long, docs binary, words binary, tokens binary")
-    laid.write.format("parquet").bucketBy(buckets, "block").option("path", fresh_path(docs.sparkSession)).saveAsTable(name)
-    return docs.sparkSession.table(name)
+_ANSWERS = "block long, part int, n binary, known binary, often binary, kinds long, total long, frequent long"
 
 
-_ANSWERS = "block long, part int, n binary"
+def _answer_rows(rows: list[tuple]) -> pa.Table:
+    binary = {c: pa.binary() for c in ("n", "known", "often")}
+    return _table(rows, block=pa.int64(), part=pa.int32(), **binary, kinds=pa.int64(), total=pa.int64(), frequent=pa.int64())
 
 
-def _answered(step: int, sent: DataFrame) -> DataFrame:
-    """Corpus-wide counts of the keys of every block, in their order; block -1 has the number of keys in use and their sum.
+def _answered(step: int, sent: DataFrame, least: float) -> DataFrame:
+    """Corpus-wide counts of the keys of every block, in their order, and a part's numbers of words and of frequent keys; a row without a block has the part's totals.
 
     Counts are doubled; of the blocks whose training documents hold a key, the one with the lowest number gets one more.
     """
@@ -281,15 +306,20 @@ def _answered(step: int, sent: DataFrame) -> DataFrame:
         counts[held] = 0
         counts[held[np.unique(place[held], return_index=True)[1]]] = 1
         marked = np.split(2 * n[place] + counts, ends)
-        out = [(b.as_py(), part, _shut(x)) for b, x in zip(rows.column("block"), marked, strict=True)]
-        out.append((-1, part, _shut(np.array([np.count_nonzero(n), n.sum()]))))
-        return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
+        known, often = n > 0, n >= least
+        numbers = [(mask, np.cumsum(mask, dtype=np.uint64) - np.uint64(1)) for mask in ((known, often) if step == 0 else (often,))]
+        out = []
+        for block, at, x in zip(rows.column("block"), np.split(place, ends), marked, strict=True):
+            shut = [_shut_keys(number[at[mask[at]]]) for mask, number in numbers]
+            out.append((block.as_py(), part, _shut(x), shut[0] if step == 0 else b"", shut[-1], None, None, None))
+        out.append((None, part, None, None, None, np.count_nonzero(known), n.sum(), np.count_nonzero(often)))
+        return _answer_rows(out)
 
     return passed_on(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
 
 
-def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
-    """The kinds of the candidates of every block, in their order, 0 for those that are not retained; block -1 has their number."""
+def _chosen(step: int, sent: DataFrame, divergence: float) -> DataFrame:
+    """The kinds of the candidates of every block, in their order, 0 for those that are not retained; a row without a block has their number."""
 
     def decide(key, rows):
         part = key[0].as_py()
@@ -298,29 +328,19 @@ def _chosen(sent: DataFrame, divergence: float) -> DataFrame:
         keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "i8"), ("gain", "f4")))
-        kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (kinds, gain))
-        after = np.zeros(len(distinct))
-        told = tokens > 0
-        after[place[told]] = tokens[told]
-        kinds = np.where(gain - (kinds - 1) / 2 >= divergence * after, kinds, 0).astype(np.int64)
+        tokens, kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (tokens, kinds, gain))
+        kinds = np.where(gain - (kinds - 1) / 2 >= divergence * tokens, kinds, 0).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        out = [(b.as_py(), part, _shut(kinds[at])) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
-        out.append((-1, part, _shut(np.array([np.count_nonzero(kinds), 0]))))
-        return _table(out, block=pa.int64(), part=pa.int32(), n=pa.binary())
-
-    return passed_on(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(_STATES)))
-
+        out = [(b.as_py(), part, _shut(kinds[at]), b"", b"", None, None, None) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
+        out.append((None, part, None, None, None, np.count_nonzero(kinds), 0, 0))
+        return _answer_rows(out)
 
-def _totals(answers: DataFrame) -> tuple[int, int]:
-    """Sums of the two numbers that each part reports; one row per part."""
+    return passed_on(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(step)))
 
-    def opened(batches):
-        for batch in batches:
-            numbers = [_open(n.as_py()) for n in batch.column(0)]
-            yield pa.record_batch([pa.array([int(x[i]) for x in numbers], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    row = answers.where("block = -1").select("n").mapInArrow(opened, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
-    return row[0] or 0, row[1] or 0
+def _totals(answers: DataFrame) -> tuple[int, ...]:
+    """Kinds and tokens, and the most words and the most frequent keys that a part numbers."""
+    return tuple(x or 0 for x in answers.agg(F.sum("kinds"), F.sum("total"), F.max("kinds"), F.max("frequent")).first())
 
 
 @dataclass(frozen=True)
@@ -345,51 +365,72 @@ def score_corpus(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // block_bytes))
-    blocks = _blocks(rows, block_bytes, min(parts, MOST_BUCKETS))
+    blocks, sent, words_path = _blocks(rows, block_bytes, parts)
     known: list[DataFrame] = []
+    #: By exchange, how many keys a part numbers at most.
+    widths: list[int] = []
+
+    def opened(block: pa.Table, held: pa.Table) -> tuple[Block, np.ndarray]:
+        held = held.sort_by([("step", "ascending"), ("part", "ascending")])
+        steps, owners = held.column("step").to_numpy(), held.column("part").to_pylist()
+
+        def joined(step, column, width=None):
+            found = [np.zeros(0, dtype=np.int64 if width is None else np.uint64)]
+            for i in np.flatnonzero(steps == step).tolist():
+                x = held.column(column)[i].as_py()
+                found.append(_open(x) if width is None else _open_keys(x) + np.uint64(owners[i] * width))
+            return np.concatenate(found)
 
-    def opened(block: pa.Table, held: pa.Table | None) -> tuple[Block, list[np.ndarray]]:
-        answers = []
-        if held is not None:
-            held = held.sort_by([("step", "ascending"), ("part", "ascending")])
-            steps = held.column("step").to_numpy()
-            for step in range(done):
-                found = [_open(held.column("n")[int(i)].as_py()) for i in np.flatnonzero(steps == step)]
-                answers.append(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
-        return Block(block.to_pylist()[0], answers, depth, least_count), answers
+        answers = [Answer(joined(d, "n"), joined(d, "known", width) if d == 0 else None, joined(d, "often", widths[d])) for d in range(len(widths))]
+        return Block(block.to_pylist()[0], answers, depth, least_count, parts * width, sizes), joined(depth + 1, "n")
 
     def each(work, form: str) -> DataFrame:
         """``work`` on every block with all answers so far."""
-        grouped = blocks.groupBy("block")
-        if not known:
-            return grouped.applyInArrow(lambda block: work(block, None), form)
-        held = reduce(DataFrame.unionByName, known).where("block >= 0")
-        return grouped.cogroup(held.groupBy("block")).applyInArrow(work, form)
+        held = reduce(DataFrame.unionByName, known).where("block is not null").select("block", "part", "step", "n", "known", "often")
+        return blocks.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(work, form)
 
     def ask(block, held):
         number = block.column("block")[0].as_py()
         of, _ = opened(block, held)
-        out = [(number, part, _shut_keys(of.asked[s]), _shut(of.asked_n[s])) for part, s in _by_part(of.asked, parts)]
+        out = [(number, part, _shut_keys(of.asked[s] >> shift), _shut(of.asked_n[s])) for part, s in _by_part(of.asked, parts)]
         return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary())
 
+    def candidates(of: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the candidates, in order, and the candidate of each."""
+        keys = _scatter(of.candidates(sizes), bits)
+        order = np.argsort(keys)
+        return keys[order], order
+
     def add(block, held):
         number = block.column("block")[0].as_py()
-        keys, *columns = opened(block, held)[0].sums(total)
-        out = [(number, part, _shut_keys(keys[s]), *(_shut(c[s]) for c in columns)) for part, s in _by_part(keys, parts)]
+        of, _ = opened(block, held)
+        keys, order = candidates(of)
+        columns = [c[order] for c in of.sums(total)]
+        out = [(number, part, _shut_keys(keys[s] >> shift), *(_shut(c[s]) for c in columns)) for part, s in _by_part(keys, parts)]
         return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary(), kinds=pa.binary(), gain=pa.binary())
 
     def rate(block, held):
-        of, answers = opened(block, held)
-        return of.scores(total, kinds, answers[_STATES])
-
-    total = kinds = 0
-    for done in (_WORDS, _PAIRS, _LONGER):
-        known.append(_answered(done, each(ask, "block long, part int, keys binary, n binary")))
-        if done == _WORDS:
-            kinds, total = _totals(known[0])
-    done = _STATES
-    known.append(_chosen(each(add, "block long, part int, keys binary, n binary, kinds binary, gain binary"), divergence))
-    states, _ = _totals(known[-1])
-    done += 1
+        of, chosen = opened(block, held)
+        states = np.zeros_like(chosen)
+        states[candidates(of)[1]] = chosen
+        return of.scores(total, kinds, states)
+
+    for step in range(depth + 1):
+        # Contexts have ``depth`` words at most, so the longest keys are none.
+        known.append(_answered(step, sent, least_count if step < depth else float("inf")))
+        found = _totals(known[-1])
+        if step == 0:
+            kinds, total, width, _ = found
+            # The words are on their way back to the blocks as numbers.
+            docs.sparkSession.createDataFrame([], _SENT).write.mode("overwrite").parquet(words_path)
+        widths.append(found[3])
+        sizes = [parts * w for w in widths]
+        if step < depth:
+            shift = np.uint64(64 - _bits(parts * width * sizes[-1]))
+            sent = each(ask, _SENT)
+    bits = _bits(sum(sizes[:depth]))
+    shift = np.uint64(64 - bits)
+    known.append(_chosen(depth + 1, each(add, f"{_SENT}, kinds binary, gain binary"), divergence))
+    states, *_ = _totals(known[-1])
     kind = docs.schema[id_col].dataType.simpleString()
     return Scored(each(rate, f"id {kind}, n_tokens long, n_known long, base_score double, score double"), total, kinds, states)
