@@ -52,13 +52,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.blocks import BLOCK_BYTES, pack, unpack
+from tallymark.llm.blocks import pack, unpack
 from tallymark.llm.words import fold, hash_many, mix
 from tallymark.session import fresh_path, passed_on
 
 DEPTH = 4
 LEAST_COUNT = 40
 DIVERGENCE = 0.02
+#: Bytes of text in a block, about: the larger, the fewer blocks send the same key.
+BLOCK = 16 << 20
 #: Files of blocks that no exchange moves again; beyond so many blocks a bucket holds several, one of which is worked on at a time.
 MOST_BUCKETS = 20_000
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
@@ -93,18 +95,30 @@ def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.int32) if n.max(initial=0) < 1 << 31 else n
 
 
-def _scatter(numbers: np.ndarray, bits: int) -> np.ndarray:
-    """A bijection of numbers of so many bits that spreads them evenly, in the highest of 64 bits."""
-    if bits > 64:
+def _share(size: int, parts: int) -> int:
+    """How many values a part owns of the keys made of numbers below ``size``."""
+    return -(-(1 << max(1, size - 1).bit_length()) // parts)
+
+
+def _keys(numbers: np.ndarray, size: int, parts: int, start: int, width: int) -> np.ndarray:
+    """Keys of numbers below ``size``: scattered by a bijection, dealt to the parts, and counted from ``start`` among the ``width`` keys of a part."""
+    bits = max(1, size - 1).bit_length()
+    if max(1 << bits, parts * width) >> 63:
         raise OverflowError(f"keys of {bits} bits")
     keep, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         numbers = ((numbers ^ (numbers >> half)) * np.uint64(factor)) & keep
-    return numbers << np.uint64(64 - bits)
+    part, rest = np.divmod(numbers, np.uint64(_share(size, parts)))
+    return part * np.uint64(width) + np.uint64(start) + rest
 
 
-def _bits(size: int) -> int:
-    return max(1, size - 1).bit_length()
+@dataclass(frozen=True)
+class Numbers:
+    """How many numbers the parts have given: to words too rare to be a context, and, by exchange, to frequent keys."""
+
+    parts: int
+    rare: int
+    often: Sequence[int]
 
 
 @dataclass(frozen=True)
@@ -112,7 +126,7 @@ class Answer:
     """What the corpus holds of a block's keys, in their order."""
 
     n: np.ndarray  # twice the count, and one more if this block counts the key
-    known: np.ndarray  # numbers of the words that occur
+    rare: np.ndarray  # numbers of the words that occur but are no candidates
     often: np.ndarray  # numbers of the keys that are candidates as a context
 
 
@@ -125,14 +139,14 @@ class Block:
     those that are candidates as a context of ``d + 1`` words and ``number[d]``
     their numbers. ``alive[d]`` marks the places after a candidate of ``d``
     words. ``asked`` and ``asked_n`` are the keys of the next exchange, in order,
-    and their counts in this block; keys have ``sizes[d]`` values.
+    and their counts in this block; a part owns ``width`` values of them.
     """
 
-    def __init__(self, row: dict, answers: Sequence[Answer], depth: int, least: int, words: int, sizes: Sequence[int]):
+    def __init__(self, row: dict, answers: Sequence[Answer], depth: int, least: int, given: Numbers):
         docs = unpack(row["docs"])
         self.ids, self.sizes = docs.column("id"), docs.column("size").to_numpy()
         word = _by_class(_open(row["classes"], np.uint8))[_open(row["tokens"], np.int32)]
-        self.least, self.words = least, np.uint64(words)
+        self.least, self.given = least, given
         self.begin = np.concatenate(([0], np.cumsum(self.sizes)))
         self.offset = (np.arange(len(word)) - np.repeat(self.begin[:-1], self.sizes)).astype(np.int32)
         self.trained = np.repeat(docs.column("trained").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
@@ -148,54 +162,62 @@ class Block:
             self.number.append(answer.often)
             if d == 1:
                 self.word_number = np.zeros(len(n), dtype=np.uint64)
-                self.word_number[n > 0] = answer.known
+                self.word_number[(n > 0) & (n < least)] = answer.rare
+                self.word_number[self.often[0]] = answer.often
+            self.asked, self.asked_n, self.width = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 1
             if d <= depth:
-                self._grow(d, _bits(words * sizes[d - 1]))
+                self._grow(d)
 
-    def _grow(self, d: int, bits: int) -> None:
+    def _grow(self, d: int) -> None:
         n = self.n[-1][self.key[-1]]
         self.alive.append(np.concatenate(([False], n[:-1] >= self.least)) & (self.offset >= d))
         # A word that never follows the shorter context does not follow the longer one.
         places = np.flatnonzero(self.alive[-1] & (n > 0))
         context = np.zeros(len(self.n[-1]), dtype=np.uint64)
         context[self.often[-1]] = self.number[-1]
-        numbers = context[self.key[-1][places - 1]] * self.words + self.word_number[self.key[0][places]]
-        self.asked, key = np.unique(_scatter(numbers, bits), return_inverse=True)
+        context, word = context[self.key[-1][places - 1]], self.key[0][places]
+        # Keys with a frequent word have fewer values, so they lie close together, before the others.
+        parts, words = self.given.parts, (self.given.often[0], self.given.rare)
+        sizes = [self.given.often[d - 1] * w for w in words]
+        start = _share(sizes[0], parts)
+        self.width = start + _share(sizes[1], parts)
+        rare, keys = self.n[0][word] < self.least, np.empty(len(places), dtype=np.uint64)
+        for mask, count, size, first in zip((~rare, rare), words, sizes, (0, start), strict=True):
+            keys[mask] = _keys(context[mask] * np.uint64(count) + self.word_number[word[mask]], size, parts, first, self.width)
+        self.asked, key = np.unique(keys, return_inverse=True)
         self.asked_n = np.bincount(key[self.trained[places]], minlength=len(self.asked)).astype(np.int64)
         self.key.append(np.full(len(n), -1, dtype=np.int32))
         self.key[-1][places] = key
 
-    def candidates(self, sizes: Sequence[int]) -> np.ndarray:
-        """Numbers of the candidates, by depth, of which there are at most so many of each depth."""
-        numbers = zip(self.number[:-1], np.cumsum([0, *sizes]).tolist(), strict=False)
-        return np.concatenate([np.zeros(0, dtype=np.uint64), *(number + np.uint64(start) for number, start in numbers)])
-
-    def sums(self, total: int) -> tuple[np.ndarray, ...]:
-        """Per candidate, by depth: tokens after it in the corpus (0 if this block does not count it), the kinds after it that this block counts, and their share of the divergence."""
-        found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float32))]
-        for d in range(1, len(self.n)):
-            place = np.zeros(len(self.n[d]), dtype=np.int64)
-            place[self.key[d]] = np.arange(len(self.key[d]))
-            at, n = place[self.counted[d]], self.n[d][self.counted[d]].astype(float)
-            context = self.key[d - 1][at - 1]
-            shorter = total if d == 1 else self.n[d - 2][self.key[d - 2][at - 1]]
-            # A word after a context also follows the context's suffix.
-            gain = n * np.log(n / self.n[d - 1][context] / (self.n[d - 1][self.key[d - 1][at]] / shorter))
-            told = np.zeros(len(self.n[d - 1]), dtype=np.int64)
-            told[self.counted[d - 1]] = self.n[d - 1][self.counted[d - 1]]
-            kinds, gain = (np.bincount(context, weights=w, minlength=len(told)) for w in (None, gain))
-            often = self.often[d - 1]
-            found.append((told[often], kinds[often], gain[often].astype(np.float32)))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    def scores(self, total: int, kinds: int, states: np.ndarray) -> pa.Table:
-        """Log10 probabilities by the root alone and by the tree; ``states`` has the kinds of each candidate, by depth, 0 if not retained."""
+    def candidates(self, d: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of the candidates of ``d`` words, in order, the candidate of each, and how many values a part owns."""
+        size, parts = self.given.often[d - 1], self.given.parts
+        keys = _keys(self.number[d - 1], size, parts, 0, width := _share(size, parts))
+        order = np.argsort(keys)
+        return keys[order], order, width
+
+    def sums(self, d: int, total: int) -> tuple[np.ndarray, ...]:
+        """Per candidate of ``d`` words: tokens after it in the corpus (0 if this block does not count it), the kinds after it that this block counts, and their share of the divergence."""
+        place = np.zeros(len(self.n[d]), dtype=np.int64)
+        place[self.key[d]] = np.arange(len(self.key[d]))
+        at, n = place[self.counted[d]], self.n[d][self.counted[d]].astype(float)
+        context = self.key[d - 1][at - 1]
+        shorter = total if d == 1 else self.n[d - 2][self.key[d - 2][at - 1]]
+        # A word after a context also follows the context's suffix.
+        gain = n * np.log(n / self.n[d - 1][context] / (self.n[d - 1][self.key[d - 1][at]] / shorter))
+        told = np.zeros(len(self.n[d - 1]), dtype=np.int64)
+        told[self.counted[d - 1]] = self.n[d - 1][self.counted[d - 1]]
+        kinds, gain = (np.bincount(context, weights=w, minlength=len(told))[self.often[d - 1]] for w in (None, gain))
+        return told[self.often[d - 1]], kinds, gain.astype(np.float32)
+
+    def scores(self, total: int, kinds: int, chosen: Sequence[np.ndarray]) -> pa.Table:
+        """Log10 probabilities by the root alone and by the tree; ``chosen`` has, by depth, the kinds of each candidate in the order of keys, 0 if not retained."""
         n = self.n[0][self.key[0]]
         base = (n + 1) / (total + kinds + 1)
         p = base.copy()
         for d in range(1, len(self.n)):
             kept = np.zeros(len(self.n[d - 1]), dtype=np.int64)
-            kept[self.often[d - 1]], states = states[: len(self.often[d - 1])], states[len(self.often[d - 1]) :]
+            kept[self.often[d - 1][self.candidates(d)[1]]] = chosen[d - 1]
             at = np.flatnonzero(self.alive[d])
             context = self.key[d - 1][at - 1]
             at, context = at[kept[context] > 0], context[kept[context] > 0]
@@ -218,11 +240,10 @@ def _by_class(classes: np.ndarray) -> np.ndarray:
     return np.argsort(np.uint8(255) - classes, kind="stable").astype(np.int32)
 
 
-def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """Parts own ranges of the keys, which are in order."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Parts, which are in order, and where they lie."""
     owners, first = np.unique(part, return_index=True)
-    bounds = np.append(first, len(keys))
+    bounds = np.append(first, len(part))
     for owner, start, stop in zip(owners, bounds[:-1], bounds[1:], strict=True):
         yield int(owner), slice(start, stop)
 
@@ -232,7 +253,8 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-_SENT = "block long, part int, keys binary, n binary"
+_SENT = "block long, part int, keys binary, n binary, contexts binary, tokens binary, kinds binary, gain binary"
+_WORDS_SENT = "block long, part int, keys binary, n binary"
 
 
 def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> tuple[DataFrame, DataFrame, str]:
@@ -255,8 +277,8 @@ def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> tuple[DataFrame, D
             order = _by_class(classes)
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            block = (task << 32) + number
-            out = [(block, part, _shut_keys(words[s]), _shut(n[s]), None, None, None, "words") for part, s in _by_part(words, parts)]
+            block, owner = (task << 32) + number, ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            out = [(block, part, _shut_keys(words[s]), _shut(n[s]), None, None, None, "words") for part, s in _by_part(owner)]
             out.append((block, None, None, None, of, _shut(classes), _shut(rank[word]), "tokens"))
             form = {"keys": pa.binary(), "n": pa.binary(), "docs": pa.binary(), "classes": pa.binary(), "tokens": pa.binary(), "kind": pa.string()}
             yield from _table(out, block=pa.int64(), part=pa.int32(), **form).to_batches()
@@ -273,74 +295,67 @@ def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> tuple[DataFrame, D
             yield from packed()
 
     spark, name, path = docs.sparkSession, f"tallymark_{uuid4().hex}", fresh_path(docs.sparkSession)
-    laid = docs.mapInArrow(lay, f"{_SENT}, docs binary, classes binary, tokens binary, kind string").write.format("parquet").partitionBy("kind")
+    laid = docs.mapInArrow(lay, f"{_WORDS_SENT}, docs binary, classes binary, tokens binary, kind string").write.format("parquet").partitionBy("kind")
     laid.bucketBy(min(parts, MOST_BUCKETS), "block").option("path", path).saveAsTable(name)
     table = spark.table(name)
     blocks = table.where("kind = 'tokens'").select("block", "docs", "classes", "tokens")
     return blocks, table.where("kind = 'words'").select("block", "part", "keys", "n"), f"{path}/kind=words"
 
 
-_ANSWERS = "block long, part int, n binary, known binary, often binary, kinds long, total long, frequent long"
-
+_ANSWERS = "block long, part int, n binary, rare binary, often binary, chosen binary, kinds long, total long, most_rare long, most_often long, states long"
 
-def _answer_rows(rows: list[tuple]) -> pa.Table:
-    binary = {c: pa.binary() for c in ("n", "known", "often")}
-    return _table(rows, block=pa.int64(), part=pa.int32(), **binary, kinds=pa.int64(), total=pa.int64(), frequent=pa.int64())
 
-
-def _answered(step: int, sent: DataFrame, least: float) -> DataFrame:
-    """Corpus-wide counts of the keys of every block, in their order, and a part's numbers of words and of frequent keys; a row without a block has the part's totals.
+def _answered(step: int, sent: DataFrame, least: float, divergence: float) -> DataFrame:
+    """Corpus-wide counts of the keys of every block, in their order, and a part's numbers of rare words and of frequent keys; the kinds of the candidates of every block, 0 for those that are not retained. A row without a block has the part's totals.
 
     Counts are doubled; of the blocks whose training documents hold a key, the one with the lowest number gets one more.
     """
 
-    def add_up(key, rows):
-        part = key[0].as_py()
-        rows = rows.sort_by("block")
-        keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([_open(n.as_py()) for n in rows.column("n")])
+    def joined(rows, column, kind=None):
+        found = [_open_keys(x.as_py()) if kind is None else _open(x.as_py(), kind) for x in rows.column(column)]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])[:-1]
+
+    def count(rows):
+        keys, ends = joined(rows, "keys")
+        distinct, place = np.unique(keys, return_inverse=True)
+        counts, _ = joined(rows, "n", np.int64)
         n = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])[:-1]
         held = np.flatnonzero(counts)
-        counts[held] = 0
-        counts[held[np.unique(place[held], return_index=True)[1]]] = 1
-        marked = np.split(2 * n[place] + counts, ends)
-        known, often = n > 0, n >= least
-        numbers = [(mask, np.cumsum(mask, dtype=np.uint64) - np.uint64(1)) for mask in ((known, often) if step == 0 else (often,))]
-        out = []
-        for block, at, x in zip(rows.column("block"), np.split(place, ends), marked, strict=True):
-            shut = [_shut_keys(number[at[mask[at]]]) for mask, number in numbers]
-            out.append((block.as_py(), part, _shut(x), shut[0] if step == 0 else b"", shut[-1], None, None, None))
-        out.append((None, part, None, None, None, np.count_nonzero(known), n.sum(), np.count_nonzero(often)))
-        return _answer_rows(out)
-
-    return passed_on(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
-
-
-def _chosen(step: int, sent: DataFrame, divergence: float) -> DataFrame:
-    """The kinds of the candidates of every block, in their order, 0 for those that are not retained; a row without a block has their number."""
+        mark = np.zeros_like(counts)
+        mark[held[np.unique(place[held], return_index=True)[1]]] = 1
+        rare, often = (n > 0) & (n < least) & (step == 0), n >= least
+        split = [[_shut(x) for x in np.split(2 * n[place] + mark, ends)]]
+        for mask in (rare, often):
+            number = np.cumsum(mask, dtype=np.uint64) - np.uint64(1)
+            split.append([_shut_keys(number[at[mask[at]]]) for at in np.split(place, ends)])
+        return split, (np.count_nonzero(n), n.sum(), np.count_nonzero(rare), np.count_nonzero(often))
+
+    def decide(rows):
+        keys, ends = joined(rows, "contexts")
+        distinct, place = np.unique(keys, return_inverse=True)
+        sums = (joined(rows, column, kind)[0] for column, kind in (("tokens", np.int64), ("kinds", np.int64), ("gain", np.float32)))
+        tokens, kinds, gain = (np.bincount(place, weights=x, minlength=len(distinct)) for x in sums)
+        kinds = np.where(gain - (kinds - 1) / 2 >= divergence * tokens, kinds, 0).astype(np.int64)
+        return [_shut(x) for x in np.split(kinds[place], ends)], np.count_nonzero(kinds)
 
-    def decide(key, rows):
-        part = key[0].as_py()
+    def add_up(key, rows):
         # Always in one order, so that sums do not depend on the exchange.
         rows = rows.sort_by("block")
-        keys = [_open_keys(k.as_py()) for k in rows.column("keys")]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        tokens, kinds, gain = (np.concatenate([_open(x.as_py(), t) for x in rows.column(c)]) for c, t in (("n", "i8"), ("kinds", "i8"), ("gain", "f4")))
-        tokens, kinds, gain = (np.bincount(place, weights=w, minlength=len(distinct)) for w in (tokens, kinds, gain))
-        kinds = np.where(gain - (kinds - 1) / 2 >= divergence * tokens, kinds, 0).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        out = [(b.as_py(), part, _shut(kinds[at]), b"", b"", None, None, None) for b, at in zip(rows.column("block"), np.split(place, ends), strict=True)]
-        out.append((None, part, None, None, None, np.count_nonzero(kinds), 0, 0))
-        return _answer_rows(out)
+        counted, totals = count(rows)
+        chosen, states = decide(rows) if step > 1 else ([None] * len(rows), 0)
+        out = [(b, key[0].as_py(), *found, *[None] * 5) for b, *found in zip(rows.column("block").to_pylist(), *counted, chosen, strict=True)]
+        out.append((None, key[0].as_py(), *[None] * 4, *totals, states))
+        binary = {c: pa.binary() for c in ("n", "rare", "often", "chosen")}
+        whole = {c: pa.int64() for c in ("kinds", "total", "most_rare", "most_often", "states")}
+        return _table(out, block=pa.int64(), part=pa.int32(), **binary, **whole)
 
-    return passed_on(sent.groupBy("part").applyInArrow(decide, _ANSWERS).withColumn("step", F.lit(step)))
+    return passed_on(sent.groupBy("part").applyInArrow(add_up, _ANSWERS).withColumn("step", F.lit(step)))
 
 
 def _totals(answers: DataFrame) -> tuple[int, ...]:
-    """Kinds and tokens, and the most words and the most frequent keys that a part numbers."""
-    return tuple(x or 0 for x in answers.agg(F.sum("kinds"), F.sum("total"), F.max("kinds"), F.max("frequent")).first())
+    """Kinds, tokens, the most rare words and the most frequent keys that a part numbers, and states."""
+    sums = F.sum("kinds"), F.sum("total"), F.max("most_rare"), F.max("most_often"), F.sum("states")
+    return tuple(x or 0 for x in answers.agg(*sums).first())
 
 
 @dataclass(frozen=True)
@@ -359,7 +374,7 @@ def score_corpus(
     depth: int = DEPTH,
     least_count: int = LEAST_COUNT,
     divergence: float = DIVERGENCE,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK,
 ) -> Scored:
     """Learn from the documents that ``trained`` marks and score all: log10 probabilities by the root alone and by the tree."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
@@ -367,70 +382,58 @@ def score_corpus(
     parts = max(1, -(-size // block_bytes))
     blocks, sent, words_path = _blocks(rows, block_bytes, parts)
     known: list[DataFrame] = []
-    #: By exchange, how many keys a part numbers at most.
-    widths: list[int] = []
 
-    def opened(block: pa.Table, held: pa.Table) -> tuple[Block, np.ndarray]:
+    def opened(block: pa.Table, held: pa.Table) -> tuple[Block, list[np.ndarray]]:
+        """A block and what was chosen of its candidates, by depth."""
         held = held.sort_by([("step", "ascending"), ("part", "ascending")])
         steps, owners = held.column("step").to_numpy(), held.column("part").to_pylist()
 
-        def joined(step, column, width=None):
-            found = [np.zeros(0, dtype=np.int64 if width is None else np.uint64)]
+        def joined(step, column, numbers=None):
+            found = [np.zeros(0, dtype=np.int64 if numbers is None else np.uint64)]
             for i in np.flatnonzero(steps == step).tolist():
                 x = held.column(column)[i].as_py()
-                found.append(_open(x) if width is None else _open_keys(x) + np.uint64(owners[i] * width))
+                found.append(_open(x) if numbers is None else _open_keys(x) + np.uint64(owners[i] * (numbers // parts)))
             return np.concatenate(found)
 
-        answers = [Answer(joined(d, "n"), joined(d, "known", width) if d == 0 else None, joined(d, "often", widths[d])) for d in range(len(widths))]
-        return Block(block.to_pylist()[0], answers, depth, least_count, parts * width, sizes), joined(depth + 1, "n")
+        answers = [Answer(joined(d, "n"), joined(d, "rare", given.rare), joined(d, "often", many)) for d, many in enumerate(given.often[: depth + 1])]
+        return Block(block.to_pylist()[0], answers, depth, least_count, given), [joined(d + 1, "chosen") for d in range(1, depth + 1)]
 
     def each(work, form: str) -> DataFrame:
         """``work`` on every block with all answers so far."""
-        held = reduce(DataFrame.unionByName, known).where("block is not null").select("block", "part", "step", "n", "known", "often")
+        held = reduce(DataFrame.unionByName, known).where("block is not null").select("block", "part", "step", "n", "rare", "often", "chosen")
         return blocks.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(work, form)
 
     def ask(block, held):
         number = block.column("block")[0].as_py()
         of, _ = opened(block, held)
-        out = [(number, part, _shut_keys(of.asked[s] >> shift), _shut(of.asked_n[s])) for part, s in _by_part(of.asked, parts)]
-        return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary())
-
-    def candidates(of: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the candidates, in order, and the candidate of each."""
-        keys = _scatter(of.candidates(sizes), bits)
-        order = np.argsort(keys)
-        return keys[order], order
-
-    def add(block, held):
-        number = block.column("block")[0].as_py()
-        of, _ = opened(block, held)
-        keys, order = candidates(of)
-        columns = [c[order] for c in of.sums(total)]
-        out = [(number, part, _shut_keys(keys[s] >> shift), *(_shut(c[s]) for c in columns)) for part, s in _by_part(keys, parts)]
-        return _table(out, block=pa.int64(), part=pa.int32(), keys=pa.binary(), n=pa.binary(), kinds=pa.binary(), gain=pa.binary())
+        out = {}
+        # A key is sent as its distance from the first one of its part.
+        for part, s in _by_part(of.asked // np.uint64(of.width)):
+            out[part] = [_shut_keys(of.asked[s] - np.uint64(part * of.width)), _shut(of.asked_n[s]), *[None] * 4]
+        if step > 1:
+            keys, order, width = of.candidates(step - 1)
+            columns = [c[order] for c in of.sums(step - 1, total)]
+            for part, s in _by_part(keys // np.uint64(width)):
+                out.setdefault(part, [None] * 6)[2:] = [_shut_keys(keys[s] - np.uint64(part * width)), *(_shut(c[s]) for c in columns)]
+        binary = {c: pa.binary() for c in ("keys", "n", "contexts", "tokens", "kinds", "gain")}
+        return _table([(number, part, *x) for part, x in out.items()], block=pa.int64(), part=pa.int32(), **binary)
 
     def rate(block, held):
         of, chosen = opened(block, held)
-        states = np.zeros_like(chosen)
-        states[candidates(of)[1]] = chosen
-        return of.scores(total, kinds, states)
+        return of.scores(total, kinds, chosen)
 
-    for step in range(depth + 1):
-        # Contexts have ``depth`` words at most, so the longest keys are none.
-        known.append(_answered(step, sent, least_count if step < depth else float("inf")))
+    # Contexts have ``depth`` words at most: the last exchange but one numbers no more of them, the last one only chooses.
+    states, given = 0, Numbers(parts, 0, ())
+    for step in range(depth + 2):
+        if step:
+            sent = each(ask, _SENT)
+        known.append(_answered(step, sent, least_count if step < depth else float("inf"), divergence))
         found = _totals(known[-1])
         if step == 0:
-            kinds, total, width, _ = found
+            kinds, total, *_ = found
             # The words are on their way back to the blocks as numbers.
-            docs.sparkSession.createDataFrame([], _SENT).write.mode("overwrite").parquet(words_path)
-        widths.append(found[3])
-        sizes = [parts * w for w in widths]
-        if step < depth:
-            shift = np.uint64(64 - _bits(parts * width * sizes[-1]))
-            sent = each(ask, _SENT)
-    bits = _bits(sum(sizes[:depth]))
-    shift = np.uint64(64 - bits)
-    known.append(_chosen(depth + 1, each(add, f"{_SENT}, kinds binary, gain binary"), divergence))
-    states, *_ = _totals(known[-1])
+            docs.sparkSession.createDataFrame([], _WORDS_SENT).write.mode("overwrite").parquet(words_path)
+        states += found[4]
+        given = Numbers(parts, given.rare or parts * found[2], (*given.often, parts * found[3]))
     kind = docs.schema[id_col].dataType.simpleString()
     return Scored(each(rate, f"id {kind}, n_tokens long, n_known long, base_score double, score double"), total, kinds, states)
