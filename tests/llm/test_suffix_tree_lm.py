@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import suffix_tree_lm as lm
 from tallymark.llm.queries import op6_suffix_tree_scores
+from tallymark.session import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +141,34 @@ def test_blocks_are_not_moved(spark):
     rows = lm.score_corpus(docs, F.lit(True), block_bytes=2000).rows
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_exchanges_send_small_keys(spark, monkeypatch):
+    def files():
+        folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+        return {f: f.stat().st_size for f in Path(folder).rglob("shuffle_*.data")}
+
+    before, sent = files(), {}
+
+    def kept(df):
+        # The files of the exchange stay until they have been seen.
+        out = stored(df)
+        sent.update({f: size for f, size in files().items() if f not in before})
+        return out
+
+    draw = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(draw.zipf(1.3, size=2000), 5000))) for i in range(150)]
+    monkeypatch.setattr(lm, "passed_on", kept)
+    lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), block_bytes=400_000)
+    assert 0 < sum(sent.values()) < 2_000_000
+
+
+@pytest.mark.parametrize(("size", "parts"), [(1, 1), (1000, 7), (1 << 16, 3), (60_001, 64)])
+def test_scattered_keys_are_distinct_and_lie_in_their_parts(size, parts):
+    share = lm._share(size, parts)
+    keys = lm._keys(np.arange(size, dtype=np.uint64), size, parts, 5, share + 9)
+    assert len(np.unique(keys)) == size
+    part, rest = np.divmod(keys, np.uint64(share + 9))
+    assert part.max() < parts and rest.min() >= 5 and rest.max() < share + 5
+    if size > 50 * parts:
+        assert np.bincount(part.astype(int), minlength=parts).max() < 1.5 * size / parts
