@@ -15,9 +15,10 @@ interval reaches into what is asked, and above the lower ends of enough others,
 are scored, in whole numbers.
 
 Rows and anchors are packed into blocks, and every block of rows meets every
-block of anchors: the stated query set against all rows.  A task holds one
-block of each, and returns for an anchor no more rows than are asked for, so the
-answers that are merged grow with the blocks and not with the rows.
+block of anchors: the stated query set against all rows.  They meet in an
+exchange and never by broadcast, so the driver holds neither.  A task works on
+one block of each, and returns for an anchor no more rows than are asked for, so
+the answers that are merged grow with the blocks and not with the rows.
 
 Defined cases: rows with a null label, a null vector or a null or non-finite
 component take no part.  Ties go to the smaller identifier, null identifiers
@@ -47,6 +48,8 @@ LAYERS, PLANES = 4, 8
 ROW_BLOCK, ANCHOR_BLOCK = 8192, 1024
 #: Parts of the rows that meet the anchors independently.
 PARTS = 64
+#: Blocks of anchors beside a part of the rows; more are cut into groups, each of which meets a copy of the rows.
+HELD = 256
 #: Anchors whose estimates are made at a time.
 _STRIP = 32
 _SEED = 2024
@@ -104,27 +107,38 @@ class Planes:
             self.total.append(low * self.size + step * level.sum(axis=1))
             self.error.append(np.sqrt((left * left).sum(axis=1)))
 
-    def interval(self, some: slice, codes: np.ndarray, aligned: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, layer: int, some: slice | np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Sums of the planes of some queries where the codes of a layer have a one: popcounts, from the highest plane down."""
+        words, most = self.words[layer][some], self.size << self.planes
+        summed = np.zeros((len(words), len(code)), dtype=np.uint16 if most < 1 << 16 else np.int64)
+        both, hits = np.empty(summed.shape, dtype=np.uint64), np.empty(summed.shape, dtype=np.uint8)
+        for p in reversed(range(self.planes)):
+            summed <<= 1
+            for w in range(code.shape[1]):
+                np.bitwise_and(words[:, p, w][:, None], code[None, :, w], out=both)
+                summed += np.bitwise_count(both, out=hits)
+        return summed
+
+    def interval(self, some: slice | np.ndarray, codes: np.ndarray, aligned: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of the scores of some queries (rows of the result) with coded vectors."""
+        root, sized = np.sqrt(max(self.size, 1)), np.abs(aligned)
         estimate = np.zeros((len(self.length[some]), len(rest)))
-        slack = np.zeros_like(estimate)
-        for layer, words in enumerate(self.words):
-            code = codes[:, layer]
+        for layer in range(len(self.words)):
+            code = np.ascontiguousarray(codes[:, layer])
             ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-            summed = np.zeros(estimate.shape, dtype=np.int64)
-            for p in range(self.planes):
-                for w in range(code.shape[1]):
-                    hits = np.bitwise_count(words[some, p, w][:, None] & code[None, :, w])
-                    summed += hits.astype(np.int64) << p
-            inside = self.low[layer][some][:, None] * ones + self.step[layer][some][:, None] * summed
-            product = (2 * inside - self.total[layer][some][:, None]) / np.sqrt(max(self.size, 1))
-            estimate += product * aligned[:, layer]
-            slack += self.error[layer][some][:, None] * np.abs(aligned[:, layer])
-        along = np.maximum(np.abs(product) - self.error[-1][some][:, None], 0)
-        beside = np.sqrt(np.maximum(self.length[some][:, None] ** 2 - along**2, 0))
-        # The last term covers the rounding of all sums above.
-        rounding = 1e-9 * self.length[some][:, None] * (rest + np.abs(aligned).sum(axis=1)) + 1e-6
-        width = slack + rest * beside + rounding
+            product = self.counted(layer, some, code) * (2 / root * self.step[layer][some])[:, None]
+            product += np.stack([2 / root * self.low[layer][some], -self.total[layer][some] / root], axis=1) @ np.stack([ones, np.ones(len(ones))])
+            if layer == len(self.words) - 1:
+                along = np.maximum(np.abs(product) - self.error[-1][some][:, None], 0)
+            product *= aligned[:, layer]
+            estimate += product
+        beside = np.sqrt(np.maximum((self.length[some] ** 2)[:, None] - along**2, 0))
+        # The last column and the constant cover the rounding of all sums above.
+        slack = np.stack([*(error[some] for error in self.error), 1e-9 * self.length[some]], axis=1)
+        width = slack @ np.concatenate([sized.T, (rest + sized.sum(axis=1))[None]])
+        beside *= rest
+        width += beside
+        width += 1e-6
         return estimate - width, estimate + width
 
 
@@ -139,6 +153,9 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([int(x) for x in found], dtype=np.int64)
 
 
+_KINDS = {2: np.int16, 4: np.int32, 8: np.int64}
+
+
 def _narrow(vectors: np.ndarray) -> np.ndarray:
     for kind in (np.int16, np.int32):
         if np.abs(vectors).max(initial=0) <= np.iinfo(kind).max:
@@ -153,6 +170,8 @@ def _ints(values: np.ndarray, scale: int) -> np.ndarray:
     return scaled.astype(np.int64)
 
 
+#: The bits of a row block's number that count the blocks of its task.
+_NUMBER = 24
 _PACKED = "size int, block long, uid binary, id binary, named binary, label binary, asks binary, width int, vectors binary, codes binary, aligned binary, rest binary"
 _ANCHOR = "uid long, id long, label long, size int, vector binary"
 
@@ -170,7 +189,7 @@ def pack_rows(rows: DataFrame, scale: int, block: int, layers: int = LAYERS) ->
             whole = _ints(np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), size), scale)
             codes, aligned, rest = encode(whole, layers)
             small = _narrow(whole)
-            number = (part << 24) + count
+            number = (part << _NUMBER) + count
             count += 1
             columns = [
                 (np.arange(len(rows), dtype=np.int64) + (number << 13)),
@@ -212,7 +231,7 @@ class _Block:
         self.uid, self.id, self.label = (np.frombuffer(row[c], dtype=np.int64) for c in ("uid", "id", "label"))
         self.named, self.asks = (np.frombuffer(row[c], dtype=bool) for c in ("named", "asks"))
         n, size = len(self.uid), row["size"]
-        self.vectors = np.frombuffer(row["vectors"], dtype={2: np.int16, 4: np.int32, 8: np.int64}[row["width"]]).reshape(n, size)
+        self.vectors = np.frombuffer(row["vectors"], dtype=_KINDS[row["width"]]).reshape(n, size)
         self.codes = np.frombuffer(row["codes"], dtype=np.uint64).reshape(n, layers, -1)
         self.aligned = np.frombuffer(row["aligned"], dtype=np.float64).reshape(n, layers)
         self.rest = np.frombuffer(row["rest"], dtype=np.float64)
@@ -242,6 +261,7 @@ def _anchor_blocks(anchors: DataFrame, block: int, count: int) -> DataFrame:
     """Anchors ``uid, id, label, size, vector, asked`` in blocks of at most ``block``; ``asked`` has at most ``count`` scores."""
 
     def blocks(batches):
+        part = TaskContext.get().partitionId()
         waiting: dict[int, list] = {}
 
         def packed(size, rows):
@@ -250,9 +270,11 @@ def _anchor_blocks(anchors: DataFrame, block: int, count: int) -> DataFrame:
                 scores[i, : len(row["asked"] or ())] = [a["score"] for a in sorted(row["asked"] or (), key=lambda a: a["rank"])]
             columns = [np.array([row[c] for row in rows], dtype=np.int64) for c in ("uid", "id", "label")]
             columns.append(np.array([len(row["asked"] or ()) for row in rows], dtype=np.int64))
-            values = [*[c.tobytes() for c in columns], scores.tobytes(), b"".join(row["vector"] for row in rows)]
-            names = ["a_size", "a_uid", "a_id", "a_label", "a_asked", "a_scores", "a_vectors"]
-            return pa.record_batch([pa.array([size], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=names)
+            small = _narrow(np.frombuffer(b"".join(row["vector"] for row in rows), dtype=np.int64))
+            numbers = [size, part, small.itemsize]
+            values = [*[c.tobytes() for c in columns], scores.tobytes(), small.tobytes()]
+            names = ["a_size", "a_part", "a_width", "a_uid", "a_id", "a_label", "a_asked", "a_scores", "a_vectors"]
+            return pa.record_batch([*[pa.array([n], pa.int32()) for n in numbers], *[pa.array([v], pa.binary()) for v in values]], names=names)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -264,7 +286,7 @@ def _anchor_blocks(anchors: DataFrame, block: int, count: int) -> DataFrame:
             yield packed(size, some)
 
     kept = anchors.select("uid", "id", "label", "size", "vector", "asked")
-    return kept.mapInArrow(blocks, "a_size int, a_uid binary, a_id binary, a_label binary, a_asked binary, a_scores binary, a_vectors binary")
+    return kept.mapInArrow(blocks, "a_size int, a_part int, a_width int, a_uid binary, a_id binary, a_label binary, a_asked binary, a_scores binary, a_vectors binary")
 
 
 class _Anchors:
@@ -274,28 +296,46 @@ class _Anchors:
         self.uid, self.id, self.label, self.asked = (np.frombuffer(row[c], dtype=np.int64) for c in ("a_uid", "a_id", "a_label", "a_asked"))
         n = len(self.uid)
         self.scores = np.frombuffer(row["a_scores"], dtype=np.int64).reshape(n, -1)
-        self.vectors = np.frombuffer(row["a_vectors"], dtype=np.int64).reshape(n, row["a_size"])
+        self.vectors = np.frombuffer(row["a_vectors"], dtype=_KINDS[row["a_width"]]).astype(np.int64).reshape(n, row["a_size"])
         self.planes = Planes(self.vectors, layers, planes)
 
 
-def _meet(rows: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
-    """Each block of rows beside each block of anchors of the same length of vectors."""
-    left = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    right = anchors.withColumn("a_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right, (F.col("part") == F.col("a_part")) & (F.col("size") == F.col("a_size"))).drop("part", "a_part")
+def _meet(rows: DataFrame, anchors: DataFrame, parts: int, groups: int) -> DataFrame:
+    """Each block of rows beside each block of anchors of the same length of vectors.
+
+    Each place has a task of its own and holds one of ``parts`` of the rows and
+    one of ``groups`` of the anchors.  The copies of the anchors go through the
+    exchange: a broadcast would gather all of them in the driver, and the sizes
+    by which Spark decides on one are those before they are copied.
+    """
+    # The blocks of a task go to parts one after another; tasks begin well apart.
+    begin = F.floor(F.shiftright("block", _NUMBER) * (parts * 0.618034)).cast("long")
+    part = F.pmod(begin + F.col("block").bitwiseAND((1 << _NUMBER) - 1), F.lit(parts))
+    first = (part * groups).cast("int")
+    left = rows.withColumn("place", F.explode(F.sequence(first, first + (groups - 1))))
+    right = anchors.withColumn("a_place", F.explode(F.sequence(F.pmod("a_part", F.lit(groups)), F.lit(parts * groups - 1), F.lit(groups))))
+    left, right = left.repartitionById(parts * groups, "place"), right.repartitionById(parts * groups, "a_place")
+    return left.join(right.hint("merge"), (F.col("place") == F.col("a_place")) & (F.col("size") == F.col("a_size"))).drop("place", "a_place")
+
 
+def _pairs(batches, layers: int, planes: int, alike: bool) -> Iterator[tuple]:
+    """The blocks that meet, and for each anchor its number, the rows to score and the bounds of its scores with them.
 
-def _pairs(batches, layers: int, planes: int) -> Iterator[tuple]:
-    """The blocks that meet, and for each anchor its number and the bounds of its scores with all rows."""
+    The rows are those of the anchor's label where ``alike``, otherwise all.
+    """
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1).to_pylist()[0]
             block, anchors = _Block(row, layers), _Anchors(row, layers, planes)
-            for begin in range(0, len(anchors.uid), _STRIP):
-                some = slice(begin, begin + _STRIP)
-                lower, upper = anchors.planes.interval(some, block.codes, block.aligned, block.rest)
-                for i in range(len(lower)):
-                    yield block, anchors, begin + i, lower[i], upper[i]
+            every = np.arange(len(block.uid)), np.arange(len(anchors.uid))
+            kinds = [(every[0][block.label == x], every[1][anchors.label == x]) for x in np.unique(anchors.label)] if alike else [every]
+            for rows, asking in kinds:
+                codes = block.codes[rows], block.aligned[rows], block.rest[rows]
+                for begin in range(0, len(asking) if len(rows) else 0, _STRIP):
+                    some = asking[begin : begin + _STRIP]
+                    lower, upper = anchors.planes.interval(some, *codes)
+                    for i in range(len(some)):
+                        yield block, anchors, some[i], rows, lower[i], upper[i]
 
 
 def _at_least(lower: np.ndarray, count: int) -> float:
@@ -326,11 +366,11 @@ class _Found:
 _FOUND = "a_uid long, a_id long, turn int, uid long, id long, score long"
 
 
-def _finder(find, layers: int, planes: int):
+def _finder(find, layers: int, planes: int, alike: bool):
     def run(batches):
         found = _Found([c.split()[0] for c in _FOUND.split(", ")])
-        for block, anchors, i, lower, upper in _pairs(batches, layers, planes):
-            find(found, block, anchors, i, lower, upper)
+        for block, anchors, i, rows, lower, upper in _pairs(batches, layers, planes, alike):
+            find(found, block, anchors, i, rows, lower, upper)
             if found.size > 20_000:
                 yield found.batch()
         if found.size:
@@ -342,9 +382,9 @@ def _finder(find, layers: int, planes: int):
 def _positives(count: int):
     """The first ``count`` rows of the anchor's label in a block."""
 
-    def find(found, block, anchors, i, lower, upper):
-        mine = np.flatnonzero((block.label == anchors.label[i]) & (block.uid != anchors.uid[i]))
-        mine = mine[upper[mine] >= _at_least(lower[mine], count)]
+    def find(found, block, anchors, i, rows, lower, upper):
+        others = block.uid[rows] != anchors.uid[i]
+        mine = rows[others & (upper >= _at_least(lower[others], count))]
         scores = exact(block.vectors[mine], anchors.vectors[i])
         best = block.first(mine, scores, count)
         found.add(anchors.uid[i], anchors.id[i], 0, block, mine[best], scores[best])
@@ -355,23 +395,26 @@ def _positives(count: int):
 def _negatives(count: int, low: int, high: int):
     """For each positive of the anchor the first ``count`` rows of other labels in a block whose score is in its range."""
 
-    def find(found, block, anchors, i, lower, upper):
-        asked = [int(s) for s in anchors.scores[i][: anchors.asked[i]]]
-        other = block.label != anchors.label[i]
+    def find(found, block, anchors, i, rows, lower, upper):
+        ranges = [(-(-low * score // 100), high * score // 100) for score in map(int, anchors.scores[i][: anchors.asked[i]])]
+        if not ranges:
+            return
+        near = (upper >= min(r[0] for r in ranges)) & (lower <= max(r[1] for r in ranges))
+        near &= block.label[rows] != anchors.label[i]
+        near = np.flatnonzero(near)
+        rows, lower, upper = rows[near], lower[near], upper[near]
         wanted = []
-        for score in asked:
-            least, most = -(-low * score // 100), high * score // 100
-            inside = np.flatnonzero(other & (upper >= least) & (lower <= most))
-            sure = inside[(lower[inside] >= least) & (upper[inside] <= most)]
-            wanted.append((least, most, inside[upper[inside] >= _at_least(lower[sure], count)]))
-        every = np.unique(np.concatenate([w[2] for w in wanted])) if wanted else np.zeros(0, dtype=np.int64)
-        scores = exact(block.vectors[every], anchors.vectors[i])
-        for turn, (least, most, some) in enumerate(wanted, 1):
-            value = scores[np.searchsorted(every, some)]
-            fits = (value >= least) & (value <= most)
-            some, value = some[fits], value[fits]
-            best = block.first(some, value, count)
-            found.add(anchors.uid[i], anchors.id[i], turn, block, some[best], value[best])
+        for least, most in ranges:
+            inside = np.flatnonzero((upper >= least) & (lower <= most))
+            lows, tops = lower[inside], upper[inside]
+            wanted.append(inside[tops >= _at_least(lows[(lows >= least) & (tops <= most)], count)])
+        asked, scores = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=np.int64)
+        asked[np.concatenate(wanted)] = True
+        scores[asked] = exact(block.vectors[rows[asked]], anchors.vectors[i])
+        for turn, ((least, most), some) in enumerate(zip(ranges, wanted, strict=True), 1):
+            some = some[(scores[some] >= least) & (scores[some] <= most)]
+            best = some[block.first(rows[some], scores[some], count)]
+            found.add(anchors.uid[i], anchors.id[i], turn, block, rows[best], scores[best])
 
     return find
 
@@ -418,17 +461,18 @@ def mine(
     rows = stored(pack_rows(named, scale, row_block, layers))
     anchors = stored(_asking(rows, layers))
     blocks = max(1, -(-anchors.count() // anchor_block))
+    used, groups = max(1, min(parts, rows.count())), -(-blocks // HELD)
 
-    def found(asking: DataFrame, find) -> DataFrame:
+    def found(asking: DataFrame, find, alike: bool) -> DataFrame:
         packed = stored(_anchor_blocks(asking.repartition(blocks, "uid"), anchor_block, positives))
-        return _meet(rows, packed, parts).mapInArrow(_finder(find, layers, planes), _FOUND)
+        return _meet(rows, packed, used, groups).mapInArrow(_finder(find, layers, planes, alike), _FOUND)
 
     nothing = F.lit(None).cast("array<struct<rank:int,score:bigint>>").alias("asked")
-    first = stored(_best(found(anchors.select("*", nothing), _positives(positives)), ["a_uid"], positives))
+    first = stored(_best(found(anchors.select("*", nothing), _positives(positives), True), ["a_uid"], positives))
     lists = first.groupBy("a_uid").agg(F.collect_list(F.struct("rank", "score")).alias("asked"))
-    asking = anchors.join(lists, F.col("uid") == F.col("a_uid"))
-    last = _best(found(asking, _negatives(negatives, low, high)).drop("a_id"), ["a_uid", "turn"], negatives)
+    asking = anchors.join(lists.hint("merge"), F.col("uid") == F.col("a_uid"))
+    last = _best(found(asking, _negatives(negatives, low, high), False).drop("a_id"), ["a_uid", "turn"], negatives)
     one = first.select("a_uid", F.col("rank").alias("turn"), F.col("a_id").alias("anchor_id"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    return last.join(one, ["a_uid", "turn"]).select(
+    return last.join(one.hint("merge"), ["a_uid", "turn"]).select(
         "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.llm import hard_negatives
 from tallymark.llm import queries as q
 from tallymark.llm.hard_negatives import Planes, encode, exact, mine
 from tests import oracle
@@ -88,3 +89,37 @@ def test_repeated_rows_are_rows(spark):
 
 def test_empty_table(spark):
     assert mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_driver_gathers_no_blocks(spark, monkeypatch):
+    """The copies of the anchors would all lie in the driver if they were broadcast."""
+    plans = []
+    kept = hard_negatives.stored
+    monkeypatch.setattr(hard_negatives, "stored", lambda df: plans.append(df) or kept(df))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], int(rng.integers(0, 3)), 1, 2, "u", 3) for i in range(300)]
+    plans.append(mine(spark.createDataFrame(rows, SCHEMA).repartition(4), F.col("vec_id") % 10 == 0, row_block=32, anchor_block=8))
+    said = [df._jdf.queryExecution().toString() for df in plans]
+    assert sum("SortMergeJoin" in x for x in said) >= 3
+    assert not [x for x in said if "Broadcast" in x]
+
+
+@pytest.mark.parametrize("held", [1, 2])
+def test_groups_of_anchors(spark, monkeypatch, held):
+    monkeypatch.setattr(hard_negatives, "HELD", held)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4 + i % 2)], int(rng.integers(0, 3))) for i in range(120)]
+    df = spark.createDataFrame([(*r, 1, 2, "u", 3) for r in rows], SCHEMA).repartition(3)
+    found = mine(df, F.col("vec_id") % 10 == 0, positives=3, negatives=3, scale=8, parts=4, row_block=16, anchor_block=3)
+    got = Counter(map(tuple, found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()))
+    assert got and got == brute(rows)
+
+
+def test_blocks_meet_once_in_places_of_their_own(spark):
+    numbers = [(task << 24) + n for task in range(3) for n in range(5)]
+    left = spark.createDataFrame([(2 + n % 2, n) for n in numbers], "size int, block long")
+    right = spark.createDataFrame([(2 + n % 2, n // 2, n) for n in range(9)], "a_size int, a_part int, anchors int")
+    met = hard_negatives._meet(left, right, 4, 2).withColumn("place", F.spark_partition_id()).collect()
+    assert Counter((r.block, r.anchors) for r in met) == Counter((n, a) for n in numbers for a in range(9) if n % 2 == a % 2)
+    assert {len({r.place for r in met if r.block == n}) for n in numbers} == {2}
+    assert len({r.place for r in met}) == 8
